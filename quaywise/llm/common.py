@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,9 +40,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that have ended.
+
+    Its cleaner waits for the driver's garbage collection, which a quiet driver puts off for half an hour; a chain of
+    large stages would meanwhile hold the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -263,7 +263,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_words:
     document at one place: a window at the same word of two such rows is earlier in neither. Each row gets its own result;
     rows equal in key and text get equal ones. An empty table gives an empty result; other columns are ignored.
     """
-    cuts = repeated_windows(docs, key, text).groupBy("k", "tag").agg(F.collect_set(F.struct("at", "n")).alias("cuts"))
+    cuts = materialise(repeated_windows(docs, key, text).groupBy("k", "tag").agg(F.collect_set(F.struct("at", "n")).alias("cuts")), "cuts")
     packed = _keyed(docs, key, text).mapInArrow(_pack, "k long, tag long, z binary")
     done = packed.join(cuts, ["k", "tag"], "left").select("k", "tag", "z", "cuts").mapInArrow(_remove(keep_words), "k long, tag long, n_words long, n_removed long, kept string")
     return done.select(F.nullif(F.col("k"), F.lit(_LEAST)).alias(key), "n_words", "n_removed", "kept")
