@@ -15,39 +15,48 @@ from quaywise.llm import common, mixing, packing, quality, secrets, simhash
 STAGE_WEIGHTS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with columns named by place, so that no name clashes with an operator's, and its names of doc_id and text."""
+    names = [f"_p{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the rows whose texts pass policy v2. Rules are judged on the row's own text, so repeated ids do no harm."""
-    numbered = docs.withColumn("_p_row", F.struct(*docs.columns))
-    judged = quality.ledger(numbered, key="_p_row").filter(quality.passes(quality.POLICIES["v2"]))
-    return judged.select("_p_row.*")
+    plain, _, text = _plain(docs)
+    judged = quality.ledger(plain, plain.columns, text).filter(quality.passes(quality.POLICIES["v2"]))
+    return judged.select(plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of documents linked by SimHash: the least doc_id's (a null id's if it has no other).
+    """Keep one document of each group linked by SimHash: the least doc_id's (the null id's if there is no other).
 
-    Of rows that repeat a doc_id one stays if their texts are linked or equal.
+    Rows that repeat a doc_id are one document: they count as linked, and one of them stays.
     """
-    groups = simhash.near_duplicates(docs)
-    kept = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_p_id"), F.col("fp").alias("_p_fp")).distinct()
-    rows = docs.join(kept.select("_p_id").distinct(), docs["doc_id"].eqNullSafe(F.col("_p_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_p_own")
+    kept = simhash.near_duplicates(docs).filter("doc_id <=> component_id").select(own).distinct()
+    rows = docs.select("*", own).join(kept, "_p_own", "left_semi").dropDuplicates(["_p_own"])
+    return rows.select(docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret in the texts by a mask; n_chars follows the text."""
-    found = secrets.find_secrets(docs, secrets.fit_model(docs))
-    hit = F.col("_p_hit")
-    out = secrets.redact(found.withColumn("_p_hit", F.size("secrets") > 0))
-    return out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+    plain, _, text = _plain(docs)
+    found = secrets.find_secrets(plain, secrets.fit_model(plain, text), text)
+    out = secrets.redact(found.withColumn("_hit", F.size("secrets") > 0), text)
+    if "n_chars" in docs.columns:
+        n_chars = plain.columns[docs.columns.index("n_chars")]
+        out = out.withColumn(n_chars, F.when(F.col("_hit"), F.length(text).cast(plain.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return out.select(plain.columns).toDF(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Thin out low and toxic documents to their target share of tokens; good documents all stay (rates reach one)."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    labelled = docs.select("doc_id", "text").join(mixing.label_domain(labels), "doc_id")
-    rates = mixing.mix(docs, labelled, STAGE_WEIGHTS, ["doc_id"], most=1.0, whole="good")
-    kept = rates.filter("copies > 0").select(F.col("doc_id").alias("_p_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_p_id")), "left_semi")
+    plain, key, text = _plain(docs)
+    labelled = mixing.labelled_texts(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"), key, text)
+    others = [c for c in plain.columns if c != key]
+    rates = mixing.mix(plain, labelled, STAGE_WEIGHTS, [key, *others], most=1.0, whole="good", text=text)
+    return rates.filter("copies > 0").select(plain.columns).toDF(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

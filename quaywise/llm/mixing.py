@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import materialise, word_hashes
 
@@ -17,6 +18,8 @@ from .common import materialise, word_hashes
 BUCKETS, SHAPES = 1 << 14, 64
 #: A word bucket speaks only if its share in some domain lies so many standard errors off its share in all.
 Z = 4.0
+#: Labelled rows that train the classifier, at most: those whose ids have the least hashes.
+TRAIN_ROWS = 20_000
 #: Posteriors below this count as zero.
 LEAST = 0.02
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -48,7 +51,7 @@ def features(text: str | None) -> tuple[int, np.ndarray]:
 def fit_classifier(labelled: DataFrame, domains: list[str], text: str = "text", label: str = "domain") -> np.ndarray:
     """Weights (features + 1, domains) of a Bernoulli naive Bayes over features that tell domains apart; last row: priors.
 
-    All labelled rows count: tasks add up features and Spark sums them by (feature, domain), of which there are at most
+    All rows given count: tasks add up features and Spark sums them by (feature, domain), of which there are at most
     (BUCKETS + SHAPES) x domains. Rows whose label isn't in ``domains`` are left out. With no rows all weights are zero.
     """
 
@@ -82,6 +85,8 @@ def fit_classifier(labelled: DataFrame, domains: list[str], text: str = "text",
 def posteriors(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``n_tokens`` (words) and ``p``, the posterior of each domain; those below LEAST are zero."""
     names = [*keep, "n_tokens", "p"]
+    sent = keep if text in keep else [*keep, text]
+    at = sent.index(text)
 
     def one(body: str | None) -> tuple[int, list[float]]:
         n, found = features(body)
@@ -93,12 +98,12 @@ def posteriors(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            got = [one(x) for x in b.column(len(keep)).to_pylist()]
+            got = [one(x) for x in b.column(at).to_pylist()]
             n, p = zip(*got, strict=True) if got else ((), ())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names)
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text).mapInArrow(batches, f"{fields}, n_tokens long, p array<double>")
+    schema = StructType([docs.schema[c] for c in keep] + [StructField("n_tokens", LongType()), StructField("p", ArrayType(DoubleType()))])
+    return docs.select(sent).mapInArrow(batches, schema)
 
 
 def _rate(steps: list[list[float]], most: float) -> Column:
@@ -117,6 +122,7 @@ def _rate(steps: list[list[float]], most: float) -> Column:
 def fit_rates(rows: DataFrame, targets: list[float], most: float, iterations: int = 60, close: float = 1e-4) -> tuple[Column, list[float]]:
     """Rates of ``rows`` (n_tokens, p) whose expected tokens in each domain match ``targets``, in tokens.
 
+    Rows with equal posteriors share their rate throughout, so they may be given as one with the sum of their tokens.
     Minimises the squared gaps, each relative to its domain's supply, over rates 0 to ``most`` by projected gradient
     descent from rate one. A document's gradient is its posteriors times the domain gaps, so an iteration is one
     aggregation to as many sums as there are domains; the driver keeps the steps and each task replays them for its rows.
@@ -158,7 +164,8 @@ def mix(
     supply = [float(x or 0) for x in supply]
     share = [weights[d] / sum(weights.values()) for d in domains]
     budget = supply[domains.index(whole)] / share[domains.index(whole)] if whole else sum(supply)
-    rate, _ = fit_rates(rows, [s * budget for s in share], most)
+    alike = materialise(rows.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "posterior-groups")
+    rate, _ = fit_rates(alike, [s * budget for s in share], most)
     draw = F.pmod(F.xxhash64(F.lit("copies"), keep[0]), F.lit(1 << 30)) / float(1 << 30)
     out = rows.withColumn("rate", rate)
     return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
@@ -176,9 +183,14 @@ def label_domain(labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", domain.alias("domain"))
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = TRAIN_ROWS) -> DataFrame:
+    """Texts and domains of at most ``most`` labelled documents. The labels are few by that bound, so they are broadcast."""
+    some = label_domain(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return docs.select(F.col(key).alias("doc_id"), text).join(F.broadcast(some), "doc_id").select(text, "domain")
+
+
 def op2_soft_mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, words, posteriors, fitted rate and copies of all ``documents``; rates may reach 4."""
-    labelled = docs.select("doc_id", "text").join(label_domain(labels), "doc_id")
-    rows = mix(docs, labelled, WEIGHTS, ["doc_id"], most=4.0)
+    rows = mix(docs, labelled_texts(docs, labels), WEIGHTS, ["doc_id"], most=4.0)
     p = [F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(WEIGHTS)]
     return rows.select("doc_id", "n_tokens", *p, "rate", "copies")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: name -> SQL over the measurements that is true where a document fails. A rule's bit is its place here; append only.
 RULES: dict[str, str] = {
@@ -66,30 +67,32 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the measurements of every whole text, one row for each row of ``docs``."""
-    kind = docs.schema[key].dataType.simpleString()
+def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` and the measurements of every whole text, one row for each row of ``docs``. Names must differ from MEASURES."""
+    sent = keep if text in keep else [*keep, text]
+    at = sent.index(text)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [measure_text(x) for x in b.column(1).to_pylist()]
+            rows = [measure_text(x) for x in b.column(at).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [[]] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], [key, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in columns)], [*keep, *MEASURES])
 
-    return docs.select(key, text).mapInArrow(batches, f"`{key}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    schema = StructType([docs.schema[c] for c in keep] + [StructField(m, LongType()) for m in MEASURES])
+    return docs.select(sent).mapInArrow(batches, schema)
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Measurements and ``fail_bits``: bit i is set where rule i of RULES fails.
 
     A null or empty text has no words and fails ``few_words``; repeated rows each get a row; an empty table gives an
-    empty ledger; columns other than ``key`` and ``text`` are ignored, whatever their names.
+    empty ledger; columns other than ``keep`` and ``text`` are ignored, whatever their names.
     """
     bits = None
     for i, rule in enumerate(RULES.values()):
         bit = F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0))
         bits = bit if bits is None else bits.bitwiseOR(bit)
-    return measure(docs, key, text).withColumn("fail_bits", bits)
+    return measure(docs, keep, text).withColumn("fail_bits", bits)
 
 
 def passes(policy: Policy, bits: str = "fail_bits") -> Column:
@@ -116,7 +119,7 @@ def ablation(ledger_rows: DataFrame, policy: Policy) -> DataFrame:
 
 def op1_quality_ledger(docs: DataFrame, policy: Policy = POLICIES["v2"]) -> DataFrame:
     """The contract's columns: measurements, ``base_failed``, the policy's verdict ``kept``, and the bits."""
-    rows = ledger(docs)
+    rows = ledger(docs, ["doc_id"])
     failed = ~passes(BASE)
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
