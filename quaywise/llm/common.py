@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -38,10 +39,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path, schema = scratch(spark, name), df.schema
     df.write.parquet(path)
+    del df  # it refers to the shuffles that wrote it
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -50,8 +52,10 @@ def release(spark: SparkSession) -> None:
     Its cleaner waits for the driver's garbage collection, which a quiet driver puts off for half an hour; a chain of
     large stages would meanwhile hold the files of all of them.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees refers to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
