@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,14 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from .common import materialise, word_hashes
 
 #: Word features are hashed into so many buckets; shape features come after them.
-BUCKETS, SHAPES = 1 << 14, 64
-#: A word bucket speaks only if its share in some domain lies so many standard errors off its share in all.
-Z = 4.0
+BUCKETS, SHAPES = 1 << 20, 64
+#: A feature may speak only if its share in some domain lies so many standard errors off its share in all; the most telling
+#: ones do, at most so many.
+Z, MOST_FEATURES = 4.0, 4096
 #: Labelled rows that train the classifier, at most: those whose ids have the least hashes.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8000
+#: Steps of the classifier's training and its penalty on squared weights.
+STEPS, PENALTY = 200, 1e-4
 #: Posteriors below this count as zero.
 LEAST = 0.02
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -48,41 +52,79 @@ def features(text: str | None) -> tuple[int, np.ndarray]:
     return n, np.concatenate((np.unique(distinct % np.uint64(BUCKETS)).astype(np.int64), shape))
 
 
-def fit_classifier(labelled: DataFrame, domains: list[str], text: str = "text", label: str = "domain") -> np.ndarray:
-    """Weights (features + 1, domains) of a Bernoulli naive Bayes over features that tell domains apart; last row: priors.
+@dataclass(frozen=True)
+class Classifier:
+    """Multinomial logistic regression: weights (features, domains) of the ``features`` that speak, sorted, and a bias."""
 
-    All rows given count: tasks add up features and Spark sums them by (feature, domain), of which there are at most
-    (BUCKETS + SHAPES) x domains. Rows whose label isn't in ``domains`` are left out. With no rows all weights are zero.
+    features: np.ndarray
+    weights: np.ndarray
+    bias: np.ndarray
+
+    def scores(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.features):
+            return self.bias
+        at = np.minimum(np.searchsorted(self.features, found), len(self.features) - 1)
+        return self.weights[at[self.features[at] == found]].sum(0) + self.bias
+
+
+def fit_classifier(labelled: DataFrame, domains: list[str], text: str = "text", label: str = "domain") -> Classifier:
+    """Train on all rows given, of which there must be few enough (see labelled_texts) for the driver to hold MOST_FEATURES a row.
+
+    Spark counts features by domain and picks those that tell domains apart; the driver gets the rows' picked features
+    only and descends by gradient. Rows whose label isn't in ``domains`` are left out. With no rows all domains are alike.
     """
+    place = F.array_position(F.array(*map(F.lit, domains)), F.col(label)).cast("int") - 1
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS + SHAPES + 1, len(domains)), np.int64)
         for b in it:
-            for body, domain in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                k = domains.index(domain)
-                total[features(body)[1], k] += 1
-                total[-1, k] += 1
-        f, k = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(k), pa.array(total[f, k])], ["f", "k", "n"])
-
-    rows = labelled.filter(F.col(label).isin(domains)).select(text, label)
-    sums = rows.mapInArrow(batches, "f long, k long, n long").groupBy("f", "k").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros((BUCKETS + SHAPES + 1, len(domains)))
-    for f, k, c in sums:
-        n[f, k] = c
-    size = n[-1]
+            found = [features(x)[1].tolist() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["k", "f"])
+
+    rows = labelled.filter(F.col(label).isin(domains)).select(place.alias("k"), text).mapInArrow(batches, "k int, f array<long>")
+    rows = materialise(rows, "labelled-features")
+    sizes = dict(rows.groupBy("k").count().collect())
+    size = np.array([sizes.get(k, 0) for k in range(len(domains))], float)
+    none = Classifier(np.zeros(0, np.int64), np.zeros((0, len(domains))), np.zeros(len(domains)))
     if not size.sum():
-        return np.zeros_like(n)
-    share_all = (n.sum(1, keepdims=True) + 0.5) / (size.sum() + 1)
-    share = (n + 2 * share_all) / (size + 2)
-    error = np.sqrt(np.maximum(share_all * (1 - share_all), 1e-12) / np.maximum(size, 1))
-    speaks = (np.abs(share - share_all) > Z * error).any(1) & (n.sum(1) >= 5)
-    weights = np.where(speaks[:, None], np.log(share / share_all), 0.0)
-    weights[-1] = np.log((size + 1) / (size.sum() + len(domains)))
-    return weights
-
-
-def posteriors(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
+        return none
+    each = rows.select("k", F.explode("f").alias("f")).groupBy("f", "k").agg(F.count(F.lit(1)).alias("n"))
+    sums = each.groupBy("f").agg(F.sum("n").alias("all"), *[F.coalesce(F.max(F.when(F.col("k") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(len(domains))])
+    share_all = (F.col("all") + 0.5) / (float(size.sum()) + 1)
+    off = [F.abs((F.col(f"n{i}") + 2 * share_all) / (float(n) + 2) - share_all) / F.sqrt(F.greatest(share_all * (1 - share_all), F.lit(1e-12)) / max(float(n), 1.0)) for i, n in enumerate(size)]
+    telling = sums.filter("all >= 5").select("f", F.greatest(*off).alias("z")).filter(F.col("z") > Z).orderBy(F.col("z").desc(), "f").limit(MOST_FEATURES)
+    chosen = np.sort(np.array([r[0] for r in telling.collect()], np.int64))
+    if not len(chosen):
+        return Classifier(none.features, none.weights, np.log((size + 1) / (size.sum() + len(domains))))
+
+    def picked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [np.flatnonzero(np.isin(chosen, x)).tolist() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["k", "f"])
+
+    few = rows.mapInArrow(picked, "k int, f array<int>").collect()
+    return Classifier(chosen, *_descend(np.array([r.k for r in few]), [r.f for r in few], len(chosen), len(domains)))
+
+
+def _descend(labels: np.ndarray, found: list[list[int]], n_features: int, n_domains: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias by full-batch gradient steps, each coordinate's step shrinking with the gradients it has seen."""
+    row, at = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.array([x for f in found for x in f], np.int64)
+    truth = np.eye(n_domains)[labels]
+    weights, bias = np.zeros((n_features, n_domains)), np.log((truth.sum(0) + 1) / (len(found) + n_domains))
+    seen_w, seen_b = np.full_like(weights, 1e-8), np.full_like(bias, 1e-8)
+    for _ in range(STEPS):
+        s = np.stack([np.bincount(row, weights[at, k], len(found)) for k in range(n_domains)], 1) + bias
+        p = np.exp(s - s.max(1, keepdims=True))
+        error = p / p.sum(1, keepdims=True) - truth
+        g = np.stack([np.bincount(at, error[row, k], n_features) for k in range(n_domains)], 1) / len(found) + PENALTY * weights
+        h = error.mean(0)
+        seen_w += g * g
+        seen_b += h * h
+        weights -= 0.3 * g / np.sqrt(seen_w)
+        bias -= 0.1 * h / np.sqrt(seen_b)
+    return weights, bias
+
+
+def posteriors(docs: DataFrame, model: Classifier, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``n_tokens`` (words) and ``p``, the posterior of each domain; those below LEAST are zero."""
     names = [*keep, "n_tokens", "p"]
     sent = keep if text in keep else [*keep, text]
@@ -90,7 +132,7 @@ def posteriors(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str
 
     def one(body: str | None) -> tuple[int, list[float]]:
         n, found = features(body)
-        s = weights[found].sum(0) + weights[-1]
+        s = model.scores(found)
         p = np.exp(s - s.max())
         p /= p.sum()
         p[p < LEAST] = 0
@@ -106,24 +148,28 @@ def posteriors(docs: DataFrame, weights: np.ndarray, keep: list[str], text: str
     return docs.select(sent).mapInArrow(batches, schema)
 
 
-def _rate(steps: list[list[float]], most: float) -> Column:
-    """A document's rate after the given gradient steps: each is projected onto 0 to ``most`` before the next."""
+def _rate(steps: list[list[float]], most: float, whole: int | None) -> Column:
+    """A document's rate after the given gradient steps: each is projected onto its bounds before the next.
+
+    The bounds are 0 and ``most``, and 1 and ``most`` for documents whose likeliest domain is ``whole``.
+    """
     if not steps:
         return F.lit(1.0)
     v = F.array(*[F.array(*map(F.lit, s)) for s in steps])
+    floor = F.lit(0.0) if whole is None else F.when(F.element_at("p", whole + 1) >= F.array_max("p"), 1.0).otherwise(0.0)
 
     def step(r, s):
         move = sum((F.element_at("p", k + 1) * F.element_at(s, k + 1) for k in range(len(steps[0]))), F.lit(0.0))
-        return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - move))
+        return F.least(F.lit(float(most)), F.greatest(floor, r - move))
 
     return F.aggregate(v, F.lit(1.0), step)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], most: float, iterations: int = 60, close: float = 1e-4) -> tuple[Column, list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | None = None, iterations: int = 60, close: float = 1e-4) -> tuple[Column, list[float]]:
     """Rates of ``rows`` (n_tokens, p) whose expected tokens in each domain match ``targets``, in tokens.
 
     Rows with equal posteriors share their rate throughout, so they may be given as one with the sum of their tokens.
-    Minimises the squared gaps, each relative to its domain's supply, over rates 0 to ``most`` by projected gradient
+    Minimises the squared gaps, each relative to its domain's supply, over rates within their bounds by projected gradient
     descent from rate one. A document's gradient is its posteriors times the domain gaps, so an iteration is one
     aggregation to as many sums as there are domains; the driver keeps the steps and each task replays them for its rows.
     Returns the rate as a column and the totals reached. It stops when no gap moves by more than ``close`` of its supply.
@@ -139,10 +185,10 @@ def fit_rates(rows: DataFrame, targets: list[float], most: float, iterations: in
     now = supply
     for _ in range(iterations):
         steps.append([(a - b) / s if s else 0.0 for a, b, s in zip(now, targets, supply, strict=True)])
-        last, now = now, totals(_rate(steps, most))
+        last, now = now, totals(_rate(steps, most, whole))
         if all(abs(a - b) <= close * s for a, b, s in zip(now, last, supply, strict=True)):
             break
-    return _rate(steps, most), now
+    return _rate(steps, most, whole), now
 
 
 def mix(
@@ -152,7 +198,7 @@ def mix(
     """``keep``, n_tokens, p, rate and copies for every row of ``docs``.
 
     ``weights`` are the domains' target shares of tokens. The budget is the corpus's tokens, or, if ``whole`` names a
-    domain, as much as uses that domain's whole supply. ``copies`` rounds the rate down or up by a hash of the first key,
+    domain, as much as uses that domain's whole supply, and documents likeliest of that domain get a rate of one at least. ``copies`` rounds the rate down or up by a hash of the first key,
     so its expectation is the rate.
 
     Null and empty texts have no tokens, so their rate moves with their posteriors alone; with no labelled rows every
@@ -165,7 +211,7 @@ def mix(
     share = [weights[d] / sum(weights.values()) for d in domains]
     budget = supply[domains.index(whole)] / share[domains.index(whole)] if whole else sum(supply)
     alike = materialise(rows.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "posterior-groups")
-    rate, _ = fit_rates(alike, [s * budget for s in share], most)
+    rate, _ = fit_rates(alike, [s * budget for s in share], most, domains.index(whole) if whole else None)
     draw = F.pmod(F.xxhash64(F.lit("copies"), keep[0]), F.lit(1 << 30)) / float(1 << 30)
     out = rows.withColumn("rate", rate)
     return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))

@@ -66,8 +66,8 @@ def fit_model(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS,
     one aggregation, and the driver gets at most two rows a transition.
     """
     tokens = _training(docs.sparkSession, docs, text, train_docs, train_random).filter(F.length("token") > 1)
-    pair = F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair")
-    counts = tokens.select("random", pair).groupBy("random", "pair").count().collect()
+    pairs = F.expr("zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (a, b) -> concat(a, b))")
+    counts = tokens.select("random", F.split("token", "").alias("c")).select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count().collect()
     n = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
     seen = {kind: [[0.5] * n for _ in range(n)] for kind in (True, False)}
@@ -118,7 +118,7 @@ def find_secrets(docs: DataFrame, model: list[float], text: str = "text") -> Dat
         return ~F.exists("_q_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
 
     def random(x):
-        total = F.aggregate(F.sequence(F.lit(1), F.length(x["token"]) - 1), F.lit(0.0), _step(x["token"], model))
+        total = _score(x["token"], model)
         return (total > LEAST_TOTAL) & (total > LEAST_MEAN * (F.length(x["token"]) - 1))
 
     added = F.filter("_q_markov", lambda x: clear(x) & random(x))
@@ -127,12 +127,17 @@ def find_secrets(docs: DataFrame, model: list[float], text: str = "text") -> Dat
     return out.withColumn("secrets", bare).drop("_q_text", "_q_base", "_q_markov", *[f"_q_{k}" for k in BASE])
 
 
-def _step(token: Column, model: list[float]):
+def _score(token: Column, model: list[float]) -> Column:
+    """Log-likelihood ratio of a token of ALPHABET's characters, one pass over them."""
     weights = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    alphabet, n = F.lit(ALPHABET), len(ALPHABET)
-    return lambda total, i: total + F.element_at(
-        weights, (F.instr(alphabet, F.substr(token, i, F.lit(1))) - 1) * n + F.instr(alphabet, F.substr(token, i + 1, F.lit(1)))
-    )
+    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("total"))
+
+    def step(a: Column, p: Column) -> Column:
+        more = F.when((a["last"] > 0) & (p > 0), F.element_at(weights, (a["last"] - 1) * len(ALPHABET) + p)).otherwise(0.0)
+        return F.struct(p.alias("last"), (a["total"] + more).alias("total"))
+
+    return F.aggregate(places, start, step, lambda a: a["total"])
 
 
 def redact(found: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
