@@ -77,17 +77,6 @@ def exact_median(values: Column) -> Column:
     return F.when(n > 0, half_even((low + high).cast("decimal(38,4)") / F.lit(2)))
 
 
-def median_without_self(values: Column, own: Column) -> Column:
-    """Exact median of a sorted array of cents after one occurrence of ``own`` is left out."""
-    n = F.size(values) - 1
-    skip = F.array_position(values, own)
-
-    def at(k: Column) -> Column:
-        return F.try_element_at(values, (k + F.when(k >= skip, 1).otherwise(0)).cast("int"))
-
-    return F.when(n > 0, half_even((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2 + 1))).cast("decimal(38,4)") / F.lit(2)))
-
-
 def split_exactly(rows: DataFrame, by: list[str], total: str, weight: str, order: list[str], out: str = "part") -> DataFrame:
     """Split each group's ``total`` (cents, long) in proportion to its rows' ``weight`` (long), to the last cent.
 

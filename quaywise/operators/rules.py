@@ -83,20 +83,27 @@ def changed_copies(entries: DataFrame) -> DataFrame:
 def outliers(docs: DataFrame, high: str = "2.5", low: str = "0.4", least: int = 3) -> DataFrame:
     """Freight invoices whose cost per container is far from the median of the vendor's other ones.
 
-    Amounts of a vendor are gathered in one array, so a vendor's history must fit a row (documents a vendor, not lines).
+    Leaving a value out of a sorted history shifts those behind it by one, so the medians of all invoices of a vendor need
+    only three values around its middle: two windows over one sort, and no array of the history.
     """
     d10 = "decimal(38,10)"
     rows = docs.filter("doc_type = 'freight_invoice' and total is not null").withColumn("_vendor", keys.vendor_key("vendor_name"))
-    n = F.greatest(F.lit(1), F.coalesce(F.col("boxes"), F.lit(1)))
-    rows = rows.withColumn("per_box", (F.col("total").cast("decimal(18,2)") / n.cast("decimal(10,0)")).cast(d10))
+    boxes = F.greatest(F.lit(1), F.coalesce(F.col("boxes"), F.lit(1)))
+    rows = rows.withColumns({"per_box": (F.col("total").cast("decimal(18,2)") / boxes.cast("decimal(10,0)")).cast(d10), "_counts": F.col("total") != 0})
     w = Window.partitionBy("org_id", "_vendor")
-    rows = rows.withColumn("_all", F.array_sort(F.collect_list(F.when(F.col("total") != 0, F.col("per_box"))).over(w)))
-    alone = F.when(F.col("total") != 0, F.size("_all") - 1).otherwise(F.size("_all"))
-    # a zero total isn't in the list, so nothing is left out for it
-    mid = F.when(F.col("total") != 0, money.median_without_self(F.col("_all"), F.col("per_box"))).otherwise(money.exact_median(F.col("_all")))
-    rows = rows.withColumns({"_n": alone, "typical": mid}).filter(F.col("_n") >= least)
+    rows = rows.withColumns({"_rank": F.row_number().over(w.orderBy(F.col("_counts").desc(), "per_box", "doc_id")), "_n": F.count_if("_counts").over(w)})
+    half = F.floor(F.col("_n") / 2)
+    rows = rows.withColumns({f"_m{i}": F.max(F.when(F.col("_counts") & (F.col("_rank") == half + i), F.col("per_box"))).over(w) for i in range(3)})
+
+    def kept(place: Column) -> Column:  # the value at a place of the history without the row itself
+        at = place + F.when(F.col("_counts") & (F.col("_rank") <= place), 1).otherwise(0) - half
+        return F.when(at == 0, F.col("_m0")).when(at == 1, F.col("_m1")).otherwise(F.col("_m2"))
+
+    n = F.col("_n") - F.when(F.col("_counts"), 1).otherwise(0)
+    typical = money.half_even((kept(F.floor((n + 1) / 2)) + kept(F.floor(n / 2) + 1)).cast("decimal(38,10)") / F.lit(2))
+    rows = rows.filter(n >= least).withColumn("typical", typical)
     far = (F.col("per_box") > F.col("typical") * F.lit(high).cast("decimal(4,2)")) | (F.col("per_box") < F.col("typical") * F.lit(low).cast("decimal(4,2)"))
-    over = money.half_even((F.col("per_box") - F.col("typical")) * n)
+    over = money.half_even((F.col("per_box") - F.col("typical")) * boxes)
     return issue(rows.filter(far), "amount_outlier", WARNING, F.lit(""), F.when(F.col("per_box") > F.col("typical"), over))
 
 

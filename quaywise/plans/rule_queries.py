@@ -164,7 +164,7 @@ def _approval_rules(t: Tables):
 
 
 def _extras(t: Tables):
-    rows = t.lines.withColumn("code", charges.classify("description")).filter(charges.is_accessorial("code"))
+    rows = charges.with_codes(t.lines).filter(charges.is_accessorial("code"))
     return rows.withColumn("key", F.xxhash64("doc_id", "position", "part_id", "supplier_id", "amount"))
 
 
@@ -203,7 +203,7 @@ def over_quote(t: Tables):
     inv = t.invoices.filter("doc_type = 'freight_invoice' and doc_id < 1000000000").select("doc_id", "currency", "boxes", (F.col("doc_id") % 2 == 0).alias("all_in"), adapter.fx_rate(F.col("currency")).alias("rate"))
     quoted = t.spark.sql("SELECT code, CAST(allowed AS DECIMAL(18,2)) AS allowed, per_box FROM (VALUES ('ocean_freight', 24000.00, true), ('thc_destination', 3500.00, true), ('documentation', 75.00, false)) AS v(code, allowed, per_box)")
     per_doc = inv.crossJoin(F.broadcast(quoted)).select("doc_id", "code", "allowed", "per_box", F.lit("1").cast("decimal(18,8)").alias("quote_rate"), (F.col("currency") == "USD").alias("same_currency"))
-    lines = t.lines.select("doc_id", charges.classify("description").alias("code"), "amount").join(inv, "doc_id")
+    lines = charges.with_codes(t.lines.select("doc_id", "description", "amount")).join(inv, "doc_id")
     return rates.over_quote(lines, per_doc)
 
 
