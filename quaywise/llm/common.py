@@ -89,11 +89,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of UTF-8 text."""
+    edge = np.diff(np.concatenate(([0], (~_SPACE[np.frombuffer(data, np.uint8)]).view(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words of UTF-8 text, by one pass of prefix sums over its bytes."""
     b = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate(([0], (~_SPACE[b]).view(np.int8), [0])))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    starts, ends = word_bounds(data)
     with np.errstate(over="ignore"):
         total = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_BYTE[b] * _powers(_BASE, max(len(b), 1))[: len(b)], out=total[1:])

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+_ONE = np.uint64(1)
+
 
 class WaveletTree:
     """Occurrences of a symbol before a position. A symbol of frequency f among n has a code of ceil(log2(n / f)) bits."""
@@ -50,21 +52,32 @@ class WaveletTree:
                 out[self.start[level + 1, own] + nth] = own
                 seq = out
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """For each query the number of ``symbol`` among the first ``at`` symbols; symbols must occur."""
-        out, active = at.copy(), np.arange(len(at))
+    def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the number of ``symbol`` among the first ``lo`` and the first ``hi`` symbols; symbols must occur.
+
+        Queries are put in order of code length, so those that go on at a level are always the first ones.
+        """
+        length = self.length[symbol]
+        order = np.argsort(-length, kind="stable")
+        c, i, j = symbol[order], lo[order], hi[order]
+        going = np.searchsorted(-length[order], -np.arange(1, self.levels + 1), "right")
+        code = self.code[c]
         for level in range(self.levels):
-            active = active[self.length[symbol[active]] > level]
-            if not len(active):
+            m = going[level]
+            if not m:
                 break
-            c, i = symbol[active], out[active]
-            p = self.start[level, c] + i
-            w = p >> 6
-            low = self.words[level][w] & ((np.uint64(1) << (p & 63).astype(np.uint64)) - np.uint64(1))
-            ones = self.ones[level][w] + np.bitwise_count(low) - self.before[level, c]
-            bit = (self.code[c] >> (self.levels - 1 - level)) & 1
-            out[active] = np.where(bit == 1, ones, i - ones)
-        return out
+            start, before = self.start[level][c[:m]], self.before[level][c[:m]]
+            bit = ((code[:m] >> (self.levels - 1 - level)) & 1).astype(bool)
+            words, total = self.words[level], self.ones[level]
+            for x in (i, j):
+                p = start + x[:m]
+                w = p >> 6
+                low = words[w] & ((_ONE << (p & 63).astype(np.uint64)) - _ONE)
+                ones = total[w] + np.bitwise_count(low) - before
+                x[:m] = np.where(bit, ones, x[:m] - ones)
+        a, b = np.empty_like(i), np.empty_like(j)
+        a[order], b[order] = i, j
+        return a, b
 
 
 class FMIndex:
@@ -88,7 +101,7 @@ class FMIndex:
             ranks[h * 2][order] = fresh
             h *= 2
         key = pairs(ranks[h], depth - h) if depth > h else ranks[h]
-        self.rows = np.argsort(key, kind="stable")  # positions in order of their first ``depth`` symbols
+        self.rows = np.argsort(key)  # positions in order of their first ``depth`` symbols
         self.lcp = np.zeros(n, np.int64)
         a, b = self.rows[:-1], self.rows[1:]
         for step in sorted(ranks, reverse=True):
@@ -116,8 +129,8 @@ class FMIndex:
         out_lo, out_hi = np.zeros_like(lo), np.zeros_like(hi)
         known = np.flatnonzero(symbol >= 0)
         s = symbol[known]
-        both = self.tree.rank(np.concatenate((s, s)), np.concatenate((lo[known], hi[known])))
-        out_lo[known], out_hi[known] = self.less[s] + both[: len(s)], self.less[s] + both[len(s) :]
+        a, b = self.tree.ranks(s, lo[known], hi[known])
+        out_lo[known], out_hi[known] = self.less[s] + a, self.less[s] + b
         return out_lo, out_hi
 
     def matching_statistics(self, queries: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

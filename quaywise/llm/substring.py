@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, _powers, materialise, mix, word_hashes
+from .common import _BASE, _INVERSE, _powers, materialise, mix, word_bounds, word_hashes
 from .fmindex import FMIndex
 
 #: Words of a window, and of the grams that name its shard.
@@ -103,14 +103,14 @@ def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         for k, packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             data = z.decompress(packed)
-            starts, ends, h = word_hashes(data)
+            starts, ends = word_bounds(data)
             hashes, rows = None, []
             for x in wanted:
                 a, r, at, n = x["a"], x["r"], x["at"], x["n"]
                 if not x["split"]:
                     rows.append((a, a, r, 0, n, k, at, data[starts[at] : ends[at + n + WINDOW - 2]]))
                     continue
-                hashes = hashes or _Hashes(h)
+                hashes = hashes or _Hashes(word_hashes(data)[2])
                 own = hashes.stretch(np.arange(at, at + n), np.full(n, WINDOW)).view(np.int64).tolist()
                 rows += [(own[w], a, r, w, 1, k, at + w, data[starts[at + w] : ends[at + w + WINDOW - 1]]) for w in range(n)]
             columns = list(zip(*rows, strict=True))
@@ -125,15 +125,17 @@ class _Shard:
     def __init__(self):
         self.contents: dict[bytes, int] = {}  # distinct words of runs, in order of coming
         self.first: list[tuple[int, int]] = []  # their places: document, first word
+        self.sizes: list[int] = []  # their words
         self.rows: list[tuple] = []
         self.words = 0
 
-    def add(self, words: bytes, k: int, at: int) -> int:
+    def add(self, words: bytes, n: int, k: int, at: int) -> int:
         """Place of ``words`` among the contents. Rows of a route come by document and place, so the first is the earliest."""
         i = self.contents.setdefault(words, len(self.contents))
         if i == len(self.first):
             self.first.append((k, at))
-            self.words += len(words.split()) + 1
+            self.sizes.append(n + WINDOW - 1)
+            self.words += n + WINDOW
         return i
 
     def answers(self) -> pa.RecordBatch | None:
@@ -141,7 +143,7 @@ class _Shard:
         if not self.rows:
             return None
         data = b" ".join(self.contents)
-        sizes = np.array([len(x.split()) for x in self.contents])
+        sizes = np.array(self.sizes)
         h = word_hashes(data)[2]
         ids = np.unique(h, return_inverse=True)[1] + 1
         piece = np.repeat(np.arange(len(sizes)), sizes)
@@ -185,8 +187,8 @@ def _answers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     shard, route, carried = _Shard(), None, {}
     for b in it:
-        columns = (b.column(c).to_pylist() for c in ("route", "a", "r", "w", "k", "at", "words"))
-        for own, a, r, w, k, at, words in zip(*columns, strict=True):
+        columns = (b.column(c).to_pylist() for c in ("route", "a", "r", "w", "n", "k", "at", "words"))
+        for own, a, r, w, n, k, at, words in zip(*columns, strict=True):
             words = b" ".join(words.split())
             full = shard.words >= SHARD_WORDS or len(shard.rows) >= SHARD_WORDS
             if own != route:
@@ -197,8 +199,8 @@ def _answers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shard = _Shard()
                 for x, place in carried.items():
                     shard.add(x, *place)
-            carried.setdefault(words, (k, at))
-            shard.rows.append((shard.add(words, k, at), a, r, w))
+            carried.setdefault(words, (n, k, at))
+            shard.rows.append((shard.add(words, n, k, at), a, r, w))
     if (out := shard.answers()) is not None:
         yield out
 
@@ -237,9 +239,10 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     keyed = _keyed(docs, key, text)
     runs = materialise(keyed.mapInArrow(_run_rows, "k long, tag long, a long, r long, at int, n short"), "runs")
-    often = runs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a")
+    # tables are written before they are joined where a grouping would else keep Spark from splitting a skewed side
+    often = materialise(runs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"), "often")
     hits = materialise(runs.join(often, "a", "left_semi"), "hits")
-    kinds = hits.groupBy("a", "r").agg(F.min(F.struct("k", "at", "tag", "n")).alias("f"))
+    kinds = materialise(hits.groupBy("a", "r").agg(F.min(F.struct("k", "at", "tag", "n")).alias("f")), "kinds")
     crowded = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SPLIT).select("a", F.lit(True).alias("split"))
     kinds = kinds.join(crowded, "a", "left")
     wanted = kinds.groupBy("f.k", "f.tag").agg(
