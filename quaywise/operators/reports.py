@@ -101,3 +101,25 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     """One page of an ordered list; pages below one are the first, sizes other than 25, 50 and 100 are 25."""
     size = size if size in (25, 50, 100) else 25
     return rows.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+
+
+def roi(rows: DataFrame) -> DataFrame:
+    """Yearly saving of a year's invoices. ``rows``: invoices, minutes_today, minutes_with, hourly_cost, error_share (percent),
+    avg_overcharge, price (a month), all decimal. Adds hours_month, labor, overcharges, cost, net (whole units) and payback in months (null if never)."""
+    d = "decimal(38,10)"
+    hours = (F.col("invoices") * (F.col("minutes_today") - F.col("minutes_with"))).cast(d) / F.lit(60)
+    labor = (F.col("invoices") * (F.col("minutes_today") - F.col("minutes_with")) * F.col("hourly_cost")).cast(d) / F.lit(5)
+    over = (F.col("invoices") * 12 * F.col("error_share") * F.col("avg_overcharge")).cast(d) / F.lit(100)
+    cost = (F.col("price") * 12).cast(d)
+    gain = (labor + over).cast(d)
+    return rows.withColumns({
+        "hours_month": F.round(hours, 1).cast("decimal(18,1)"), "labor": F.round(labor).cast("decimal(18,0)"), "overcharges": F.round(over).cast("decimal(18,0)"), "cost": F.round(cost).cast("decimal(18,0)"),
+        "net": F.round(gain - cost).cast("decimal(18,0)"), "payback": F.when(gain > 0, F.round(cost * 12 / gain, 1)).cast("decimal(18,1)"),
+    })
+
+
+def usage(docs: DataFrame, at: str, zone: str, allowance: int, percent: int = 110) -> DataFrame:
+    """Documents of each organisation and local month, the hard limit of its allowance, and whether it is reached."""
+    month = F.trunc(dates.local_day(at, F.lit(zone)), "month")
+    limit = max(allowance, -(-allowance * percent // 100))
+    return docs.groupBy("org_id", month.alias("month")).agg(F.count(F.lit(1)).alias("n")).withColumns({"hard_limit": F.lit(limit), "reached": F.col("n") >= limit})
