@@ -25,8 +25,9 @@ def shard_by_bytes(rows: DataFrame, size: str, order: list[str], shards: int = 8
     empty result. ``rows`` should be narrow (keys and sizes, no texts): it is written once to shared storage. Columns
     beginning with ``_s_`` are reserved; any other extra columns are kept.
     """
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    dealt = materialise(rows.repartitionByRange(*keys).withColumn("_s_part", F.spark_partition_id()), "ranges")
+    # rows that agree in all keys are told apart by their place in the input, so that many of them spread over ranges
+    keys = [*(F.col(c).asc_nulls_first() for c in order), F.col("_s_tie")]
+    dealt = materialise(rows.withColumn("_s_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).withColumn("_s_part", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("_s_part").agg(F.sum(size).alias("_s_bytes"), F.count(F.lit(1)).alias("_s_rows"))
     before = Window.orderBy("_s_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_s_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
