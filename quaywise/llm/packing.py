@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,36 +23,92 @@ CACHE_WORDS = 400_000
 END_ID = 2
 
 
+#: The normalizer and splitter of vocabularies with word ends, whose pieces can be cut here.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of printable ASCII and Latin-1 letters, which NFC leaves alone, and the same pieces within them once in lower case.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordEncoder:
-    """Ids of whole texts, remembered word by word.
+    """Ids of whole texts, remembered by word and by piece of a word.
 
     The tokenizer drops white space and its pre-tokens never cross it, so the ids of a text are those of its words in
-    turn (split at ASCII white space; any other white space is left to the tokenizer). The constructor refuses
-    tokenizers whose settings could join over white space.
+    turn (split at ASCII white space; any other white space is left to the tokenizer). Plain words are cut into
+    pre-tokens here and only pieces not met before go to the model; other words go through the whole tokenizer. The
+    constructor refuses tokenizers whose settings could join over white space.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
-        kinds = {n["type"] for n in spec["normalizer"].get("normalizers", [])}
-        if kinds - {"NFC", "Replace", "Lowercase"} or any(" " in t["content"] for t in spec["added_tokens"]):
+        kinds = [n["type"] for n in spec["normalizer"].get("normalizers", [])]
+        if set(kinds) - set(_NORMALIZERS) or any(" " in t["content"] for t in spec["added_tokens"]):
             raise ValueError("this tokenizer's words depend on their neighbours")
+        steps = spec["pre_tokenizer"].get("pretokenizers", [])
+        self.plain = (
+            kinds == _NORMALIZERS and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": _SPLIT} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        )
+        #: Added tokens are found in the text before anything else.
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        if (ids := self.pieces.get(piece)) is None:
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            form = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        return ids
+
+    def learn(self, missing: set[bytes]) -> None:
+        odd = []
+        for w in missing:
+            s = w.decode()
+            if self.plain and _PLAIN.fullmatch(s) and not ("<" in s and any(t in s for t in self.special)):
+                self.known[w] = b"".join([self.piece(p) for p in _PIECES.findall(s.lower())])
+            else:
+                odd.append(w)
+        if odd:
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(odd, got, strict=True))
 
     def encode(self, text: str) -> np.ndarray:
         words = text.encode().split()
-        if missing := list({w for w in words if w not in self.known}):
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known.clear()
-                missing = list(set(words))
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(missing, got, strict=True))
         known = self.known
+        try:
+            return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        except KeyError:
+            missing = {w for w in words if w not in known}
+        if len(known) + len(missing) > CACHE_WORDS:
+            known.clear()
+            missing = set(words)
+        self.learn(missing)
         return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder of a vocabulary; a worker that runs several tasks keeps what it has learned."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class Packer:
     """Cuts one task's documents into full windows of the tiers; see pack_documents."""
 
@@ -169,7 +227,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
 
         for b in it:
             if packer is None:
-                encoder, key_type = WordEncoder(tokenizer), b.schema.field(0).type
+                encoder, key_type = encoder_of(tokenizer), b.schema.field(0).type
                 packer = Packer(int(b.column(2)[0].as_py()) << 33 if b.num_rows else 0)
             found: list[tuple] = []
             for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

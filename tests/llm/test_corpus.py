@@ -256,6 +256,14 @@ def test_packing_holds_every_token_once(spark, docs, rows, empty):
     assert max(steps.values()) <= 16 * 4096 + 4096
 
 
+def test_pieces_of_words_equal_the_tokenizer(small):
+    own = packing.WordEncoder(packing.default_tokenizer())
+    assert own.plain
+    odd = ["<|endoftext|>", "don't I'LL 're", "a<|startoftext|>b", "ﬁ Éa x\u00a0y", "日本語 a\u0301b İst ½ ٣4", "n\x1cm ÿ×÷ ſ A&B's", "a\u2003b", "", " \n"]
+    for text in odd + [r.text for r in small.select("text").limit(60).collect()]:
+        assert own.encode(text or "").tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 # --- language --------------------------------------------------------------------------------------------------------
 
 
@@ -380,6 +388,13 @@ def test_shards_are_contiguous_and_even(docs, rows, small, empty):
     assert sharding.op9_byte_shards(empty).count() == 0
 
 
+def test_rows_alike_in_all_keys_spread_over_shards(spark):
+    out = sharding.op9_byte_shards(spark.range(800).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text")))
+    assert [r["count"] for r in out.groupBy("shard").count().collect()] == [100] * 8
+    parts = out.select("shard", "slot").distinct().count()
+    assert parts == 800
+
+
 # --- simhash ---------------------------------------------------------------------------------------------------------
 
 
