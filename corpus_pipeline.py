@@ -29,14 +29,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by SimHash: the least doc_id's (the null id's if there is no other).
+    """Keep one row of each group of linked texts: the one of least doc_id (null last), then of least place in the input.
 
-    Rows that repeat a doc_id are one document: they count as linked, and one of them stays.
+    Rows are told apart by a number written with them, so rows without an id, or of one id, stay unless their texts link.
     """
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_p_own")
-    kept = simhash.near_duplicates(docs).filter("doc_id <=> component_id").select(own).distinct()
-    rows = docs.select("*", own).join(kept, "_p_own", "left_semi").dropDuplicates(["_p_own"])
-    return rows.select(docs.columns)
+    plain, key, text = _plain(docs)
+    rows = common.materialise(plain.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = simhash.near_duplicates(rows, "_row", text).join(rows.select("_row", key), "_row")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), key, "_row")).alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(plain.columns).toDF(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

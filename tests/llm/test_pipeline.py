@@ -51,3 +51,11 @@ def test_stages_take_odd_tables(spark):
 
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_dedup_keeps_unlinked_rows_of_null_and_repeated_ids(spark):
+    bodies = [" ".join(f"{name}{i}" for i in range(60)) for name in ("ash", "beech", "cedar", "elm")]
+    rows = [(None, bodies[0]), (None, bodies[1]), (None, bodies[0]), (5, bodies[2]), (5, bodies[3]), (3, bodies[3]), (5, bodies[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(None, bodies[0]), (None, bodies[1]), (5, bodies[2]), (3, bodies[3])], key=str)
