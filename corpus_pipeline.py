@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaywise.llm import common, mixing, packing, quality, secrets, simhash
+from quaywise.llm import common, mixing, neardup, packing, quality, secrets
 
 #: The mixing stage's target shares: the good documents' whole supply, and what the others may add to it.
 STAGE_WEIGHTS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
@@ -31,11 +31,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of linked texts: the one of least doc_id (null last), then of least place in the input.
 
+    Texts link at a Jaccard similarity of 0.8 or more of their five-word shingles; op10's four bits would miss most of those.
     Rows are told apart by a number written with them, so rows without an id, or of one id, stay unless their texts link.
     """
     plain, key, text = _plain(docs)
     rows = common.materialise(plain.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    groups = simhash.near_duplicates(rows, "_row", text).join(rows.select("_row", key), "_row")
+    groups = neardup.near_duplicates(rows, "_row", text).join(rows.select("_row", key), "_row")
     kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), key, "_row")).alias("first")).select("first._row")
     return rows.join(kept, "_row", "left_semi").select(plain.columns).toDF(*docs.columns)
 

@@ -1,9 +1,12 @@
 """The corpus pipeline on the smallest tables, stage by stage, and on odd rows."""
 
+import random
+
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from quaywise.llm import queries, quality, simhash
+from quaywise.llm import neardup, queries, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +62,41 @@ def test_dedup_keeps_unlinked_rows_of_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(None, bodies[0]), (None, bodies[1]), (5, bodies[2]), (3, bodies[3])], key=str)
+
+
+def test_dedup_finds_the_pairs_of_brute_force(spark):
+    rng = random.Random(7)
+    texts = ["", None, " \n", "one two", "One  TWO"]
+    for _ in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 150, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            other = list(base)
+            for at in rng.sample(range(len(base)), max(1, int(len(base) * rng.choice([0.005, 0.01, 0.02, 0.03])))):
+                other[at] = "new" + str(rng.randrange(5000))
+            texts.append(" ".join(other))
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    least = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        a, b = sorted((least[i], least[j]))
+        least = [a if x == b else x for x in least]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, neardup.near_duplicates(rows, "doc_id", "text").collect()))
+    assert got == dict(enumerate(least))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, SF).collect()}
+    assert kept == set(least)
+    far = [(i, j) for i, j in pairs if (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)).bit_count() > 4]
+    assert len(far) > 20
+
+
+def test_dedup_bands_recall():
+    rng = np.random.RandomState(3)
+    met, tries = 0, 1500
+    for _ in range(tries):  # sets of 180 of which 160 are shared: a similarity of exactly 0.8
+        both = rng.randint(1, 1 << 62, 200, dtype=np.int64).astype(np.uint64)
+        a, b = both[:180], both[20:]
+        assert neardup.alike(np.sort(a), np.sort(b))
+        met += bool((neardup.band_keys(a) == neardup.band_keys(b)).any())
+    assert met / tries > 0.98
