@@ -24,8 +24,8 @@ Z, MOST_FEATURES = 4.0, 4096
 TRAIN_ROWS = 8000
 #: Steps of the classifier's training and its penalty on squared weights.
 STEPS, PENALTY = 200, 1e-4
-#: Posteriors below this count as zero.
-LEAST = 0.02
+#: Documents whose posteriors round to the same multiples of 1 / GRAIN share a rate; all totals are of their exact posteriors.
+GRAIN = 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>!")] = True
@@ -125,7 +125,7 @@ def _descend(labels: np.ndarray, found: list[list[int]], n_features: int, n_doma
 
 
 def posteriors(docs: DataFrame, model: Classifier, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep``, ``n_tokens`` (words) and ``p``, the posterior of each domain; those below LEAST are zero."""
+    """``keep``, ``n_tokens`` (words) and ``p``, the posterior of each domain."""
     names = [*keep, "n_tokens", "p"]
     sent = keep if text in keep else [*keep, text]
     at = sent.index(text)
@@ -134,8 +134,6 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str], text: str =
         n, found = features(body)
         s = model.scores(found)
         p = np.exp(s - s.max())
-        p /= p.sum()
-        p[p < LEAST] = 0
         return n, (p / p.sum()).tolist()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,18 +146,23 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str], text: str =
     return docs.select(sent).mapInArrow(batches, schema)
 
 
-def _rate(steps: list[list[float]], most: float, whole: int | None) -> Column:
-    """A document's rate after the given gradient steps: each is projected onto its bounds before the next.
+def _grain() -> Column:
+    return F.transform("p", lambda x: F.round(x * GRAIN) / GRAIN)
 
-    The bounds are 0 and ``most``, and 1 and ``most`` for documents whose likeliest domain is ``whole``.
-    """
+
+def _floor(whole: int | None) -> Column:
+    """The least rate of a document: 1 where its likeliest domain is ``whole``, else 0."""
+    return F.lit(0.0) if whole is None else F.when(F.element_at("p", whole + 1) >= F.array_max("p"), 1.0).otherwise(0.0)
+
+
+def _rate(steps: list[list[float]], most: float, grain: Column, floor: Column) -> Column:
+    """The rate of rounded posteriors ``grain`` after the given gradient steps, each projected onto ``floor`` and ``most``."""
     if not steps:
         return F.lit(1.0)
     v = F.array(*[F.array(*map(F.lit, s)) for s in steps])
-    floor = F.lit(0.0) if whole is None else F.when(F.element_at("p", whole + 1) >= F.array_max("p"), 1.0).otherwise(0.0)
 
     def step(r, s):
-        move = sum((F.element_at("p", k + 1) * F.element_at(s, k + 1) for k in range(len(steps[0]))), F.lit(0.0))
+        move = sum((F.element_at(grain, k + 1) * F.element_at(s, k + 1) for k in range(len(steps[0]))), F.lit(0.0))
         return F.least(F.lit(float(most)), F.greatest(floor, r - move))
 
     return F.aggregate(v, F.lit(1.0), step)
@@ -168,16 +171,18 @@ def _rate(steps: list[list[float]], most: float, whole: int | None) -> Column:
 def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | None = None, iterations: int = 60, close: float = 1e-4) -> tuple[Column, list[float]]:
     """Rates of ``rows`` (n_tokens, p) whose expected tokens in each domain match ``targets``, in tokens.
 
-    Rows with equal posteriors share their rate throughout, so they may be given as one with the sum of their tokens.
+    Rows whose posteriors round alike share their rate throughout, so they are met as one with their exact tokens of each domain.
     Minimises the squared gaps, each relative to its domain's supply, over rates within their bounds by projected gradient
     descent from rate one. A document's gradient is its posteriors times the domain gaps, so an iteration is one
     aggregation to as many sums as there are domains; the driver keeps the steps and each task replays them for its rows.
     Returns the rate as a column and the totals reached. It stops when no gap moves by more than ``close`` of its supply.
     """
     k = len(targets)
+    mass = [F.sum(F.col("n_tokens") * F.element_at("p", i + 1)).alias(f"m{i}") for i in range(k)]
+    alike = materialise(rows.groupBy(_grain().alias("grain"), _floor(whole).alias("floor")).agg(*mass), "posterior-groups")
 
     def totals(rate: Column) -> list[float]:
-        got = rows.select(*[(F.col("n_tokens") * F.element_at("p", i + 1) * rate).alias(f"t{i}") for i in range(k)])
+        got = alike.select(*[(F.col(f"m{i}") * rate).alias(f"t{i}") for i in range(k)])
         return [float(x or 0.0) for x in got.agg(*[F.sum(f"t{i}") for i in range(k)]).first()]
 
     supply = totals(F.lit(1.0))
@@ -185,10 +190,10 @@ def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | N
     now = supply
     for _ in range(iterations):
         steps.append([(a - b) / s if s else 0.0 for a, b, s in zip(now, targets, supply, strict=True)])
-        last, now = now, totals(_rate(steps, most, whole))
+        last, now = now, totals(_rate(steps, most, F.col("grain"), F.col("floor")))
         if all(abs(a - b) <= close * s for a, b, s in zip(now, last, supply, strict=True)):
             break
-    return _rate(steps, most, whole), now
+    return _rate(steps, most, _grain(), _floor(whole)), now
 
 
 def mix(
@@ -210,8 +215,7 @@ def mix(
     supply = [float(x or 0) for x in supply]
     share = [weights[d] / sum(weights.values()) for d in domains]
     budget = supply[domains.index(whole)] / share[domains.index(whole)] if whole else sum(supply)
-    alike = materialise(rows.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "posterior-groups")
-    rate, _ = fit_rates(alike, [s * budget for s in share], most, domains.index(whole) if whole else None)
+    rate, _ = fit_rates(rows, [s * budget for s in share], most, domains.index(whole) if whole else None)
     draw = F.pmod(F.xxhash64(F.lit("copies"), keep[0]), F.lit(1 << 30)) / float(1 << 30)
     out = rows.withColumn("rate", rate)
     return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))

@@ -130,6 +130,25 @@ def test_rates_match_targets_where_domains_are_certain(spark):
     assert kept == pytest.approx([4000, 500], rel=1e-3)
 
 
+def test_mixing_counts_small_posteriors(spark, monkeypatch):
+    words = ["aa", "bb", "cc"]
+    at = [int(mixing.word_hashes(w.encode())[2][0] % np.uint64(mixing.BUCKETS)) for w in words]
+    order = np.argsort(at)
+    p = np.array([[0.9700, 0.0150, 0.0150], [0.9690, 0.0190, 0.0120], [0.30, 0.32, 0.38]])
+    model = mixing.Classifier(np.array(at)[order], np.log(p)[order], np.zeros(3))
+    monkeypatch.setattr(mixing, "fit_classifier", lambda *_: model)
+    docs = spark.createDataFrame([(i, " ".join([words[i % 3]] * (5 + i))) for i in range(30)], "doc_id long, text string")
+    weights = {"good": 0.95, "low": 0.03, "toxic": 0.02}
+    got = mixing.mix(docs, None, weights, ["doc_id"], most=4.0).collect()
+    assert len(got) == 30 and all(r.p == pytest.approx(p[r.doc_id % 3].tolist()) for r in got)
+    reached = sum(r.n_tokens * r.rate * p[r.doc_id % 3] for r in got)
+    supply, total = sum(r.n_tokens * p[r.doc_id % 3] for r in got), sum(r.n_tokens for r in got)
+    rows = spark.createDataFrame([(r.doc_id, r.n_tokens, p[r.doc_id % 3].tolist()) for r in got], "doc_id long, n_tokens long, p array<double>")
+    _, said = mixing.fit_rates(rows, [w * total for w in weights.values()], most=4.0)
+    assert said == pytest.approx(reached.tolist(), rel=1e-9)
+    assert all(abs(a - w * total) < 0.05 * s for a, w, s in zip(reached, weights.values(), supply, strict=True))
+
+
 def test_mixing_survives_odd_rows(spark, docs, empty, rows):
     labels = spark.createDataFrame([(10, 1, 0), (11, 0, 1), (12, None, 0), (10, 0, 0)], "doc_id long, quality int, toxic int")
     assert mixing.op2_soft_mix(docs, labels).count() == len(rows)
