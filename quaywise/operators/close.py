@@ -66,10 +66,9 @@ def estimates(missing: DataFrame, past: DataFrame, quoted: DataFrame, least: int
     per = past.withColumn("per_box", money.half_even(F.col("home").cast("decimal(18,2)") / F.greatest(F.col("boxes"), F.lit(1)).cast("decimal(10,0)")))
 
     def typical(by: list[str], rows: DataFrame, tag: str) -> DataFrame:
-        ends = rows.groupBy(*by).agg(F.min("per_box").alias("lo"), F.max("per_box").alias("hi"))
-        mid = median_by(rows, by, "per_box", f"{tag}_typical").filter(F.col("n") >= least).drop("n")
+        mid = median_by(rows, by, "per_box", f"{tag}_typical", ends=True).filter(F.col("n") >= least)
         spread = F.when(F.col("lo") > 0, F.col("hi") / F.col("lo")).otherwise(99)
-        return mid.join(ends, by).select(*by, f"{tag}_typical", spread.cast("double").alias(f"{tag}_spread"))
+        return mid.select(*by, f"{tag}_typical", spread.cast("double").alias(f"{tag}_spread"))
 
     vendor = typical(["org_id", "group", "vendor_key", "lane"], per.filter("lane is not null"), "v")
     ships = past.groupBy("org_id", "shipment_id", "group").agg(F.sum("home").alias("home"), F.max("boxes").alias("boxes"))
@@ -145,13 +144,15 @@ def compare_versions(old: DataFrame, new: DataFrame, key: list[str], value: str
 def checksum(rows: DataFrame, by: list[str]) -> DataFrame:
     """A digest of each group's rows that depends neither on their order nor on that of the columns.
 
-    Each row is hashed as JSON with its columns in order of name; a group's sorted row digests are hashed again. Grouped
-    digests are 64 characters a row, so a version of a report (thousands of lines) fits a row.
+    Each row is hashed with its columns in order of name, every value after its length ('-' for null). Two sums of 60-bit
+    parts of the digests stand for the set of rows, so they combine before they shuffle and nothing is gathered; count and
+    sums are hashed again. Repeated rows count as often as they come.
     """
-    body = F.sha2(F.to_json(F.struct(*sorted(c for c in rows.columns if c not in by)), {"ignoreNullFields": "false"}), 256)
-    return rows.select(*by, body.alias("_row")).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_row")), ""), 256).alias("checksum")
-    )
+    cells = [F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))) for c in sorted(rows.columns) if c not in by]
+    body = F.sha2(F.concat_ws(";", *cells), 256)
+    part = [F.sum(F.conv(F.substring("_row", at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 16)]
+    sums = rows.select(*by, body.alias("_row")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), part[0].alias("_a"), part[1].alias("_b"))
+    return sums.select(*by, "n", F.sha2(F.concat_ws(":", "n", "_a", "_b"), 256).alias("checksum"))
 
 
 def latest_version(snapshots: DataFrame, by: list[str], version: str = "version") -> DataFrame:

@@ -23,9 +23,29 @@ def choose_quote(invoices: DataFrame, quotes: DataFrame) -> DataFrame:
     A place scores 0.5 for any, 0.6 if the invoice doesn't say, 1.0 for the same, 0.8 for the same area; equipment 0.5, 0.6 or
     1.0. The highest sum wins, then the latest start, then the largest id. Where the best quote speaks on something that the
     invoice leaves open, the others that fit must agree with it.
+
+    Invoices and quotes meet by equal keys on every dimension: what a quote says (an area stands for its ports), or that it takes
+    any; an invoice that doesn't say meets all by a key of its own. So a vendor's invoices meet quotes of their lanes only.
     """
-    q = quotes.select("org_id", "vendor_key", *[F.col(c).alias(f"q_{c}") for c in quotes.columns if c not in ("org_id", "vendor_key")])
-    pairs = invoices.join(q, ["org_id", "vendor_key"], "left")
+    dims = {"origin": "origin_area", "destination": "destination_area", "equipment": None}
+
+    def said(c: str, area: str | None) -> Column:
+        return F.concat(F.lit("="), F.coalesce(*map(F.col, filter(None, (area, c)))))
+
+    def lanes(df: DataFrame, own: list[Column]) -> DataFrame:
+        for d, ways in zip(dims, own, strict=True):
+            df = df.withColumn(f"_k_{d}", F.explode(ways))
+        return df
+
+    any_, open_ = F.lit("any"), F.lit("open")
+    q_keys = [F.array(F.when(F.col(d).isNull(), any_).otherwise(said(d, a)), open_) for d, a in dims.items()]
+    i_keys = [F.when(F.col(d).isNull(), F.array(open_)).otherwise(F.array(said(d, a), any_)) for d, a in dims.items()]
+    lane = [f"_k_{d}" for d in dims]
+    q = lanes(quotes, q_keys)
+    q = q.select("org_id", "vendor_key", *lane, *[F.col(c).alias(f"q_{c}") for c in quotes.columns if c not in ("org_id", "vendor_key")])
+    keys = ["org_id", "doc_id", *dims]
+    met = lanes(invoices.select(*keys, "vendor_key", "ship_date", *filter(None, dims.values())), i_keys)
+    pairs = met.join(q, ["org_id", "vendor_key", *lane])
 
     def place(c: str) -> Column:
         want, have = F.col(f"q_{c}"), F.col(c)
@@ -35,19 +55,18 @@ def choose_quote(invoices: DataFrame, quotes: DataFrame) -> DataFrame:
     gear = F.when(F.col("q_equipment").isNull(), 5).when(F.col("equipment").isNull(), 6).when(F.col("q_equipment") == F.col("equipment"), 10)
     score = place("origin") + place("destination") + gear
     day_ok = F.col("ship_date").isNull() | valid_on(F.col("ship_date"), "q_valid_from", "q_valid_to")
-    pairs = pairs.withColumn("_score", F.when(F.col("q_quote_id").isNotNull() & day_ok, score))
-    dims = ["origin", "destination", "equipment"]
-    best = F.max(F.when(F.col("_score").isNotNull(), F.struct("_score", "q_valid_from", "q_quote_id", *[f"q_{d}" for d in dims])))
-    keys = ["org_id", "doc_id", *dims]
-    fits = pairs.groupBy(*keys).agg(
-        best.alias("b"), F.count("_score").alias("n_fit"), F.count("q_quote_id").alias("n_file"),
-        *[F.count_distinct(F.when(F.col("_score").isNotNull(), F.coalesce(F.col(f"q_{d}"), F.lit("")))).alias(f"n_{d}") for d in dims],
-    )
-    open_dim = F.lit(False)
+    pairs = pairs.filter(day_ok).withColumn("_score", score).filter("_score is not null")
+    best = F.max(F.struct("_score", "q_valid_from", "q_quote_id", *[f"q_{d}" for d in dims]))
+    fits = pairs.groupBy("org_id", "doc_id").agg(
+        best.alias("b"), F.count(F.lit(1)).alias("n_fit"), *[F.count_distinct(F.coalesce(F.col(f"q_{d}"), F.lit(""))).alias(f"n_{d}") for d in dims]
+    )
+    on_file = quotes.select("org_id", "vendor_key").distinct().withColumn("_file", F.lit(True))
+    rows = invoices.select(*keys, "vendor_key").join(on_file, ["org_id", "vendor_key"], "left").join(fits, ["org_id", "doc_id"], "left")
+    unsaid = F.lit(False)
     for d in dims:
-        open_dim = open_dim | (F.col(d).isNull() & F.col(f"b.q_{d}").isNotNull() & (F.col(f"n_{d}") > 1))
-    outcome = F.when(F.col("n_file") == 0, "none_on_file").when(F.col("n_fit") == 0, "no_match").when(open_dim, "ambiguous").otherwise("matched")
-    return fits.select("org_id", "doc_id", outcome.alias("outcome"), F.col("b.q_quote_id").alias("quote_id"), "n_fit")
+        unsaid = unsaid | (F.col(d).isNull() & F.col(f"b.q_{d}").isNotNull() & (F.col(f"n_{d}") > 1))
+    outcome = F.when(F.col("_file").isNull(), "none_on_file").when(F.col("b").isNull(), "no_match").when(unsaid, "ambiguous").otherwise("matched")
+    return rows.select("org_id", "doc_id", outcome.alias("outcome"), F.col("b.q_quote_id").alias("quote_id"), F.coalesce("n_fit", F.lit(0)).alias("n_fit"))
 
 
 def latest_rule(rows: DataFrame, rules: DataFrame, on: list[str], day: str, row_key: list[str], rule_id: str = "rule_id") -> DataFrame:

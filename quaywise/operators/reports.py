@@ -78,17 +78,18 @@ def pair_quality(groups: DataFrame, truth: str, found: str) -> DataFrame:
     return one.withColumns({"precision": F.try_divide("shared_pairs", "found_pairs"), "recall": F.try_divide("shared_pairs", "true_pairs")})
 
 
-def median_by(rows: DataFrame, by: list[str], value: str, out: str = "median") -> DataFrame:
-    """Exact decimal median of each group. Values are counted first, so a hot group costs its distinct values, not its rows."""
+def median_by(rows: DataFrame, by: list[str], value: str, out: str = "median", ends: bool = False) -> DataFrame:
+    """Exact decimal median of each group and its count; with ``ends`` also its least and greatest value (lo, hi). Values are counted first, so a hot group costs its distinct values, not its rows."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*by)
     upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = counts.withColumns({"_upto": upto, "_n": F.sum("n").over(w)})
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2 + 1)
     first = F.col("_upto") - F.col("n") + 1
-    ends = [F.max(F.when((first <= k) & (k <= F.col("_upto")), F.col(value))) for k in (low, high)]
-    mid = money.half_even((ends[0] + ends[1]).cast("decimal(38,4)") / F.lit(2))
-    return placed.groupBy(*by).agg(mid.alias(out), F.max("_n").alias("n"))
+    two = [F.max(F.when((first <= k) & (k <= F.col("_upto")), F.col(value))) for k in (low, high)]
+    mid = money.half_even((two[0] + two[1]).cast("decimal(38,4)") / F.lit(2))
+    more = [F.min(value).alias("lo"), F.max(value).alias("hi")] if ends else []
+    return placed.groupBy(*by).agg(mid.alias(out), F.max("_n").alias("n"), *more)
 
 
 def first_and_last(events: DataFrame, by: list[str], at: list[str], value: str) -> DataFrame:

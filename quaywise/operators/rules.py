@@ -36,31 +36,36 @@ def issue(rows: DataFrame, code: Column | str, severity: Column | str, key: Colu
     )
 
 
+def overstated(docs: DataFrame, lines: DataFrame, *more: Column) -> DataFrame:
+    """Documents whose lines don't add up to the printed total, with ``over``, total less lines, and ``more`` aggregates of the lines."""
+    sums = lines.groupBy("doc_id").agg(F.sum(F.coalesce("amount", F.lit(0).cast(money.MONEY))).cast(money.MONEY).alias("line_sum"), *more)
+    off = docs.filter("total is not null").join(sums, "doc_id").withColumn("over", (F.col("total") - F.col("line_sum")).cast(money.MONEY))
+    return off.filter(F.abs("over") > F.lit(TOTAL_TOLERANCE).cast(money.MONEY))
+
+
 def total_mismatch(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Lines that don't add up to the printed total; an overstated total is at risk."""
-    sums = lines.groupBy("doc_id").agg(F.sum(F.coalesce("amount", F.lit(0).cast(money.MONEY))).cast(money.MONEY).alias("line_sum"))
-    off = docs.filter("total is not null").join(sums, "doc_id").withColumn("over", (F.col("total") - F.col("line_sum")).cast(money.MONEY))
-    off = off.filter(F.abs("over") > F.lit(TOTAL_TOLERANCE).cast(money.MONEY))
-    return issue(off, "total_mismatch", ERROR, F.lit(""), F.when(F.col("over") > 0, F.col("over")))
+    return issue(overstated(docs, lines), "total_mismatch", ERROR, F.lit(""), F.when(F.col("over") > 0, F.col("over")))
 
 
-def _earlier_copy(docs: DataFrame, by: list[Column]) -> DataFrame:
-    """First earlier document (smaller id, received no later) with the same keys, as ``copy_of``.
+def _earlier_copy(docs: DataFrame, by: list[str]) -> DataFrame:
+    """Documents with an earlier one (smaller id, received no later) of the same keys, and the least such id as ``copy_of``.
 
-    A running minimum over one window instead of a self join.
+    Each day of a group is met as one row, so a group of any size is a window over its days; a document's least id received no later
+    is its copy if it isn't its own. Documents without a value in a key, or a day, are never copies.
     """
-    w = Window.partitionBy("org_id", "doc_type", *by).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(F.struct("doc_id", "received_on")).over(w)
-    first = F.filter(before, lambda x: x["received_on"] <= F.col("received_on"))
-    return docs.withColumn("copy_of", F.try_element_at(first, F.lit(1))["doc_id"])
+    on = ["org_id", "doc_type", *by]
+    days = docs.groupBy(*on, "received_on").agg(F.min("doc_id").alias("_least")).filter("received_on is not null")
+    upto = Window.partitionBy(*on).orderBy("received_on").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = days.select(*on, "received_on", F.min("_least").over(upto).alias("copy_of"))
+    return docs.join(first, [*on, "received_on"]).filter("copy_of < doc_id")
 
 
 def duplicates(docs: DataFrame, types: list[str] | None = None, code: str = "duplicate_invoice") -> DataFrame:
     """Same vendor, number and amount as an earlier document of its type; the amount is at risk."""
     named = docs.filter(F.col("doc_type").isin(types or PAYABLE) & (keys.norm_ref("number") != ""))
     by = [keys.vendor_key("vendor_name").alias("_vendor"), keys.norm_ref("number").alias("_number")]
-    named = named.select("*", *by)
-    found = _earlier_copy(named, [F.col("_vendor"), F.col("_number"), F.col("total")]).filter("copy_of is not null")
+    found = _earlier_copy(named.select("*", *by), ["_vendor", "_number", "total"])
     return issue(found, code, ERROR, F.col("copy_of"), F.col("total"))
 
 
@@ -84,22 +89,30 @@ def outliers(docs: DataFrame, high: str = "2.5", low: str = "0.4", least: int =
     """Freight invoices whose cost per container is far from the median of the vendor's other ones.
 
     Leaving a value out of a sorted history shifts those behind it by one, so the medians of all invoices of a vendor need
-    only three values around its middle: two windows over one sort, and no array of the history.
+    only the three values around its middle. Those come from counts of distinct values, so a hot vendor costs its values, and join
+    the invoices back.
     """
     d10 = "decimal(38,10)"
     rows = docs.filter("doc_type = 'freight_invoice' and total is not null").withColumn("_vendor", keys.vendor_key("vendor_name"))
     boxes = F.greatest(F.lit(1), F.coalesce(F.col("boxes"), F.lit(1)))
-    rows = rows.withColumns({"per_box": (F.col("total").cast("decimal(18,2)") / boxes.cast("decimal(10,0)")).cast(d10), "_counts": F.col("total") != 0})
-    w = Window.partitionBy("org_id", "_vendor")
-    rows = rows.withColumns({"_rank": F.row_number().over(w.orderBy(F.col("_counts").desc(), "per_box", "doc_id")), "_n": F.count_if("_counts").over(w)})
+    rows = rows.withColumn("per_box", (F.col("total").cast("decimal(18,2)") / boxes.cast("decimal(10,0)")).cast(d10))
+    by = ["org_id", "_vendor"]
+    counts = rows.filter("total <> 0").groupBy(*by, "per_box").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("_c").over(w.orderBy("per_box").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(w)})
     half = F.floor(F.col("_n") / 2)
-    rows = rows.withColumns({f"_m{i}": F.max(F.when(F.col("_counts") & (F.col("_rank") == half + i), F.col("per_box"))).over(w) for i in range(3)})
+    holds = [(F.col("_upto") - F.col("_c") < half + i) & (half + i <= F.col("_upto")) for i in range(3)]
+    middle = counts.groupBy(*by).agg(F.max("_n").alias("_n"), *[F.max(F.when(h, F.col("per_box"))).alias(f"_m{i}") for i, h in enumerate(holds)])
+    rows = rows.join(middle, by)
+    counts_self = F.col("total") != 0
 
     def kept(place: Column) -> Column:  # the value at a place of the history without the row itself
-        at = place + F.when(F.col("_counts") & (F.col("_rank") <= place), 1).otherwise(0) - half
-        return F.when(at == 0, F.col("_m0")).when(at == 1, F.col("_m1")).otherwise(F.col("_m2"))
+        here = F.when(place == half, F.col("_m0")).otherwise(F.col("_m1"))
+        after = F.when(place == half, F.col("_m1")).otherwise(F.col("_m2"))
+        return F.when(counts_self & ((place < 1) | (F.col("per_box") <= here)), after).otherwise(here)
 
-    n = F.col("_n") - F.when(F.col("_counts"), 1).otherwise(0)
+    n = F.col("_n") - F.when(counts_self, 1).otherwise(0)
     typical = money.half_even((kept(F.floor((n + 1) / 2)) + kept(F.floor(n / 2) + 1)).cast("decimal(38,10)") / F.lit(2))
     rows = rows.filter(n >= least).withColumn("typical", typical)
     far = (F.col("per_box") > F.col("typical") * F.lit(high).cast("decimal(4,2)")) | (F.col("per_box") < F.col("typical") * F.lit(low).cast("decimal(4,2)"))

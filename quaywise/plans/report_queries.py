@@ -129,14 +129,12 @@ def exact_decimal_median(t: Tables):
     return reports.median_by(t.invoices, ["vendor_name"], "total")
 
 
-@query("""SELECT doc_id, shipment_id, status FROM invoices i WHERE contains(lower(vendor_name), 'harbor 7 log') OR EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = i.doc_id AND contains(lower(l.description), 'exam'))""", ("invoices", "lines"))
+@query("""SELECT doc_id, status FROM invoices i WHERE contains(lower(vendor_name), ' 3 ') OR EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = i.doc_id AND contains(lower(l.description), ' 3 '))""", ("invoices", "lines"))
 def search_semi(t: Tables):
-    rows = t.invoices.select("org_id", "doc_id", "shipment_id", "vendor_name", "status").withColumn("ship", F.col("shipment_id")).withColumn("shipment_id", F.col("doc_id"))
-    parts = t.lines.select(F.col("doc_id").alias("shipment_id"), "description")
-    hits = parts.filter(F.contains(F.lower("description"), F.lit("exam"))).select("shipment_id").distinct()
-    own = workflow.search(rows, rows.limit(0), "HARBOR 7 log", ["vendor_name"], ["vendor_name"])
-    both = own.unionByName(rows.join(hits, "shipment_id", "left_semi")).dropDuplicates(["doc_id"])
-    return both.select("doc_id", F.col("ship").alias("shipment_id"), "status")
+    """Invoices whose vendor, or a line of which, has a text."""
+    rows = t.invoices.select("org_id", F.col("doc_id").alias("shipment_id"), "vendor_name", "status")
+    parts = t.lines.select(F.col("doc_id").alias("shipment_id"), "description").join(rows.select("org_id", "shipment_id"), "shipment_id")
+    return workflow.search(rows, parts, " 3 ", ["vendor_name"], ["description"]).select(F.col("shipment_id").alias("doc_id"), "status")
 
 
 def _bills(t: Tables):
@@ -164,12 +162,12 @@ def queue_neighbours(t: Tables):
     return workflow.neighbours(t.invoices.filter("status = 'needs_review'"), ["org_id"], [F.col("total").desc(), F.col("doc_id")], "doc_id").select("doc_id", "previous", "next")
 
 
-@query("""WITH p AS (SELECT DISTINCT c_nationkey AS org_id, c_custkey AS member FROM customer WHERE c_custkey % 7 = 0 AND c_nationkey < 20),
+@query("""WITH p AS (SELECT DISTINCT c_nationkey % 20 AS org_id, c_custkey AS member FROM customer),
     s AS (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY member) - 1 AS seat, count(*) OVER (PARTITION BY org_id) AS n, count(*) FILTER (member <= 50) OVER (PARTITION BY org_id) AS past FROM p),
     w AS (SELECT org_id, doc_id, row_number() OVER (PARTITION BY org_id ORDER BY doc_id) - 1 AS turn FROM invoices WHERE status = 'open')
     SELECT w.doc_id, s.member FROM w JOIN s ON s.org_id = w.org_id AND s.seat = (w.turn + s.past) % s.n""", ("invoices",))
 def round_robin(t: Tables):
-    pool = t.customer.filter("c_custkey % 7 = 0 and c_nationkey < 20").select(F.col("c_nationkey").cast("long").alias("org_id"), F.col("c_custkey").alias("member")).distinct()
+    pool = t.customer.select((F.col("c_nationkey") % 20).cast("long").alias("org_id"), F.col("c_custkey").alias("member")).distinct()
     return workflow.round_robin(t.invoices.filter("status = 'open'").select("org_id", "doc_id"), pool, ["org_id"], [F.col("doc_id")], last=50).select("doc_id", "member")
 
 

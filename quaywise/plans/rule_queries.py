@@ -26,8 +26,8 @@ def _issue_sql(code: str, severity: str, key: str = "''", risk: str = "NULL") ->
 def invoice_total_audit(t: Tables):
     """Vendors by the amount by which printed totals exceed the lines; an invoice's vendor is its first line's supplier."""
     docs = t.invoices.filter("doc_id < 1000000000")
-    first = t.lines.groupBy("doc_id").agg(F.min(F.struct("position", "supplier_id"))["supplier_id"].alias("supplier_id"))
-    found = rules.total_mismatch(docs, t.lines).join(first, "doc_id")
+    supplier = F.min(F.struct("position", "supplier_id"))["supplier_id"].alias("supplier_id")
+    found = rules.overstated(docs, t.lines, supplier).withColumn("amount_at_risk", F.when(F.col("over") > 0, F.col("over")))
     sums = found.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("n_mismatched"), F.coalesce(F.sum("amount_at_risk"), F.lit(0)).cast(money.MONEY).alias("at_risk"))
     named = sums.join(t.supplier.select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("vendor")), "supplier_id")
     return named.select("supplier_id", "vendor", "n_mismatched", "at_risk").orderBy(F.col("at_risk").desc(), "supplier_id").limit(20)
@@ -54,14 +54,18 @@ def duplicate_entries(t: Tables):
     return rules.changed_copies(t.invoices.filter("doc_type = 'freight_invoice'").withColumn("total", total))
 
 
-@query(f"""WITH r AS (SELECT *, {_VK} AS vk, CAST(total AS DECIMAL(18,2)) AS tt, CAST(total * 10000000000 / greatest(1, boxes) AS DOUBLE) AS raw FROM invoices WHERE doc_type = 'freight_invoice'),
-    p AS (SELECT *, CAST(CAST(total AS DECIMAL(28,10)) * CASE greatest(1, boxes) WHEN 1 THEN 1.0000000000 WHEN 2 THEN 0.5000000000 WHEN 4 THEN 0.2500000000 END AS DECIMAL(28,10)) AS per FROM r WHERE boxes <> 3),
+def even(num: str, den: str) -> str:
+    """SQL: a whole number over another, rounded half-even; neither is negative."""
+    return f"({num} // {den} + CASE WHEN 2 * ({num} % {den}) > {den} OR (2 * ({num} % {den}) = {den} AND ({num} // {den}) % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+@query(f"""WITH p AS (SELECT *, {_VK} AS vk, CAST(total * 100 AS HUGEINT) AS c, boxes::HUGEINT AS n_box, (CAST(total * 100 AS HUGEINT) * 200000000 + boxes) // (2 * boxes) AS per FROM invoices WHERE doc_type = 'freight_invoice'),
     h AS (SELECT org_id, vk, list(per ORDER BY per) AS all_per FROM p GROUP BY org_id, vk),
     x AS (SELECT p.*, list_concat(all_per[1:list_position(all_per, per) - 1], all_per[list_position(all_per, per) + 1:]) AS o FROM p JOIN h USING (org_id, vk)),
-    y AS (SELECT *, len(o) AS n, CAST(round_even(CAST(o[(len(o) + 1) // 2] + o[len(o) // 2 + 1] AS DECIMAL(28,10)) * 0.5, 2) AS DECIMAL(18,2)) AS typical FROM x WHERE len(o) >= 3)
-    SELECT {_issue_sql('amount_outlier', 'warning', risk='CASE WHEN per > typical THEN round_even((per - typical) * boxes, 2) END')} FROM y WHERE per > typical * 2.5 OR per < typical * 0.4""", ("invoices",))
+    s AS (SELECT *, o[(len(o) + 1) // 2] + o[len(o) // 2 + 1] AS two FROM x WHERE len(o) >= 3), y AS (SELECT *, {even('two', '200000000')} AS typical FROM s)
+    SELECT {_issue_sql('amount_outlier', 'warning', risk='CASE WHEN per > typical * 100000000 THEN CAST(c - typical * n_box AS DECIMAL(18,0)) * 0.01 END')} FROM y WHERE per * 2 > typical * 500000000 OR per < typical * 40000000""", ("invoices",))
 def vendor_outlier_leave_one_out(t: Tables):
-    return rules.outliers(t.invoices.filter("boxes <> 3"))
+    return rules.outliers(t.invoices)
 
 
 @query("""WITH h AS (SELECT org_id, shipment_id, bool_or(doc_type = 'bill_of_lading') AS bl, bool_or(doc_type = 'commercial_invoice') AS ci FROM invoices GROUP BY ALL),
@@ -122,12 +126,12 @@ _QUOTE = {
     "valid_to": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(400 AS INT) END", "origin": "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'CNNGB' ELSE 'CNSHA' END",
     "destination": "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'USLAX' WHEN 2 THEN 'USNYC' ELSE 'USLGB' END", "equipment": "CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '40HC' ELSE '20GP' END",
 }
-_QUOTES = "quotes AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _QUOTE.items()) + " FROM orders WHERE o_orderkey % 25 = 3)"
+_QUOTES = "quotes AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _QUOTE.items()) + " FROM orders)"
 _AREA = "CASE {c} WHEN 'USLGB' THEN 'la' WHEN 'USLAX' THEN 'la' ELSE {c} END"
 
 
 def _quotes(t: Tables):
-    q = t.orders.filter("o_orderkey % 25 = 3").selectExpr(*[f"{e} AS {c}" for c, e in _QUOTE.items()])
+    q = t.orders.selectExpr(*[f"{e} AS {c}" for c, e in _QUOTE.items()])
     return q.withColumns({f"{c}_area": F.expr(_AREA.format(c=c)) for c in ("origin", "destination")})
 
 
@@ -191,6 +195,10 @@ def accessorials_allowed(t: Tables):
     return rates.allowed_by_approval(_extras(t).withColumn("quantity", F.lit(None).cast("string")).join(r, "code", "left"))
 
 
+#: What the quote of every invoice allows, in dollars.
+_QUOTED = "array(" + ", ".join(f"struct('{c}' AS code, CAST({a} AS DECIMAL(18,2)) AS allowed, {p} AS per_box)" for c, a, p in (("ocean_freight", "24000.00", "true"), ("thc_destination", "3500.00", "true"), ("documentation", "75.00", "false"))) + ")"
+
+
 @query(f"""WITH i AS (SELECT doc_id, currency, boxes FROM invoices WHERE doc_type = 'freight_invoice' AND doc_id < 1000000000), l AS (SELECT l.*, {_CODE_SQL} AS code FROM lines l JOIN i USING (doc_id)),
     f AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND code NOT IN ('ocean_freight','thc_destination','documentation') THEN 'ocean_freight' ELSE code END AS code, amount FROM l),
     s AS (SELECT doc_id, f.code, CAST(sum(amount) AS DECIMAL(18,2)) AS actual, max(i.boxes) AS boxes, max(i.currency) AS currency FROM f JOIN i USING (doc_id) GROUP BY ALL),
@@ -201,8 +209,7 @@ def accessorials_allowed(t: Tables):
     SELECT doc_id, code, actual, allowed_total, excess, tolerance FROM e WHERE excess > tolerance""", ("invoices", "lines"))
 def over_quote(t: Tables):
     inv = t.invoices.filter("doc_type = 'freight_invoice' and doc_id < 1000000000").select("doc_id", "currency", "boxes", (F.col("doc_id") % 2 == 0).alias("all_in"), adapter.fx_rate(F.col("currency")).alias("rate"))
-    quoted = t.spark.sql("SELECT code, CAST(allowed AS DECIMAL(18,2)) AS allowed, per_box FROM (VALUES ('ocean_freight', 24000.00, true), ('thc_destination', 3500.00, true), ('documentation', 75.00, false)) AS v(code, allowed, per_box)")
-    per_doc = inv.crossJoin(F.broadcast(quoted)).select("doc_id", "code", "allowed", "per_box", F.lit("1").cast("decimal(18,8)").alias("quote_rate"), (F.col("currency") == "USD").alias("same_currency"))
+    per_doc = inv.withColumn("q", F.explode(F.expr(_QUOTED))).select("doc_id", "currency", "q.*").select("doc_id", "code", "allowed", "per_box", F.lit("1").cast("decimal(18,8)").alias("quote_rate"), (F.col("currency") == "USD").alias("same_currency"))
     lines = charges.with_codes(t.lines.select("doc_id", "description", "amount")).join(inv, "doc_id")
     return rates.over_quote(lines, per_doc)
 

@@ -44,17 +44,19 @@ def date_order_vote(t: Tables):
     return t.invoices.groupBy("vendor_name").agg(F.when(first > second, "dmy").when(first < second, "mdy").alias("date_order"))
 
 
-_BALANCE = """CASE WHEN (doc_id % 37) % 2 = 0 THEN amount ELSE CAST(sum(amount) OVER (PARTITION BY doc_id % 37 ORDER BY doc_id) AS DECIMAL(18,2)) END"""
+_BALANCE = """CASE WHEN (doc_id % 37) % 2 = 0 THEN amount ELSE CAST(sum(amount) OVER (PARTITION BY doc_id % 37, year(invoice_date), month(invoice_date) ORDER BY doc_id) AS DECIMAL(18,2)) END"""
+#: A statement of a vendor and month.
+_STATEMENT = "doc_id % 37 * 1000000 + year(invoice_date) * 100 + month(invoice_date)"
 
 
-@query(f"""WITH i AS (SELECT doc_id % 37 AS statement_id, doc_id AS position, CASE WHEN doc_type = 'credit_note' THEN 'credit' ELSE 'invoice' END AS kind, CASE WHEN doc_type = 'credit_note' THEN -total ELSE total END AS amount, doc_id FROM invoices WHERE doc_id < 2000),
+@query(f"""WITH i AS (SELECT {_STATEMENT} AS statement_id, invoice_date, doc_id AS position, CASE WHEN doc_type = 'credit_note' THEN 'credit' ELSE 'invoice' END AS kind, CASE WHEN doc_type = 'credit_note' THEN -total ELSE total END AS amount, doc_id FROM invoices),
     b AS (SELECT *, {_BALANCE} AS balance FROM i), f AS (SELECT *, abs(coalesce(lag(balance) OVER (PARTITION BY statement_id ORDER BY position), 0) + amount - balance) <= 0.01 AS fits FROM b),
     g AS (SELECT *, count(*) OVER w >= 2 AND count(*) FILTER (fits) OVER w < 0.6 * count(*) OVER w AS shows_open FROM f WINDOW w AS (PARTITION BY statement_id))
     SELECT statement_id, position, kind, CAST(CASE WHEN shows_open THEN CASE WHEN kind = 'invoice' THEN abs(balance) ELSE -abs(balance) END ELSE amount END AS DECIMAL(18,2)) AS amount, shows_open FROM g""", ("invoices",))
 def statement_open_amounts(t: Tables):
     kind = F.when(F.col("doc_type") == "credit_note", "credit").otherwise("invoice")
-    rows = t.invoices.filter("doc_id < 2000").withColumn("amount", F.when(F.col("doc_type") == "credit_note", -F.col("total")).otherwise(F.col("total")).cast(money.MONEY))
-    rows = rows.select((F.col("doc_id") % 37).alias("statement_id"), F.col("doc_id").alias("position"), kind.alias("kind"), "amount", F.expr(_BALANCE).alias("balance"))
+    rows = t.invoices.withColumn("amount", F.when(F.col("doc_type") == "credit_note", -F.col("total")).otherwise(F.col("total")).cast(money.MONEY))
+    rows = rows.select(F.expr(_STATEMENT).alias("statement_id"), F.col("doc_id").alias("position"), kind.alias("kind"), "amount", F.expr(_BALANCE).alias("balance"))
     return statements.open_amounts(rows)
 
 

@@ -1,5 +1,6 @@
 """Scalar functions: pinned values and edge cases."""
 
+import random
 from decimal import Decimal
 
 import pytest
@@ -119,3 +120,17 @@ def test_text(evaluate):
     assert evaluate(rows, text.sheet_rows(text.sheet_text(F.col("x"))), "array<array<string>>") == [[["a|b", "c"], [], ["d", ""]]]
     pages = [["Invoice No: A1\npage 1 of 2", "continued\npage 2 of 2", "Invoice No: B7\nlines\nTotal 12.00", "Invoice No: B7"]]
     assert evaluate(pages, text.page_starts(F.col("x")), "array<string>") == [[0, 2]]
+
+
+def test_similar_pairs_on_the_threshold_and_of_long_texts(spark):
+    rng = random.Random(11)
+    longs = ["mediterranean shipping services", "mediterranean shiping services", "mediterranean shipping service", "orient overseas container line limited hong kong", "orient overseas container line hong kong limited"]
+    words = ["".join(rng.choice("ABCDEFGH") for _ in range(n)) for n in (9, 10, 10, 11, 20, 21, 25, 25, 40, 40) for _ in range(4)]
+    swapped = [w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in words for i in (0, len(w) // 2)]  # two of 20 characters lost: 90 exactly
+    texts = sorted({*longs, *words, *swapped, "", "A"})
+    rows = spark.createDataFrame([(t,) for t in texts], "a string")
+    for threshold in (90, 92, 80):
+        got = {(r.a, r.b): r.ratio for r in fuzzy.similar_pairs(rows, rows.withColumnRenamed("a", "b"), "a", "b", threshold).collect()}
+        want = {(x, y): fuzzy.indel_ratio(x, y) for x in texts for y in texts if 1000 * 2 * fuzzy.lcs_length(x, y) >= 10 * threshold * (len(x) + len(y))}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert any(v == 90 for v in [fuzzy.indel_ratio(w, s) for w in words for s in swapped])

@@ -8,8 +8,9 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from quaywise.functions import money
+from quaywise.functions import fuzzy, money
 from quaywise.operators import allocation, close, customs, grouping, rates, reports, rules, statements, workflow
+from quaywise.sources import ratecards
 
 
 def split(spark, total, weights):
@@ -221,6 +222,87 @@ def test_grouping_fold(spark):
     assert got == {1: (2, "new"), 2: (2, "new"), 3: (2, "exact_bl"), 4: (2, "exact_container"), 5: (None, "unmatched"), 6: (6, "new"), 7: (7, "new")}
 
 
+def brute_places(rows, near_bl, near_box):
+    """The fold over a whole organisation, every shipment scanned for every document."""
+    ships, placed, clock = {}, {}, 0
+
+    def refs(docs):
+        bills = [x for x in docs if x[3]]
+        bl = next((x[4] for x in [*bills, *docs] if x[4]), "")
+        boxes = {c for x in bills for c in x[5]} if bills else {c for x in docs for c in x[5] if valid_box(c)}
+        return bl, boxes, {p for x in docs for p in x[6]}
+
+    for d in sorted(rows, key=lambda r: (r[2], r[1])):
+        found = {}
+        for s, (docs, _) in ships.items():
+            bl, boxes, pos = refs(docs)
+            if d[4] and d[4] == bl:
+                found[s] = "exact_bl"
+            elif boxes & set(d[5]):
+                found[s] = "exact_container"
+            elif pos & set(d[6]):
+                found[s] = "exact_po"
+            elif (d[4] and bl and near_bl(d[4], bl)) or any(near_box(a, b) for a in d[5] if not valid_box(a) for b in boxes):
+                found[s] = "fuzzy"
+        ranked = sorted(found, key=lambda s: (-grouping.SCORES[found[s]], -ships[s][1]))
+        clock += 1
+        if ranked:
+            s, how = ranked[0], found[ranked[0]]
+        elif d[7] in placed and placed[d[7]][0] in ships:
+            s, how = placed[d[7]][0], "original_invoice"
+        elif d[4] or d[5] or d[6]:
+            s, how = d[1], "new"
+            ships[s] = ([], 0)
+        else:
+            placed[d[1]] = (None, "unmatched")
+            continue
+        placed[d[1]] = (s, how)
+        if how in ("exact_bl", "exact_container"):
+            for o in ranked[1:]:
+                if found[o] == "exact_po" and not refs(ships[o][0])[0]:
+                    for x in ships.pop(o)[0]:
+                        placed[x[1]] = (s, placed[x[1]][1])
+                        ships[s] = ([*ships[s][0], x], clock)
+        ships[s] = ([*ships[s][0], d], clock)
+    return placed
+
+
+def valid_box(c):
+    letters = [v for v in range(10, 39) if v % 11]
+    n = sum((int(x) if x.isdigit() else letters[ord(x) - 65]) << i for i, x in enumerate(c[:10]))
+    return len(c) == 11 and c[3] in "UJZ" and n % 11 % 10 == int(c[10])
+
+
+def test_grouping_equals_the_fold_over_the_whole_organisation(spark):
+    rng = random.Random(4)
+    boxes = ["CSQU3054383", "CSQU3054384", "MSKU9070323", "MSKU9070328", "OSLU1234567"]
+    bills = ["OSLN1234567", "OSLN1234568", "OSLN9999999", "HLCU5551234"]
+    rows = []
+    for i in range(1, 90):
+        bl, box, po = (rng.choice(v) if rng.random() < p else None for v, p in ((bills, 0.25), (boxes, 0.25), ([f"PO{k}" for k in range(12)], 0.3)))
+        original = rng.randrange(1, i) if i > 1 and rng.random() < 0.6 else None
+        rows.append((1, i, d.date(2026, 1, 1 + rng.randrange(25)), rng.random() < 0.3, bl or "", [box] if box else [], [po] if po else [], original))
+    got = {r.doc_id: (r.shipment, r.method) for r in grouping.group_by_arrival(spark.createDataFrame(rows, DOCS + ", original long")).collect()}
+    want = brute_places(rows, lambda a, b: fuzzy.indel_ratio(a, b) >= 90, lambda a, b: a[:4] == b[:4] and fuzzy.indel_ratio(a, b) >= 90)
+    assert got == want and {m for _, m in got.values()} >= {"fuzzy", "original_invoice", "exact_bl", "exact_container", "exact_po", "new"}
+
+
+def test_duplicates_of_a_large_group(spark):
+    rows = [(1, 1, i, "freight_invoice", "Acme LLC", "N-1", "USD", D("5.00"), d.date(2026, 1, 1 + i * 7 % 20)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "org_id int, shipment_id int, doc_id long, doc_type string, vendor_name string, number string, currency string, total decimal(18,2), received_on date")
+    got = {r.doc_id: int(r.key) for r in rules.duplicates(docs).collect()}
+    want = {r[2]: min(o[2] for o in rows if o[8] <= r[8]) for r in rows}
+    assert got == {k: v for k, v in want.items() if v < k}
+
+
+def test_a_rate_card_with_an_error_is_not_taken(spark):
+    blank = dict.fromkeys(ratecards.COLUMNS, "")
+    good = blank | {"vendor": "A", "valid_from": "2026-01-01", "currency": "USD", "charge_code": "Ocean freight", "amount": "10", "basis": "per box"}
+    schema = ", ".join(f"{c} string" for c in ratecards.COLUMNS)
+    assert ratecards.accepted(spark.createDataFrame([tuple(good.values())], schema)).count() == 1
+    assert ratecards.accepted(spark.createDataFrame([tuple(good.values()), tuple((good | {"amount": "x"}).values())], schema)).count() == 0
+
+
 def test_pair_quality_equals_counting_pairs(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(5), rng.randrange(6)) for _ in range(40)]
