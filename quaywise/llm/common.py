@@ -3,47 +3,19 @@
 from __future__ import annotations
 
 import gc
-import tempfile
+import re
 import time
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of every contract: runs of anything but space and the controls 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local session (as in tests) gets a temporary folder; any other master is refused, because
-    a machine-local folder isn't visible to the other executors.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quaywise-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from quaywise.sources.scratch import discard, materialise, scratch
 
+__all__ = ["discard", "materialise", "mix", "read_documents", "release", "scratch", "text_or_empty", "word_bounds", "word_hashes"]
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path, schema = scratch(spark, name), df.schema
-    df.write.parquet(path)
-    del df  # it refers to the shuffles that wrote it
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+#: Words of every contract: runs of anything but space and the controls 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def release(spark: SparkSession) -> None:
@@ -74,11 +46,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+_KNOWN: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
+    """base ** 0, base ** 1, ... (n of them), modulo 2 ** 64; a worker keeps those it has computed."""
+    have = _KNOWN.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 1 << 12), base, np.uint64)
+        have[0] = 1
+        with np.errstate(over="ignore"):
+            have = np.cumprod(have, dtype=np.uint64)
+        if len(have) <= 1 << 22:
+            _KNOWN[base] = have
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,8 +76,24 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: Bytes of text whose words are hashed at once; some forty bytes of memory go with each.
+_BLOCK = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of UTF-8 text, by one pass of prefix sums over its bytes."""
+    """Starts, ends and 64-bit hashes of the words of UTF-8 text, a block of it at a time; blocks end between words."""
+    parts, at = [], 0
+    while at < len(data) or not parts:
+        gap = _GAP.search(data, at + _BLOCK) if len(data) - at > _BLOCK else None
+        end = gap.start() if gap else len(data)
+        starts, ends, hashes = _hash_block(data[at:end])
+        parts.append((starts + at, ends + at, hashes))
+        at = end
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _hash_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     starts, ends = word_bounds(data)
     with np.errstate(over="ignore"):

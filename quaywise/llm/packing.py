@@ -11,13 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Context sizes, longest first. All are powers of two; a window of each is a full sequence.
 TIERS = (4096, 2048, 1024, 512)
 #: Tokens pooled before windows are cut: a bound on a task's memory, which grows with no input.
 POOL_TOKENS = 1 << 20
+#: Tokens that tasks leave unpacked (each less than a window) go to one packer for so many.
+PACKER_TOKENS = 1 << 22
 #: Words whose ids a task remembers.
 CACHE_WORDS = 400_000
 END_ID = 2
@@ -110,10 +114,10 @@ def encoder_of(path: str) -> WordEncoder:
 
 
 class Packer:
-    """Cuts one task's documents into full windows of the tiers; see pack_documents."""
+    """Cuts documents into full windows of the tiers; see pack_documents. Rows: doc, start, length, crc, doc tokens, tier, nth window of the tier, offset."""
 
-    def __init__(self, first_id: int):
-        self.first_id = self.next_id = first_id
+    def __init__(self):
+        self.made = dict.fromkeys(TIERS, 0)
         self.pool: dict[int, list] = defaultdict(list)  # tier -> pieces (doc, start, ids, doc tokens), to be packed
         self.pooled = 0
 
@@ -123,21 +127,23 @@ class Packer:
             yield from self.window(TIERS[0], [(doc, start, ids[start : start + TIERS[0]], n)])
             start += TIERS[0]
         if start < n:
-            piece = (doc, start, ids[start:], n)
-            self.pool[min(t for t in TIERS if t >= n - start)].append(piece)
-            self.pooled += n - start
+            self.put((doc, start, ids[start:], n))
+
+    def put(self, piece: tuple) -> None:
+        self.pool[min(t for t in TIERS if t >= len(piece[2]))].append(piece)
+        self.pooled += len(piece[2])
 
     def window(self, size: int, pieces: list) -> Iterator[tuple]:
         at = 0
         for doc, start, ids, n in pieces:
-            yield doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, self.next_id, at, size
+            yield doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, size, self.made[size], at
             at += len(ids)
-        self.next_id += 1
+        self.made[size] += 1
 
     def flush(self, last: bool) -> Iterator[tuple]:
-        """Cut the pool into windows, longest tier first. Unless ``last``, pieces that fill no window stay."""
+        """Cut the pool into windows, longest tier first. Unless ``last``, pieces that fill no window stay: less than one of 4096."""
         for pieces in self.pool.values():
-            pieces.sort(key=lambda p: len(p[2]))  # longest at the end; the sort is stable
+            pieces.sort(key=lambda p: len(p[2]))  # longest at the end; the sort is stable, so equal lengths keep their order of coming
         for tier in TIERS:
             while own := self.pool[tier]:
                 below = [t for t in TIERS if t <= tier]
@@ -182,7 +188,7 @@ class Packer:
         return None
 
     def tail(self, pieces: list) -> Iterator[tuple]:
-        """The last pieces of a task: full windows of the tiers as long as they go, then one padded window."""
+        """The last pieces of a packer: full windows of the tiers as long as they go, then one padded window."""
         while pieces:
             total = sum(len(p[2]) for p in pieces)
             size = max((t for t in TIERS if t <= total), default=total)
@@ -196,51 +202,89 @@ class Packer:
             yield from self.window(size if size in TIERS else TIERS[0], now)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, step_tokens: int = 16 * 4096) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id.
+_PIECE = ["start", "length", "ids_crc32", "doc_tokens", "tier", "nth", "offset"]
 
-    Each task packs what it reads, so nothing is shuffled. A document's full windows of 4096 are cut first; its rest
-    goes to the shortest tier that holds it. Within a bounded pool each tier's windows, longest tier first, take their
-    largest piece, then the longest pieces of the same or shorter tiers that fit the gap, and at last a cut of the shortest
-    piece, so windows come out full. Only the last window of a task is padded. Windows are then grouped into steps of
-    ``step_tokens`` tokens in order of their making, each step within one window of the others.
 
-    Null and empty texts are the end id alone; every id of every document, repeated rows included, lies in exactly one
-    piece. An empty table gives no pieces. Other columns are ignored.
-    """
-    kind = docs.schema[key].dataType.simpleString()
-    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id"]
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = packer = None
-        spent, key_type = 0, pa.int64()
-
-        def rows(found: list[tuple]) -> pa.RecordBatch:
-            nonlocal spent
-            steps, last = [], None
-            for r in found:
-                if r[5] != last:
-                    last, spent = r[5], spent + r[7]
-                steps.append(packer.first_id + (spent - 1) // step_tokens)
-            columns = list(zip(*found, strict=True)) or [[]] * 8
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *(pa.array(c, pa.int64()) for c in [*columns[1:], steps])], names)
+def _batch(found: list[tuple], left: list[tuple], part: int, key: str, key_type: pa.DataType) -> pa.RecordBatch:
+    """Rows of packed pieces, and of pieces left over (doc, start, ids, doc tokens), which carry their ids."""
+    rows = [(*r, None) for r in found] + [(doc, start, len(ids), None, n, None, at, None, ids.astype("<u4").tobytes()) for at, (doc, start, ids, n) in enumerate(left)]
+    columns = list(zip(*rows, strict=True)) or [[]] * 9
+    types = [key_type, *[pa.int64()] * 7, pa.binary()]
+    arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int64()), *arrays], ["part", key, *_PIECE, "left"])
 
+
+def _pack_tasks(tokenizer: str, end_id: int, key: str):
+    """Pack what a task reads; what fills no window is left over."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, part, key_type = Packer(), 0, pa.int64()
+        encoder = encoder_of(tokenizer)
         for b in it:
-            if packer is None:
-                encoder, key_type = encoder_of(tokenizer), b.schema.field(0).type
-                packer = Packer(int(b.column(2)[0].as_py()) << 33 if b.num_rows else 0)
+            key_type = b.schema.field(0).type
+            part = int(b.column(2)[0].as_py()) if b.num_rows else part
             found: list[tuple] = []
             for doc, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found += packer.add(doc, np.append(encoder.encode(body or ""), np.uint32(end_id)))
                 if packer.pooled >= POOL_TOKENS:
                     found += packer.flush(last=False)
-            if found:
-                yield rows(found)
-        if packer is not None and (found := list(packer.flush(last=True))):
-            yield rows(found)
+            yield _batch(found, [], part, key, key_type)
+        found = list(packer.flush(last=False))
+        yield _batch(found, [p for t in TIERS for p in packer.pool[t]], part, key, key_type)
+
+    return run
+
+
+def _pack_left(key: str):
+    """Pack the pieces that tasks left over. Parts of packers count down from -1."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, part, key_type = Packer(), -1, pa.int64()
+        for b in it:
+            key_type = b.schema.field(0).type
+            part = -1 - int(b.column(4)[0].as_py()) if b.num_rows else part
+            for doc, start, n, ids in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                packer.put((doc, start, np.frombuffer(ids, "<u4"), n))
+            found = list(packer.flush(last=False)) if packer.pooled >= POOL_TOKENS else []
+            yield _batch(found, [], part, key, key_type)
+        yield _batch(list(packer.flush(last=True)), [], part, key, key_type)
+
+    return run
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, step_tokens: int = 16 * TIERS[0]) -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id.
+
+    Each task packs what it reads. A document's full windows of 4096 are cut first; its rest goes to the shortest tier that
+    holds it. Within a bounded pool each tier's windows, longest tier first, take their largest piece (of equal ones the latest),
+    then the longest pieces of the same or shorter tiers that fit the gap, and at last a cut of the shortest piece, so
+    windows come out full. The pieces that fill no window, less than 4096 tokens a task, travel with their ids to one packer
+    for each PACKER_TOKENS of them, so how the input is split decides nothing and only the last window of a packer is padded.
+
+    Windows are numbered over all tasks by prefix sums of the tasks' counts, longest tier first; a step is the next
+    ``step_tokens`` tokens of them (a multiple of 4096). So a step holds windows of one length, but for the few where tiers
+    change, and all steps but the last hold the same number of tokens.
+
+    Null and empty texts are the end id alone; a very long text is one row of ids in memory, cut into windows at once; every id of
+    every document, repeated rows included, lies in exactly one piece. An empty table gives no pieces. Other columns are ignored.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"part long, `{key}` {kind}, " + ", ".join(f"`{n}` long" for n in _PIECE) + ", left binary"
     placed = docs.select(key, text, F.spark_partition_id().alias("_part"))
-    return placed.mapInArrow(batches, f"`{key}` {kind}, " + ", ".join(f"`{n}` long" for n in names[1:]))
+    made = materialise(placed.mapInArrow(_pack_tasks(tokenizer, end_id, key), schema), "packed")
+    left = made.filter("left is not null")
+    tokens = left.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = left.repartition(max(1, -(-tokens // PACKER_TOKENS)), "part").sortWithinPartitions("part", "nth")
+    dealt = dealt.select(key, "start", "doc_tokens", "left", F.spark_partition_id().alias("_packer"))
+    rest = materialise(dealt.mapInArrow(_pack_left(key), schema), "packed-rest")
+    rows = made.filter("left is null").drop("left").unionByName(rest.drop("left"))
+    # as many rows as tasks and tiers
+    counts = rows.groupBy("part", "tier").agg((F.max("nth") + 1).alias("_n"))
+    before = Window.orderBy(F.col("tier").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = [F.coalesce(F.sum(x).over(before), F.lit(0)).alias(c) for x, c in ((F.col("_n"), "_windows"), (F.col("_n") * F.col("tier"), "_tokens"))]
+    rows = rows.join(counts.select("part", "tier", *first), ["part", "tier"])
+    step = F.floor((F.col("_tokens") + F.col("nth") * F.col("tier")) / step_tokens).cast("long")
+    return rows.select(key, "start", "length", "ids_crc32", "doc_tokens", (F.col("_windows") + F.col("nth")).alias("sequence_id"), "offset", "tier", step.alias("step_id"))
 
 
 def op5_packing(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -260,19 +260,31 @@ def test_packing_holds_every_token_once(spark, docs, rows, empty):
     sequences = defaultdict(list)
     for r in out:
         sequences[r.sequence_id].append(r)
-    padding = 0
     for pieces in sequences.values():
         at = 0
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 4096
-        padding += 0 if at & (at - 1) == 0 else 4096 - at
-    assert padding < 4096 * 4 and packing.op5_packing(empty).count() == 0
+        assert at <= 4096 and len({(r.tier, r.step_id) for r in pieces}) == 1
+    assert packing.op5_packing(empty).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 64, 211])
+def test_packing_is_full_and_even_however_the_input_is_split(spark, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(1200 if parts == 211 else 600)
+    out = packing.op5_packing(docs.repartition(parts)).collect()
+    length, tier, step = defaultdict(int), {}, {}
+    for r in out:
+        length[r.sequence_id] += r.length
+        tier[r.sequence_id], step[r.sequence_id] = r.tier, r.step_id
+    assert sorted(length) == list(range(len(length)))
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in length.values())
+    assert padding < 4096 and sum(tier[s] != n for s, n in length.items()) <= 1
     steps = Counter()
-    for pieces in sequences.values():
-        steps[(pieces[0].step_id)] += pieces[0].tier
-    assert max(steps.values()) <= 16 * 4096 + 4096
+    for s, size in tier.items():
+        steps[step[s]] += size
+    sizes = [steps[i] for i in range(len(steps))]
+    assert set(sizes[:-1]) == {16 * 4096} and sizes[-1] <= 16 * 4096
 
 
 def test_pieces_of_words_equal_the_tokenizer(small):
