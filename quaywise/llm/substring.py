@@ -2,7 +2,8 @@
 
 A window of ``WINDOW`` words is dealt to the shard of its anchor, the least hash among its ``GRAM``-word grams, so equal
 windows always meet and a document is streamed only through the shards that can hold a match. Consecutive windows of one
-anchor travel as one run. Each shard indexes its distinct runs and answers all of them by backward search.
+anchor travel as one run. A shard indexes the first runs of its anchors and streams the others through the index by backward
+search: stretches whose matching statistics reach a window have their earliest place there; what stays below is indexed next.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, _powers, materialise, mix, word_bounds, word_hashes
+from .common import _BASE, _INVERSE, _powers, discard, materialise, mix, release, word_bounds, word_hashes
 from .fmindex import FMIndex
 
 #: Words of a window, and of the grams that name its shard.
 WINDOW, GRAM = 20, 8
 #: Words that one index holds: a bound on a task's memory, which grows with no input.
 SHARD_WORDS = 1 << 19
-#: An anchor with more distinct runs than this is dealt window by window instead, under each window's own hash.
+#: An anchor with more distinct runs than this is dealt window by window instead, under each window's own hash, once for equal windows.
 SPLIT = 512
 #: Stands for a null key, before all others.
 _LEAST = -(1 << 63)
@@ -99,7 +100,7 @@ def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each wanted run of a document, whole or, where ``split`` says so, window by window."""
     z = zstandard.ZstdDecompressor()
-    names = ["route", "a", "r", "w", "n", "k", "at", "words"]
+    names = ["split", "route", "a", "r", "w", "n", "k", "at", "words"]
     for b in it:
         for k, packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             data = z.decompress(packed)
@@ -108,71 +109,114 @@ def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in wanted:
                 a, r, at, n = x["a"], x["r"], x["at"], x["n"]
                 if not x["split"]:
-                    rows.append((a, a, r, 0, n, k, at, data[starts[at] : ends[at + n + WINDOW - 2]]))
+                    rows.append((False, a, a, r, 0, n, k, at, data[starts[at] : ends[at + n + WINDOW - 2]]))
                     continue
                 hashes = hashes or _Hashes(word_hashes(data)[2])
                 own = hashes.stretch(np.arange(at, at + n), np.full(n, WINDOW)).view(np.int64).tolist()
-                rows += [(own[w], a, r, w, 1, k, at + w, data[starts[at + w] : ends[at + w + WINDOW - 1]]) for w in range(n)]
+                rows += [(True, own[w], a, r, w, 1, k, at + w, data[starts[at + w] : ends[at + w + WINDOW - 1]]) for w in range(n)]
             columns = list(zip(*rows, strict=True))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int32(), pa.binary()]
+            types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int32(), pa.binary()]
             if columns:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def _ragged(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """start[0], start[0] + 1, ... (n[0] values), start[1], ...; and the number of the stretch that each belongs to."""
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n), which
+
+
 class _Shard:
-    """Runs gathered until the index is full; see _answers."""
+    """Runs gathered until they fill an index; see answers."""
 
     def __init__(self):
-        self.contents: dict[bytes, int] = {}  # distinct words of runs, in order of coming
+        self.contents: dict[bytes, int] = {}  # distinct words of runs, by route and place
         self.first: list[tuple[int, int]] = []  # their places: document, first word
         self.sizes: list[int] = []  # their words
+        self.routes: list[int] = []
         self.rows: list[tuple] = []
         self.words = 0
 
-    def add(self, words: bytes, n: int, k: int, at: int) -> int:
+    def add(self, route: int, words: bytes, n: int, k: int, at: int) -> int:
         """Place of ``words`` among the contents. Rows of a route come by document and place, so the first is the earliest."""
         i = self.contents.setdefault(words, len(self.contents))
         if i == len(self.first):
             self.first.append((k, at))
             self.sizes.append(n + WINDOW - 1)
+            self.routes.append(route)
             self.words += n + WINDOW
         return i
 
+    def earliest(self, ids: np.ndarray, early: np.ndarray) -> np.ndarray:
+        """For the word at which each window begins, the word at which the same window begins first; else -1.
+
+        Pieces (stretches of words, by route and place) are searched in turns. A turn indexes the first of each route, twice as
+        many as the turn before, and streams the rest through the index. A stretch that matches WINDOW words or more has its
+        earliest place in the index, as all indexed pieces of a route come before the streamed ones; the stretches below
+        the threshold are the pieces of the next turn.
+        """
+        sizes = np.array(self.sizes)
+        start, route = np.cumsum(sizes) - sizes, np.array(self.routes)
+        source, lead = np.full(len(ids), -1), 1
+        while len(start):
+            first = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
+            nth = np.arange(len(route)) - np.repeat(first, np.diff(np.append(first, len(route))))
+            head = nth < lead
+            word, piece = _ragged(start[head], sizes[head])
+            text, at = np.zeros(len(word) + int(head.sum()), np.int64), np.arange(len(word)) + piece
+            text[at] = ids[word]
+            index = FMIndex(text, WINDOW)
+            rank = np.full(len(text), len(ids))
+            rank[at] = early[word]
+            edge = np.flatnonzero(index.lcp < WINDOW)  # rows between edges share their first WINDOW words
+            least = np.minimum.reduceat(rank[index.rows], edge)
+            first_word = np.argsort(early)  # of each rank
+
+            def place(row: np.ndarray, edge=edge, least=least, first_word=first_word) -> np.ndarray:
+                return first_word[least[np.searchsorted(edge, row, "right") - 1]]
+
+            row_of = np.empty(len(text), np.int64)
+            row_of[index.rows] = np.arange(len(text))
+            own, held = _ragged(start[head], sizes[head] - WINDOW + 1)
+            source[own] = place(row_of[own - start[head][held] + at[np.cumsum(sizes[head]) - sizes[head]][held]])
+            start, sizes, route = start[~head], sizes[~head], route[~head]
+            if not len(start):
+                break
+            word, _ = _ragged(start, sizes)
+            match, row = index.matching_statistics(ids[word], sizes)
+            window, piece = _ragged(start, sizes - WINDOW + 1)
+            where = window - start[piece] + (np.cumsum(sizes) - sizes)[piece]
+            above = match[where] >= WINDOW
+            source[window[above]] = place(row[where[above]])
+            window, piece = window[~above], piece[~above]
+            new = np.concatenate(([True], (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1)))[: len(window)]
+            begin = np.flatnonzero(new)
+            start, route = window[begin], route[piece[begin]]
+            sizes = np.diff(np.append(begin, len(window))) + WINDOW - 1
+            lead *= 2
+        return source
+
     def answers(self) -> pa.RecordBatch | None:
         """For each row its stretches of windows and where those windows occur first."""
         if not self.rows:
             return None
-        data = b" ".join(self.contents)
         sizes = np.array(self.sizes)
-        h = word_hashes(data)[2]
-        ids = np.unique(h, return_inverse=True)[1] + 1
-        piece = np.repeat(np.arange(len(sizes)), sizes)
-        nth = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        text = np.zeros(len(ids) + len(sizes), np.int64)
-        text[np.arange(len(ids)) + piece] = ids
-        index = FMIndex(text, WINDOW)
-        match, row = index.matching_statistics(ids, sizes)
-        # the earliest place of each class of suffixes that share a window
+        ids = np.unique(word_hashes(b" ".join(self.contents))[2], return_inverse=True)[1] + 1
+        nth, piece = _ragged(np.zeros(len(sizes), np.int64), sizes)
         k, at = np.array(self.first, np.int64).T
-        by = np.full(len(text), len(text))
-        order = np.lexsort((at[piece] + nth, k[piece]))
-        by[(np.arange(len(ids)) + piece)[order]] = np.arange(len(ids))
-        edge = np.flatnonzero(index.lcp < WINDOW)
-        least = np.minimum.reduceat(by[index.rows], edge)
-        windows = np.flatnonzero(nth <= np.repeat(sizes, sizes) - WINDOW)
-        if (match[windows] < WINDOW).any():
-            raise AssertionError("an indexed window wasn't found")
-        source = order[least[np.searchsorted(edge, row[windows], "right") - 1]]
-        where_k, where_at = k[piece[source]], at[piece[source]] + nth[source]
+        k, at = k[piece], at[piece] + nth
+        early = np.empty(len(ids), np.int64)
+        early[np.lexsort((at, k))] = np.arange(len(ids))
+        source = self.earliest(ids, early)
+        windows = np.flatnonzero(source >= 0)
+        where_k, where_at = k[source[windows]], at[source[windows]]
         own, w = piece[windows], nth[windows]
         new = np.concatenate(([True], (own[1:] != own[:-1]) | (where_k[1:] != where_k[:-1]) | (where_at[1:] != where_at[:-1] + 1)))
         start = np.flatnonzero(new)
         n = np.diff(np.append(start, len(windows)))
         lo = np.searchsorted(own[start], np.arange(len(sizes) + 1))
         content, a, r, shift = (np.array(x, np.int64) for x in zip(*self.rows, strict=True))
-        count = lo[content + 1] - lo[content]
-        i = np.repeat(np.arange(len(content)), count)
-        s = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + lo[content][i]
+        s, i = _ragged(lo[content], lo[content + 1] - lo[content])
         return pa.RecordBatch.from_arrays(
             [pa.array(a[i]), pa.array(r[i]), pa.array((w[start][s] + shift[i]).astype(np.int16)), pa.array(n[s].astype(np.int16)), pa.array(where_k[start][s]), pa.array(where_at[start][s].astype(np.int32))],
             ["a", "r", "w", "m", "first_k", "first_at"],
@@ -198,9 +242,9 @@ def _answers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out
                 shard = _Shard()
                 for x, place in carried.items():
-                    shard.add(x, *place)
+                    shard.add(route, x, *place)
             carried.setdefault(words, (n, k, at))
-            shard.rows.append((shard.add(words, n, k, at), a, r, w))
+            shard.rows.append((shard.add(route, words, n, k, at), a, r, w))
     if (out := shard.answers()) is not None:
         yield out
 
@@ -230,32 +274,42 @@ def _remove(keep_words: bool):
     return run
 
 
-def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """k, tag, at, n: stretches of n windows, the first at word ``at``, that each occur earlier in the corpus.
+def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """k, tag, at, n: stretches of n windows, the first at word ``at``, that each occur earlier in the corpus; and the tables it is read from.
 
     1. Runs are cut from every document; anchors seen once are dropped by a grouped count, which combines before it
        shuffles. 2. Equal runs are grouped; documents that hold the first of a kind give its words. 3. Shards of pieces
-       are indexed and searched. 4. Answers meet all occurrences of their runs by a join that Spark may split where skewed.
+       are indexed and searched; of equal windows of a crowded anchor one grouped minimum goes there. 4. Answers meet all occurrences of their runs by a join that Spark may split where skewed.
     """
     keyed = _keyed(docs, key, text)
     runs = materialise(keyed.mapInArrow(_run_rows, "k long, tag long, a long, r long, at int, n short"), "runs")
     # tables are written before they are joined where a grouping would else keep Spark from splitting a skewed side
     often = materialise(runs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"), "often")
     hits = materialise(runs.join(often, "a", "left_semi"), "hits")
+    discard(runs, often)
+    release(docs.sparkSession)
     kinds = materialise(hits.groupBy("a", "r").agg(F.min(F.struct("k", "at", "tag", "n")).alias("f")), "kinds")
-    crowded = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SPLIT).select("a", F.lit(True).alias("split"))
-    kinds = kinds.join(crowded, "a", "left")
-    wanted = kinds.groupBy("f.k", "f.tag").agg(
+    crowded = materialise(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SPLIT).select("a", F.lit(True).alias("split")), "crowded")
+    wanted = kinds.join(crowded, "a", "left").groupBy("f.k", "f.tag").agg(
         F.collect_list(F.struct("a", "r", F.col("f.at").alias("at"), F.col("f.n").alias("n"), F.coalesce("split", F.lit(False)).alias("split"))).alias("wanted")
     )
     packed = keyed.mapInArrow(_pack, "k long, tag long, z binary")
     pieces = packed.join(wanted, ["k", "tag"]).select("k", "z", "wanted")
-    pieces = pieces.mapInArrow(_pieces, "route long, a long, r long, w short, n short, k long, at int, words binary")
-    dealt = pieces.repartition("route").sortWithinPartitions("route", "k", "at")
-    answers = dealt.mapInArrow(_answers, "a long, r long, w short, m short, first_k long, first_at int")
+    pieces = materialise(pieces.mapInArrow(_pieces, "split boolean, route long, a long, r long, w short, n short, k long, at int, words binary"), "pieces")
+    discard(kinds, crowded)
+    release(docs.sparkSession)
+    # of equal windows of crowded anchors only the first is dealt; the others meet its answer by their hash
+    alone = pieces.filter("split").groupBy("route").agg(F.min(F.struct("k", "at")).alias("f"), F.max("words").alias("words"))
+    short = [F.lit(x).cast("short") for x in (0, 1)]
+    alone = alone.select("route", F.lit(0).cast("long").alias("a"), F.col("route").alias("r"), short[0].alias("w"), short[1].alias("n"), "f.k", "f.at", "words")
+    dealt = pieces.filter("not split").drop("split").unionByName(alone).repartition("route").sortWithinPartitions("route", "k", "at")
+    answers = materialise(dealt.mapInArrow(_answers, "a long, r long, w short, m short, first_k long, first_at int"), "answers")
+    lone = answers.filter("a = 0").select(F.col("r").alias("route"), "m", "first_k", "first_at")
+    split = pieces.filter("split").select("route", "a", "r", "w").join(lone, "route").select("a", "r", "w", "m", "first_k", "first_at")
     here = F.col("at") + F.col("w")
     earlier = (F.col("first_k") < F.col("k")) | ((F.col("first_k") == F.col("k")) & (F.col("first_at") < here))
-    return hits.select("k", "tag", "a", "r", "at").join(answers, ["a", "r"]).filter(earlier).select("k", "tag", here.cast("int").alias("at"), F.col("m").alias("n"))
+    found = [hits.select("k", "tag", "a", "r", "at").join(x, ["a", "r"]).filter(earlier).select("k", "tag", here.cast("int").alias("at"), F.col("m").alias("n")) for x in (answers.filter("a <> 0"), split)]
+    return found[0].unionByName(found[1]), [hits, pieces, answers]
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_words: bool = True) -> DataFrame:
@@ -266,7 +320,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_words:
     document at one place: a window at the same word of two such rows is earlier in neither. Each row gets its own result;
     rows equal in key and text get equal ones. An empty table gives an empty result; other columns are ignored.
     """
-    cuts = materialise(repeated_windows(docs, key, text).groupBy("k", "tag").agg(F.collect_set(F.struct("at", "n")).alias("cuts")), "cuts")
+    windows, tables = repeated_windows(docs, key, text)
+    cuts = materialise(windows.groupBy("k", "tag").agg(F.collect_set(F.struct("at", "n")).alias("cuts")), "cuts")
+    discard(*tables)
+    release(docs.sparkSession)
     packed = _keyed(docs, key, text).mapInArrow(_pack, "k long, tag long, z binary")
     done = packed.join(cuts, ["k", "tag"], "left").select("k", "tag", "z", "cuts").mapInArrow(_remove(keep_words), "k long, tag long, n_words long, n_removed long, kept string")
     return done.select(F.nullif(F.col("k"), F.lit(_LEAST)).alias(key), "n_words", "n_removed", "kept")
