@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import materialise, word_hashes
+from .common import discard, materialise, word_hashes
 
 #: Word features are hashed into so many buckets; shape features come after them.
 BUCKETS, SHAPES = 1 << 20, 64
@@ -24,6 +24,8 @@ Z, MOST_FEATURES = 4.0, 4096
 TRAIN_ROWS = 8000
 #: Steps of the classifier's training and its penalty on squared weights.
 STEPS, PENALTY = 200, 1e-4
+#: Gradient steps at most, and the share of the budget by which a domain may miss its target and still count as met.
+ITERATIONS, TOLERANCE = 80, 0.002
 #: Documents whose posteriors round to the same multiples of 1 / GRAIN share a rate; all totals are of their exact posteriors.
 GRAIN = 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -155,27 +157,35 @@ def _floor(whole: int | None) -> Column:
     return F.lit(0.0) if whole is None else F.when(F.element_at("p", whole + 1) >= F.array_max("p"), 1.0).otherwise(0.0)
 
 
-def _rate(steps: list[list[float]], most: float, grain: Column, floor: Column) -> Column:
-    """The rate of rounded posteriors ``grain`` after the given gradient steps, each projected onto ``floor`` and ``most``."""
+def _rate(steps: list[list[float]], most: float, grain: Column, floor: Column, ahead: bool = False) -> Column:
+    """The rate of rounded posteriors ``grain`` after the given steps, each projected onto ``floor`` and ``most``; or, if
+    ``ahead``, the point that the next gradient is taken at.
+
+    A step is a gap for each domain and its momentum: the point moves against the gaps of its posteriors to the new rate,
+    and the next point lies ahead of that by the momentum times the last move.
+    """
+    start = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
     if not steps:
         return F.lit(1.0)
-    v = F.array(*[F.array(*map(F.lit, s)) for s in steps])
+    k = len(steps[0]) - 1
 
-    def step(r, s):
-        move = sum((F.element_at(grain, k + 1) * F.element_at(s, k + 1) for k in range(len(steps[0]))), F.lit(0.0))
-        return F.least(F.lit(float(most)), F.greatest(floor, r - move))
+    def step(a: Column, s: Column) -> Column:
+        move = sum((F.element_at(grain, i + 1) * F.element_at(s, i + 1) for i in range(k)), F.lit(0.0))
+        new = F.least(F.lit(float(most)), F.greatest(floor, a["y"] - move))
+        return F.struct(new.alias("x"), (new + F.element_at(s, k + 1) * (new - a["x"])).alias("y"))
 
-    return F.aggregate(v, F.lit(1.0), step)
+    return F.aggregate(F.array(*[F.array(*map(F.lit, s)) for s in steps]), start, step, lambda a: a["y" if ahead else "x"])
 
 
-def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | None = None, iterations: int = 60, close: float = 1e-4) -> tuple[Column, list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | None = None, iterations: int = ITERATIONS, close: float = 1e-5) -> tuple[Column, list[float]]:
     """Rates of ``rows`` (n_tokens, p) whose expected tokens in each domain match ``targets``, in tokens.
 
     Rows whose posteriors round alike share their rate throughout, so they are met as one with their exact tokens of each domain.
     Minimises the squared gaps, each relative to its domain's supply, over rates within their bounds by projected gradient
-    descent from rate one. A document's gradient is its posteriors times the domain gaps, so an iteration is one
+    descent with momentum from rate one. A document's gradient is its posteriors times the domain gaps, so an iteration is one
     aggregation to as many sums as there are domains; the driver keeps the steps and each task replays them for its rows.
-    Returns the rate as a column and the totals reached. It stops when no gap moves by more than ``close`` of its supply.
+    Momentum starts anew whenever the gaps grow. It stops when no gap moves by more than ``close`` of its supply, or after
+    ``iterations``. Returns the rate as a column and the totals reached, which the caller holds against the targets.
     """
     k = len(targets)
     mass = [F.sum(F.col("n_tokens") * F.element_at("p", i + 1)).alias(f"m{i}") for i in range(k)]
@@ -186,39 +196,56 @@ def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | N
         return [float(x or 0.0) for x in got.agg(*[F.sum(f"t{i}") for i in range(k)]).first()]
 
     supply = totals(F.lit(1.0))
+    grain, floor = F.col("grain"), F.col("floor")
     steps: list[list[float]] = []
-    now = supply
+    now, loss, pace = supply, math.inf, 1.0
     for _ in range(iterations):
-        steps.append([(a - b) / s if s else 0.0 for a, b, s in zip(now, targets, supply, strict=True)])
-        last, now = now, totals(_rate(steps, most, F.col("grain"), F.col("floor")))
-        if all(abs(a - b) <= close * s for a, b, s in zip(now, last, supply, strict=True)):
+        gaps = [(a - b) / s if s else 0.0 for a, b, s in zip(now, targets, supply, strict=True)]
+        last, loss = loss, sum(g * g * s for g, s in zip(gaps, supply, strict=True))
+        if loss > last:
+            pace = 1.0
+        ahead = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append([*gaps, (pace - 1) / ahead])
+        pace = ahead
+        before, now = now, totals(_rate(steps, most, grain, floor, ahead=True))
+        if all(abs(a - b) <= close * s for a, b, s in zip(now, before, supply, strict=True)):
             break
-    return _rate(steps, most, _grain(), _floor(whole)), now
+    reached = totals(_rate(steps, most, grain, floor))
+    discard(alike)
+    return _rate(steps, most, _grain(), _floor(whole)), reached
 
 
 def mix(
     docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep: list[str],
     most: float, whole: str | None = None, text: str = "text", label: str = "domain",
 ) -> DataFrame:
-    """``keep``, n_tokens, p, rate and copies for every row of ``docs``.
+    """``keep``, n_tokens, p, rate, copies, gaps and on_target for every row of ``docs``.
 
     ``weights`` are the domains' target shares of tokens. The budget is the corpus's tokens, or, if ``whole`` names a
-    domain, as much as uses that domain's whole supply, and documents likeliest of that domain get a rate of one at least. ``copies`` rounds the rate down or up by a hash of the first key,
-    so its expectation is the rate.
-
-    Null and empty texts have no tokens, so their rate moves with their posteriors alone; with no labelled rows every
-    posterior is the same and the rates stay near one; repeated rows each get a row; an empty table gives an empty result.
+    domain, as much as uses that domain's whole supply, and documents likeliest of that domain get a rate of one at least. ``copies``
+    rounds the rate down or up by a hash of the first key, so its expectation is the rate. ``gaps`` are the expected tokens
+    reached less the target of each domain, as shares of the budget: bounds on rates can keep a target out of reach, and then
+    ``on_target`` is false.
+
+    Null and empty texts have no tokens, so their rate moves with their posteriors alone; a very long text is hashed a block at a
+    time; with no labelled rows every posterior is the same and the rates stay near one; repeated rows each get a row; an empty
+    table gives an empty result. Names in ``keep`` may not be those of the columns added; other columns are ignored.
     """
+    if clash := set(keep) & {"n_tokens", "p", "rate", "copies", "gaps", "on_target"}:
+        raise ValueError(f"{sorted(clash)} would be overwritten")
     domains = list(weights)
     rows = materialise(posteriors(docs, fit_classifier(labelled, domains, text, label), keep, text), "posteriors")
     supply = rows.agg(*[F.sum(F.col("n_tokens") * F.element_at("p", i + 1)) for i in range(len(domains))]).first()
     supply = [float(x or 0) for x in supply]
     share = [weights[d] / sum(weights.values()) for d in domains]
     budget = supply[domains.index(whole)] / share[domains.index(whole)] if whole else sum(supply)
-    rate, _ = fit_rates(rows, [s * budget for s in share], most, domains.index(whole) if whole else None)
+    targets = [s * budget for s in share]
+    rate, reached = fit_rates(rows, targets, most, domains.index(whole) if whole else None)
+    gaps = [(a - b) / budget if budget else 0.0 for a, b in zip(reached, targets, strict=True)]
     draw = F.pmod(F.xxhash64(F.lit("copies"), keep[0]), F.lit(1 << 30)) / float(1 << 30)
     out = rows.withColumn("rate", rate)
-    return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    out = out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    return out.withColumns({"gaps": F.array(*map(F.lit, gaps)), "on_target": F.lit(max(map(abs, gaps)) <= TOLERANCE)})
 
 
 #: Domains of the label table: toxic, else by quality; and the shares that a training mix should have.
@@ -234,13 +261,20 @@ def label_domain(labels: DataFrame) -> DataFrame:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = TRAIN_ROWS) -> DataFrame:
-    """Texts and domains of at most ``most`` labelled documents. The labels are few by that bound, so they are broadcast."""
+    """Texts and domains of at most ``most`` labelled documents, one text for each id: that of least hash where rows repeat it.
+
+    The labels are few by that bound, so they are broadcast; repeated ids are combined before they are shuffled.
+    """
     some = label_domain(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col(key).alias("doc_id"), text).join(F.broadcast(some), "doc_id").select(text, "domain")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).join(F.broadcast(some), "doc_id")
+    one = rows.groupBy("doc_id", "domain").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m"))
+    return one.select(F.col("m.t").alias(text), "domain")
 
 
 def op2_soft_mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, words, posteriors, fitted rate and copies of all ``documents``; rates may reach 4."""
+    """doc_id, words, posteriors, fitted rate and copies of all ``documents``, and how far each domain's total misses its target;
+    rates may reach 4."""
     rows = mix(docs, labelled_texts(docs, labels), WEIGHTS, ["doc_id"], most=4.0)
     p = [F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(WEIGHTS)]
-    return rows.select("doc_id", "n_tokens", *p, "rate", "copies")
+    gaps = [F.element_at("gaps", i + 1).alias(f"gap_{d}") for i, d in enumerate(WEIGHTS)]
+    return rows.select("doc_id", "n_tokens", *p, "rate", "copies", *gaps, "on_target")
