@@ -4,6 +4,7 @@ identifiers. DataFrame functions only."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,43 +89,79 @@ def _q(s: str) -> str:
     return "r'" + s.replace("'", r"\x27") + "'"
 
 
-def _spans(kind: str, text: str, pattern: str, group: int, least: int) -> str:
-    """SQL: array of (start, rank, kind, end, token) of the matches that are long enough, in code points."""
-    rank = [*BASE, "markov"].index(kind)
-    match, counted = (f"regexp_extract(s, {_q(pattern)}, {g})" for g in (0, group))
-    item = "struct<start:int,rank:int,kind:string,end:int,token:string>"
-    return f"""aggregate({_pieces(text, pattern)},
-        named_struct('at', 0, 'found', cast(array() as array<{item}>)),
-        (a, s) -> named_struct('at', a.at + length(s), 'found', CASE WHEN length({counted}) >= {least}
-            THEN concat(a.found, array(named_struct('start', a.at + length(s) - length({match}), 'rank', {rank}, 'kind', '{kind}',
-                                                    'end', a.at + length(s), 'token', {match}))) ELSE a.found END),
-        a -> a.found)"""
+#: Elements that running values are built over at once, so that they cost little more than their number.
+_RUN = 256
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array (of ints from 0) the merge of all up to it: within runs of _RUN first, then over the runs' ends."""
+    zero = F.array(F.lit(0))
+
+    def grow(a: Column, x: Column) -> Column:
+        return F.concat(a, F.array(merge(F.element_at(a, -1), x)))
+
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(_RUN))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(starts, lambda at: F.aggregate(F.slice(values, at, F.lit(_RUN)), zero, grow, lambda a: F.slice(a, F.lit(2), F.size(a))))
+    before = F.aggregate(F.transform(runs, lambda r: F.element_at(r, -1)), zero, grow)
+    return F.flatten(F.zip_with(runs, F.slice(before, F.lit(1), F.size(runs)), lambda r, b: F.transform(r, lambda x: merge(b, x))))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _spans(df: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
+    """Add ``_q_<kind>``: array of (start, rank, kind, end, token) of the matches in _q_text that are long enough, in code points."""
+    pieces = f"_q_{kind}_pieces"
+    df = df.withColumn(pieces, F.expr(_pieces("_q_text", pattern)))
+    df = df.withColumn("_q_ends", _running(F.transform(pieces, F.length), _plus))
+
+    def span(s: Column, end: Column) -> Column:
+        token = F.regexp_extract(s, pattern, 0)
+        long_enough = F.length(F.regexp_extract(s, pattern, group)) >= least
+        return F.when(long_enough, F.struct((end - F.length(token)).alias("start"), F.lit([*BASE, "markov"].index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), token.alias("token")))
+
+    found = F.zip_with(pieces, "_q_ends", span)
+    return df.withColumn(f"_q_{kind}", F.filter(found, lambda x: x.isNotNull())).drop(pieces, "_q_ends")
 
 
 def find_secrets(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """Add ``secrets``: array of (start, rank, kind, end), by start, then kind as listed; code points, end exclusive.
 
     Kinds assign, access and hex are leftmost, non-overlapping matches of fixed patterns; kind markov is a token that the
-    model finds random and that overlaps none of them. Null and empty texts have none; every row keeps its columns, and a
-    column named ``secrets`` is replaced. Only texts that match at all pay for positions.
+    model finds random and that overlaps none of them: sorted by start, no base span before it ends after its start, and
+    the next base span starts no earlier than it ends. Null and empty texts have none; a very long text costs time in proportion
+    to its length and the logarithm of its spans; repeated rows and empty tables give as many rows; every row keeps its columns, a column
+    named ``secrets`` is replaced, and names that begin with ``_q_`` are reserved.
     """
+    if clash := [c for c in docs.columns if c.startswith("_q_")]:
+        raise ValueError(f"{clash} are reserved names")
     out = docs.withColumn("_q_text", F.coalesce(F.col(text), F.lit("")))
     for kind, (pattern, group, least) in BASE.items():
-        out = out.withColumn(f"_q_{kind}", F.expr(_spans(kind, "_q_text", pattern, group, least)))
-    out = out.withColumn("_q_base", F.concat(*[F.col(f"_q_{k}") for k in BASE]))
-    out = out.withColumn("_q_markov", F.expr(_spans("markov", "_q_text", CANDIDATE, 0, 20)))
-
-    def clear(x):
-        return ~F.exists("_q_base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        out = _spans(out, kind, pattern, group, least)
+    out = _spans(out, "markov", CANDIDATE, 0, 20)
 
-    def random(x):
+    def random(x: Column) -> Column:
         total = _score(x["token"], model)
         return (total > LEAST_TOTAL) & (total > LEAST_MEAN * (F.length(x["token"]) - 1))
 
-    added = F.filter("_q_markov", lambda x: clear(x) & random(x))
-    every = F.array_sort(F.concat("_q_base", added))
-    bare = F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return out.withColumn("secrets", bare).drop("_q_text", "_q_base", "_q_markov", *[f"_q_{k}" for k in BASE])
+    out = out.withColumn("_q_all", F.array_sort(F.concat(*[F.col(f"_q_{k}") for k in BASE], F.filter("_q_markov", random))))
+    base_ends = F.transform("_q_all", lambda x: F.when(x["rank"] < len(BASE), x["end"]).otherwise(0))
+    # places of starts from the end of the text, so that a running maximum from the end is the next base start
+    size = F.length("_q_text")
+    base_starts = F.reverse(F.transform("_q_all", lambda x: F.when(x["rank"] < len(BASE), size - x["start"]).otherwise(0)))
+    out = out.withColumns({"_q_past": _running(base_ends, F.greatest), "_q_next": F.reverse(_running(base_starts, F.greatest))})
+    with_edges = F.arrays_zip("_q_all", "_q_past", "_q_next")
+
+    def stays(x: Column) -> Column:
+        clear = (x["_q_past"] <= x["_q_all"]["start"]) & (size - x["_q_next"] >= x["_q_all"]["end"])
+        return (x["_q_all"]["rank"] < len(BASE)) | clear
+
+    def bare(x: Column) -> Column:
+        return F.struct(*[x["_q_all"][c].alias(c) for c in ("start", "rank", "kind", "end")])
+
+    kept = F.transform(F.filter(with_edges, stays), bare)
+    return out.withColumn("secrets", kept).drop("_q_text", "_q_markov", "_q_all", "_q_past", "_q_next", *[f"_q_{k}" for k in BASE])
 
 
 def _score(token: Column, model: list[float]) -> Column:
@@ -140,21 +177,34 @@ def _score(token: Column, model: list[float]) -> Column:
     return F.aggregate(places, start, step, lambda a: a["total"])
 
 
+#: Code points of a text that are cut from it at once.
+_CUT = 4096
+
+
 def redact(found: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """Replace every span of ``secrets`` in the text by ``mask``, overlapping spans by one, and drop ``secrets``.
 
-    Texts without a secret, null ones among them, stay as they are.
+    Texts without a secret, null ones among them, stay as they are. The text is cut into stretches of _CUT code points, from
+    which the gaps between spans are read, so a text of many spans costs its length.
     """
     t = F.col(text)
-
-    def step(a, s):
-        gap = F.substr(t, a["at"] + 1, s["start"] - a["at"])
-        more = F.when(s["start"] >= a["at"], F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), more.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("secrets", start, step, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, whole).otherwise(t)).drop("secrets")
+    cuts = F.when(F.size("secrets") > 0, F.regexp_extract_all(t, F.lit(r"[\s\S]{1,%d}" % _CUT), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    out = found.withColumns({"_q_cuts": cuts, "_q_upto": _running(F.transform("secrets", lambda s: s["end"]), F.greatest)})
+
+    def between(start: Column, end: Column) -> Column:
+        first, last = F.floor(start / _CUT).cast("int"), F.floor(end / _CUT).cast("int")
+        head, tail = F.get("_q_cuts", first), F.coalesce(F.get("_q_cuts", last), F.lit(""))
+        one = F.substr(head, start % _CUT + 1, end - start)
+        more = F.concat(F.substr(head, start % _CUT + 1, F.lit(_CUT)), F.array_join(F.slice("_q_cuts", first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substr(tail, F.lit(1), end % _CUT))
+        return F.when(first == last, F.coalesce(one, F.lit(""))).otherwise(more)
+
+    def gap(s: Column, i: Column) -> Column:
+        past = F.when(i > 0, F.get("_q_upto", i - 1)).otherwise(0)
+        return F.when(s["start"] >= past, F.concat(between(past, s["start"]), F.lit(mask))).otherwise("")
+
+    rest = between(F.element_at("_q_upto", -1), F.length(t))
+    whole = F.concat(F.array_join(F.transform("secrets", gap), ""), rest)
+    return out.withColumn(text, F.when(F.size("secrets") > 0, whole).otherwise(t)).drop("secrets", "_q_cuts", "_q_upto")
 
 
 def _listed(spans: Column) -> Column:
