@@ -33,7 +33,7 @@ def encode_png(payload: bytes) -> bytes:
     rows = len(payload) // WIDTH
     raw = b"".join(b"\0" + payload[i * WIDTH : (i + 1) * WIDTH] for i in range(rows))
     header = struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)
-    return _SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(raw, 1)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(raw, 6)) + _chunk(b"IEND", b"")
 
 
 def png_size(header: bytes) -> tuple[int, int]:
@@ -166,43 +166,52 @@ def with_header(index: DataFrame, root: str) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _Ranges(root)
         for b in it:
-            where = zip(*(b.column(c).to_pylist() for c in ("shard", "offset")), strict=True)
-            sizes = [png_size(read(s, o, HEADER_BYTES)) for s, o in where]
+            last, sizes = None, []
+            for at in zip(*(b.column(c).to_pylist() for c in ("shard", "offset")), strict=True):
+                sizes.append(sizes[-1] if at == last else png_size(read(*at, HEADER_BYTES)))
+                last = at
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[i] for x in sizes], pa.int64()) for i in (0, 1))], names)
 
     return index.mapInArrow(batches, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema) + ", width long, height long")
 
 
-def read_media(index: DataFrame, root: str, key: str = "doc_id") -> DataFrame:
-    """Read each row's stored bytes back and compute digests and the feature from what was read."""
-    kind = index.schema[key].dataType.simpleString()
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
+def read_media(index: DataFrame, root: str) -> DataFrame:
+    """Read each row's stored bytes back and add digests and the feature, computed from what was read.
 
-    def one(stored: bytes) -> tuple:
+    ``index``: shard, offset, length and any others. A payload that differs from its ``digest`` fails the read.
+    """
+    names = [*index.columns, "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+    def one(stored: bytes, digest: str) -> tuple:
         samples = decode_png(stored)
-        return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(samples), *png_size(stored[:HEADER_BYTES]))
+        found = hashlib.sha256(samples).hexdigest()
+        if found != digest:
+            raise ValueError("a payload differs from its digest")
+        return found, zlib.crc32(samples[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(samples)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, last, got = _Ranges(root), None, None
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in it:
             rows = []
-            for at in zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
+            for *at, digest in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("shard", "offset", "length", "digest")), strict=True):
                 if at != last:
-                    last, got = at, one(read(*at))
+                    last, got = at, one(read(*at), digest)
                 rows.append(got)
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
-    schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
-    return index.select(key, "n_bytes", "shard", "offset", "length").mapInArrow(batches, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
+    return index.mapInArrow(batches, schema + ", payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op8_media(docs: DataFrame, root: str | None = None) -> DataFrame:
     """The contract's columns for all ``documents``; shards and index stay under ``root`` for the caller to use or delete.
 
-    A null text is empty (one padded row of zeros); equal texts have equal values and, within a shard, one copy; repeated
-    keys each get a row; an empty table writes no shard; other columns are ignored.
+    Rows carry the payload's digest and its shard, offset and length; width and height come from range reads of the headers alone,
+    the contract's digests and feature from the stored bytes. A null text is empty (one padded row of zeros); equal texts have
+    equal values and, within a shard, one copy (``one_address`` makes it one over all shards); a very long text is one payload,
+    held in memory with its image; repeated keys each get a row; an empty table writes no shard; other columns are ignored.
     """
     root = root or scratch(docs.sparkSession, "media")
-    return read_media(write_shards(docs, root), root)
+    return read_media(with_header(write_shards(docs, root), root), root)
