@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import materialise
+
 #: name -> SQL over the measurements that is true where a document fails. A rule's bit is its place here; append only.
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
@@ -85,8 +88,9 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 def ledger(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Measurements and ``fail_bits``: bit i is set where rule i of RULES fails.
 
-    A null or empty text has no words and fails ``few_words``; repeated rows each get a row; an empty table gives an
-    empty ledger; columns other than ``keep`` and ``text`` are ignored, whatever their names.
+    A null or empty text has no words and fails ``few_words``; a very long text is held with its words and three-word windows;
+    repeated rows each get a row; an empty table gives an empty ledger; columns other than ``keep`` and ``text`` are ignored,
+    whatever their names.
     """
     bits = None
     for i, rule in enumerate(RULES.values()):
@@ -117,17 +121,42 @@ def ablation(ledger_rows: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
-def op1_quality_ledger(docs: DataFrame, policy: Policy = POLICIES["v2"]) -> DataFrame:
-    """The contract's columns: measurements, ``base_failed``, the policy's verdict ``kept``, and the bits."""
+def stored_ledger(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The ledger of ``docs`` by doc_id, written once (to ``path`` or the shared folder) and read back: policies and ablations
+    of any later version apply to it without another look at the texts."""
     rows = ledger(docs, ["doc_id"])
+    if path is None:
+        return materialise(rows, "ledger")
+    rows.write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def verdicts(ledger_rows: DataFrame) -> list[Column]:
+    """A column for each version of the policies: whether it keeps the row."""
+    return [(passes(BASE) & passes(p)).alias(f"kept_{p.version}") for p in POLICIES.values()]
+
+
+def quality_ablations(docs: DataFrame) -> DataFrame:
+    """The ablations of all policies over the stored ledger: version, rule, n_failed, n_only_this, n_kept_without, rules_seen."""
+    rows = stored_ledger(docs)
+    parts = [ablation(rows, p).select(F.lit(p.version).alias("version"), "*") for p in POLICIES.values()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def op1_quality_ledger(docs: DataFrame, policy: Policy = POLICIES["v2"]) -> DataFrame:
+    """The contract's columns from the stored ledger: measurements, ``base_failed``, the policy's verdict ``kept``, the bits, the
+    verdict of every version, and the rule that alone rejects the row (null if none or several do)."""
+    rows = stored_ledger(docs)
     failed = ~passes(BASE)
+    masked = F.col("fail_bits").bitwiseAND(F.lit(policy.mask))
+    alone = F.coalesce(*[F.when(masked == 1 << list(RULES).index(r), F.lit(r)) for r in policy.rules])
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & passes(policy)).alias("kept"), "n_lines", "fail_bits",
+        failed.alias("base_failed"), (~failed & passes(policy)).alias("kept"), "n_lines", "fail_bits", *verdicts(rows), alone.alias("only_rule"),
     )
 
 
-ORACLE_SQL = r"""
+_BITS = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -150,7 +179,18 @@ WITH d AS (
           + 8 * (10 * n_dup_lines > 3 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 20 * n_words)::INT)::INT AS fail_bits
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-       fail_bits = 0 AS kept, n_lines, fail_bits
+"""
+ORACLE_SQL = _BITS + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
+       fail_bits = 0 AS kept, n_lines, fail_bits, (fail_bits & 3) = 0 AS kept_base, (fail_bits & 7) = 0 AS kept_v1, fail_bits = 0 AS kept_v2,
+       CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' END AS only_rule
 FROM bits
 """
+ABLATION_SQL = _BITS + """, rule AS (
+  SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32)) AS r(rule, bit)
+), policy AS (
+  SELECT * FROM (VALUES ('base', 3), ('v1', 7), ('v2', 63)) AS p(version, mask)
+)
+SELECT version, rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (fail_bits & mask = bit)::BIGINT AS n_only_this,
+       count(*) FILTER ((fail_bits & mask) & ~bit = 0)::BIGINT AS n_kept_without, bit_or(fail_bits & mask) AS rules_seen
+FROM bits, policy, rule WHERE mask & bit <> 0 GROUP BY version, rule
+"""

@@ -16,6 +16,7 @@ def _op2(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_ledger": _over_documents(quality.op1_quality_ledger),
+    "quality_ablations": _over_documents(quality.quality_ablations),
     "op2_soft_mix": _op2,
     "op3_secrets": _over_documents(secrets.op3_secrets),
     "op4_pseudonyms": _over_documents(pii.op4_pseudonyms),
@@ -29,6 +30,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_ledger": quality.ORACLE_SQL,
+    "quality_ablations": quality.ABLATION_SQL,
     "op7_substring_dedup": substring.ORACLE_SQL,
     "op9_byte_shards": sharding.ORACLE_SQL,
 }
