@@ -1,6 +1,8 @@
-"""Near-duplicates by Jaccard similarity of word shingles: bands of minimum hashes find pairs, exact sets decide them.
+"""Near-duplicates by Jaccard similarity of five-word shingles: SimHash links and bands of minimum hashes find pairs, exact sets
+decide them.
 
-A 64-bit SimHash can't do this: pairs of similarity 0.8 differ in about ten bits, too many for blocks of bits as keys.
+The Gray-order index of ``simhash`` finds all pairs whose fingerprints differ in four bits or fewer. Pairs of similarity 0.8 differ
+in about ten of 64 bits, too many for blocks of bits as keys, so bands find those that the fingerprints leave.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, word_hashes
-from .simhash import _ASCII_LOWER, components
+from quaywise.operators.graph import components
+
+from .common import discard, materialise, mix, word_hashes
+from .simhash import _ASCII_LOWER, fingerprint, links
 
 SHINGLE = 5
 #: Texts link if five times the shingles they share are at least four times those of either: a similarity of 0.8.
@@ -65,9 +69,10 @@ def _sketches(rows: DataFrame, key: str, text: str) -> DataFrame:
             digest = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in runs]
             keys = pa.array([band_keys(r) for r in runs], pa.list_(pa.int64()))
             sizes = pa.array([len(r) for r in runs], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), sizes, keys], ["node", "digest", "size", "keys"])
+            fp = np.array([fingerprint(x, SHINGLE) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), sizes, keys, pa.array(fp)], ["node", "digest", "size", "keys", "fp"])
 
-    return rows.select(key, text).mapInArrow(batches, "node long, digest binary, size long, keys array<long>")
+    return rows.select(key, text).mapInArrow(batches, "node long, digest binary, size long, keys array<long>, fp long")
 
 
 def _decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,36 +95,45 @@ def _decided(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` (unique, a long) and ``component_id``, the least key reachable over links of similar texts.
 
-    Texts of equal shingles are met first by one grouped minimum; texts without words are such a group. The others meet in
-    bands. First each text is held against the least and the greatest of its bands, which joins a large group of near
-    copies in linear work; then all pairs of a band that are still apart are, so no pair that met is left undecided.
+    Texts of equal shingles are met first by one grouped minimum; texts without words are such a group, and so are null ones. The
+    others meet by SimHash links (simhash.links, four bits) and in bands. First each text is held against those it is linked
+    with and the least and the greatest of its bands, which joins a large group of near copies in linear work; then all
+    pairs of a band that are still apart are, so no pair that met is left undecided. A very long text is one set of shingles in memory.
+    Repeated rows are one group; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     sketches = materialise(_sketches(rows, key, text), "sketches")
     firsts = sketches.groupBy("digest").agg(F.min("node").alias("first"))
-    lone = sketches.join(firsts, F.col("node") == F.col("first"), "left_semi")
+    lone = materialise(sketches.join(firsts, F.col("node") == F.col("first"), "left_semi"), "lone")
+    prints = materialise(lone.filter("size > 0").groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    alike_bits = links(prints.select("fp", F.col("least").alias("node")))
+    equal_bits = lone.filter("size > 0").join(prints, "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    linked = materialise(alike_bits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(equal_bits), "linked")
     met = lone.select("node", "size", F.explode("keys").alias("band"))
     ends = met.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     met = materialise(met.join(ends, "band"), "bands")
-    texts = rows.select(F.col(key).alias("node"), F.col(text).alias("text")).join(met.select("node").distinct(), "node", "left_semi")
+    nodes = met.select("node").union(linked.select("a")).union(linked.select("b")).distinct()
+    texts = rows.select(F.col(key).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi")
     texts = materialise(texts, "met-texts")
 
     close = f"{DENOMINATOR} * least(a_size, b_size) >= {NUMERATOR} * greatest(a_size, b_size)"  # else sizes alone rule it out
-    sizes = met.select("node", "size").distinct()
+    sizes = lone.select("node", "size")
     a_size, b_size = sizes.toDF("a", "a_size"), sizes.toDF("b", "b_size")
     star = met.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
-    star = star.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    star = star.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).unionByName(linked).distinct()
     tried = _decided(star.join(a_size, "a").join(b_size, "b").filter(close).select("a", "b"), texts)
 
-    links = tried.filter("same").select("a", "b")
-    label = materialise(components(links), "labels")
+    joined = tried.filter("same").select("a", "b")
+    label = materialise(components(joined), "labels")
     named = met.join(label, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("part"))
     split = named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("band")
     named = materialise(named.join(split, "band", "left_semi"), "split-bands")
+    discard(label, met, linked)
     a = named.select("band", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("part").alias("a_part"))
     b = named.select("band", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("part").alias("b_part"))
     apart = a.join(b, "band").filter("a < b and a_part <> b_part").filter(close).select("a", "b").distinct()
     late = _decided(apart.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts)
+    discard(named, texts)
 
-    owner = components(links.unionByName(late.filter("same").select("a", "b")))
+    owner = components(joined.unionByName(late.filter("same").select("a", "b")))
     whole = firsts.join(owner, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("component_id"))
     return sketches.join(whole, "digest").select(F.col("node").alias(key), "component_id")

@@ -11,7 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from quaywise.operators.graph import components
+
+from .common import discard, materialise
 
 _ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -156,25 +158,39 @@ def _link(t: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
 
 
-#: 64 bits in six blocks: at most four differing bits leave two blocks alike, so each of the 15 pairs of blocks is a key.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 MOST_BITS = 4
+#: Blocks that 64 bits are cut into, and fingerprints up to which so many serve. Four differing bits leave all but four blocks
+#: alike, so each choice of that many is a key: 2 of 6 blocks are keys of 21 bits, 3 of 7 of 27, 4 of 8 of 32.
+BLOCKS = ((6, 1 << 26), (7, 1 << 32), (8, 1 << 62))
 #: Rows of one key that meet in one tile; a larger key is dealt over tiles of pairs of its parts, so no pair is lost.
 TILE_ROWS = 2048
 
 
-def links(nodes: DataFrame, most: int = MOST_BITS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def block_keys(n_blocks: int) -> list:
+    """A key for each choice of the blocks that ``MOST_BITS`` differing bits leave alike."""
+    edges = [64 * i // n_blocks for i in range(n_blocks + 1)]
+    block = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    keys = []
+    for k, chosen in enumerate(combinations(range(n_blocks), n_blocks - MOST_BITS)):
+        key = F.lit(k).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(block[i])
+        keys.append(key)
+    return keys
+
+
+def links(nodes: DataFrame, most: int = MOST_BITS, tile_rows: int = TILE_ROWS, n_blocks: int | None = None) -> DataFrame:
     """Links (``a``, ``b``) that connect all rows of ``nodes`` (fp distinct, node) at ``most`` differing bits or fewer.
 
-    The links are spanning forests, at most one a row of each tile: they connect what the pairs connect.
+    Rows that share a block key meet; more rows get longer keys (see BLOCKS), so a key's rows stay few as tables grow. The
+    links are spanning forests, at most one a row of each tile: they connect what the pairs connect.
     """
     if not 0 <= most <= MOST_BITS:
         raise ValueError(f"at most {MOST_BITS} bits")
-    block = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in BLOCKS]
-    keys = [
-        F.lit(k << 32).bitwiseOR(F.shiftleft(block[i], 11)).bitwiseOR(block[j])
-        for k, (i, j) in enumerate(combinations(range(6), 2))
-    ]
+    if n_blocks is None:
+        n = nodes.count()
+        n_blocks = next(k for k, upto in BLOCKS if n <= upto)
+    keys = block_keys(n_blocks)
     rows = nodes.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / F.lit(tile_rows)).cast("long")
@@ -191,42 +207,11 @@ def links(nodes: DataFrame, most: int = MOST_BITS, tile_rows: int = TILE_ROWS) -
     return dealt.mapInArrow(_forests(most), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node``, ``component`` (the least node reachable) for every node of ``edges`` (a, b).
-
-    Alternating large-star and small-star steps; each round is written to shared storage, and the driver sees counts
-    only. Nodes with many neighbours are met by grouped minima, which combine before they shuffle.
-    """
-    edges = materialise(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-
-    def totals(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-
-    state = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: neighbours above a node go to the least of its neighbourhood
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: a node and its neighbours below go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = totals(edges)
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components didn't settle")
-    own = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return own.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, most: int = MOST_BITS) -> DataFrame:
     """``key``, ``fp`` and ``component_id``, the least key reachable over links of at most ``most`` bits.
 
+    A very long text is hashed a block of shingles at a time.
+
     Exact copies and equal fingerprints are met first by one grouped minimum, so that only distinct fingerprints are
     indexed. A null or empty text has fingerprint zero and links like any other; repeated keys each get a row; a null key
     gets a row but never names a component unless no other key is in it (then the component is null). An empty table
@@ -234,7 +219,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     prints = materialise(fingerprints(docs, key, text, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    found = nodes.filter("least is not null").select("fp", F.col("least").alias("node"))
+    found = materialise(nodes.filter("least is not null").select("fp", F.col("least").alias("node")), "nodes")
     owner = components(links(found, most))
     named = nodes.join(owner, nodes["least"] == owner["node"], "left").select(
         "fp", F.coalesce("component", "least").alias("component_id")
