@@ -93,17 +93,20 @@ def _q(s: str) -> str:
 _RUN = 256
 
 
-def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
-    """For each value of an array (of ints from 0) the merge of all up to it: within runs of _RUN first, then over the runs' ends."""
+def _running(df: DataFrame, out: str, values: Column, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """Add ``out``: for each value of an array (of ints from 0) the merge of all up to it: within runs of _RUN first, then over the runs' ends."""
     zero = F.array(F.lit(0))
 
     def grow(a: Column, x: Column) -> Column:
         return F.concat(a, F.array(merge(F.element_at(a, -1), x)))
 
-    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(_RUN))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda at: F.aggregate(F.slice(values, at, F.lit(_RUN)), zero, grow, lambda a: F.slice(a, F.lit(2), F.size(a))))
-    before = F.aggregate(F.transform(runs, lambda r: F.element_at(r, -1)), zero, grow)
-    return F.flatten(F.zip_with(runs, F.slice(before, F.lit(1), F.size(runs)), lambda r, b: F.transform(r, lambda x: merge(b, x))))
+    df = df.withColumn("_q_values", values)
+    starts = F.when(F.size("_q_values") > 0, F.sequence(F.lit(1), F.size("_q_values"), F.lit(_RUN))).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(starts, lambda at: F.aggregate(F.slice("_q_values", at, F.lit(_RUN)), zero, grow, lambda a: F.slice(a, F.lit(2), F.size(a))))
+    df = df.withColumn("_q_runs", runs)
+    df = df.withColumn("_q_before", F.aggregate(F.transform("_q_runs", lambda r: F.element_at(r, -1)), zero, grow))
+    found = F.flatten(F.zip_with("_q_runs", F.slice("_q_before", F.lit(1), F.size("_q_runs")), lambda r, b: F.transform(r, lambda x: merge(b, x))))
+    return df.withColumn(out, found).drop("_q_values", "_q_runs", "_q_before")
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -114,7 +117,7 @@ def _spans(df: DataFrame, kind: str, pattern: str, group: int, least: int) -> Da
     """Add ``_q_<kind>``: array of (start, rank, kind, end, token) of the matches in _q_text that are long enough, in code points."""
     pieces = f"_q_{kind}_pieces"
     df = df.withColumn(pieces, F.expr(_pieces("_q_text", pattern)))
-    df = df.withColumn("_q_ends", _running(F.transform(pieces, F.length), _plus))
+    df = _running(df, "_q_ends", F.transform(pieces, F.length), _plus)
 
     def span(s: Column, end: Column) -> Column:
         token = F.regexp_extract(s, pattern, 0)
@@ -145,23 +148,24 @@ def find_secrets(docs: DataFrame, model: list[float], text: str = "text") -> Dat
         total = _score(x["token"], model)
         return (total > LEAST_TOTAL) & (total > LEAST_MEAN * (F.length(x["token"]) - 1))
 
-    out = out.withColumn("_q_all", F.array_sort(F.concat(*[F.col(f"_q_{k}") for k in BASE], F.filter("_q_markov", random))))
-    base_ends = F.transform("_q_all", lambda x: F.when(x["rank"] < len(BASE), x["end"]).otherwise(0))
+    out = out.withColumn("_q_all", F.array_sort(F.concat(*[F.col(f"_q_{k}") for k in BASE], "_q_markov"))).withColumn("_q_size", F.length("_q_text"))
+    out = out.drop("_q_text", "_q_markov", *[f"_q_{k}" for k in BASE])
+    out = _running(out, "_q_past", F.transform("_q_all", lambda x: F.when(x["rank"] < len(BASE), x["end"]).otherwise(0)), F.greatest)
     # places of starts from the end of the text, so that a running maximum from the end is the next base start
-    size = F.length("_q_text")
-    base_starts = F.reverse(F.transform("_q_all", lambda x: F.when(x["rank"] < len(BASE), size - x["start"]).otherwise(0)))
-    out = out.withColumns({"_q_past": _running(base_ends, F.greatest), "_q_next": F.reverse(_running(base_starts, F.greatest))})
-    with_edges = F.arrays_zip("_q_all", "_q_past", "_q_next")
+    starts = F.transform("_q_all", lambda x: F.when(x["rank"] < len(BASE), F.col("_q_size") - x["start"]).otherwise(0))
+    out = _running(out, "_q_next", F.reverse(starts), F.greatest)
+    out = out.withColumn("_q_zip", F.arrays_zip("_q_all", "_q_past", F.reverse("_q_next").alias("_q_next")))
 
     def stays(x: Column) -> Column:
-        clear = (x["_q_past"] <= x["_q_all"]["start"]) & (size - x["_q_next"] >= x["_q_all"]["end"])
-        return (x["_q_all"]["rank"] < len(BASE)) | clear
+        own = x["_q_all"]
+        clear = (x["_q_past"] <= own["start"]) & (F.col("_q_size") - x["_q_next"] >= own["end"])
+        return F.when(own["rank"] < len(BASE), True).when(~clear, False).otherwise(random(own))
 
     def bare(x: Column) -> Column:
         return F.struct(*[x["_q_all"][c].alias(c) for c in ("start", "rank", "kind", "end")])
 
-    kept = F.transform(F.filter(with_edges, stays), bare)
-    return out.withColumn("secrets", kept).drop("_q_text", "_q_markov", "_q_all", "_q_past", "_q_next", *[f"_q_{k}" for k in BASE])
+    kept = F.transform(F.filter("_q_zip", stays), bare)
+    return out.withColumn("secrets", kept).drop("_q_all", "_q_past", "_q_next", "_q_size", "_q_zip")
 
 
 def _score(token: Column, model: list[float]) -> Column:
@@ -189,7 +193,7 @@ def redact(found: DataFrame, text: str = "text", mask: str = "[SECRET]") -> Data
     """
     t = F.col(text)
     cuts = F.when(F.size("secrets") > 0, F.regexp_extract_all(t, F.lit(r"[\s\S]{1,%d}" % _CUT), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = found.withColumns({"_q_cuts": cuts, "_q_upto": _running(F.transform("secrets", lambda s: s["end"]), F.greatest)})
+    out = _running(found.withColumn("_q_cuts", cuts), "_q_upto", F.transform("secrets", lambda s: s["end"]), F.greatest)
 
     def between(start: Column, end: Column) -> Column:
         first, last = F.floor(start / _CUT).cast("int"), F.floor(end / _CUT).cast("int")
