@@ -3,19 +3,29 @@ DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Kind -> pattern, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![0-9A-Za-z:.])",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\dA-Za-z])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z])",
-    "phone": r"(?:\+\d{1,3}[ -]?)?\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|\+\d(?:[ ()-]{0,2}\d){7,14}(?!\d)",
+    "phone": r"(?<![\d-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\d-]|\.\d)|(?:\+\d{1,3}[ -]?)?\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|\+\d(?:[ ()-]{0,2}\d){7,14}(?!\d)",
 }
+#: Prefixes of international numbers, as assigned or reserved for regions; 999 isn't.
+CALLING_CODES = r"^(?:1|7|2[07]|2[1-689]\d|3[0-469]|3[578]\d|4[013-9]|42\d|5[1-8]|5[09]\d|6[0-6]|6[789]\d|8[1246]|8[035789]\d|9[0-58]|9[67]\d|99[2-68])"
 ROUNDS = 10
+#: Steps of a walk through a permutation until it is back among dates of one kind; each misses with at most six in ten.
+WALK = 160
+#: Where the key of pseudonyms is looked up.
+KEY_SETTING = "quaywise.pseudonyms.key"
 #: Days of 1900-01-01 to 2099-12-31, a product of the radices of the two halves.
 DATE_RADICES = (17, 4297)
 
@@ -105,22 +115,73 @@ def _ssn(m: str, key: str, inverse: bool) -> str:
 
 
 def _date(m: str, key: str, inverse: bool) -> str:
-    """Dates of 1900 to 2099 in four formats; equal dates stay equal over formats. 01/02/2020 is read month first."""
-    forms = [r"\d{4}-\d{2}-\d{2}", r"\d{4}/\d{2}/\d{2}", r"\d{2}\.\d{2}\.\d{4}", r"\d{2}/\d{2}/\d{4}"]
-    styles = ["yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy"]
-    day = " ".join(f"WHEN {m} RLIKE {_q('^' + f + '$')} THEN try_to_date({m}, '{s}')" for f, s in zip(forms, styles, strict=True))
-    value = "datediff(v, date'1900-01-01')"
-    new = f"date_add(date'1900-01-01', cast({feistel(value, *map(str, DATE_RADICES), key, _sql('date'), inverse)} as int))"
-    back = " ".join(f"WHEN {m} RLIKE {_q('^' + f + '$')} THEN date_format(n, '{s}')" for f, s in zip(forms, styles, strict=True))
+    """Dates of 1900 to 2099 in five formats; equal dates stay equal over formats. 01/02/2020 is read month first, and day first
+    where only that is a date (25/12/1980).
+
+    Days of month over 12 stay over 12, and the others below: the permutation is walked until that holds, which is itself a
+    permutation, so a day-first date is printed as one and is read back.
+    """
+    forms = [r"\d{4}-\d{2}-\d{2}", r"\d{4}/\d{2}/\d{2}", r"\d{2}\.\d{2}\.\d{4}", r"\d{2}/\d{2}/\d{4}", r"\d{2}/\d{2}/\d{4}"]
+    styles = ["yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy"]
+    tests = [f"{m} RLIKE {_q('^' + f + '$')} AND try_to_date({m}, '{s}') IS NOT NULL" for f, s in zip(forms, styles, strict=True)]
+    day = " ".join(f"WHEN {t} THEN try_to_date({m}, '{s}')" for t, s in zip(tests, styles, strict=True))
+
+    def late(x: str) -> str:
+        return f"(day(date_add(date'1900-01-01', cast({x} as int))) > 12)"
+
+    once = feistel("w", *map(str, DATE_RADICES), key, _sql("date"), inverse)
+    first = feistel("datediff(v, date'1900-01-01')", *map(str, DATE_RADICES), key, _sql("date"), inverse)
+    walked = f"aggregate(sequence(1, {WALK}), cast({first} as bigint), (w, _s) -> CASE WHEN {late('w')} = (day(v) > 12) THEN w ELSE cast({once} as bigint) END)"
+    new = f"date_add(date'1900-01-01', cast({walked} as int))"
+    back = " ".join(f"WHEN {t} THEN date_format(n, '{s}')" for t, s in zip(tests, styles, strict=True))
     out = f"CASE WHEN v BETWEEN date'1900-01-01' AND date'2099-12-31' THEN {_let('n', new, f'CASE {back} END')} ELSE {m} END"
     return _let("v", f"CASE {day} END", out)
 
 
 def _phone(m: str, key: str, inverse: bool) -> str:
-    """The country code (digits after a plus up to the first other character, one if none follows) stays."""
-    code = f"length(regexp_extract({m}, r'^\\+(\\d{{1,3}})(?=[^0-9])|^\\+(\\d)', 0))"
-    code = f"greatest({code} - 1, 0)"
-    return _let("d", _digits(m), _let("k", code, _let("n", f"concat(substring(d, 1, k), {_numeric('substring(d, k + 1)', key, 'phone', inverse)})", _fill(m, "n"))))
+    """An international number keeps its calling code, which must be one; others are permuted as a whole."""
+    code = f"CASE WHEN {m} LIKE '+%' THEN length(regexp_extract(d, {_q(CALLING_CODES)}, 0)) ELSE 0 END"
+    valid = f"({m} NOT LIKE '+%' OR k > 0) AND length(d) <= 15"
+    new = f"concat(substring(d, 1, k), {_numeric('substring(d, k + 1)', key, 'phone', inverse)})"
+    return _let("d", _digits(m), _let("k", code, f"CASE WHEN {valid} THEN {_let('n', new, _fill(m, 'n'))} ELSE {m} END"))
+
+
+def _chunks(text: str, size: int, one: str) -> str:
+    """SQL: ``text`` in chunks ``c`` of up to ``size`` characters, chunk number ``i``, each replaced by ``one`` and joined again."""
+    return f"array_join(transform(sequence(1, greatest(1, length({text})), {size}), (p, i) -> {_let('c', f'substring({text}, p, {size})', one)}), '')"
+
+
+def _mod97(text: str) -> str:
+    """SQL: a text of digits and capitals as a number, a letter counting as 10 to 35, modulo 97."""
+    value = "CASE WHEN x RLIKE '[0-9]' THEN cast(x as int) ELSE ascii(x) - 55 END"
+    return f"aggregate(split({text}, ''), 0, (t, x) -> CASE WHEN x = '' THEN t WHEN x RLIKE '[0-9]' THEN (t * 10 + {value}) % 97 ELSE (t * 100 + {value}) % 97 END)"
+
+
+def _iban(m: str, key: str, inverse: bool) -> str:
+    """Country and letters stay, the account's digits are permuted, up to fifteen at a time, and the check digits computed anew."""
+    account = "substring(b, 5)"
+    digit = _digits(account)
+    permuted = _chunks("g", 15, f"CASE WHEN length(c) < 2 THEN c ELSE {_numeric('c', key, 'iban', inverse)} END")
+    filled = _let("g", digit, _let("q", permuted, _fill(account, "q")))
+    check = f"lpad(cast(98 - {_mod97('concat(a, substring(b, 1, 2), 0, 0)')} as string), 2, '0')"
+    built = _let("a", filled, f"concat(substring(b, 1, 2), {check}, a)")
+    spaced = _let("z", built, f"CASE WHEN {m} LIKE '% %' THEN trim(regexp_replace(z, r'(.{{4}})', '$1 ')) ELSE z END")
+    valid = f"{_mod97('concat(substring(b, 5), substring(b, 1, 4))')} = 1 AND substring(b, 3, 2) BETWEEN '02' AND '98'"
+    return _let("b", f"replace({m}, ' ', '')", f"CASE WHEN {valid} THEN {spaced} ELSE {m} END")
+
+
+def _ipv6(m: str, key: str, inverse: bool) -> str:
+    """The hexadecimal digits as they are written are permuted, up to twelve at a time, in lower case; colons stay. Equal addresses
+    are linked where they are written with the same colons and digits."""
+    left, right = ("cast(power(16, {}) as bigint)".format(x) for x in ("length(c) div 2", "length(c) - length(c) div 2"))
+    value = "cast(conv(c, 16, 10) as bigint)"
+    new = f"lpad(lower(conv(cast({feistel(value, left, right, key, f'concat({_sql('ipv6')}, i, length(c))', inverse)} as string), 10, 16)), length(c), '0')"
+    permuted = _chunks("g", 12, f"CASE WHEN length(c) < 2 THEN c ELSE {new} END")
+    nth = "regexp_replace(substring(h, 1, j), '[^0-9a-f]', '')"
+    fill = f"array_join(transform(sequence(1, length(h)), j -> CASE WHEN substring(h, j, 1) <> ':' THEN substring(q, length({nth}), 1) ELSE ':' END), '')"
+    few = "size(filter(split(h, ':'), y -> y <> '')) <= 7"
+    valid = f"(h NOT LIKE '%::%' OR {few})"
+    return _let("h", f"lower({m})", f"CASE WHEN {valid} THEN {_let('g', "regexp_replace(h, ':', '')", _let('q', permuted, fill))} ELSE {m} END")
 
 
 def _email(m: str, key: str) -> str:
@@ -131,33 +192,48 @@ def _email(m: str, key: str) -> str:
 def pseudonym(match: str, key: str, inverse: bool = False) -> str:
     """SQL: what replaces one match; a match that no validation accepts stays."""
     email = match if inverse else _email(match, key)
-    by = {"email": email, "ipv4": _ipv4(match, key, inverse), "date": _date(match, key, inverse), "ssn": _ssn(match, key, inverse), "card": _card(match, key, inverse), "phone": _phone(match, key, inverse)}
+    by = {"email": email, "iban": _iban(match, key, inverse), "ipv6": _ipv6(match, key, inverse), "ipv4": _ipv4(match, key, inverse), "date": _date(match, key, inverse), "ssn": _ssn(match, key, inverse), "card": _card(match, key, inverse), "phone": _phone(match, key, inverse)}
     return "CASE " + " ".join(f"WHEN {match} RLIKE {_q('^(?:' + PATTERNS[k] + ')$')} THEN {v}" for k, v in by.items()) + f" ELSE {match} END"
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool = False) -> DataFrame:
     """Replace validated personal data in ``text`` and add ``n_private``, the number of values replaced.
 
-    Cards (Luhn), social security numbers, IPv4 addresses, dates and phone numbers are permuted within their format by a
-    key, so equal values stay equal over all documents, valid values stay valid and ``inverse`` undoes it; e-mail addresses
-    become keyed aliases. Values that fail validation stay as they are. Null and empty texts stay; all columns are kept,
-    ``n_private`` being replaced. Texts without a digit or an at sign are passed by.
+    Cards (Luhn), IBANs (check digits), social security numbers, IPv4 and IPv6 addresses, dates and phone numbers are permuted
+    within their format by a key, so equal values stay equal over all documents, valid values stay valid and ``inverse``
+    undoes it; e-mail addresses become keyed aliases. Values that fail validation stay as they are. Null and empty texts stay; a very
+    long text is cut at its values once; repeated rows each get a row, with equal values; an empty table gives an empty
+    result; all columns are kept, ``n_private`` being replaced; ``_q_m`` and ``_q_r`` are reserved names. Texts without a digit, an at
+    sign or two colons are passed by. Where two values could begin at one place the kind named first in PATTERNS is taken.
     """
     import re
 
+    if clash := {"_q_m", "_q_r"} & set(docs.columns):
+        raise ValueError(f"{sorted(clash)} are reserved names")
+
     parts, shift = [], 0
     for p in PATTERNS.values():  # groups are numbered over the whole alternation
         parts.append(re.sub(r"\\([1-9])(?!\d)", lambda m, s=shift: f"\\{int(m[1]) + s}", p))
         shift += re.compile(p.replace("++", "+")).groups
     any_of = "|".join(parts)
     t = f"`{text}`"
-    out = docs.withColumn("_q_m", F.expr(f"CASE WHEN {t} RLIKE '[0-9@]' THEN regexp_extract_all({t}, {_q(any_of)}, 0) ELSE array() END"))
+    out = docs.withColumn("_q_m", F.expr(f"CASE WHEN {t} RLIKE '[0-9@]|::' THEN regexp_extract_all({t}, {_q(any_of)}, 0) ELSE array() END"))
     out = out.withColumn("_q_r", F.expr(f"transform(_q_m, m -> {pseudonym('m', key, inverse)})"))
     rebuilt = f"array_join(zip_with(split({t}, {_q(any_of)}, -1), _q_r, (g, r) -> concat(g, coalesce(r, ''))), '')"
     out = out.withColumn("n_private", F.expr("cast(size(filter(zip_with(_q_m, _q_r, (m, r) -> m <> r), x -> x)) as long)"))
     return out.withColumn(text, F.expr(f"CASE WHEN n_private > 0 THEN {rebuilt} ELSE {t} END")).drop("_q_m", "_q_r")
 
 
-def op4_pseudonyms(docs: DataFrame, key: str = "key of this release") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The secret key of pseudonyms: the session's setting KEY_SETTING, else a random one made once a session, whose pseudonyms
+    link within the session only and which nobody can undo later."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def op4_pseudonyms(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, the pseudonymised text and the number of values replaced, for all ``documents``."""
-    return pseudonymise(docs.select("doc_id", "text"), key).select("doc_id", "text", "n_private")
+    return pseudonymise(docs.select("doc_id", "text"), key or key_of(docs.sparkSession)).select("doc_id", "text", "n_private")
