@@ -23,7 +23,7 @@ from .fmindex import FMIndex
 #: Words of a window, and of the grams that name its shard.
 WINDOW, GRAM = 20, 8
 #: Words that one index holds: a bound on a task's memory, which grows with no input.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: An anchor with more distinct runs than this is dealt window by window instead, under each window's own hash, once for equal windows.
 SPLIT = 512
 #: Stands for a null key, before all others.
