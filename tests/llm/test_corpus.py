@@ -149,6 +149,44 @@ def test_mixing_counts_small_posteriors(spark, monkeypatch):
     assert all(abs(a - w * total) < 0.05 * s for a, w, s in zip(reached, weights.values(), supply, strict=True))
 
 
+def brute_features(text):
+    words = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in words_of(text)]
+    return {int(mixing.word_hashes(w.encode())[2][0] % np.uint64(mixing.BUCKETS)) for w in words}
+
+
+def test_mixing_equals_brute_force_descent_over_all_rows(spark, docs, rows):
+    words = ["w1", "w2", "w3", "x1"]
+    at = np.array([int(mixing.word_hashes(w.encode())[2][0] % np.uint64(mixing.BUCKETS)) for w in words])
+    order = np.argsort(at)
+    weights = np.random.RandomState(1).randn(len(words), 3)
+    model = mixing.Classifier(at[order], weights[order], np.array([1.0, 0.0, -1.0]))
+    own = mixing.posteriors(docs, model, ["doc_id", "text"]).collect()
+    assert Counter((r.doc_id, r.text, r.n_tokens) for r in own) == Counter((r[0], r[1], len(words_of(r[1]))) for r in rows)
+    for r in own:
+        s = model.bias + sum((weights[i] for i in range(len(words)) if int(at[i]) in brute_features(r.text)), np.zeros(3))
+        assert r.p == pytest.approx((np.exp(s) / np.exp(s).sum()).tolist(), rel=1e-9)
+    p, n = np.array([r.p for r in own]), np.array([r.n_tokens for r in own], float)
+    targets = np.array([0.6, 0.3, 0.1]) * n.sum()
+    rate, supply = np.ones(len(n)), n @ p
+    for _ in range(20_000):
+        rate = np.clip(rate - p @ ((n * rate) @ p / supply - targets / supply), 0, 4)
+    table = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(len(n))], "doc_id long, n_tokens long, p array<double>")
+    fitted, reached = mixing.fit_rates(table, targets.tolist(), most=4.0)
+    loss = [float((((x - targets) / supply) ** 2 * supply).sum()) for x in (np.array(reached), (n * rate) @ p)]
+    assert loss[0] <= loss[1] + 1e-4 * n.sum()
+    got = dict(map(tuple, table.select("doc_id", fitted.alias("rate")).collect()))
+    assert reached == pytest.approx((n * [got[i] for i in range(len(n))]) @ p, rel=1e-9)
+
+
+def test_mixing_trains_on_one_text_a_label(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    got = mixing.labelled_texts(docs, labels).collect()
+    assert sorted(r.domain for r in got) == ["good", "toxic"]
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("rate", F.lit(1)), mixing.labelled_texts(docs, labels), mixing.WEIGHTS, ["doc_id", "rate"], most=4.0)
+
+
 def test_mixing_survives_odd_rows(spark, docs, empty, rows):
     labels = spark.createDataFrame([(10, 1, 0), (11, 0, 1), (12, None, 0), (10, 0, 0)], "doc_id long, quality int, toxic int")
     assert mixing.op2_soft_mix(docs, labels).count() == len(rows)
@@ -196,6 +234,46 @@ def test_markov_models_tell_random_from_ordinary(spark, small):
     assert len(found & set(range(60))) >= 55 and not found & set(range(60, 64))
 
 
+def brute_secrets(text, model):
+    base = brute_spans(text)
+    n, out = len(secrets.ALPHABET), list(base)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}", text or ""):
+        at = [secrets.ALPHABET.index(c) for c in m[0]]
+        total = sum(model[a * n + b] for a, b in zip(at, at[1:], strict=False))
+        if total > secrets.LEAST_TOTAL and total > secrets.LEAST_MEAN * (len(at) - 1) and not any(a < m.end() and m.start() < b for a, _, _, b in base):
+            out.append((m.start(), 3, "markov", m.end()))
+    return sorted(out)
+
+
+def brute_redaction(text, spans):
+    if not spans:
+        return text
+    out, at = "", 0
+    for start, _, _, end in spans:
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_secrets_and_redaction_equal_brute_force(spark, small, docs, monkeypatch):
+    monkeypatch.setattr(secrets, "_RUN", 4)  # texts of several runs and cuts
+    monkeypatch.setattr(secrets, "_CUT", 50)
+    rng = random.Random(9)
+    keys = ["".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randrange(15, 60))) for _ in range(60)]
+    many = " ".join(f"{rng.choice(['', 'token=', 'secret: ', 'AKIA', 'x='])}{rng.choice([*keys, '%032x' % rng.getrandbits(128)])}" for _ in range(300))
+    model = secrets.fit_model(small)
+    texts = [*TEXTS, many, "日本 " + many[:900] + " ünïcode", *[r.text for r in docs.collect()]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("secrets", F.lit("clash"))
+    found = secrets.find_secrets(table, model)
+    for r in found.collect():
+        assert [tuple(x) for x in r.secrets] == brute_secrets(texts[r.doc_id], model)
+    for r in secrets.redact(found).collect():
+        assert r.text == brute_redaction(texts[r.doc_id], brute_secrets(texts[r.doc_id], model))
+    with pytest.raises(ValueError):
+        secrets.find_secrets(docs.withColumn("_q_text", F.lit(1)), model)
+
+
 def test_redaction_masks_every_span(spark, empty):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     model = secrets.fit_model(docs)
@@ -227,6 +305,55 @@ def test_pseudonyms_keep_format_link_and_invert(spark):
     assert back.replace(re.search(r"mail (\S+)", new)[1], "a@b.com") == text
 
 
+PRIVATE = {  # text, and whether it must change
+    "on 25/12/1980": True, "on 12/25/1980": True, "on 01/02/2020": True, "on 31.12.1999": True, "on 2020/02/29": True, "on 30/02/2020": False, "on 99/99/2020": False,
+    "call 555-123-4567": True, "call 555.123.4567": True, "call (212) 555-0100": True, "call +44 20 7946 0958": True, "call +999999999": False, "part 12-555-123-4567": False,
+    "iban GB82 WEST 1234 5698 7654 32": True, "iban DE89370400440532013000": True, "iban DE88370400440532013000": False, "iban NO9386011117947": True,
+    "ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334": True, "ip 2001:db8::1": True, "ip ::ffff:c000:0280": True, "at 12:30:45 h": False, "std::vector": False,
+    "card 4111111111111111": True, "card 4111111111111112": False, "ssn 123-45-6789": True, "ssn 000-12-3456": False, "ip 10.0.0.7": True, "ip 10.0.0.256": False,
+}
+
+
+def iban_ok(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_pseudonyms_of_every_format_against_their_rules(spark):
+    texts = list(PRIVATE)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    new = {texts[r.doc_id]: r.text for r in pii.pseudonymise(docs, "k").collect()}
+    for old, changes in PRIVATE.items():
+        assert (new[old] != old) == changes, (old, new[old])
+        form = r"\d+" if "ip 10" in old else "[0-9a-f]"  # octets have one to three digits
+        assert re.sub(form, "0", new[old]) == re.sub(form, "0", old)
+    assert all(iban_ok(new[t].split(" ", 1)[1]) for t in texts if "iban" in t and PRIVATE[t])
+    assert new["on 25/12/1980"].split("/")[1:][1] == new["on 12/25/1980"].split("/")[2] and int(new["on 25/12/1980"][3:5]) > 12
+    assert new["call +44 20 7946 0958"].startswith("call +44 ")
+    again = spark.createDataFrame([(i, new[t]) for i, t in enumerate(texts)], "doc_id long, text string")
+    back = {texts[r.doc_id]: r.text for r in pii.pseudonymise(again, "k", inverse=True).collect()}
+    assert back == {t: t for t in texts}
+    other = {texts[r.doc_id]: r.text for r in pii.pseudonymise(docs, "another").collect()}
+    assert sum(other[t] != new[t] for t in texts if PRIVATE[t]) >= sum(PRIVATE.values()) - 1
+
+
+def test_dates_are_permuted_one_to_one(spark):
+    days = spark.sql("select id as doc_id, date_format(date_add(date'1900-01-01', cast(id as int)), 'yyyy-MM-dd') as text from range(0, 73049, 37)")
+    got = [(r.text, r.doc_id) for r in pii.pseudonymise(days, "k").collect()]
+    assert len({t for t, _ in got}) == len(got)
+
+
+def test_pseudonyms_of_odd_rows(spark, docs, rows, empty):
+    out = pii.pseudonymise(docs.withColumn("n_private", F.lit("clash")), "k")
+    got = out.collect()
+    assert out.columns == [*docs.columns, "n_private"] and len(got) == len(rows)
+    assert Counter((r.doc_id, r.text, r.lang, r.source, r.k) for r in got if not r.n_private) == Counter((r[0], r[1], r[2], r[3], "clash") for r in rows)
+    assert pii.op4_pseudonyms(empty).count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs.withColumn("_q_m", F.lit(1)), "k")
+    assert len(pii.key_of(spark)) == 64 and pii.key_of(spark) == pii.key_of(spark)
+
+
 def test_feistel_is_a_permutation(spark):
     n = 7 * 11
     q = spark.range(n).selectExpr("id", f"{pii.feistel('id', '7', '11', 'key', repr('t'))} AS e")
@@ -305,6 +432,49 @@ def test_language_on_held_out_documents(small):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def brute_language(text, profiles):
+    c = " " + "".join(x if x.isalpha() else " " for x in text.lower()) + " "
+    c = re.sub(" +", " ", c)
+    grams = [x for x in c if x != " "] + [c[i : i + 2] for i in range(len(c) - 1)] + [c[i : i + 3] for i in range(len(c) - 2) if c[i + 1] != " "]
+    if not any(len(g) == 1 for g in grams):
+        return "und", 0.0
+
+    def number(g):
+        n = 0
+        for x in g:
+            n = n << 21 | ord(x)
+        return n
+
+    own = sorted(Counter(grams).items(), key=lambda kv: (-kv[1], number(kv[0])))[: langid.PROFILE]
+    best = None
+    for lang in sorted(profiles):
+        rank = {g: i for i, g in enumerate(profiles[lang].tolist())}
+        away = sum(abs(i - rank[number(g)]) if number(g) in rank else langid.PROFILE for i, (g, _) in enumerate(own))
+        if best is None or away < best[0]:
+            best = away, lang
+    return best[1], 1 - best[0] / (langid.PROFILE * len(own))
+
+
+def test_language_equals_brute_force_out_of_place_distance(spark, small, docs):
+    train = small.filter("lang is not null and text is not null")
+    profiles = langid.fit_profiles(train)
+    by_hand = defaultdict(Counter)
+    for r in train.collect():
+        grams, n = langid.ngrams(r.text)
+        for g, k in zip(grams.tolist(), n.tolist(), strict=True):
+            by_hand[r.lang][g] += k
+    for lang, counts in by_hand.items():  # all rows train, as there are few
+        want = [g for g, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[: langid.PROFILE]]
+        assert len(set(want) & set(profiles[lang].tolist())) >= langid.PROFILE - 8
+    for table in (small, docs):
+        texts = {(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()}
+        got = langid.identify(table.withColumn("t", F.col("text")), profiles, keep=("t",)).collect()
+        assert {(r.doc_id, r.t) for r in got} == texts
+        for r in got:
+            lang, score = brute_language(r.t or "", profiles)
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-12)
+
+
 def test_language_of_odd_texts(spark, docs, rows, empty):
     out = langid.op6_language(docs).collect()
     assert len(out) == len(rows)
@@ -344,6 +514,49 @@ def test_repeated_windows_equal_brute_force(monkeypatch, docs, rows, split):
     assert got == brute_windows(rows)
 
 
+def test_a_hot_window_is_dealt_once(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(substring, "SPLIT", 16)
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(i, prose(rng, 25, 10**6) + " " + shared + " " + prose(rng, 25, 10**6)) for i in range(300)]
+    own = substring._answers
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    together = spark.sparkContext.accumulator(0)
+
+    def run(it):
+        batches = list(it)
+        routes = Counter(x for b in batches for x in b.column(0).to_pylist())
+        together.add(sum(n - 1 for n in routes.values()))
+        return own(iter(batches))
+
+    monkeypatch.setattr(substring, "_answers", run)
+    got = Counter(map(tuple, substring.op7_substring_dedup(docs).collect()))
+    assert got == brute_windows([(k, t, None, None, None) for k, t in rows])
+    assert together.value < 20  # of 300 equal windows, one is dealt
+
+
+def test_streamed_runs_below_the_threshold_are_indexed_next():
+    rng = random.Random(2)
+    shard = substring._Shard()
+    runs = []
+    for i in range(25):
+        at = rng.randrange(0, 30)
+        words = [f"{'vw'[i % 2]}{at + j}" for j in range(26)]
+        if i % 2:
+            words[rng.randrange(26)] = f"x{i}"
+        runs.append(words)
+    for i in sorted(range(25), key=lambda i: (i % 2, i)):  # two routes, whose runs come one after the other
+        shard.rows.append((shard.add(i % 2, " ".join(runs[i]).encode(), 7, i, 5), 1, i, 0))
+    got = {}
+    for row in shard.answers().to_pylist():
+        for j in range(row["m"]):
+            got[row["r"], row["w"] + j] = row["first_k"], row["first_at"] + j
+    for i, words in enumerate(runs):
+        for w in range(7):
+            same = [(k, 5 + v) for k in range(25) for v in range(7) if runs[k][v : v + 20] == words[w : w + 20] and k % 2 == i % 2]
+            assert got[i, w] == min(same)
+
+
 def test_dedup_gives_texts_and_nothing_for_nothing(spark, empty):
     assert substring.op7_substring_dedup(empty).count() == 0
     text = " ".join(f"v{i}" for i in range(25))
@@ -392,6 +605,7 @@ def test_media_round_trip(spark, docs, rows, empty, tmp_path):
     assert all(len(v) == 1 for v in by.values())
     heads = media.with_header(media.one_address(index), root).collect()
     assert all(r.width == 64 and r.height * 64 == r.payload_bytes for r in heads)
+    assert all((r.width, r.height * 64) == (64, r.payload_bytes) for r in media.op8_media(docs, f"file://{tmp_path}/q").collect())
     names = set()
     for shard in {r.shard for r in index.collect()}:
         with tarfile.open(fileobj=io.BytesIO((tmp_path / "m" / shard).read_bytes())) as t:
@@ -480,10 +694,11 @@ def test_links_of_crowded_keys_lose_no_pair(spark):
         prints.add(x)
     prints = list(enumerate(prints))
     signed = [(x - (1 << 64) if x >> 63 else x, k) for k, x in prints]
-    links = simhash.links(spark.createDataFrame(signed, "fp long, node long"), tile_rows=16)
-    owner = {r.node: r.component for r in simhash.components(links).collect()}
     want = components_of(prints)
-    assert all(owner.get(k, k) == c for k, c in want.items())
+    for n_blocks in (6, 7, 8):
+        links = simhash.links(spark.createDataFrame(signed, "fp long, node long"), tile_rows=16, n_blocks=n_blocks)
+        owner = {r.node: r.component for r in simhash.components(links).collect()}
+        assert all(owner.get(k, k) == c for k, c in want.items())
 
 
 def test_near_duplicates_of_odd_rows(docs, rows):

@@ -4,13 +4,28 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from pyspark.sql import functions as F
 
 from quaywise.llm import neardup, queries, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 
 
+def least_of_groups(texts):
+    """The least id of each group of texts that five-word shingles of similarity 0.8 link."""
+    sets = {}
+    for k, t in texts.items():
+        w = (t or "").lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    least = {k: k for k in texts}
+    keys = sorted(texts)
+    for j, b in enumerate(keys):
+        for a in keys[:j]:
+            if 4 * max(len(sets[a]), len(sets[b])) <= 5 * min(len(sets[a]), len(sets[b])) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((least[a], least[b]))
+                least = {k: low if x == high else x for k, x in least.items()}
+    return set(least.values())
+
+
 def test_stages_keep_columns_and_decisions_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "secret scans", "mixing sources to target weights", "packing"]
@@ -22,9 +37,8 @@ def test_stages_keep_columns_and_decisions_take_effect(spark):
             want = quality.op1_quality_ledger(before).filter("kept").select("doc_id")
             assert sorted(map(tuple, want.collect())) == sorted(map(tuple, docs.select("doc_id").collect()))
         elif name == "SimHash near-dedup":
-            groups = simhash.op10_simhash(before)
-            want = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-            assert sorted(map(tuple, want.collect())) == sorted(map(tuple, docs.select("doc_id").collect()))
+            texts = {r.doc_id: r.text for r in before.collect()}
+            assert {r.doc_id for r in docs.select("doc_id").collect()} == least_of_groups(texts)
             clean = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1 and toxic = 0")
             kept_clean = docs.join(clean, "doc_id").select("doc_id").collect()
         elif name == "secret scans":
@@ -53,7 +67,7 @@ def test_stages_take_odd_tables(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
 
 
 def test_dedup_keeps_unlinked_rows_of_null_and_repeated_ids(spark):
