@@ -57,7 +57,7 @@ def classify(x: Column | str) -> Column:
 def looks_like_statement(x: Column | str) -> Column:
     """Titled as a statement in its first eight lines (the title line naming no invoice) and speaking of balances."""
     text = F.coalesce(_col(x), F.lit(""))
-    lines = F.slice(F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda s: s != ""), 1, 8)
+    lines = F.slice(F.filter(F.transform(F.split(text, r"\r?\n"), lambda s: F.trim(s)), lambda s: s != ""), 1, 8)
     title = r"(?i)\b(statement of account|account statement|statement of accounts|vendor statement|supplier statement|customer statement|statement)\b"
     first = F.try_element_at(F.filter(lines, lambda s: s.rlike(title)), F.lit(1))
     invoice = first.rlike(r"(?i)\b(invoice|credit note|credit memo|bill of lading)\b")
@@ -102,7 +102,7 @@ def page_starts(pages: Column) -> Column:
     """
 
     def info(p: Column) -> Column:
-        lines = F.filter(F.transform(F.split(F.coalesce(p, F.lit("")), "\n"), F.trim), lambda s: s != "")
+        lines = F.filter(F.transform(F.split(F.coalesce(p, F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: s != "")
         top, tail = F.array_join(F.slice(lines, 1, 6), "\n"), F.array_join(F.reverse(F.slice(F.reverse(lines), 1, 8)), "\n")
         number = F.regexp_extract(p, _NUMBER, 1)
         return F.struct(
@@ -133,3 +133,59 @@ def page_starts(pages: Column) -> Column:
 
     begin = F.struct(F.lit(0).alias("i"), F.lit("").alias("number"), F.lit(None).alias("prev"), F.array().alias("at")).cast(state)
     return F.aggregate(every, begin, step)["at"]
+
+
+def listify(x: Column | str) -> Column:
+    """A text of several values, separated by commas, semicolons or lines, as an array of trimmed ones without repetitions."""
+    parts = F.transform(F.split(F.coalesce(_col(x), F.lit("")), "[,;\\n]"), lambda s: F.trim(s))
+    return F.array_distinct(F.filter(parts, lambda p: p != ""))
+
+
+def grounded(values: Column, text: Column | str) -> Column:
+    """Whether every value of an array is printed in a text, both without punctuation and case; an empty array is."""
+    body = norm_ref(text)
+    return F.forall(values, lambda v: F.contains(body, norm_ref(v)))
+
+
+def mentions(x: Column | str) -> Column:
+    """Names after an at sign in a comment, in lower case, once each; those within an address don't count."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(_col(x), F.lit("")), F.lit(r"(?<![A-Za-z0-9._])@([A-Za-z0-9._-]*[A-Za-z0-9_-])"), F.lit(1)), F.lower))
+
+
+def safe_file_name(x: Column | str, most: int = 120) -> Column:
+    """A file name without folders, controls or characters that file systems refuse; 'file' if nothing is left."""
+    last = F.element_at(F.split(F.coalesce(_col(x), F.lit("")), r"[/\\\\]"), -1)
+    bare = F.regexp_replace(F.regexp_replace(last, r"[\x00-\x1f<>:\"|?*]", ""), r"^[. ]+|[. ]+$", "")
+    return F.when(bare == "", "file").otherwise(F.substring(bare, 1, most))
+
+
+def header_label(x: Column | str) -> Column:
+    """A column header for comparing: lower case, anything but letters and digits as one underscore."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(_col(x), F.lit(""))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+#: What people read for an issue's code; codes without an entry are spelled out.
+ISSUE_TITLES = {"total_mismatch": "Lines don't add up to the total", "duplicate_invoice": "Invoice received before", "amount_outlier": "Unusual amount", "invalid_container": "Container number is wrong", "container_not_on_bl": "Container isn't on the bill of lading"}
+
+
+def issue_title(code: Column | str) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in ISSUE_TITLES.items() for x in kv])
+    words = F.replace(_col(code), F.lit("_"), F.lit(" "))
+    return F.coalesce(F.try_element_at(known, _col(code)), F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 200)))
+
+
+def audit_sentence(actor: Column | str, action: Column | str, subject: Column | str) -> Column:
+    """'7 purchase on 12' as a sentence: who did what to which."""
+    verb = F.regexp_replace(_col(action), "[._]", " ")
+    return F.concat_ws(" ", F.coalesce(_col(actor).cast("string"), F.lit("The system")), F.lit("recorded"), verb, F.lit("on"), _col(subject).cast("string"))
+
+
+def corrected_value(x: Column | str, kind: Column | str) -> Column:
+    """A correction typed by a person, by the kind of its field: struct(value, problem); amounts, dates, currencies and lists are checked."""
+    from . import dates, money
+
+    t, k = F.trim(F.coalesce(_col(x), F.lit(""))), _col(kind)
+    amount, day = money.parse_money(t).cast("string"), dates.parse_date(t).cast("string")
+    value = F.when(k == "amount", amount).when(k == "date", day).when(k == "currency", F.when(F.upper(t).rlike("^[A-Z]{3}$"), F.upper(t))).when(k == "list", F.array_join(listify(t), ", ")).otherwise(t)
+    problem = F.when((t != "") & value.isNull(), F.concat(F.lit("is not a valid "), k))
+    return F.struct(F.when(t != "", value).alias("value"), problem.alias("problem"))

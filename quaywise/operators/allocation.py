@@ -169,3 +169,42 @@ def product_report(rows: DataFrame) -> DataFrame:
         F.round(F.try_divide((F.col("last") - F.col("previous")).cast(d) * 100, F.col("previous")), 1).cast("decimal(18,1)").alias("change"),
         F.round(F.try_divide((F.col("_l") - F.col("_v")).cast(d) * 100, F.col("_v")), 1).cast("decimal(18,1)").alias("uplift"),
     )
+
+
+#: Words that make a line of a commercial invoice a charge rather than goods, where it has no SKU.
+CHARGE_WORDS = r"(?i)\b(freight|insurance|handling|packing|inland|documentation|surcharge|fee)\b"
+
+
+def goods_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (description, sku, quantity, amount) with ``goods``: false for lines that read like charges and have neither SKU nor quantity."""
+    plain = F.coalesce(F.trim("sku"), F.lit("")) == ""
+    return lines.withColumn("goods", ~(plain & F.coalesce("description", F.lit("")).rlike(CHARGE_WORDS) & F.coalesce(F.col("quantity") <= 1, F.lit(True))))
+
+
+def policy_basis(charges: DataFrame, overrides: DataFrame, policies: DataFrame, default: str = "value") -> DataFrame:
+    """The basis of each charge: the shipment's own choice, else the organisation's for its category, else ``default``.
+
+    ``charges``: org_id, shipment_id, category and more. ``overrides``: shipment_id, category, basis. ``policies``: org_id, category, basis.
+    """
+    o = overrides.select("shipment_id", "category", F.col("basis").alias("_own"))
+    p = policies.select("org_id", "category", F.col("basis").alias("_org"))
+    rows = charges.join(o, ["shipment_id", "category"], "left").join(p, ["org_id", "category"], "left")
+    return rows.withColumn("basis", F.coalesce("_own", "_org", F.lit(default))).drop("_own", "_org")
+
+
+def as_of_day(docs: DataFrame, created: DataFrame) -> DataFrame:
+    """The day that a shipment's landed cost is of: its earliest goods invoice, else its earliest bill of lading, else when it was made.
+
+    ``docs``: shipment_id, doc_type, invoice_date. ``created``: shipment_id, created_on.
+    """
+    first = docs.groupBy("shipment_id").agg(*[F.min(F.when(F.col("doc_type") == k, F.col("invoice_date"))).alias(k) for k in ("commercial_invoice", "bill_of_lading")])
+    rows = created.join(first, "shipment_id", "left")
+    return rows.select("shipment_id", F.coalesce("commercial_invoice", "bill_of_lading", "created_on").alias("as_of"))
+
+
+def frozen_or_live(live: DataFrame, frozen: DataFrame, by: list[str], version: str = "version") -> DataFrame:
+    """Results of each group as they were frozen last, else as they are now; ``live`` and ``frozen`` share their columns, ``frozen`` has
+    a version beside them. A group is frozen as a whole: products that came later don't show."""
+    last = frozen.groupBy(*by).agg(F.max(version).alias(version))
+    kept = frozen.join(last, [*by, version], "left_semi").drop(version).withColumn("frozen", F.lit(True))
+    return kept.unionByName(live.join(last, by, "left_anti").withColumn("frozen", F.lit(False)))

@@ -89,6 +89,125 @@ def free_time_status(rows: DataFrame, today: Column, lead_days: int = 2) -> Data
 
 
 def hts_format(lines: DataFrame) -> DataFrame:
-    """Tariff numbers that don't have 8 or 10 digits."""
-    n = F.length(F.regexp_replace("hts", "[^0-9]", ""))
-    return lines.filter((F.trim("hts") != "") & ~n.isin(8, 10))
+    """Lines whose tariff number has the wrong form: for US entries ten digits, or eight in chapter 99; elsewhere six to ten.
+
+    ``lines``: hts, us (boolean) and more. Anything but digits, dots and blanks is wrong, and so are chapters 00 and 77.
+    """
+    digits = F.regexp_replace("hts", "[^0-9]", "")
+    n = F.length(digits)
+    ok = F.when(F.col("us"), (n == 10) | (digits.startswith("99") & (n == 8))).otherwise(n.between(6, 10))
+    ok = ok & ~F.col("hts").rlike(r"[^\d.\s]") & ~F.substring(digits, 1, 2).isin("00", "77")
+    return lines.filter((F.trim("hts") != "") & ~ok)
+
+
+def entry_arithmetic(entries: DataFrame, lines: DataFrame, tolerance: str = "1.00") -> DataFrame:
+    """Entries whose printed sums don't add up: doc_id, code, expected, stated and what is overcharged.
+
+    ``entries``: doc_id, total_duty, total_value, fees, grand_total (null where not printed). ``lines``: doc_id, stated (duty), value (own,
+    null for a line that takes the value above). Checked are the lines' duties against total_duty, their values
+    against total_value, and duty (printed, else the lines') plus fees against grand_total; only sums with both sides.
+    """
+    sums = lines.groupBy("doc_id").agg(F.sum("stated").cast(money.MONEY).alias("_duty"), F.sum("value").cast(money.MONEY).alias("_value"))
+    rows = entries.join(sums, "doc_id", "left")
+    due = (F.coalesce("total_duty", "_duty") + F.coalesce("fees", F.lit(0).cast(money.MONEY))).cast(money.MONEY)
+    checks = [("duty_total_mismatch", F.col("_duty"), F.col("total_duty")), ("entered_value_total_mismatch", F.col("_value"), F.col("total_value")), ("duty_fees_total_mismatch", due, F.col("grand_total"))]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), e.alias("expected"), s.cast(money.MONEY).alias("stated")) for c, e, s in checks])).alias("x")
+    off = rows.select("doc_id", each).select("doc_id", "x.*").filter(F.abs(F.col("stated") - F.col("expected")) > F.lit(tolerance).cast(money.MONEY))
+    over = F.when((F.col("code") != "entered_value_total_mismatch") & (F.col("stated") > F.col("expected")), (F.col("stated") - F.col("expected")).cast(money.MONEY))
+    return off.withColumn("at_risk", over)
+
+
+def entry_number(x: Column | str) -> Column:
+    """An entry number as filer, serial and check digit, without punctuation: 'ABC-1234567-8' -> 'ABC12345678'; null if it isn't one."""
+    bare = F.upper(F.regexp_replace(F.col(x) if isinstance(x, str) else x, "[^A-Za-z0-9]", ""))
+    return F.when(bare.rlike("^[A-Z0-9]{3}[0-9]{8}$"), bare)
+
+
+def entry_numbers_in(text: Column | str) -> Column:
+    """Distinct entry numbers that a text prints."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"\b[A-Z0-9]{3}[- ]?[0-9]{7}[- ]?[0-9]\b"), F.lit(0)), entry_number)))
+
+
+def by_entry(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Documents without a shipment that name a customs entry of one, by their own entry number or by printing one: doc_id, shipment_id.
+
+    ``docs``: org_id, doc_id, text, entry (null: none). ``entries``: org_id, shipment_id, entry. The own number comes first, then the
+    shipment of least id.
+    """
+    own = F.array_compact(F.array(entry_number("entry")))
+    named = docs.select("org_id", "doc_id", F.explode(F.array_distinct(F.concat(F.transform(own, lambda n: F.struct(F.lit(0).alias("way"), n.alias("number"))), F.transform(entry_numbers_in("text"), lambda n: F.struct(F.lit(1).alias("way"), n.alias("number")))))).alias("n"))
+    known = entries.select("org_id", "shipment_id", entry_number("entry").alias("number")).filter("number is not null").distinct()
+    met = named.select("org_id", "doc_id", "n.way", "n.number").join(known, ["org_id", "number"])
+    return met.groupBy("org_id", "doc_id").agg(F.min(F.struct("way", "shipment_id"))["shipment_id"].alias("shipment_id"))
+
+
+def latest_entries(entries: DataFrame) -> DataFrame:
+    """The last copy received of each entry number, so that a corrected entry's duty counts once. ``entries``: org_id, number, received_on, doc_id."""
+    w = Window.partitionBy("org_id", F.coalesce(entry_number("number"), F.col("doc_id").cast("string"))).orderBy(F.col("received_on").desc(), F.col("doc_id").desc())
+    return entries.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+#: Names of countries of origin by code.
+COUNTRIES = {
+    "CN": ["china", "peoples republic of china", "prc", "p r china"], "VN": ["vietnam", "viet nam"], "TR": ["turkey", "turkiye", "türkiye"],
+    "IN": ["india"], "MX": ["mexico"], "CA": ["canada"], "US": ["united states", "usa", "us", "united states of america"], "DE": ["germany"],
+    "IT": ["italy"], "FR": ["france"], "ES": ["spain"], "NL": ["netherlands", "the netherlands", "holland"],
+    "GB": ["united kingdom", "uk", "great britain", "england"], "JP": ["japan"], "KR": ["korea", "south korea", "republic of korea"], "TW": ["taiwan"],
+    "TH": ["thailand"], "MY": ["malaysia"], "ID": ["indonesia"], "BD": ["bangladesh"], "PK": ["pakistan"], "KH": ["cambodia"], "HK": ["hong kong"],
+    "SG": ["singapore"], "PH": ["philippines"], "BR": ["brazil"], "LK": ["sri lanka"], "PL": ["poland"], "PT": ["portugal"], "BE": ["belgium"],
+}
+
+
+def country_code(x: Column | str) -> Column:
+    """The code of a country's name or code; a name that isn't known stays, in capitals, so that two of them still compare; '' for none."""
+    bare = F.replace(F.replace(F.lower(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))), F.lit("'"), F.lit("")), F.lit("’"), F.lit(""))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-zà-ÿ ]", " "), " +", " "))
+    names = F.create_map(*[F.lit(v) for code, own in COUNTRIES.items() for n in own for v in (n, code)])
+    return F.when(F.upper(plain).isin(list(COUNTRIES)), F.upper(plain)).otherwise(F.coalesce(F.try_element_at(names, plain), F.upper(plain)))
+
+
+def printed_origin(text: Column | str) -> Column:
+    """The country after 'country of origin' or 'made in' in a text, as a code; null if none is printed or its name isn't known."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    found = F.regexp_extract(t, r"(?i)(?:country of origin|origin country|country of manufacture|made in)\s*[:-]?\s*([A-Za-z][A-Za-z .']{1,60})", 1)
+    words = F.split(F.trim(F.regexp_replace(F.lower(found), "[^a-z ]", "")), " +")
+    tries = F.transform(F.sequence(F.lit(5), F.lit(1), F.lit(-1)), lambda n: country_code(F.array_join(F.slice(words, F.lit(1), n), " ")))
+    return F.try_element_at(F.filter(tries, lambda c: c.isin(list(COUNTRIES))), F.lit(1))
+
+
+def sync_free_time(rows: DataFrame, notices: DataFrame) -> DataFrame:
+    """Free-time rows brought in line with the arrival notices: org_id, container, action (new, updated, kept, removed) and the dates.
+
+    ``rows``: org_id, container, manual (a person entered dates), last_free. ``notices``: org_id, container, discharge, free_days, weekends,
+    printed (a last free day that the notice prints), one a container (see latest_notice). A printed day counts as it is, else it is
+    computed; a row without a notice stays if a person entered its dates.
+    """
+    plan = notices.withColumn("_plan", F.coalesce("printed", dates.last_free_day("discharge", "free_days", "weekends")))
+    both = rows.withColumn("_row", F.lit(True)).join(plan.withColumn("_notice", F.lit(True)), ["org_id", "container"], "full_outer")
+    action = F.when(F.col("_row").isNull(), "new").when(F.col("_notice"), "updated").when(F.col("manual"), "kept").otherwise("removed")
+    return both.select("org_id", "container", action.alias("action"), F.when(F.col("_notice"), F.col("_plan")).otherwise(F.col("last_free")).alias("last_free"))
+
+
+def daily_rates(rows: DataFrame, approvals: DataFrame, quoted: DataFrame) -> DataFrame:
+    """The daily rate of a container's free-time charge: the cap of an approval for each day, else the vendor's quoted charge for a day.
+
+    ``rows``: org_id, container, vendor_key, code. ``approvals``: org_id, code, max_per_unit, unit. ``quoted``: org_id, vendor_key, code, amount, basis.
+    """
+    cap = approvals.filter("unit = 'day' and max_per_unit is not null").groupBy("org_id", "code").agg(F.min("max_per_unit").alias("_cap"))
+    quote = quoted.filter("basis = 'day'").groupBy("org_id", "vendor_key", "code").agg(F.min("amount").alias("_quote"))
+    out = rows.join(cap, ["org_id", "code"], "left").join(quote, ["org_id", "vendor_key", "code"], "left")
+    source = F.when(F.col("_cap").isNotNull(), "approval").when(F.col("_quote").isNotNull(), "quote")
+    return out.withColumns({"daily": F.coalesce("_cap", "_quote").cast(money.MONEY), "daily_source": source}).drop("_cap", "_quote")
+
+
+#: Tabs of the free-time page, and the urgency of each tone, most urgent first; what has no date comes last.
+FREE_TIME_TABS = {"action": ["late", "today", "soon"], "open": ["late", "today", "soon", "ok", "unknown"], "closed": ["closed"]}
+
+
+def most_urgent(rows: DataFrame, tab: str, limit: int | None = None) -> DataFrame:
+    """Rows of a tab (with tone and days_left), the most urgent first, those without a last free day last."""
+    if tab not in FREE_TIME_TABS:
+        raise ValueError(f"{tab!r} is none of {', '.join(FREE_TIME_TABS)}")
+    out = rows.filter(F.col("tone").isin(FREE_TIME_TABS[tab])).orderBy(F.col("days_left").asc_nulls_last(), "container")
+    return out if limit is None else out.limit(limit)

@@ -86,3 +86,102 @@ def threads(comments: DataFrame) -> DataFrame:
     """Top-level comments with their replies in order. ``comments``: comment_id, parent_id, at, body."""
     replies = comments.filter("parent_id is not null").groupBy(F.col("parent_id").alias("comment_id")).agg(F.array_sort(F.collect_list(F.struct("at", "comment_id", "body"))).alias("replies"))
     return comments.filter("parent_id is null").drop("parent_id").join(replies, "comment_id", "left")
+
+
+def my_work(shipments: DataFrame, members: DataFrame) -> DataFrame:
+    """What waits for each member: shipments assigned to them, and those that they may approve, each once with the first reason.
+
+    ``shipments``: org_id, shipment_id, status, assigned_to. ``members``: org_id, member, may_approve.
+    """
+    open_ = shipments.filter(F.col("status").isin("needs_review", "open", "ready"))
+    mine = open_.join(members.select("org_id", F.col("member").alias("assigned_to")), ["org_id", "assigned_to"]).select("org_id", F.col("assigned_to").alias("member"), "shipment_id", F.lit(0).alias("_r"))
+    ready = open_.filter("status = 'ready'").join(members.filter("may_approve").select("org_id", "member"), "org_id").select("org_id", "member", "shipment_id", F.lit(1).alias("_r"))
+    first = mine.unionByName(ready).groupBy("org_id", "member", "shipment_id").agg(F.min("_r").alias("_r"))
+    return first.select("org_id", "member", "shipment_id", F.when(F.col("_r") == 0, "assigned").otherwise("approve").alias("reason"))
+
+
+def timeline(audit: DataFrame, objects: DataFrame) -> DataFrame:
+    """Everything that happened to a shipment, its documents and its issues, in order.
+
+    ``audit``: event_id, seen_at, object_type, object_id, action. ``objects``: shipment_id, object_type, object_id.
+    """
+    rows = audit.join(objects.distinct(), ["object_type", "object_id"])
+    w = Window.partitionBy("shipment_id").orderBy("seen_at", "event_id")
+    return rows.withColumn("place", F.row_number().over(w)).select("shipment_id", "place", "event_id", "object_type", "action")
+
+
+def open_exceptions(issues: DataFrame) -> DataFrame:
+    """Open issues by code and severity: how many, in how many shipments, and the money at risk by currency."""
+    by = ["org_id", "code", "severity"]
+    sums = issues.groupBy(*by, "currency").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_at_risk").cast("decimal(18,2)").alias("at_risk"))
+    ships = issues.groupBy(*by).agg(F.count_distinct("shipment_id").alias("n_shipments"))
+    return sums.join(ships, by)
+
+
+def model_usage(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Calls, tokens and cost of reading by model. ``calls``: tokens_in, tokens_out, cost (decimal)."""
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").cast("decimal(18,6)").alias("cost"))
+
+
+def digest_due(orgs: DataFrame, now: Column, sent: DataFrame, hour: int = 7, window: int = 3) -> DataFrame:
+    """Organisations whose daily digest is due: their local time is within ``window`` hours of ``hour`` and none was sent that local day.
+
+    ``orgs``: org_id, zone. ``sent``: org_id, day. ``now`` is a UTC timestamp. Claiming is the left anti join: who is in ``sent`` isn't due again.
+    """
+    local = F.from_utc_timestamp(now, F.col("zone"))
+    rows = orgs.withColumns({"day": F.to_date(local), "_hour": F.hour(local)}).filter((F.col("_hour") >= hour) & (F.col("_hour") < hour + window))
+    return rows.drop("_hour").join(sent.select("org_id", "day"), ["org_id", "day"], "left_anti")
+
+
+def digest(shipments: DataFrame, issues: DataFrame, today: str) -> DataFrame:
+    """What a digest says for each organisation: shipments waiting and ready, those received today, open errors, and the oldest waiting."""
+    day = F.lit(today).cast("date")
+    counts = shipments.groupBy("org_id").agg(
+        F.count_if(F.col("status") == "needs_review").alias("waiting"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("received_on") == day).alias("received"), F.min(F.when(F.col("status") == "needs_review", F.col("received_on"))).alias("oldest")
+    )
+    errors = issues.filter("severity = 'error'").groupBy("org_id").agg(F.count(F.lit(1)).alias("errors"))
+    return counts.join(errors, "org_id", "left").na.fill(0, ["errors"])
+
+
+def retry_plan(tries: DataFrame, most: int = 3, base_seconds: int = 60, cap_seconds: int = 3600) -> DataFrame:
+    """What becomes of failed work: retry after a doubling pause, or error once ``most`` tries failed.
+
+    ``tries``: key, ok (boolean), at (timestamp), one row a try. Returns key, n_failed, state (done, retry, error) and next_at.
+    """
+    w = tries.groupBy("key").agg(F.count_if(~F.col("ok")).alias("n_failed"), F.bool_or("ok").alias("_ok"), F.max("at").alias("_last"))
+    pause = F.least(F.lit(cap_seconds), (F.lit(base_seconds) * F.pow(2, F.col("n_failed") - 1)).cast("int"))
+    state = F.when(F.col("_ok"), "done").when(F.col("n_failed") >= most, "error").otherwise("retry")
+    return w.withColumn("state", state).select("key", "n_failed", "state", F.when(F.col("state") == "retry", F.timestamp_seconds(F.unix_timestamp("_last") + pause)).alias("next_at"))
+
+
+def stalled(work: DataFrame, now: Column, minutes: int = 30, most: int = 3) -> DataFrame:
+    """Work in progress for too long: requeue it, up to ``most`` times, then error. ``work``: key, started_at, requeues."""
+    late = work.filter(F.col("started_at") < now - F.expr(f"interval {minutes} minutes"))
+    return late.select("key", F.when(F.col("requeues") < most, "requeue").otherwise("error").alias("action"))
+
+
+#: Orders of the portfolio: presets by name.
+PRESETS = {"attention": ["n_errors desc", "oldest asc nulls last"], "newest": ["received_on desc"], "oldest": ["received_on asc"], "value": ["total desc nulls last"]}
+
+
+def sort_rows(rows: DataFrame, preset: str, key: str, locked: str | None = None) -> DataFrame:
+    """Rows by a preset; locked ones come last, ties go by key."""
+    if preset not in PRESETS:
+        raise ValueError(f"{preset!r} is none of {', '.join(PRESETS)}")
+    order = []
+    for spec in PRESETS[preset]:
+        c, *how = spec.split(" ", 1)
+        kinds = {"desc": F.col(c).desc(), "asc": F.col(c).asc(), "desc nulls last": F.col(c).desc_nulls_last(), "asc nulls last": F.col(c).asc_nulls_last()}
+        order.append(kinds[how[0]])
+    return rows.orderBy(*([F.col(locked).asc()] if locked else []), *order, key)
+
+
+def decide(rows: DataFrame) -> DataFrame:
+    """The status that a decision leads to, or why it is refused. ``rows``: status, decision (approve, reject, post, reopen), n_errors, may_approve."""
+    refused = (
+        F.when(~F.col("may_approve"), "not allowed").when((F.col("decision") == "approve") & (F.col("status") != "ready"), "not ready").when((F.col("decision") == "approve") & (F.col("n_errors") > 0), "open errors")
+        .when((F.col("decision") == "post") & (F.col("status") != "approved"), "not approved").when((F.col("decision") == "reopen") & ~F.col("status").isin("approved", "rejected"), "not closed")
+        .when((F.col("decision") == "reject") & (F.col("status") == "posted"), "posted")
+    )
+    new = F.create_map(*[F.lit(x) for kv in (("approve", "approved"), ("reject", "rejected"), ("post", "posted"), ("reopen", "needs_review")) for x in kv])[F.col("decision")]
+    return rows.withColumns({"refused": refused, "new_status": F.when(refused.isNull(), new).otherwise(F.col("status"))})
