@@ -23,12 +23,13 @@ def to_cents(x) -> F.Column:
     return F.round(x * 100).cast("long")
 
 
-def usable_bases(products: DataFrame, by: list[str]) -> DataFrame:
-    """For each group the bases that its products allow: known on every product, and not all zero."""
-    ok = {"value": F.coalesce(F.sum(F.greatest(F.coalesce("value", F.lit(0)), F.lit(0))), F.lit(0)) > 0}
+def with_bases(products: DataFrame, by: list[str]) -> DataFrame:
+    """``products`` with ``usable``, the bases that the products of their group allow: known on every product, and not all zero."""
+    w = Window.partitionBy(*by)
+    ok = {"value": F.coalesce(F.sum(F.greatest(F.coalesce("value", F.lit(0)), F.lit(0))).over(w), F.lit(0)) > 0}
     for c in ("quantity", "weight", "volume"):
-        ok[c] = F.bool_and(F.col(c).isNotNull()) & (F.coalesce(F.sum(c), F.lit(0)) > 0)
-    return products.groupBy(*by).agg(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in ok.items()], F.lit("equal"))).alias("usable"))
+        ok[c] = F.bool_and(F.col(c).isNotNull()).over(w) & (F.coalesce(F.sum(c).over(w), F.lit(0)) > 0)
+    return products.withColumn("usable", F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in ok.items()], F.lit("equal"))))
 
 
 def basis_used(asked: str, usable: str):
@@ -45,29 +46,35 @@ def spread_charges(products: DataFrame, charges: DataFrame, by: list[str]) -> Da
     ``products``: by, product, value, quantity, weight, volume (decimals). ``charges``: by, charge, category, basis, home.
     A charge without a home amount is left out. Returns by, charge, category, product, used, part (cents).
     """
-    rows = charges.filter("home is not null").join(usable_bases(products, by), by).withColumn("used", basis_used("basis", "usable"))
-    pairs = rows.drop("usable", "basis").join(products, by)
+    pairs = with_bases(products, by).join(charges.filter("home is not null"), by)
+    return _split(pairs, by).select(*by, "charge", "category", "product", "used", "part")
+
+
+def _split(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of a group's products and charges with the basis used and the part. All windows are within a group, which the join has put together."""
+    pairs = pairs.withColumn("used", basis_used("basis", "usable"))
     scaled = {"value": F.greatest(F.coalesce("value", F.lit(0)), F.lit(0)) * 100, "quantity": F.col("quantity") * 10000, "weight": F.col("weight") * 10000, "volume": F.col("volume") * 10000}
     weight = F.when(F.col("used") == "equal", F.lit(1).cast("long"))
     for name, w in scaled.items():
         weight = weight.when(F.col("used") == name, w.cast("long"))
     pairs = pairs.withColumns({"_t": to_cents(F.col("home")), "_wt": weight})
-    return money.split_exactly(pairs, [*by, "charge"], "_t", "_wt", ["product"]).select(*by, "charge", "category", "product", "used", "part")
+    return money.split_exactly(pairs, [*by, "charge"], "_t", "_wt", ["product"])
 
 
 def landed_cost(products: DataFrame, charges: DataFrame, by: list[str]) -> DataFrame:
     """Per product: goods value, allocated charges, landed total, cost a unit (four places, half-up) and uplift in percent.
 
     A group with a charge or a product without an exchange rate (null ``home`` or ``value``) is incomplete: nothing is
-    allocated and its totals are null.
+    allocated and its totals are null. Products meet their charges once; parts are added up where they were split.
     """
-    bad = charges.filter("home is null").select(*by).union(products.filter("value is null").select(*by)).distinct().withColumn("_bad", F.lit(True))
-    sums = spread_charges(products, charges, by).groupBy(*by, "product").agg((F.sum("part") / F.lit(100)).cast(money.MONEY).alias("allocated"))
-    rows = products.join(sums, [*by, "product"], "left").join(bad, by, "left")
-    complete = F.col("_bad").isNull()
+    pairs = with_bases(products, by).join(charges.withColumn("_charged", F.lit(True)), by, "left")
+    lacks = F.col("value").isNull() | (F.col("_charged") & F.col("home").isNull())
+    pairs = pairs.withColumn("_bad", F.coalesce(F.bool_or(lacks).over(Window.partitionBy(*by)), F.lit(False)))
+    sums = _split(pairs, by).groupBy(*by, "product").agg(F.first("quantity").alias("quantity"), F.first("value").alias("value"), (F.sum("part") / F.lit(100)).cast(money.MONEY).alias("allocated"), F.first("_bad").alias("_bad"))
+    complete = ~F.col("_bad")
     allocated = F.when(complete, F.coalesce("allocated", F.lit(0).cast(money.MONEY)))
     landed = (F.col("value") + allocated).cast(money.MONEY)
-    rows = rows.withColumns({"complete": complete, "allocated": allocated, "landed": landed})
+    rows = sums.withColumns({"complete": complete, "allocated": allocated, "landed": landed})
     per_unit = F.when(F.col("quantity") > 0, F.round(F.col("landed").cast("decimal(38,12)") / F.col("quantity"), 4).cast("decimal(18,4)"))
     uplift = F.when(F.col("value") > 0, F.round(F.col("allocated").cast("decimal(38,12)") * 100 / F.col("value"), 1).cast("decimal(9,1)"))
     return rows.select(*by, "product", "quantity", "value", "complete", "allocated", "landed", per_unit.alias("per_unit"), uplift.alias("uplift"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import beside, placed
+
 
 def search(shipments: DataFrame, docs: DataFrame, text: str, own: list[str], theirs: list[str]) -> DataFrame:
     """Shipments whose own columns, or whose documents', contain a text in either case. A semi join keeps rows single."""
@@ -34,23 +36,21 @@ def payment_filter(shipments: DataFrame, bills: DataFrame, key: str, today: str)
 
 
 def neighbours(queue: DataFrame, by: list[str], order: list[Column], key: str) -> DataFrame:
-    """Each row's previous and next key in its queue."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return queue.withColumns({"previous": F.lag(key).over(w), "next": F.lead(key).over(w)})
+    """Each row's previous and next key in its queue, which may be of any length."""
+    rows = placed(queue, by, order)
+    return beside(beside(rows, by, {key: "previous"}, -1), by, {key: "next"}, 1).drop("place")
 
 
 def round_robin(waiting: DataFrame, pool: DataFrame, by: list[str], order: list[Column], last: int = 0) -> DataFrame:
     """Deal waiting rows to the pool's members in turn, beginning after the member ``last``, by id and wrapping.
 
-    ``pool``: by, member. Members of each group are numbered once; rows join them by their number modulo the pool's size.
+    ``pool``: by, member. Members of each group are numbered, and rows join them by their number modulo the pool's size.
     """
-    w = Window.partitionBy(*by)
-    after = F.count_if(F.col("member") <= last).over(w)
-    seats = pool.withColumns({"_n": F.count(F.lit(1)).over(w), "_after": after}).withColumn("_seat", F.row_number().over(w.orderBy("member")) - 1)
-    rows = waiting.withColumn("_turn", F.row_number().over(w.orderBy(*order)) - 1)
-    sizes = seats.select(*by, "_n", "_after").distinct()
-    rows = rows.join(sizes, by).withColumn("_seat", ((F.col("_turn") + F.col("_after")) % F.col("_n")).cast("int"))
-    return rows.join(seats.select(*by, "member", "_seat"), [*by, "_seat"]).drop("_seat", "_turn", "_n", "_after")
+    seats = placed(pool, by, [F.col("member")])
+    sizes = seats.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("member") <= last).alias("_after"))
+    rows = placed(waiting, by, order).join(sizes, by)
+    rows = rows.withColumn("_seat", (F.col("place") - 1 + F.col("_after")) % F.col("_n") + 1)
+    return rows.join(seats.select(*by, "member", F.col("place").alias("_seat")), [*by, "_seat"]).drop("_seat", "place", "_n", "_after")
 
 
 def transitions(events: DataFrame, by: list[str], order: list[str], state: str) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import dates, money
-from quaywise.operators import reports, workflow
+from quaywise.operators import order, reports, workflow
 from quaywise.sources import adapter
 
 from .registry import Tables, query
@@ -173,8 +172,8 @@ def round_robin(t: Tables):
 
 @query("""SELECT doc_id, total, received_on FROM invoices WHERE status = 'open' ORDER BY priority, total DESC, doc_id LIMIT 50 OFFSET 100""", ("invoices",))
 def third_page(t: Tables):
-    order = [F.col("priority"), F.col("total").desc(), F.col("doc_id")]
-    return reports.page(t.invoices.filter("status = 'open'"), order, 3, 50).select("doc_id", "total", "received_on")
+    by = [F.col("priority"), F.col("total").desc(), F.col("doc_id")]
+    return reports.page(t.invoices.filter("status = 'open'"), by, 3, 50).select("doc_id", "total", "received_on")
 
 
 @query("""WITH g AS (SELECT shipment_id AS truth, doc_id % 1000000000 // 2 AS found FROM invoices), s AS (
@@ -239,6 +238,6 @@ def top_vendors(t: Tables):
 @query("""WITH r AS (SELECT doc_id, total - lag(total) OVER (PARTITION BY vendor_name ORDER BY invoice_date, doc_id) AS change, sum(total) OVER (PARTITION BY vendor_name ORDER BY invoice_date, doc_id ROWS UNBOUNDED PRECEDING) AS balance FROM invoices)
     SELECT doc_id, CAST(change AS DECIMAL(18,2)) AS change, CAST(balance AS DECIMAL(18,2)) AS balance FROM r""", ("invoices",))
 def running_balance(t: Tables):
-    w = Window.partitionBy("vendor_name").orderBy("invoice_date", "doc_id")
-    total = F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return t.invoices.select("doc_id", (F.col("total") - F.lag("total").over(w)).cast(money.MONEY).alias("change"), total.cast(money.MONEY).alias("balance"))
+    rows = order.placed(t.invoices.select("vendor_name", "invoice_date", "doc_id", "total"), ["vendor_name"], [F.col("invoice_date"), F.col("doc_id")], "total")
+    rows = order.beside(rows, ["vendor_name"], {"total": "before"}, -1)
+    return rows.select("doc_id", (F.col("total") - F.col("before")).cast(money.MONEY).alias("change"), F.col("upto").cast(money.MONEY).alias("balance"))
