@@ -123,9 +123,9 @@ def test_mixing_meets_targets_and_separates_toxic(spark):
 
 def test_rates_match_targets_where_domains_are_certain(spark):
     rows = spark.createDataFrame([(1, 1000, [1.0, 0.0]), (2, 3000, [1.0, 0.0]), (3, 2000, [0.0, 1.0])], "doc_id long, n_tokens long, p array<double>")
-    rate, reached = mixing.fit_rates(rows, [5000.0, 500.0], most=4.0)
+    rates, reached = mixing.fit_rates(rows, [5000.0, 500.0], most=4.0)
     assert reached == pytest.approx([5000, 500], rel=1e-3)
-    assert [round(r[0], 3) for r in rows.orderBy("doc_id").select(rate).collect()] == [1.25, 1.25, 0.25]
+    assert [round(r.rate, 3) for r in rates.add(rows, None).orderBy("doc_id").collect()] == [1.25, 1.25, 0.25]
     _, kept = mixing.fit_rates(rows, [2000.0, 500.0], most=4.0, whole=0)
     assert kept == pytest.approx([4000, 500], rel=1e-3)
 
@@ -174,7 +174,7 @@ def test_mixing_equals_brute_force_descent_over_all_rows(spark, docs, rows):
     fitted, reached = mixing.fit_rates(table, targets.tolist(), most=4.0)
     loss = [float((((x - targets) / supply) ** 2 * supply).sum()) for x in (np.array(reached), (n * rate) @ p)]
     assert loss[0] <= loss[1] + 1e-4 * n.sum()
-    got = dict(map(tuple, table.select("doc_id", fitted.alias("rate")).collect()))
+    got = {r.doc_id: r.rate for r in fitted.add(table, None).collect()}
     assert reached == pytest.approx((n * [got[i] for i in range(len(n))]) @ p, rel=1e-9)
 
 
