@@ -215,3 +215,12 @@ def frozen_or_live(live: DataFrame, frozen: DataFrame, by: list[str], version: s
     last = frozen.groupBy(*by).agg(F.max(version).alias(version))
     kept = frozen.join(last, [*by, version], "left_semi").drop(version).withColumn("frozen", F.lit(True))
     return kept.unionByName(live.join(last, by, "left_anti").withColumn("frozen", F.lit(False)))
+
+
+def last_points(rows: DataFrame, n: int = 12) -> DataFrame:
+    """The last ``n`` landed unit costs of each product, oldest first. ``rows``: as in product_report."""
+    unit = F.round(F.col("landed").cast("decimal(38,12)") / F.col("quantity"), 4).cast("decimal(18,4)")
+    w = Window.partitionBy("org_id", "product").orderBy(F.col("day").desc(), F.col("landed_id").desc())
+    last = rows.filter("quantity > 0").withColumns({"unit": unit, "_nth": F.row_number().over(w)}).filter(F.col("_nth") <= n)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("_nth")).alias("o"), "unit")))
+    return last.groupBy("org_id", "product").agg(F.transform(ordered, lambda x: x["unit"]).alias("points"))

@@ -97,6 +97,12 @@ def documents(docs: DataFrame, fields: DataFrame, links: DataFrame, names: list[
     return docs.join(wide, "doc_id", "left").join(links, "doc_id", "left")
 
 
+def savings(catches: DataFrame) -> DataFrame:
+    """Catches that count, as they are exported: the outcome amounts add up to ``counted``; withdrawn ones are left out."""
+    counted = (F.col("prevented") + F.col("at_risk") + F.col("accepted")).cast(money.MONEY)
+    return catches.filter("outcome <> 'withdrawn'").select("catch_id", "code", "outcome", "caught", counted.alias("counted"), F.trunc("month", "month").alias("month"), guard_cell("vendor").alias("vendor"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV that spreadsheets open as UTF-8 (the header begins with a byte-order mark) and whose cells they don't run."""
     cells = [guard_cell(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes]
