@@ -189,3 +189,30 @@ def corrected_value(x: Column | str, kind: Column | str) -> Column:
     value = F.when(k == "amount", amount).when(k == "date", day).when(k == "currency", F.when(F.upper(t).rlike("^[A-Z]{3}$"), F.upper(t))).when(k == "list", F.array_join(listify(t), ", ")).otherwise(t)
     problem = F.when((t != "") & value.isNull(), F.concat(F.lit("is not a valid "), k))
     return F.struct(F.when(t != "", value).alias("value"), problem.alias("problem"))
+
+
+def label_value(x: Column | str, label: str) -> Column:
+    """What a text prints after a label, on its line behind a colon or blanks, or on the next line; null if there is nothing."""
+    found = F.regexp_extract(F.coalesce(_col(x), F.lit("")), rf"(?im)^[ \t]*(?:{label})[ \t]*[:#.]?[ \t]*(?:\r?\n)?[ \t]*([^\r\n]+)", 1)
+    return F.nullif(F.trim(found), F.lit(""))
+
+
+def company_line(x: Column | str) -> Column:
+    """The first of a text's lines that ends like a company's name."""
+    lines = F.transform(F.split(F.coalesce(_col(x), F.lit("")), r"\r?\n"), lambda s: F.trim(s))
+    return F.try_element_at(F.filter(lines, lambda s: s.rlike(r"(?i)\b(llc|inc|ltd|limited|corp|corporation|gmbh|co|company|bv|sa|plc)\.?$")), F.lit(1))
+
+
+def po_numbers(x: Column | str) -> Column:
+    """Distinct purchase orders that a text names, normalised, in order of appearance."""
+    found = F.regexp_extract_all(F.coalesce(_col(x), F.lit("")), F.lit(r"(?i)\bP\.?O\.?\s*(?:no|number|#)?\.?\s*[:#-]?\s*([A-Z0-9-]*[0-9][A-Z0-9-]*)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda p: norm_ref(p)))
+
+
+def currency_of(x: Column | str) -> Column:
+    """The currency that a text names most, by code or sign; of equal ones the code that sorts first; null if none."""
+    t = F.coalesce(_col(x), F.lit(""))
+    codes = {"USD": r"\bUSD\b|US\$|\$", "EUR": r"\bEUR\b|€", "GBP": r"\bGBP\b|£", "CNY": r"\bCNY\b|\bRMB\b|¥", "AED": r"\bAED\b"}
+    counts = [F.struct(F.regexp_count(t, F.lit(p)).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, p) in enumerate(sorted(codes.items()))]
+    top = F.array_max(F.array(*counts))
+    return F.when(top["n"] > 0, top["c"])

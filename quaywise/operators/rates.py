@@ -228,6 +228,19 @@ def fold_ledger(issue_events: DataFrame) -> DataFrame:
     return out.select("org_id", "scope", "catch_key", "c.*").filter("caught is not null")
 
 
+def recheck(before: DataFrame, after: DataFrame, at: Column) -> DataFrame:
+    """Issue events of a change of rates: org_id, fingerprint, seq, amount (null: the issue went) and reason 'rates', for issues that differ.
+
+    ``before`` and ``after``: issues of the vendors whose rates changed, as rules found them with the old and the new rates. The
+    ledger folds these events so that money that a change of rates explains isn't counted as prevented.
+    """
+    old = before.select("org_id", "fingerprint", F.col("amount_at_risk").alias("_was"), F.lit(True).alias("_had"))
+    new = after.select("org_id", "fingerprint", F.coalesce("amount_at_risk", F.lit(0).cast(money.MONEY)).alias("amount"), F.lit(True).alias("_has"))
+    both = old.join(new, ["org_id", "fingerprint"], "full_outer")
+    same = F.col("_had") & F.col("_has") & (F.coalesce("_was", F.lit(0).cast(money.MONEY)) == F.col("amount"))
+    return both.filter(~F.coalesce(same, F.lit(False))).select("org_id", "fingerprint", at.alias("seq"), "amount", F.lit("rates").alias("reason"))
+
+
 def period(key: str, today: Column) -> tuple[Column, Column]:
     """First and last day of a named period."""
     first = F.trunc(today, "month")

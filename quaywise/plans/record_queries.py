@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaywise.functions import keys, money
-from quaywise.operators import allocation, close, exports, rates, records, reports
+from quaywise.functions import keys, money, text
+from quaywise.operators import allocation, close, exports, rates, records, reports, rules
 from quaywise.sources import adapter
 
 from .close_queries import _LINES, _PARTS, _parts, _report
@@ -160,3 +160,21 @@ def confidence_labels(t: Tables):
 @query(f"""WITH {_OUTCOME} SELECT catch_id, code, outcome, caught, CAST(prevented + at_risk + accepted AS DECIMAL(18,2)) AS counted, CAST(date_trunc('month', month) AS DATE) AS month, CASE WHEN vendor LIKE '=%' THEN '''' || vendor ELSE vendor END AS vendor FROM outc WHERE outcome <> 'withdrawn'""", ("invoices",))
 def savings_export(t: Tables):
     return exports.savings(rates.outcomes(t.invoices.selectExpr(*[f"{e} AS {c}" for c, e in _CATCH.items()])))
+
+
+_LETTER = "'Harbor ' || CAST(doc_id % 5 AS STRING) || ' LLC' || chr(10) || 'Invoice No: INV-' || CAST(doc_id AS STRING) || chr(10) || 'P.O. No 45-' || CAST(doc_id % 9 AS STRING) || ', PO# 7' || chr(10) || 'Total' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'EUR 5' ELSE '$ 5' END"
+
+
+@query("""SELECT doc_id, 'INV-' || doc_id AS number, CASE WHEN doc_id % 2 = 0 THEN 'EUR 5' ELSE '$ 5' END AS total, 'Harbor ' || (doc_id % 5) || ' LLC' AS company, '45' || (doc_id % 9) || ',7' AS pos, CASE WHEN doc_id % 2 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM invoices""", ("invoices",))
+def label_values(t: Tables):
+    body = F.expr(_LETTER)
+    return t.invoices.select("doc_id", text.label_value(body, "invoice no").alias("number"), text.label_value(body, "total").alias("total"), text.company_line(body).alias("company"), F.array_join(text.po_numbers(body), ",").alias("pos"), text.currency_of(body).alias("currency"))
+
+
+@query(f"""WITH ls AS (SELECT doc_id, CAST(sum(amount) AS DECIMAL(18,2)) AS s FROM lines GROUP BY doc_id), i AS (SELECT org_id, 'total_mismatch:' || doc_id || ':' AS fingerprint, doc_id, CAST(total - s AS DECIMAL(18,2)) AS over FROM invoices JOIN ls USING (doc_id) WHERE abs(total - s) > 0.02)
+    SELECT org_id, fingerprint, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE CAST(10 AS DECIMAL(18,2)) END AS amount, 'rates' AS reason FROM i WHERE doc_id % 3 = 0 OR doc_id % 3 = 1""", ("invoices", "lines"))
+def rate_rechecks(t: Tables):
+    """Of the issues before, a third is gone with the new rates, a third has another amount and a third stays."""
+    before = rules.total_mismatch(t.invoices, t.lines)
+    after = before.filter("doc_id % 3 <> 0").withColumn("amount_at_risk", F.when(F.col("doc_id") % 3 == 1, F.lit(10).cast(money.MONEY)).otherwise(F.col("amount_at_risk")))
+    return rates.recheck(before, after, F.lit(1)).drop("seq")

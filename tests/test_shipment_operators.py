@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quaywise.functions import text
 from quaywise.operators import accruals, allocation, customs, disputes, exports, order, shared, statements, workflow
+from quaywise.sources import sheets
 
 
 def test_on_board_day_is_read_from_the_same_or_the_next_line(spark):
@@ -120,3 +121,13 @@ def test_free_text_values(spark):
     assert got == {1: (["a", "b", "c"], ["ann.b", "bob"]), 2: ([], [])}
     names = spark.createDataFrame([("../../etc/pass:wd",), ("C:\\x\\a?.pdf",), ("...",)], "n string")
     assert [r[0] for r in names.select(text.safe_file_name("n")).collect()] == ["passwd", "a.pdf", "file"]
+
+
+def test_csv_of_any_encoding_and_separator(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("﻿name;town\n\"Müller; \"\"Söhne\"\"\";Köln\n\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,town\r\nMüller,\"K\nöln\"\r\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes(b"a\tb\n\x81\t2\n")
+    got = {(r.name, r.row): r.cells for r in sheets.read_rows(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("a.csv", 1): ["name", "town"], ("a.csv", 2): ['Müller; "Söhne"', "Köln"], ("b.csv", 1): ["name", "town"], ("b.csv", 2): ["Müller", "K\nöln"], ("c.csv", 1): ["a", "b"], ("c.csv", 2): ["\x81", "2"],
+    }
