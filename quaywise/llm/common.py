@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quaywise.sources.scratch import discard, materialise, scratch
 
-__all__ = ["discard", "materialise", "mix", "read_documents", "release", "scratch", "text_or_empty", "word_bounds", "word_hashes"]
+__all__ = ["bound_batches", "discard", "materialise", "mix", "read_documents", "release", "scratch", "text_or_empty", "word_bounds", "word_hashes"]
 
 #: Words of every contract: runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,19 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends rows to Python in batches of BATCH_BYTES at most: texts have any length, and a worker holds
+    a batch several times over."""
+    spark = df.sparkSession
+    if (spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) or "") != f"{BATCH_BYTES}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

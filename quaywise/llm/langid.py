@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: N-grams kept in a profile, and the penalty of an n-gram that a profile lacks.
 PROFILE = 400
 #: Sizes of n-grams.
@@ -56,7 +58,7 @@ def _counts(docs: DataFrame, key: str, text: str, label: str) -> DataFrame:
                 grams, n = ngrams("\n".join(bodies))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), b.schema.field(1).type), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
 
-    return docs.select(text, label).mapInArrow(batches, f"lang {kind}, gram long, n long")
+    return bound_batches(docs).select(text, label).mapInArrow(batches, f"lang {kind}, gram long, n long")
 
 
 def fit_profiles(train: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = TRAIN_DOCS, most: int = PROFILE) -> dict[str, np.ndarray]:
@@ -86,8 +88,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], key: str = "doc_i
     A document's most frequent n-grams are compared with each profile: the distance is the sum of differences between
     their ranks, an n-gram that the profile lacks counting as PROFILE. The score is one less the best distance as a share
     of the greatest possible one. Equal distances go to the language that sorts first. Null texts and texts without a
-    letter are ``und`` with score 0, as are all texts where no language was learned. Repeated rows each get a row;
-    other columns are ignored.
+    letter are ``und`` with score 0, as are all texts where no language was learned. A very long text is counted as a whole, in memory;
+    repeated rows each get a row; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     langs = sorted(profiles)
     every = np.unique(np.concatenate([profiles[x] for x in langs])) if langs else np.zeros(0, np.int64)
@@ -118,7 +120,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], key: str = "doc_i
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    return docs.select(key, *keep, text).mapInArrow(batches, schema)
+    return bound_batches(docs).select(key, *keep, text).mapInArrow(batches, schema)
 
 
 def op6_language(docs: DataFrame) -> DataFrame:

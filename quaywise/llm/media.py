@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import bound_batches, scratch
 
 #: Payload bytes in a row of pixels; payloads are padded with zeros to a multiple of it.
 WIDTH = 64
@@ -129,7 +129,7 @@ def write_shards(docs: DataFrame, root: str, key: str = "doc_id", text: str = "t
     system, base = _filesystem(root)
     system.create_dir(base)
     schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, digest string, shard string, offset long, length long"
-    made = docs.select(key, text).mapInArrow(batches, schema)
+    made = bound_batches(docs).select(key, text).mapInArrow(batches, schema)
     made.write.parquet(f"{root}/index")
     return docs.sparkSession.read.schema(made.schema).parquet(f"{root}/index")
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, materialise
 
 #: Context sizes, longest first. All are powers of two; a window of each is a full sequence.
 TIERS = (4096, 2048, 1024, 512)
@@ -22,8 +22,8 @@ TIERS = (4096, 2048, 1024, 512)
 POOL_TOKENS = 1 << 20
 #: Tokens that tasks leave unpacked (each less than a window) go to one packer for so many.
 PACKER_TOKENS = 1 << 22
-#: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers since it last forgot; as many again from before are remembered until then.
+CACHE_WORDS = 1 << 16
 END_ID = 2
 
 
@@ -67,14 +67,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the known words of the generation before
         self.pieces: dict[str, bytes] = {}
+        self.pieces_before: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
             if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            form = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+                self.pieces, self.pieces_before = {}, self.pieces
+            if (ids := self.pieces_before.get(piece)) is None:
+                form = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+                ids = array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+            self.pieces[piece] = ids
         return ids
 
     def learn(self, missing: set[bytes]) -> None:
@@ -97,9 +101,11 @@ class WordEncoder:
         except KeyError:
             missing = {w for w in words if w not in known}
         if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = set(words)
-        self.learn(missing)
+            self.known, self.before = {}, known
+            known, missing = self.known, set(words)
+        held = {w: ids for w in missing if (ids := self.before.get(w)) is not None}
+        known.update(held)
+        self.learn(missing - held.keys())
         return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
 
 
@@ -270,7 +276,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: s
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"part long, `{key}` {kind}, " + ", ".join(f"`{n}` long" for n in _PIECE) + ", left binary"
-    placed = docs.select(key, text, F.spark_partition_id().alias("_part"))
+    placed = bound_batches(docs).select(key, text, F.spark_partition_id().alias("_part"))
     made = materialise(placed.mapInArrow(_pack_tasks(tokenizer, end_id, key), schema), "packed")
     left = made.filter("left is not null")
     tokens = left.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

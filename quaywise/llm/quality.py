@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialise
+from .common import bound_batches, materialise
 
 #: name -> SQL over the measurements that is true where a document fails. A rule's bit is its place here; append only.
 RULES: dict[str, str] = {
@@ -82,7 +82,7 @@ def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in columns)], [*keep, *MEASURES])
 
     schema = StructType([docs.schema[c] for c in keep] + [StructField(m, LongType()) for m in MEASURES])
-    return docs.select(sent).mapInArrow(batches, schema)
+    return bound_batches(docs).select(sent).mapInArrow(batches, schema)
 
 
 def ledger(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quaywise.operators.graph import components
 
-from .common import discard, materialise
+from .common import bound_batches, discard, materialise
 
 _ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             fp = np.array([fingerprint(x, shingle) for x in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [key, "fp"])
 
-    return docs.select(key, text).mapInArrow(batches, f"`{key}` {kind}, fp long")
+    return bound_batches(docs).select(key, text).mapInArrow(batches, f"`{key}` {kind}, fp long")
 
 
 # --- the index -------------------------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASE, _INVERSE, _powers, discard, materialise, mix, release, word_bounds, word_hashes
+from .common import _BASE, _INVERSE, _powers, bound_batches, discard, materialise, mix, release, word_bounds, word_hashes
 from .fmindex import FMIndex
 
 #: Words of a window, and of the grams that name its shard.
@@ -70,7 +70,7 @@ class _Hashes:
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, the key or the least long for null; tag, the text's CRC-32; text. Rows equal in all three share their result."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("k"), F.crc32(body.cast("binary")).alias("tag"), body.alias("text"))
+    return bound_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("k"), F.crc32(body.cast("binary")).alias("tag"), body.alias("text"))
 
 
 def _run_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
