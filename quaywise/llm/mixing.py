@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import discard, materialise, word_hashes
+from .common import bound_batches, discard, materialise, word_hashes
 
 #: Word features are hashed into so many buckets; shape features come after them.
 BUCKETS, SHAPES = 1 << 20, 64
@@ -104,6 +104,7 @@ def fit_classifier(labelled: DataFrame, domains: list[str], text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["k", "f"])
 
     few = rows.mapInArrow(picked, "k int, f array<int>").collect()
+    discard(rows)
     return Classifier(chosen, *_descend(np.array([r.k for r in few]), [r.f for r in few], len(chosen), len(domains)))
 
 
@@ -145,11 +146,11 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str], text: str =
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names)
 
     schema = StructType([docs.schema[c] for c in keep] + [StructField("n_tokens", LongType()), StructField("p", ArrayType(DoubleType()))])
-    return docs.select(sent).mapInArrow(batches, schema)
+    return bound_batches(docs).select(sent).mapInArrow(batches, schema)
 
 
 def _grain() -> Column:
-    return F.transform("p", lambda x: F.round(x * GRAIN) / GRAIN)
+    return F.transform("p", lambda x: F.floor(x * GRAIN + 0.5) / GRAIN)
 
 
 def _floor(whole: int | None) -> Column:
@@ -157,27 +158,43 @@ def _floor(whole: int | None) -> Column:
     return F.lit(0.0) if whole is None else F.when(F.element_at("p", whole + 1) >= F.array_max("p"), 1.0).otherwise(0.0)
 
 
-def _rate(steps: list[list[float]], most: float, grain: Column, floor: Column, ahead: bool = False) -> Column:
-    """The rate of rounded posteriors ``grain`` after the given steps, each projected onto ``floor`` and ``most``; or, if
-    ``ahead``, the point that the next gradient is taken at.
+@dataclass(frozen=True)
+class Rates:
+    """Rates of rounded posteriors after gradient steps from rate one, each projected onto a row's floor and ``most``.
 
     A step is a gap for each domain and its momentum: the point moves against the gaps of its posteriors to the new rate,
     and the next point lies ahead of that by the momentum times the last move.
     """
-    start = F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
-    if not steps:
-        return F.lit(1.0)
-    k = len(steps[0]) - 1
 
-    def step(a: Column, s: Column) -> Column:
-        move = sum((F.element_at(grain, i + 1) * F.element_at(s, i + 1) for i in range(k)), F.lit(0.0))
-        new = F.least(F.lit(float(most)), F.greatest(floor, a["y"] - move))
-        return F.struct(new.alias("x"), (new + F.element_at(s, k + 1) * (new - a["x"])).alias("y"))
+    steps: list[list[float]]
+    most: float
+
+    def of(self, grain: np.ndarray, floor: np.ndarray, ahead: bool = False) -> np.ndarray:
+        """The rates, or, if ``ahead``, the points that the next gradient is taken at."""
+        x = y = np.ones(len(grain))
+        for *gaps, momentum in self.steps:
+            new = np.minimum(self.most, np.maximum(floor, y - grain @ np.array(gaps)))
+            x, y = new, new + momentum * (new - x)
+        return y if ahead else x
+
+    def add(self, rows: DataFrame, whole: int | None) -> DataFrame:
+        """``rows`` (with p) and their ``rate``."""
+        names = [*rows.columns, "rate"]
+
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                rate = self.of(_matrix(b.column(b.num_columns - 2)), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(rate)], names)
 
-    return F.aggregate(F.array(*[F.array(*map(F.lit, s)) for s in steps]), start, step, lambda a: a["y" if ahead else "x"])
+        schema = StructType([*rows.schema.fields, StructField("rate", DoubleType())])
+        return rows.select("*", _grain().alias("_grain"), _floor(whole).alias("_floor")).mapInArrow(batches, schema)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | None = None, iterations: int = ITERATIONS, close: float = 1e-5) -> tuple[Column, list[float]]:
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | None = None, iterations: int = ITERATIONS, close: float = 1e-5) -> tuple[Rates, list[float]]:
     """Rates of ``rows`` (n_tokens, p) whose expected tokens in each domain match ``targets``, in tokens.
 
     Rows whose posteriors round alike share their rate throughout, so they are met as one with their exact tokens of each domain.
@@ -185,18 +202,24 @@ def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | N
     descent with momentum from rate one. A document's gradient is its posteriors times the domain gaps, so an iteration is one
     aggregation to as many sums as there are domains; the driver keeps the steps and each task replays them for its rows.
     Momentum starts anew whenever the gaps grow. It stops when no gap moves by more than ``close`` of its supply, or after
-    ``iterations``. Returns the rate as a column and the totals reached, which the caller holds against the targets.
+    ``iterations``. Returns the rates and the totals reached, which the caller holds against the targets.
     """
     k = len(targets)
     mass = [F.sum(F.col("n_tokens") * F.element_at("p", i + 1)).alias(f"m{i}") for i in range(k)]
-    alike = materialise(rows.groupBy(_grain().alias("grain"), _floor(whole).alias("floor")).agg(*mass), "posterior-groups")
+    by_grain = rows.groupBy(_grain().alias("grain"), _floor(whole).alias("floor")).agg(*mass)
+    alike = materialise(by_grain.select("grain", "floor", F.array(*[f"m{i}" for i in range(k)]).alias("m")), "posterior-groups")
+
+    def totals(rates: Rates, ahead: bool) -> list[float]:
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                if b.num_rows:
+                    sums = rates.of(_matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False), ahead) @ _matrix(b.column(2))
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"t{i}" for i in range(k)])
 
-    def totals(rate: Column) -> list[float]:
-        got = alike.select(*[(F.col(f"m{i}") * rate).alias(f"t{i}") for i in range(k)])
+        got = alike.mapInArrow(batches, ", ".join(f"t{i} double" for i in range(k)))
         return [float(x or 0.0) for x in got.agg(*[F.sum(f"t{i}") for i in range(k)]).first()]
 
-    supply = totals(F.lit(1.0))
-    grain, floor = F.col("grain"), F.col("floor")
+    supply = totals(Rates([], most), False)
     steps: list[list[float]] = []
     now, loss, pace = supply, math.inf, 1.0
     for _ in range(iterations):
@@ -207,12 +230,13 @@ def fit_rates(rows: DataFrame, targets: list[float], most: float, whole: int | N
         ahead = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         steps.append([*gaps, (pace - 1) / ahead])
         pace = ahead
-        before, now = now, totals(_rate(steps, most, grain, floor, ahead=True))
+        before, now = now, totals(Rates(steps, most), True)
         if all(abs(a - b) <= close * s for a, b, s in zip(now, before, supply, strict=True)):
             break
-    reached = totals(_rate(steps, most, grain, floor))
+    rates = Rates(steps, most)
+    reached = totals(rates, False)
     discard(alike)
-    return _rate(steps, most, _grain(), _floor(whole)), reached
+    return rates, reached
 
 
 def mix(
@@ -240,11 +264,11 @@ def mix(
     share = [weights[d] / sum(weights.values()) for d in domains]
     budget = supply[domains.index(whole)] / share[domains.index(whole)] if whole else sum(supply)
     targets = [s * budget for s in share]
-    rate, reached = fit_rates(rows, targets, most, domains.index(whole) if whole else None)
+    place = domains.index(whole) if whole else None
+    rates, reached = fit_rates(rows, targets, most, place)
     gaps = [(a - b) / budget if budget else 0.0 for a, b in zip(reached, targets, strict=True)]
     draw = F.pmod(F.xxhash64(F.lit("copies"), keep[0]), F.lit(1 << 30)) / float(1 << 30)
-    out = rows.withColumn("rate", rate)
-    out = out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    out = rates.add(rows, place).withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
     return out.withColumns({"gaps": F.array(*map(F.lit, gaps)), "on_target": F.lit(max(map(abs, gaps)) <= TOLERANCE)})
 
 
