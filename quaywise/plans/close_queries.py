@@ -430,7 +430,8 @@ def fuzzy_references(t: Tables):
     return fuzzy.similar_pairs(read, t.invoices.select(F.expr(_BL).alias("b")).distinct(), "a", "b", grouping.NEAR)
 
 
-@query(None)
+@query("""WITH e AS (SELECT 'equipment' AS c, 'is not known equipment' AS problem FROM part WHERE p_size % 5 = 0 UNION ALL SELECT 'valid_from', 'is not a date' FROM part WHERE p_size % 7 = 0
+    UNION ALL SELECT 'valid_to', 'is before valid_from' FROM part WHERE p_size % 9 = 0 AND p_size % 7 <> 0 UNION ALL SELECT 'amount', 'is required' FROM part WHERE p_size % 11 = 0) SELECT c AS "column", problem, count(*) AS n FROM e GROUP BY ALL""")
 def rate_card_errors(t: Tables):
     """A rate card made from parts, checked: errors by column and problem."""
     card = t.part.select(

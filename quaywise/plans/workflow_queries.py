@@ -11,6 +11,7 @@ from quaywise.sources import adapter, files
 from quaywise.streaming import events
 
 from .registry import Tables, query
+from .rule_queries import _VK
 
 
 @query(f"""SELECT o_orderkey AS quote_id, CASE WHEN o_orderkey % 9 = 0 THEN 'archived' WHEN CAST(o_orderdate AS DATE) > DATE '2001-01-01' THEN 'upcoming' WHEN CAST(o_orderdate AS DATE) + 365 < DATE '2001-01-01' THEN 'expired' ELSE 'current' END AS status FROM orders""")
@@ -153,7 +154,12 @@ def largest_of_each_org(t: Tables):
     return rows.filter("place <= 12").select("doc_id", "large", F.col("place").cast("long").alias("place"))
 
 
-@query(None)
+#: SQL: the length of the longest common subsequence of texts a and b, a row of the table for each character of b.
+_COMMON = """list_extract(list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]), lambda row, y: list_reduce(list_transform(range(1, length(a) + 1), lambda i: [i]),
+    lambda acc, x: list_append(acc, CASE WHEN a[x[1]] = b[y[1]] THEN row[x[1]] + 1 ELSE greatest(acc[x[1]], row[x[1] + 1]) END), [0::BIGINT]), list_resize([0::BIGINT], length(a) + 1, 0)), -1)"""
+
+
+@query(f"""WITH k AS (SELECT DISTINCT {_VK} AS k FROM invoices), p AS (SELECT x.k AS a, y.k AS b FROM k x JOIN k y ON x.k < y.k), l AS (SELECT a, b, {_COMMON} AS l FROM p) SELECT a, b, CAST(200.0 * l / (length(a) + length(b)) AS DOUBLE) AS ratio FROM l WHERE 2000 * l >= 920 * (length(a) + length(b))""", ("invoices",))
 def vendor_near_names(t: Tables):
     """Vendor keys that read alike (Indel ratio of 92), from distinct keys only."""
     from quaywise.functions import fuzzy
