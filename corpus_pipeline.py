@@ -22,7 +22,11 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the rows whose texts pass policy v2. Rules are judged on the row's own text, so repeated ids do no harm."""
+    """Keep the rows whose texts pass policy v2. Rules are judged on the row's own text, so repeated ids and rows do no harm.
+
+    A null or empty text has too few words and goes; nulls in other columns stay as they are; a very long text is measured as a whole; an
+    empty table gives an empty one; columns may have any names, as they are named by place inside.
+    """
     plain, _, text = _plain(docs)
     judged = quality.ledger(plain, plain.columns, text).filter(quality.passes(quality.POLICIES["v2"]))
     return judged.select(plain.columns).toDF(*docs.columns)
@@ -31,8 +35,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of linked texts: the one of least doc_id (null last), then of least place in the input.
 
-    Texts link at a Jaccard similarity of 0.8 or more of their five-word shingles; op10's four bits would miss most of those.
-    Rows are told apart by a number written with them, so rows without an id, or of one id, stay unless their texts link.
+    Texts link at a Jaccard similarity of 0.8 or more of their five-word shingles. Operator 10's index finds the pairs within four
+    bits, which are held against their texts; bands of minimum hashes find those that differ in more. Rows are told apart by
+    a number written with them, so rows without an id, or of one id, stay unless their texts link. Null and empty texts are alike; ties of an
+    id go by place in the input; a very long text is compared as a whole; an empty table gives an empty one; extra columns are kept.
     """
     plain, key, text = _plain(docs)
     rows = common.materialise(plain.withColumn("_row", F.monotonically_increasing_id()), "numbered")
@@ -42,7 +48,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret in the texts by a mask; n_chars follows the text."""
+    """Replace every secret in the texts by a mask; n_chars follows the text.
+
+    Every row stays, repeated ones and those of null or empty texts unchanged; a very long text costs time in proportion to its
+    length; an empty table gives an empty one; columns may have any names.
+    """
     plain, _, text = _plain(docs)
     found = secrets.find_secrets(plain, secrets.fit_model(plain, text), text)
     out = secrets.redact(found.withColumn("_hit", F.size("secrets") > 0), text)
@@ -53,7 +63,12 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thin out low and toxic documents to their target share of tokens; good documents all stay (rates reach one)."""
+    """Thin out low and toxic documents to their target share of tokens; good documents all stay (rates reach one).
+
+    A row's draw is a hash of its id, so rows of one id (or none) share theirs, and rows alike are kept or dropped together. Null and
+    empty texts have no tokens and the posterior of the bias; with no labels every domain is as likely and the first one, good, is
+    kept whole; an empty table gives an empty one; columns may have any names.
+    """
     plain, key, text = _plain(docs)
     labelled = mixing.labelled_texts(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"), key, text)
     others = [c for c in plain.columns if c != key]
@@ -62,7 +77,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences of several context sizes."""
+    """Pack the documents' tokens into sequences of several context sizes. Null and empty texts are the end id alone, repeated rows
+    are packed as often as they come, very long texts are cut into windows, and an empty table gives no pieces."""
     return packing.op5_packing(docs)
 
 
@@ -79,8 +95,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to shared storage and read again."""
-    docs = common.read_documents(spark, sf_dir)
+    """All stages over ``documents``; each stage's rows are written to shared storage and read again, and deleted once the next ones are."""
+    docs, before = common.read_documents(spark, sf_dir), []
     for name, stage in STAGES:
         docs = common.materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        common.discard(*before)
+        before = [docs]
     return docs

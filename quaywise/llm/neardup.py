@@ -8,6 +8,7 @@ in about ten of 64 bits, too many for blocks of bits as keys, so bands find thos
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quaywise.operators.graph import components
 
-from .common import discard, materialise, mix, word_hashes
+from .common import bound_batches, discard, materialise, mix, release, word_hashes
 from .simhash import _ASCII_LOWER, fingerprint, links
 
 SHINGLE = 5
@@ -25,6 +26,10 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: A pair of similarity s meets in a band with probability s ** DEPTH; 0.8 is missed by all bands with one of 0.8 %.
 BANDS, DEPTH = 16, 6
+#: Bytes of the signatures of a pair of similarity 0.8 that agree: 77 of 96 are expected, fewer than these with one in 2,000.
+LIKELY = 64
+#: Rows of a band that meet in one tile.
+TILE_ROWS = 1024
 _SEED = np.random.RandomState(20240301)
 _XOR, _TIMES = (_SEED.randint(1, 1 << 62, BANDS * DEPTH, dtype=np.int64).astype(np.uint64)[:, None] for _ in range(2))
 _TIMES = _TIMES * np.uint64(2) + np.uint64(1)
@@ -43,20 +48,29 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(run)
 
 
-def band_keys(runs: np.ndarray) -> np.ndarray:
-    """A key for each band; texts that agree in a band's minima share it. No runs have no keys."""
-    if not len(runs):
-        return np.zeros(0, np.int64)
+def minima(runs: np.ndarray) -> np.ndarray:
+    """The least value of each of BANDS * DEPTH hash functions over the runs."""
+    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(runs), 2048):  # a block at a time, so that a very long text needs little memory
             least = np.minimum(least, ((runs[None, at : at + 2048] ^ _XOR) * _TIMES).min(1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of minima; texts that agree in all of a band share it."""
+    with np.errstate(over="ignore"):
         key = mix(np.arange(BANDS, dtype=np.uint64))
         for column in least.reshape(BANDS, DEPTH).T:
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
     return key.view(np.int64)
 
 
+def signature(least: np.ndarray) -> bytes:
+    """A byte of each minimum; two texts agree in as large a share of them as they are similar, but for one in 256."""
+    return mix(least).astype(np.uint8).tobytes()
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return DENOMINATOR * shared >= NUMERATOR * (len(a) + len(b) - shared)
@@ -67,12 +81,40 @@ def _sketches(rows: DataFrame, key: str, text: str) -> DataFrame:
         for b in it:
             runs = [shingles(x) for x in b.column(1).to_pylist()]
             digest = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in runs]
-            keys = pa.array([band_keys(r) for r in runs], pa.list_(pa.int64()))
+            least = [minima(r) if len(r) else None for r in runs]
+            keys = pa.array([[] if m is None else band_keys(m) for m in least], pa.list_(pa.int64()))
+            sig = pa.array([None if m is None else signature(m) for m in least], pa.binary())
             sizes = pa.array([len(r) for r in runs], pa.int64())
             fp = np.array([fingerprint(x, SHINGLE) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), sizes, keys, pa.array(fp)], ["node", "digest", "size", "keys", "fp"])
-
-    return rows.select(key, text).mapInArrow(batches, "node long, digest binary, size long, keys array<long>, fp long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), sizes, keys, pa.array(fp), sig], ["node", "digest", "size", "keys", "fp", "sig"])
+
+    return bound_batches(rows).select(key, text).mapInArrow(batches, "node long, digest binary, size long, keys array<long>, fp long, sig binary")
+
+
+def _likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a tile's texts (sorted by tile) whose signatures agree in LIKELY bytes or more, of different parts and sizes that allow it."""
+    rest = None
+    for b in itertools.chain(it, (None,)):
+        if b is not None and not b.num_rows:
+            continue
+        if b is not None:
+            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)]
+            rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        if rest is None or not len(rest[0]):
+            continue
+        cut = len(rest[0]) if b is None else int(np.searchsorted(rest[0], rest[0][-1], "left"))  # the last tile may go on in the next batch
+        done, rest = [x[:cut] for x in rest], [x[cut:] for x in rest]
+        edge = np.append(np.flatnonzero(np.concatenate(([True], done[0][1:] != done[0][:-1]))) if cut else [], cut).astype(int)
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            _, node, size, part, sig = (x[lo:hi] for x in done)
+            for at in range(0, hi - lo, 64):
+                own = slice(at, at + 64)
+                near = (sig[own, None, :] == sig[None, :, :]).sum(2, dtype=np.int16) >= LIKELY
+                near &= (node[own, None] < node[None, :]) & (part[own, None] != part[None, :])
+                near &= DENOMINATOR * np.minimum(size[own, None], size[None, :]) >= NUMERATOR * np.maximum(size[own, None], size[None, :])
+                i, j = np.nonzero(near)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[own][i]), pa.array(node[j])], ["a", "b"])
 
 
 def _decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +127,35 @@ def _decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.bool_())], ["a", "b", "same"])
 
 
-def _decided(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``same``: whether their whole texts are similar enough."""
+def _agree(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures agree in LIKELY bytes or more."""
+    for b in it:
+        if b.num_rows:
+            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            keep = pa.array((one == two).sum(1) >= LIKELY)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+
+def _plausible(pairs: DataFrame, lone: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and signatures allow a similarity of 0.8; no text is read."""
+    close = f"{DENOMINATOR} * least(a_size, b_size) >= {NUMERATOR} * greatest(a_size, b_size)"
+    sketch = lone.select("node", "size", "sig")
+    both = pairs.join(sketch.toDF("a", "a_size", "a_sig"), "a").join(sketch.toDF("b", "b_size", "b_sig"), "b").filter(close)
+    return both.select("a", "b", "a_sig", "b_sig").mapInArrow(_agree, "a long, b long")
+
+
+def _decided(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``pairs`` (a, b) with ``same``: whether their whole texts are similar enough. Only texts of pairs are moved."""
+    pairs = materialise(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = materialise(rows.select(F.col(key).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi"), "pair-texts")
+    release(rows.sparkSession)
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return materialise(both.mapInArrow(_decide, "a long, b long, same boolean"), "decided")
+    out = materialise(both.mapInArrow(_decide, "a long, b long, same boolean"), "decided")
+    discard(pairs, texts)
+    release(rows.sparkSession)
+    return out
 
 
 def near_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -97,8 +163,9 @@ def near_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
 
     Texts of equal shingles are met first by one grouped minimum; texts without words are such a group, and so are null ones. The
     others meet by SimHash links (simhash.links, four bits) and in bands. First each text is held against those it is linked
-    with and the least and the greatest of its bands, which joins a large group of near copies in linear work; then all
-    pairs of a band that are still apart are, so no pair that met is left undecided. A very long text is one set of shingles in memory.
+    with and the least and the greatest of its bands (texts are read where signatures agree enough), which joins a large group of near copies in linear work. In the bands that
+    are still apart all signatures are then compared in tiles, and the pairs that agree enough are held against their texts, so
+    texts that share a band without being alike cost no row. A very long text is one set of shingles in memory.
     Repeated rows are one group; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     sketches = materialise(_sketches(rows, key, text), "sketches")
@@ -109,30 +176,31 @@ def near_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
     equal_bits = lone.filter("size > 0").join(prints, "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     linked = materialise(alike_bits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(equal_bits), "linked")
     met = lone.select("node", "size", F.explode("keys").alias("band"))
-    ends = met.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    # written before they are joined, so that Spark can split a band that many texts share
+    ends = materialise(met.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "ends")
     met = materialise(met.join(ends, "band"), "bands")
-    nodes = met.select("node").union(linked.select("a")).union(linked.select("b")).distinct()
-    texts = rows.select(F.col(key).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi")
-    texts = materialise(texts, "met-texts")
-
-    close = f"{DENOMINATOR} * least(a_size, b_size) >= {NUMERATOR} * greatest(a_size, b_size)"  # else sizes alone rule it out
-    sizes = lone.select("node", "size")
-    a_size, b_size = sizes.toDF("a", "a_size"), sizes.toDF("b", "b_size")
     star = met.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node <> end")
     star = star.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).unionByName(linked).distinct()
-    tried = _decided(star.join(a_size, "a").join(b_size, "b").filter(close).select("a", "b"), texts)
+    tried = _decided(_plausible(star, lone), rows, key, text)
 
     joined = tried.filter("same").select("a", "b")
     label = materialise(components(joined), "labels")
-    named = met.join(label, "node", "left").select("band", "node", "size", F.coalesce("component", "node").alias("part"))
+    named = materialise(met.join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part")), "named")
     split = named.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("band")
-    named = materialise(named.join(split, "band", "left_semi"), "split-bands")
-    discard(label, met, linked)
-    a = named.select("band", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("part").alias("a_part"))
-    b = named.select("band", F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("part").alias("b_part"))
-    apart = a.join(b, "band").filter("a < b and a_part <> b_part").filter(close).select("a", "b").distinct()
-    late = _decided(apart.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts)
-    discard(named, texts)
+    split = materialise(split, "split")
+    last, named = named, materialise(named.join(split, "band", "left_semi"), "split-bands")
+    discard(label, met, linked, ends, split, last)
+    # all pairs of a band that are still apart, by their signatures and without a row for each: a large band is dealt over tiles
+    parts = F.ceil(F.col("n") / F.lit(TILE_ROWS)).cast("long")
+    counts = materialise(named.groupBy("band").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts).drop("n"), "band-sizes")
+    rows_of = named.select("band", "node", "part").join(counts, "band").join(lone.select("node", "size", "sig"), "node")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    tiles = rows_of.withColumn("mine", mine).select("band", "node", "size", "part", "sig", "mine", other.alias("other"))
+    tiles = tiles.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "node", "size", "part", "sig")
+    apart = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_likely, "a long, b long").distinct()
+    late = _decided(apart.join(tried.select("a", "b"), ["a", "b"], "left_anti"), rows, key, text)
+    discard(named, counts)
 
     owner = components(joined.unionByName(late.filter("same").select("a", "b")))
     whole = firsts.join(owner, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("component_id"))

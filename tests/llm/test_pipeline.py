@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
 from quaywise.llm import neardup, queries, quality, simhash
 
@@ -105,12 +106,31 @@ def test_dedup_finds_the_pairs_of_brute_force(spark):
     assert len(far) > 20
 
 
+def test_dedup_decides_bands_that_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE_ROWS", 8)
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(70)]  # a passage that makes texts alike by half, so that they meet in bands
+    texts = []
+    for k in range(60):
+        own = [f"t{k}w{i}" for i in range(60)]
+        texts.append(" ".join(common + own))
+        if k % 3 == 0:
+            at = rng.randrange(60)
+            texts.append(" ".join(common + own[:at] + ["x"] + own[at + 1 :]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, SF).collect()}
+    assert kept == least_of_groups(dict(enumerate(texts)))
+
+
 def test_dedup_bands_recall():
     rng = np.random.RandomState(3)
-    met, tries = 0, 1500
+    met, likely, tries = 0, 0, 1500
     for _ in range(tries):  # sets of 180 of which 160 are shared: a similarity of exactly 0.8
         both = rng.randint(1, 1 << 62, 200, dtype=np.int64).astype(np.uint64)
         a, b = both[:180], both[20:]
         assert neardup.alike(np.sort(a), np.sort(b))
-        met += bool((neardup.band_keys(a) == neardup.band_keys(b)).any())
-    assert met / tries > 0.98
+        least = neardup.minima(a), neardup.minima(b)
+        met += bool((neardup.band_keys(least[0]) == neardup.band_keys(least[1])).any())
+        signs = [np.frombuffer(neardup.signature(x), np.uint8) for x in least]
+        likely += bool((signs[0] == signs[1]).sum() >= neardup.LIKELY)
+    assert met / tries > 0.98 and likely / tries > 0.995
