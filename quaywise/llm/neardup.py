@@ -28,6 +28,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 BANDS, DEPTH = 16, 6
 #: Bytes of the signatures of a pair of similarity 0.8 that agree: 77 of 96 are expected, fewer than these with one in 2,000.
 LIKELY = 64
+#: Ids of texts to be read that are broadcast, at most: 8 MB of them.
+FEW_NODES = 1 << 20
 #: Rows of a band that meet in one tile.
 TILE_ROWS = 1024
 _SEED = np.random.RandomState(20240301)
@@ -148,6 +150,8 @@ def _decided(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFram
     """``pairs`` (a, b) with ``same``: whether their whole texts are similar enough. Only texts of pairs are moved."""
     pairs = materialise(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    if 2 * pairs.count() <= FEW_NODES:  # else Spark shuffles the texts to meet them
+        nodes = F.broadcast(nodes)
     texts = materialise(rows.select(F.col(key).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi"), "pair-texts")
     release(rows.sparkSession)
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
