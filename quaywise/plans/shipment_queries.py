@@ -429,7 +429,7 @@ def shipment_timeline(t: Tables):
 
 
 @query(f"""WITH {_ISSUES}, s AS (SELECT org_id, code, severity, count(DISTINCT shipment_id) AS n_shipments FROM iss GROUP BY ALL) SELECT org_id, code, severity, currency, count(*) AS n, CAST(sum(amount_at_risk) AS DECIMAL(18,2)) AS at_risk, any_value(n_shipments) AS n_shipments FROM iss JOIN s USING (org_id, code, severity) GROUP BY org_id, code, severity, currency""", ("invoices", "lines"))
-def open_exceptions(t: Tables):
+def exceptions_by_code(t: Tables):
     return workflow.open_exceptions(rules.total_mismatch(t.invoices, t.lines))
 
 
