@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, packing, pii, quality, secrets, sharding, simhash, substring
+from . import bytespans, centroids, langid, media, mixing, packing, phrases, pii, quality, secrets, sharding, simhash, substring
 from .common import read_documents
 
 
@@ -26,6 +26,9 @@ QUERIES = {
     "op8_media": _over_documents(media.op8_media),
     "op9_byte_shards": _over_documents(sharding.op9_byte_shards),
     "op10_simhash": _over_documents(simhash.op10_simhash),
+    "op11_byte_spans": _over_documents(bytespans.op11_byte_spans),
+    "op12_collocations": _over_documents(phrases.op12_collocations),
+    "op13_annulus": lambda spark, sf_dir: centroids.op13_annulus(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
 }
 
 ORACLE_SQL = {
@@ -33,4 +36,7 @@ ORACLE_SQL = {
     "quality_ablations": quality.ABLATION_SQL,
     "op7_substring_dedup": substring.ORACLE_SQL,
     "op9_byte_shards": sharding.ORACLE_SQL,
+    "op11_byte_spans": bytespans.ORACLE_SQL,
+    "op12_collocations": phrases.ORACLE_SQL,
+    "op13_annulus": centroids.ORACLE_SQL,
 }
