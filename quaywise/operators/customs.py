@@ -46,7 +46,7 @@ def user_fees(entries: DataFrame) -> DataFrame:
     spark: SparkSession = entries.sparkSession
     steps = spark.createDataFrame(MPF_STEPS, "start string, least string, most string")
     steps = steps.select(F.col("start").cast("date").alias("start"), F.col("least").cast(money.MONEY).alias("least"), F.col("most").cast(money.MONEY).alias("most"))
-    rows = as_of(entries, F.broadcast(steps), "entry_date", "start")
+    rows = as_of(entries, steps, "entry_date", "start")
     raw = money.half_up(F.col("value") * F.lit(MPF_PERCENT).cast("decimal(8,4)") / F.lit(100))
     hmf = money.half_up(F.col("value") * F.lit(HMF_PERCENT).cast("decimal(8,4)") / F.lit(100))
     return rows.withColumns({"mpf": F.least(F.greatest(raw, "least"), "most"), "hmf": hmf}).drop("start", "least", "most")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import charges, money
 
-
-def valid_on(day: Column, start: str = "valid_from", end: str = "valid_to") -> Column:
-    return (F.col(start).isNull() | (F.col(start) <= day)) & (F.col(end).isNull() | (day <= F.col(end)))
+from . import intervals
 
 
 def choose_quote(invoices: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -24,28 +24,27 @@ def choose_quote(invoices: DataFrame, quotes: DataFrame) -> DataFrame:
     1.0. The highest sum wins, then the latest start, then the largest id. Where the best quote speaks on something that the
     invoice leaves open, the others that fit must agree with it.
 
-    Invoices and quotes meet by equal keys on every dimension: what a quote says (an area stands for its ports), or that it takes
-    any; an invoice that doesn't say meets all by a key of its own. So a vendor's invoices meet quotes of their lanes only.
+    Lanes meet first, each distinct one of a vendor's invoices with each of its quotes: by equal keys on every dimension, which are what
+    a quote says (an area stands for its ports), or that it takes any; an invoice's lane that doesn't say meets all by a key of
+    its own. Then days meet periods of validity of the lanes that fit, by the buckets of ``intervals``.
     """
     dims = {"origin": "origin_area", "destination": "destination_area", "equipment": None}
+    vendor, areas = ["org_id", "vendor_key"], list(filter(None, dims.values()))
 
     def said(c: str, area: str | None) -> Column:
         return F.concat(F.lit("="), F.coalesce(*map(F.col, filter(None, (area, c)))))
 
-    def lanes(df: DataFrame, own: list[Column]) -> DataFrame:
+    def laned(df: DataFrame, own: list[Column]) -> DataFrame:
         for d, ways in zip(dims, own, strict=True):
             df = df.withColumn(f"_k_{d}", F.explode(ways))
         return df
 
     any_, open_ = F.lit("any"), F.lit("open")
-    q_keys = [F.array(F.when(F.col(d).isNull(), any_).otherwise(said(d, a)), open_) for d, a in dims.items()]
+    quoted = quotes.select(*vendor, *[F.col(c).alias(f"q_{c}") for c in (*dims, *areas)]).distinct()
+    q_keys = [F.array(F.when(F.col(f"q_{d}").isNull(), any_).otherwise(said(f"q_{d}", a and f"q_{a}")), open_) for d, a in dims.items()]
+    asked = invoices.select(*vendor, *dims, *areas).distinct()
     i_keys = [F.when(F.col(d).isNull(), F.array(open_)).otherwise(F.array(said(d, a), any_)) for d, a in dims.items()]
-    lane = [f"_k_{d}" for d in dims]
-    q = lanes(quotes, q_keys)
-    q = q.select("org_id", "vendor_key", *lane, *[F.col(c).alias(f"q_{c}") for c in quotes.columns if c not in ("org_id", "vendor_key")])
-    keys = ["org_id", "doc_id", *dims]
-    met = lanes(invoices.select(*keys, "vendor_key", "ship_date", *filter(None, dims.values())), i_keys)
-    pairs = met.join(q, ["org_id", "vendor_key", *lane])
+    lanes = laned(asked, i_keys).join(laned(quoted, q_keys), [*vendor, *[f"_k_{d}" for d in dims]])
 
     def place(c: str) -> Column:
         want, have = F.col(f"q_{c}"), F.col(c)
@@ -53,41 +52,54 @@ def choose_quote(invoices: DataFrame, quotes: DataFrame) -> DataFrame:
         return F.when(want.isNull(), 5).when(have.isNull(), 6).when(want == have, 10).when(area, 8)
 
     gear = F.when(F.col("q_equipment").isNull(), 5).when(F.col("equipment").isNull(), 6).when(F.col("q_equipment") == F.col("equipment"), 10)
-    score = place("origin") + place("destination") + gear
-    day_ok = F.col("ship_date").isNull() | valid_on(F.col("ship_date"), "q_valid_from", "q_valid_to")
-    pairs = pairs.filter(day_ok).withColumn("_score", score).filter("_score is not null")
-    best = F.max(F.struct("_score", "q_valid_from", "q_quote_id", *[f"q_{d}" for d in dims]))
-    fits = pairs.groupBy("org_id", "doc_id").agg(
-        best.alias("b"), F.count(F.lit(1)).alias("n_fit"), *[F.count_distinct(F.coalesce(F.col(f"q_{d}"), F.lit(""))).alias(f"n_{d}") for d in dims]
-    )
+    lanes = lanes.withColumn("_score", place("origin") + place("destination") + gear).filter("_score is not null")
+    # a lane is named by its fields, so that joins need no written numbers; null is a name of its own
+    lane, q_lane = F.xxhash64(*dims, *areas), F.xxhash64(*[f"q_{c}" for c in (*dims, *areas)])
+    lanes = lanes.select(*vendor, *dims, *areas, "_score", lane.alias("_lane"), q_lane.alias("_q_lane"), *[F.col(f"q_{c}").alias(f"_q_{c}") for c in (*dims, *areas)])
+    offered = quotes.select(*vendor, "quote_id", "valid_from", "valid_to", *[F.col(c).alias(f"q_{c}") for c in (*dims, *areas)]).withColumn("_q_lane", q_lane)
+    same = [F.col(f"q_{c}").eqNullSafe(F.col(f"_q_{c}")) for c in (*dims, *areas)]
+    offered = offered.join(lanes, [*vendor, "_q_lane"]).filter(reduce(Column.__and__, same))
+    offered = offered.select(*vendor, "_lane", *[F.col(c).alias(f"_i_{c}") for c in (*dims, *areas)], "_score", "valid_from", "valid_to", "quote_id", *[f"q_{d}" for d in dims])
+    keys = ["org_id", "doc_id", *dims]
+    rows = invoices.select(*keys, *areas, "vendor_key", "ship_date").withColumn("_lane", lane)
+    pairs = intervals.meet(rows, offered, [*vendor, "_lane"], "ship_date")
+    pairs = pairs.filter(reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_i_{c}")) for c in (*dims, *areas)]))
+    best = F.max(F.struct("_score", "valid_from", "quote_id", *[f"q_{d}" for d in dims]))
+    spread = [(F.min(F.coalesce(F.col(f"q_{d}"), F.lit(""))) < F.max(F.coalesce(F.col(f"q_{d}"), F.lit("")))).alias(f"n_{d}") for d in dims]
+    fits = pairs.groupBy("org_id", "doc_id").agg(best.alias("b"), F.count(F.lit(1)).alias("n_fit"), *spread)
     on_file = quotes.select("org_id", "vendor_key").distinct().withColumn("_file", F.lit(True))
     rows = invoices.select(*keys, "vendor_key").join(on_file, ["org_id", "vendor_key"], "left").join(fits, ["org_id", "doc_id"], "left")
     unsaid = F.lit(False)
     for d in dims:
-        unsaid = unsaid | (F.col(d).isNull() & F.col(f"b.q_{d}").isNotNull() & (F.col(f"n_{d}") > 1))
+        unsaid = unsaid | (F.col(d).isNull() & F.col(f"b.q_{d}").isNotNull() & F.col(f"n_{d}"))
     outcome = F.when(F.col("_file").isNull(), "none_on_file").when(F.col("b").isNull(), "no_match").when(unsaid, "ambiguous").otherwise("matched")
-    return rows.select("org_id", "doc_id", outcome.alias("outcome"), F.col("b.q_quote_id").alias("quote_id"), F.coalesce("n_fit", F.lit(0)).alias("n_fit"))
+    return rows.select("org_id", "doc_id", outcome.alias("outcome"), F.col("b.quote_id").alias("quote_id"), F.coalesce("n_fit", F.lit(0)).alias("n_fit"))
 
 
 def latest_rule(rows: DataFrame, rules: DataFrame, on: list[str], day: str, row_key: list[str], rule_id: str = "rule_id") -> DataFrame:
-    """The rule in force on a row's day: the latest start wins, one without a start comes last, ties go to the larger id."""
+    """The rule in force on a row's day: the latest start wins, one without a start comes last, ties go to the larger id.
+
+    Each distinct key and day is resolved once against the periods of its key, then joined back; ``row_key`` columns are kept, and
+    ``rule`` is null where none is in force or the row has no day.
+    """
     r = rules.select(*on, *[F.col(c).alias(f"r_{c}") for c in rules.columns if c not in on])
-    pairs = rows.join(r, on, "left").withColumn("_ok", valid_on(F.col(day), "r_valid_from", "r_valid_to") & F.col(f"r_{rule_id}").isNotNull())
+    met = intervals.meet(rows.select(*on, day).filter(F.col(day).isNotNull()).distinct(), r, on, day, "r_valid_from", "r_valid_to")
     cols = [f"r_{c}" for c in rules.columns if c not in [*on, "valid_from", rule_id]]
-    pick = F.max(F.when(F.col("_ok"), F.struct(F.col("r_valid_from").isNotNull().alias("_has"), "r_valid_from", f"r_{rule_id}", *cols)))
-    return pairs.groupBy(*row_key).agg(pick.alias("rule"))
+    pick = F.max(F.struct(F.col("r_valid_from").isNotNull().alias("_has"), "r_valid_from", f"r_{rule_id}", *cols))
+    found = met.groupBy(*on, day).agg(pick.alias("rule"))
+    return rows.select(*dict.fromkeys([*row_key, *on, day])).distinct().join(found, [*on, day], "left").select(*row_key, "rule")
 
 
 def as_of(rows: DataFrame, steps: DataFrame, day: str, start: str) -> DataFrame:
     """Each row with the step in force on its day: the last one that began no later.
 
-    ``steps`` is a dated table of parameters (a few rows, one a change); each step gets the next one's start as its end, and
-    rows meet it by a range condition. Days before the first step take the first.
+    ``steps`` is a dated table of parameters (a few rows, one a change); each step gets the day before the next one's start as its end.
+    Days before the first step take the first; rows without a day take none and are left out. Each distinct day is resolved once.
     """
     w = Window.orderBy(start)  # a handful of rows
-    spans = steps.withColumns({"_until": F.lead(start).over(w), "_from": F.when(F.row_number().over(w) > 1, F.col(start))})
-    inside = (F.col("_from").isNull() | (F.col("_from") <= F.col(day))) & (F.col("_until").isNull() | (F.col(day) < F.col("_until")))
-    return rows.join(spans, inside).drop("_from", "_until")
+    spans = steps.withColumns({"_until": F.date_sub(F.lead(start).over(w), 1), "_from": F.when(F.row_number().over(w) > 1, F.col(start))})
+    days = rows.select(day).filter(F.col(day).isNotNull()).distinct()
+    return rows.join(intervals.meet(days, spans, [], day, "_from", "_until").drop("_from", "_until"), day)
 
 
 def over_quote(lines: DataFrame, quoted: DataFrame, percent: float = 2.0, fixed: float = 5.0) -> DataFrame:
