@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import _BASE, _INVERSE, _powers, bound_batches, discard, materialise, mix, release, word_bounds, word_hashes
 from .fmindex import FMIndex
@@ -28,6 +30,8 @@ SHARD_WORDS = 1 << 18
 SPLIT = 512
 #: Stands for a null key, before all others.
 _LEAST = -(1 << 63)
+#: Place, in answers, of a window that is dealt alone.
+_LONE = -(1 << 14)
 
 
 def _grams(h: np.ndarray, sums: np.ndarray, inverse: np.ndarray, k: int) -> np.ndarray:
@@ -68,16 +72,19 @@ class _Hashes:
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """k, the key or the least long for null; tag, the text's CRC-32; text. Rows equal in all three share their result."""
+    """k, the key or the least long for null; t1 and t2, 128 bits of the text's digest; text. Rows equal in key and text share their result."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be a whole number: documents are ordered by it")
     body = F.coalesce(F.col(text), F.lit(""))
-    return bound_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("k"), F.crc32(body.cast("binary")).alias("tag"), body.alias("text"))
+    digest = F.xxhash64(body).alias("t1"), F.xxhash64(F.lit("other"), body).alias("t2")
+    return bound_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("k"), *digest, body.alias("text"))
 
 
 def _run_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["k", "tag", "a", "r", "at", "n"]
+    names = ["k", "t1", "t2", "a", "r", "at", "n"]
     for b in it:
         parts, which = [], []
-        for i, body in enumerate(b.column(2).to_pylist()):
+        for i, body in enumerate(b.column(3).to_pylist()):
             h = word_hashes(body.encode("utf-8", "surrogatepass"))[2]
             if len(h) >= WINDOW:
                 parts.append(_Hashes(h).runs())
@@ -85,22 +92,22 @@ def _run_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if parts:
             a, r, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             i = np.concatenate(which)
-            k, tag = (b.column(c).to_numpy(zero_copy_only=False)[i] for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(tag), pa.array(a.view(np.int64)), pa.array(r.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16))], names)
+            k, t1, t2 = (b.column(c).to_numpy(zero_copy_only=False)[i] for c in (0, 1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(t1), pa.array(t2), pa.array(a.view(np.int64)), pa.array(r.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16))], names)
 
 
 def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compress texts before they are shuffled."""
     z = zstandard.ZstdCompressor(level=3)
     for b in it:
-        body = [z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(body, pa.binary())], ["k", "tag", "z"])
+        body = [z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(body, pa.binary())], ["k", "t1", "t2", "z"])
 
 
 def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each wanted run of a document, whole or, where ``split`` says so, window by window."""
     z = zstandard.ZstdDecompressor()
-    names = ["split", "route", "a", "r", "w", "n", "k", "at", "words"]
+    names = ["split", "route", "other", "a", "r", "w", "n", "k", "at", "words"]
     for b in it:
         for k, packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             data = z.decompress(packed)
@@ -109,13 +116,16 @@ def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in wanted:
                 a, r, at, n = x["a"], x["r"], x["at"], x["n"]
                 if not x["split"]:
-                    rows.append((False, a, a, r, 0, n, k, at, data[starts[at] : ends[at + n + WINDOW - 2]]))
+                    rows.append((False, a, 0, a, r, 0, n, k, at, data[starts[at] : ends[at + n + WINDOW - 2]]))
                     continue
                 hashes = hashes or _Hashes(word_hashes(data)[2])
                 own = hashes.stretch(np.arange(at, at + n), np.full(n, WINDOW)).view(np.int64).tolist()
-                rows += [(True, own[w], a, r, w, 1, k, at + w, data[starts[at + w] : ends[at + w + WINDOW - 1]]) for w in range(n)]
+                for w in range(n):
+                    words = b" ".join(data[starts[at + w] : ends[at + w + WINDOW - 1]].split())
+                    other = int.from_bytes(xxhash.xxh3_64_digest(words), "big", signed=True)
+                    rows.append((True, own[w], other, a, r, w, 1, k, at + w, words))
             columns = list(zip(*rows, strict=True))
-            types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int32(), pa.binary()]
+            types = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int32(), pa.binary()]
             if columns:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -256,7 +266,7 @@ def _remove(keep_words: bool):
         z = zstandard.ZstdDecompressor()
         for b in it:
             rows = []
-            for packed, cuts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for packed, cuts in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 words = z.decompress(packed).split()
                 gone = np.zeros(len(words) + 1, np.int32)
                 if cuts:
@@ -269,46 +279,46 @@ def _remove(keep_words: bool):
             n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
             if keep_words:
                 kept = [x.decode("utf-8", "surrogatepass") for x in kept]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["k", "tag", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["k", "t1", "t2", "n_words", "n_removed", "kept"])
 
     return run
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[DataFrame]]:
-    """k, tag, at, n: stretches of n windows, the first at word ``at``, that each occur earlier in the corpus; and the tables it is read from.
+    """k, t1, t2, at, n: stretches of n windows, the first at word ``at``, that each occur earlier in the corpus; and the tables it is read from.
 
     1. Runs are cut from every document; anchors seen once are dropped by a grouped count, which combines before it
        shuffles. 2. Equal runs are grouped; documents that hold the first of a kind give its words. 3. Shards of pieces
        are indexed and searched; of equal windows of a crowded anchor one grouped minimum goes there. 4. Answers meet all occurrences of their runs by a join that Spark may split where skewed.
     """
     keyed = _keyed(docs, key, text)
-    runs = materialise(keyed.mapInArrow(_run_rows, "k long, tag long, a long, r long, at int, n short"), "runs")
+    runs = materialise(keyed.mapInArrow(_run_rows, "k long, t1 long, t2 long, a long, r long, at int, n short"), "runs")
     # tables are written before they are joined where a grouping would else keep Spark from splitting a skewed side
     often = materialise(runs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a"), "often")
     hits = materialise(runs.join(often, "a", "left_semi"), "hits")
     discard(runs, often)
     release(docs.sparkSession)
-    kinds = materialise(hits.groupBy("a", "r").agg(F.min(F.struct("k", "at", "tag", "n")).alias("f")), "kinds")
+    kinds = materialise(hits.groupBy("a", "r").agg(F.min(F.struct("k", "at", "t1", "t2", "n")).alias("f")), "kinds")
     crowded = materialise(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SPLIT).select("a", F.lit(True).alias("split")), "crowded")
-    wanted = kinds.join(crowded, "a", "left").groupBy("f.k", "f.tag").agg(
+    wanted = kinds.join(crowded, "a", "left").groupBy("f.k", "f.t1", "f.t2").agg(
         F.collect_list(F.struct("a", "r", F.col("f.at").alias("at"), F.col("f.n").alias("n"), F.coalesce("split", F.lit(False)).alias("split"))).alias("wanted")
     )
-    packed = keyed.mapInArrow(_pack, "k long, tag long, z binary")
-    pieces = packed.join(wanted, ["k", "tag"]).select("k", "z", "wanted")
-    pieces = materialise(pieces.mapInArrow(_pieces, "split boolean, route long, a long, r long, w short, n short, k long, at int, words binary"), "pieces")
+    packed = keyed.mapInArrow(_pack, "k long, t1 long, t2 long, z binary")
+    pieces = packed.join(wanted, ["k", "t1", "t2"]).select("k", "z", "wanted")
+    pieces = materialise(pieces.mapInArrow(_pieces, "split boolean, route long, other long, a long, r long, w short, n short, k long, at int, words binary"), "pieces")
     discard(kinds, crowded)
     release(docs.sparkSession)
-    # of equal windows of crowded anchors only the first is dealt; the others meet its answer by their hash
-    alone = pieces.filter("split").groupBy("route").agg(F.min(F.struct("k", "at")).alias("f"), F.max("words").alias("words"))
-    short = [F.lit(x).cast("short") for x in (0, 1)]
-    alone = alone.select("route", F.lit(0).cast("long").alias("a"), F.col("route").alias("r"), short[0].alias("w"), short[1].alias("n"), "f.k", "f.at", "words")
-    dealt = pieces.filter("not split").drop("split").unionByName(alone).repartition("route").sortWithinPartitions("route", "k", "at")
+    # of equal windows of crowded anchors (two hashes of 64 bits agree) only the first is dealt; the others meet its answer by both
+    alone = pieces.filter("split").groupBy("route", "other").agg(F.min(F.struct("k", "at")).alias("f"), F.max("words").alias("words"))
+    short = [F.lit(x).cast("short") for x in (_LONE, 1)]
+    alone = alone.select("route", F.col("other").alias("a"), F.col("route").alias("r"), short[0].alias("w"), short[1].alias("n"), "f.k", "f.at", "words")
+    dealt = pieces.filter("not split").drop("split", "other").unionByName(alone).repartition("route").sortWithinPartitions("route", "k", "at")
     answers = materialise(dealt.mapInArrow(_answers, "a long, r long, w short, m short, first_k long, first_at int"), "answers")
-    lone = answers.filter("a = 0").select(F.col("r").alias("route"), "m", "first_k", "first_at")
-    split = pieces.filter("split").select("route", "a", "r", "w").join(lone, "route").select("a", "r", "w", "m", "first_k", "first_at")
+    lone = answers.filter("w < 0").select(F.col("r").alias("route"), F.col("a").alias("other"), "m", "first_k", "first_at")
+    split = pieces.filter("split").select("route", "other", "a", "r", "w").join(lone, ["route", "other"]).select("a", "r", "w", "m", "first_k", "first_at")
     here = F.col("at") + F.col("w")
     earlier = (F.col("first_k") < F.col("k")) | ((F.col("first_k") == F.col("k")) & (F.col("first_at") < here))
-    found = [hits.select("k", "tag", "a", "r", "at").join(x, ["a", "r"]).filter(earlier).select("k", "tag", here.cast("int").alias("at"), F.col("m").alias("n")) for x in (answers.filter("a <> 0"), split)]
+    found = [hits.select("k", "t1", "t2", "a", "r", "at").join(x, ["a", "r"]).filter(earlier).select("k", "t1", "t2", here.cast("int").alias("at"), F.col("m").alias("n")) for x in (answers.filter("w >= 0"), split)]
     return found[0].unionByName(found[1]), [hits, pieces, answers]
 
 
@@ -316,16 +326,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_words:
     """``key``, n_words, n_removed and ``kept``: the words left, joined by one space (or their SHA-256).
 
     A word goes if it lies in a window that also starts earlier: in a row of smaller key, or earlier in the same text.
-    Null texts are empty. The key is an integer; a null key sorts before all others. Rows that repeat a key are one
+    Null texts are empty. The key is a whole number (any other type is refused); a null key sorts before all others. Rows that repeat a key are one
     document at one place: a window at the same word of two such rows is earlier in neither. Each row gets its own result;
     rows equal in key and text get equal ones. An empty table gives an empty result; other columns are ignored.
     """
     windows, tables = repeated_windows(docs, key, text)
-    cuts = materialise(windows.groupBy("k", "tag").agg(F.collect_set(F.struct("at", "n")).alias("cuts")), "cuts")
+    cuts = materialise(windows.groupBy("k", "t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("cuts")), "cuts")
     discard(*tables)
     release(docs.sparkSession)
-    packed = _keyed(docs, key, text).mapInArrow(_pack, "k long, tag long, z binary")
-    done = packed.join(cuts, ["k", "tag"], "left").select("k", "tag", "z", "cuts").mapInArrow(_remove(keep_words), "k long, tag long, n_words long, n_removed long, kept string")
+    packed = _keyed(docs, key, text).mapInArrow(_pack, "k long, t1 long, t2 long, z binary")
+    done = packed.join(cuts, ["k", "t1", "t2"], "left").select("k", "t1", "t2", "z", "cuts").mapInArrow(_remove(keep_words), "k long, t1 long, t2 long, n_words long, n_removed long, kept string")
     return done.select(F.nullif(F.col("k"), F.lit(_LEAST)).alias(key), "n_words", "n_removed", "kept")
 
 

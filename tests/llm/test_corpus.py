@@ -514,6 +514,21 @@ def test_repeated_windows_equal_brute_force(monkeypatch, docs, rows, split):
     assert got == brute_windows(rows)
 
 
+@pytest.mark.parametrize("split", [512, 1])
+def test_rows_of_one_id_with_one_checksum_are_told_apart(spark, monkeypatch, split):
+    monkeypatch.setattr(substring, "SPLIT", split)
+    first, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "bo")
+    rng = random.Random(4)
+    ends = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(150_000)]
+    sums = {zlib.crc32(f"{first} {x}".encode()): f"{first} {x}" for x in ends}
+    clash = next((sums[c], t) for t in (f"{other} {x}" for x in ends) if (c := zlib.crc32(t.encode())) in sums)
+    rows = [(0, first), (1, clash[0]), (1, clash[1])]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == Counter([(0, 30, 0), (1, 31, 30), (1, 31, 0)])
+    with pytest.raises(TypeError, match="whole number"):
+        substring.dedup(spark.createDataFrame([("a", first)], "doc_id string, text string"))
+
+
 def test_a_hot_window_is_dealt_once(spark, monkeypatch):
     rng = random.Random(8)
     monkeypatch.setattr(substring, "SPLIT", 16)
