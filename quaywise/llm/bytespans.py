@@ -197,7 +197,7 @@ def _doubled(pieces: DataFrame, length: int) -> DataFrame:
     alike = own.groupBy(*sides).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("kind", "on")).alias("one"))
     alike = materialise(alike.select(*sides, "one.*", (F.col("c") > 1).alias("settled")), "alike")
     settled = own.join(alike.filter("settled").select(*sides), sides, "left_semi")
-    open_cores = alike.filter("not settled").select("core").distinct()
+    open_cores = materialise(alike.filter("not settled").select("core").distinct(), "open")  # written, so that a hot core's rows may be split
     each = alike.join(open_cores, "core", "left_semi").withColumn("v", F.explode(F.sequence("low", "high")))
     side = F.concat(F.substring("left", F.col("high") - F.col("v") + 1, F.col("v")), F.substring("right", F.lit(1), F.lit(step) - F.col("v")))
     each = each.select("core", "v", side.alias("side"), "kind", "on", "settled")
@@ -206,7 +206,7 @@ def _doubled(pieces: DataFrame, length: int) -> DataFrame:
     single = each.filter("not settled").join(twice, keys, "left_semi")
     found = settled.select("kind", (F.col("on") - F.col("high")).alias("w"), (F.col("high") - F.col("low") + 1).alias("n"))
     found = materialise(found.unionByName(single.select("kind", (F.col("on") - F.col("v")).alias("w"), F.lit(1).alias("n"))), "found")
-    discard(own, alike, twice)
+    discard(own, alike, twice, open_cores)
     return found
 
 
@@ -251,18 +251,22 @@ def _removed(length: int, keep: bool):
         z = zstandard.ZstdDecompressor()
         for b in it:
             rows = []
-            for packed, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                data = z.decompress(packed)
+            ends = np.cumsum(b.column(2).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            starts, stretch = (b.column(2).flatten().field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("at", "n"))
+            first = 0
+            for packed, last in zip(b.column(1), ends.tolist(), strict=True):
+                data = z.decompress(packed.as_buffer())
                 removed = spans = 0
                 kept = data
-                if cuts:
-                    edge = np.zeros(len(data) + 1, np.int32)
-                    at, n = np.array([(c["at"], c["n"]) for c in cuts], np.int64).T
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n + length - 1, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-                    removed, spans = int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=0) == 1).sum())
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                if last > first:
+                    # stretches in order, those that touch joined
+                    order = first + np.argsort(starts[first:last], kind="stable")
+                    lo, hi = starts[order], np.maximum.accumulate(starts[order] + stretch[order] + length - 1)
+                    new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+                    lo, hi = lo[new].tolist(), hi[np.append(new[1:], len(hi)) - 1].tolist()
+                    removed, spans = sum(hi) - sum(lo), len(lo)
+                    kept = b"".join(data[x:y] for x, y in zip([0, *hi], [*lo, len(data)], strict=True))
+                first = last
                 rows.append((len(data), removed, spans, kept if keep else hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if keep else pa.string())

@@ -135,7 +135,7 @@ def first_centroids(rows: DataFrame, key: str, clusters: int) -> np.ndarray:
     """The vectors of the least SHA-256 of ``2:<key>``, in that order; a null key is an empty one, rows of one key go by their vectors."""
     digest = F.sha2(F.concat(F.lit("2:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"), 256)
     first = rows.select(digest.alias("digest"), "_v").orderBy("digest", "_v").limit(clusters).collect()
-    return np.array([r._v for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r._v for r in first], np.int64) if first else np.zeros((0, 0), np.int64)
 
 
 def fit(rows: DataFrame, key: str, clusters: int = CLUSTERS, rounds: int = ROUNDS) -> Centroids:
