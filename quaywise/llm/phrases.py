@@ -2,23 +2,28 @@
 
 A task turns its documents into shards of at most ``SHARD_WORDS`` words. In a shard, suffixes of word ids are ranked by their
 first one, two and four words; suffixes in order that share k words or more form the LCP intervals of depth k, one for each
-n-gram of k words, whose widths are its counts. Spark sums the counts of all shards.
+n-gram of k words, whose widths are its counts. Spark sums the counts of all shards by key.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, materialise, release
+from .common import _BASE, bound_batches, discard, materialise, mix, release
 
 #: Words of one suffix array: a bound on a task's memory.
 SHARD_WORDS = 1 << 20
+#: Hashes that a bucket of them all is to hold at most: a bound on the memory of the task that sums it.
+BUCKET = 1 << 22
 #: Least count of a candidate, phrases reported per language, and the share (%) of a phrase's count at which a longer one replaces it.
 LEAST, TOP, SHARE = 10, 2000, 50
 #: Ends a piece: no UTF-8 text holds this byte.
@@ -30,8 +35,6 @@ for _c in b".,;:!?\n\x0b\x0c\r":
 _FOLD[9] = 32
 _FOLD = bytes(_FOLD)
 
-_SCHEMA = "lang string, words int, phrase string, c long, next array<string>, next_c array<long>"
-
 
 def tokens(text: bytes) -> list[bytes]:
     """Words in lower case, with ``_END`` between pieces."""
@@ -80,46 +83,57 @@ class _Shard:
         if ahead:
             self.ahead.append((len(self.words) - 1 - ahead, len(self.words)))
 
-    def counts(self) -> Iterator[pa.RecordBatch]:
-        """A row for each word, and for each two words with the counts of the words that follow them."""
-        if not self.words:
-            return
-        coded = pa.array(self.words, pa.binary()).dictionary_encode()
-        names = pa.array(self.langs, pa.string()).dictionary_encode()
-        word, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-        lang = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), self.sizes)
-        real = word != distinct.index(_END).as_py()
-        order, shared = suffix_array(np.where(real, lang * len(distinct) + word + 1, 0), 3)
-        counted = np.ones(len(word), bool)
-        for lo, hi in self.ahead:
-            counted[lo:hi] = False
+    def row(self) -> Iterator[pa.RecordBatch]:
+        """The shard as a row, under a name of its own."""
+        if self.words:
+            body = zstandard.ZstdCompressor(level=3).compress(b" ".join(self.words))
+            lo, hi = zip(*self.ahead, strict=True) if self.ahead else ((), ())
+            columns = [uuid.uuid4().hex, body, self.langs, self.sizes, lo, hi]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(columns, _ROW, strict=True)], schema=_ROW)
+
+
+#: A shard as it is written: its words, the language and words of each stretch, and stretches that are counted elsewhere.
+_ROW = pa.schema([
+    ("shard", pa.string()), ("body", pa.binary()), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32())),
+])
+_ROW_TYPES = "shard string, body binary, langs array<string>, sizes array<int>, lo array<int>, hi array<int>"
+
+
+class _Counts:
+    """n-grams of a written shard, from the LCP intervals of its suffix array."""
+
+    def __init__(self, row: dict, depth: int):
+        coded = pa.array(zstandard.ZstdDecompressor().decompress(row["body"]).split(b" "), pa.binary()).dictionary_encode()
+        names = pa.array(row["langs"], pa.string()).dictionary_encode()
+        self.word, self.words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        self.lang = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), row["sizes"])
+        self.langs = names.dictionary
+        real = self.word != self.words.index(_END).as_py()
+        self.order, self.shared = suffix_array(np.where(real, self.lang * len(self.words) + self.word + 1, 0), depth)
+        self.counted = np.ones(len(self.word), bool)
+        for lo, hi in zip(row["lo"], row["hi"], strict=True):
+            self.counted[lo:hi] = False
         after = np.append(real, [False, False])
-        words_after = np.where(~real, 0, np.where(~after[1:-1], 1, np.where(~after[2:], 2, 3)))
-
-        def intervals(k: int) -> tuple[np.ndarray, np.ndarray]:
-            """A suffix of each interval of depth k, and how many counted suffixes it holds."""
-            first = np.flatnonzero(shared < k)
-            width = np.add.reduceat(counted[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-            kept = (words_after[order[first]] >= k) & (width > 0)
-            return order[first[kept]], width[kept]
-
-        distinct = distinct.cast(pa.string(), safe=False)
-        at, c = intervals(1)
-        none = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.string()))
-        none_c = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.int64()))
-        columns = ["lang", "words", "phrase", "c", "next", "next_c"]
-        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(lang[at])), pa.array(np.ones(len(at), np.int32)), distinct.take(pa.array(word[at])), pa.array(c), none, none_c], columns)
-        at, c = intervals(2)
-        longer, longer_c = intervals(3)
-        place = np.empty(len(word), np.int64)
-        place[order] = np.arange(len(word))
-        cut = np.searchsorted(place[longer], np.append(place[at], len(word)))  # suffixes that go on lie within their interval of depth 2
-        if len(at):
-            cut[0] = 0
-        offsets = pa.array(cut.astype(np.int32))
-        phrase = pc.binary_join_element_wise(distinct.take(pa.array(word[at])), distinct.take(pa.array(word[at + 1])), " ")
-        follow = pa.ListArray.from_arrays(offsets, distinct.take(pa.array(word[longer + 2])))
-        yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(lang[at])), pa.array(np.full(len(at), 2, np.int32)), phrase, pa.array(c), follow, pa.ListArray.from_arrays(offsets, pa.array(longer_c))], columns)
+        self.left = np.where(~real, 0, np.where(~after[1:-1], 1, np.where(~after[2:], 2, 3)))  # words before the piece ends, three at most
+        self.real = real
+        own = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()], np.uint64)
+        tongue = np.array([xxhash.xxh3_64_intdigest(x.encode(), 7) for x in self.langs.to_pylist()], np.uint64)
+        with np.errstate(over="ignore"):
+            self.hash = mix(own[self.word] * np.uint64(_BASE) + tongue[self.lang])
+
+    def intervals(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A suffix of each interval of depth k, and how many counted suffixes it holds."""
+        first = np.flatnonzero(self.shared < k)
+        width = np.add.reduceat(self.counted[self.order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        kept = (self.left[self.order[first]] >= k) & (width > 0)
+        return self.order[first[kept]], width[kept]
+
+    def hashes(self, at: np.ndarray, k: int) -> np.ndarray:
+        """64 bits of each n-gram of one or two words, of its language and length."""
+        if k == 1:
+            return self.hash[at]
+        with np.errstate(over="ignore"):
+            return mix(self.hash[at] * np.uint64(_BASE) + self.hash[at + 1] + np.uint64(1))
 
 
 def _shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,46 +150,132 @@ def _shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ahead = words[at + room : at + room + 2]
                 shard.add(lang, words[at : at + room] + ahead, len(ahead))
                 at += room
-                yield from shard.counts()
+                yield from shard.row()
                 shard = _Shard()
             if len(shard.words) >= SHARD_WORDS:
-                yield from shard.counts()
+                yield from shard.row()
                 shard = _Shard()
-    yield from shard.counts()
-
-
-def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, words, phrase, c, next, next_c: counts of one and two words in each shard, and of the words that follow the two; written once."""
+    yield from shard.row()
+
+
+def _blocks(buckets: int, least: int):
+    """Hashes of a shard's words and pairs with their counts (``least`` at most, as only reaching it matters), dealt over buckets."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for row in b.to_pylist():
+                counts = _Counts(row, 2)
+                found = [(counts.hashes(at, k), c) for k in (1, 2) for at, c in (counts.intervals(k),)]
+                h, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                bucket = (h % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                h, c = h[order], np.minimum(c[order], least).astype(np.int32)
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                there = np.flatnonzero(np.diff(cut))
+                columns = [pa.array(there), pa.array([row["shard"]] * len(there), pa.string())]
+                columns += [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in there], pa.binary()) for x in (h, c)]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "shard", "h", "c"])
+
+    return run
+
+
+def _frequent(least: int):
+    """For each shard the hashes of a bucket whose counts reach ``least`` over all shards. Rows come sorted by bucket."""
+
+    def answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
+        c = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(r[1]) // 8 for r in rows])
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+        enough = np.add.reduceat(c[order].astype(np.int64), first) >= least
+        kept = np.zeros(len(h), bool)
+        kept[order] = np.repeat(enough, np.diff(np.append(first, len(h))))
+        h, owner = h[kept], owner[kept]
+        cut = np.searchsorted(owner, np.arange(len(rows) + 1))
+        there = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in there], pa.string()), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in there], pa.binary())], ["shard", "h"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, rows = None, []
+        for b in it:
+            for own, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if own != bucket and rows:
+                    yield from answers(rows)
+                    rows = []
+                bucket = own
+                rows.append(row)
+        if rows:
+            yield from answers(rows)
+
+    return run
+
+
+def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a shard's frequent words and pairs, and of triples of two frequent pairs; all words of a language as those of no word."""
+    for b in it:
+        for row in b.to_pylist():
+            counts = _Counts(row, 3)
+            known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in row["known"] or [b""]]))
+
+            def often(at: np.ndarray, k: int, counts=counts, known=known) -> np.ndarray:
+                h = counts.hashes(at, k)
+                place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                return known[place] == h if len(known) else np.zeros(len(h), bool)
+
+            every = np.bincount(counts.lang[counts.real & counts.counted], minlength=len(counts.langs))
+            parts = [(counts.langs, np.zeros(len(counts.langs), np.int32), pa.array([""] * len(counts.langs), pa.string()), every.astype(np.int64))]
+            words = counts.words.cast(pa.string(), safe=False)
+            for k in (1, 2, 3):
+                at, c = counts.intervals(k)
+                kept = often(at, 1) if k == 1 else often(at, 2)
+                if k == 3:
+                    kept[kept] = often(at[kept] + 1, 2)
+                at, c = at[kept], c[kept]
+                phrase = [words.take(pa.array(counts.word[at + i])) for i in range(k)]
+                parts.append((counts.langs.take(pa.array(counts.lang[at])), np.full(len(at), k, np.int32), pc.binary_join_element_wise(*phrase, " ") if k > 1 else phrase[0], c))
+            for lang, n, phrase, c in parts:
+                yield pa.RecordBatch.from_arrays([lang, pa.array(n), phrase, pa.array(c)], ["lang", "words", "phrase", "c"])
+
+
+def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> DataFrame:
+    """lang, words, phrase, f: words, pairs and triples that occur ``least`` times or more, and all words of a language as words = 0; written once.
+
+    1. Shards are written. 2. Each sends the hashes of its words and pairs to buckets, which answer those that are frequent over all
+    shards; as many buckets as keep one to BUCKET hashes. 3. Each shard counts what may be frequent: n-grams whose hashes are, triples of two
+    such pairs (none is more frequent than its pairs); Spark sums the counts by their words, so no hash decides a count.
+    """
+    spark = docs.sparkSession
     rows = bound_batches(docs).select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    return materialise(rows.mapInArrow(_shards, _SCHEMA), "ngrams")
+    shards = materialise(rows.mapInArrow(_shards, _ROW_TYPES), "shards")
+    buckets = max(1, 2 * shards.count() * SHARD_WORDS // BUCKET)
+    dealt = shards.mapInArrow(_blocks(buckets, least), "bucket long, shard string, h binary, c binary")
+    dealt = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    known = materialise(dealt.mapInArrow(_frequent(least), "shard string, h binary"), "frequent")
+    release(spark)
+    asked = shards.join(known.groupBy("shard").agg(F.collect_list("h").alias("known")), "shard", "left")
+    counts = asked.mapInArrow(_counted, "lang string, words int, phrase string, c long").groupBy("lang", "words", "phrase").agg(F.sum("c").alias("f"))
+    out = materialise(counts.filter((F.col("words") == 0) | (F.col("f") >= least)), "counts")
+    discard(shards, known)
+    release(spark)
+    return out
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP, share: int = SHARE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first ``top`` phrases of two or three words.
 
-    Counts of two words are merged first; only words that follow a frequent pair are then counted as triples, which loses none,
-    since no triple is more frequent than its pair. Scores are exact decimals. A null text is empty, a null language ``und``; a very long text
-    spans several shards, whose edges count every n-gram once; repeated rows count as often as they come; ties go by count, then
-    phrase; an empty table gives no rows; other columns are ignored.
+    Scores are exact decimals. A null text is empty, a null language ``und``; a very long text spans several shards, whose edges count
+    every n-gram once; repeated rows count as often as they come; ties go by count, then phrase; an empty table gives no rows;
+    other columns are ignored.
     """
-    spark = docs.sparkSession
-    parts = ngram_counts(docs, text, lang)
+    counts = ngram_counts(docs, text, lang, least)
 
-    def merged(words: int) -> DataFrame:
-        return parts.filter(F.col("words") == words).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+    def of(words: int) -> DataFrame:
+        return counts.filter(F.col("words") == words).select("lang", "phrase", "f")
 
-    ones = materialise(merged(1), "words")
-    n = ones.groupBy("lang").agg(F.sum("f").alias("n"))
-    ones = ones.filter(F.col("f") >= least)
-    twos = materialise(merged(2).filter(F.col("f") >= least), "pairs")
-    release(spark)
-    follow = parts.filter("words = 2 and size(next) > 0").select("lang", "phrase", "next", "next_c").join(twos.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-    follow = follow.select("lang", "phrase", F.explode(F.arrays_zip("next", "next_c")).alias("x")).groupBy("lang", "phrase", F.col("x.next").alias("third")).agg(F.sum("x.next_c").alias("f"))
-    word = [F.split_part("phrase", F.lit(" "), F.lit(i)) for i in (1, 2)]
-    threes = follow.filter(F.col("f") >= least).select("lang", F.concat_ws(" ", "phrase", "third").alias("phrase"), "f", F.col("phrase").alias("front"), "third", word[0].alias("first"), F.concat_ws(" ", word[1], F.col("third")).alias("back"))
-    threes = materialise(threes, "triples")
-    discard(parts)
-    release(spark)
+    n, ones, twos = of(0).select("lang", F.col("f").alias("n")), of(1), of(2)
+    word = [F.split_part("phrase", F.lit(" "), F.lit(i)) for i in (1, 2, 3)]
+    threes = of(3).select("lang", "phrase", "f", word[0].alias("first"), F.concat_ws(" ", *word[:2]).alias("front"), F.concat_ws(" ", *word[1:]).alias("back"), word[2].alias("third"))
 
     def counted(rows: DataFrame, key: str, counts: DataFrame, name: str) -> DataFrame:
         return rows.join(counts.select("lang", F.col("phrase").alias(key), F.col("f").alias(name)), ["lang", key])
@@ -191,8 +291,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     pairs = pairs.join(inside, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.lit(100) * F.col("longer") < F.lit(share) * F.col("a")))
     pairs = pairs.select("lang", "phrase", "a", "l", "r", score("a", "l", "r").alias("score"))
     triples = threes.withColumnRenamed("f", "a")
-    for key, counts, name in (("first", ones, "l1"), ("back", twos, "r1"), ("front", twos, "l2"), ("third", ones, "r2")):
-        triples = counted(triples, key, counts, name)
+    for key, parts, name in (("first", ones, "l1"), ("back", twos, "r1"), ("front", twos, "l2"), ("third", ones, "r2")):
+        triples = counted(triples, key, parts, name)
     triples = triples.withColumn("s1", score("a", "l1", "r1")).withColumn("s2", score("a", "l2", "r2"))
     early = F.col("s1") <= F.col("s2")
     triples = triples.select("lang", "phrase", "a", *[F.when(early, F.col(f"{x}1")).otherwise(F.col(f"{x}2")).alias(o) for x, o in (("l", "l"), ("r", "r"), ("s", "score"))])

@@ -143,9 +143,8 @@ def test_suffix_array_and_shared_lengths():
 
 
 def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
-    counts = [("en", 1, "a", 10**12 + 7), ("en", 1, "b", 10**12 + 9), ("en", 2, "a b", 10**12 + 1)]
-    table = spark.createDataFrame([(*c, [], []) for c in counts], phrases._SCHEMA)
-    monkeypatch.setattr(phrases, "ngram_counts", lambda *_: phrases.materialise(table, "counts"))
+    counts = [("en", 0, "", 10**13), ("en", 1, "a", 10**12 + 7), ("en", 1, "b", 10**12 + 9), ("en", 2, "a b", 10**12 + 1)]
+    monkeypatch.setattr(phrases, "ngram_counts", lambda *_: spark.createDataFrame(counts, "lang string, words int, phrase string, f long"))
     (row,) = phrases.collocations(spark.createDataFrame([], SCHEMA)).collect()
     a, left, right = 10**12 + 1, 10**12 + 7, 10**12 + 9
     assert (row.a, row.l, row.r, row.score) == (a, left, right, 1000000 * a * a // (left * right))
