@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import _BASE, bound_batches, discard, materialise, mix, release
 
 #: Words of one suffix array: a bound on a task's memory.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Hashes that a bucket of them all is to hold at most: a bound on the memory of the task that sums it.
-BUCKET = 1 << 22
+BUCKET = 1 << 21
 #: Least count of a candidate, phrases reported per language, and the share (%) of a phrase's count at which a longer one replaces it.
 LEAST, TOP, SHARE = 10, 2000, 50
 #: Ends a piece: no UTF-8 text holds this byte.
