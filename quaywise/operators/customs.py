@@ -135,13 +135,28 @@ def by_entry(docs: DataFrame, entries: DataFrame) -> DataFrame:
     ``docs``: org_id, doc_id, text, entry (null: none). ``entries``: org_id, shipment_id, entry. The own number comes first, then the
     shipment of least id.
     """
-    own = F.array_compact(F.array(entry_number("entry")))
-    named = docs.select("org_id", "doc_id", F.explode(F.array_distinct(F.concat(F.transform(own, lambda n: F.struct(F.lit(0).alias("way"), n.alias("number"))), F.transform(entry_numbers_in("text"), lambda n: F.struct(F.lit(1).alias("way"), n.alias("number")))))).alias("n"))
     known = entries.select("org_id", "shipment_id", entry_number("entry").alias("number")).filter("number is not null").distinct()
-    met = named.select("org_id", "doc_id", "n.way", "n.number").join(known, ["org_id", "number"])
+    met = _entries_named(docs).join(known, ["org_id", "number"])
     return met.groupBy("org_id", "doc_id").agg(F.min(F.struct("way", "shipment_id"))["shipment_id"].alias("shipment_id"))
 
 
+def _entries_named(docs: DataFrame) -> DataFrame:
+    """org_id, doc_id, way (0: the document's own number, 1: one that it prints), number."""
+    own = F.array_compact(F.array(entry_number("entry")))
+    ways = [F.transform(own, lambda n: F.struct(F.lit(0).alias("way"), n.alias("number"))), F.transform(entry_numbers_in("text"), lambda n: F.struct(F.lit(1).alias("way"), n.alias("number")))]
+    return docs.select("org_id", "doc_id", F.explode(F.array_distinct(F.concat(*ways))).alias("n")).select("org_id", "doc_id", "n.way", "n.number")
+
+
+def beside_entry(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """A fallback of ``grouping``: documents join the shipment of the customs entry that they name, by their own number first, then the least document.
+
+    Both have org_id, doc_id, text and entry (null: none). Returns org_id, doc_id, beside, beside_method.
+    """
+    entries = known.select("org_id", F.col("doc_id").alias("beside"), entry_number("entry").alias("number")).filter("number is not null")
+    met = _entries_named(docs).join(entries, ["org_id", "number"]).filter("beside <> doc_id")
+    return met.groupBy("org_id", "doc_id").agg(F.min(F.struct("way", "beside"))["beside"].alias("beside")).withColumn("beside_method", F.lit("customs_entry"))
+
+
 def latest_entries(entries: DataFrame) -> DataFrame:
     """The last copy received of each entry number, so that a corrected entry's duty counts once. ``entries``: org_id, number, received_on, doc_id."""
     w = Window.partitionBy("org_id", F.coalesce(entry_number("number"), F.col("doc_id").cast("string"))).orderBy(F.col("received_on").desc(), F.col("doc_id").desc())

@@ -402,6 +402,19 @@ def grouping_fold(t: Tables):
     return grouping.group_by_arrival(_keyed(t))
 
 
+@query(None)
+def grouping_batches(t: Tables):
+    """Documents that arrive in three batches, the last of them late, each folded into the state of those before it; those that share no reference
+    join the shipment of the customs entry that they print."""
+    entry = F.concat(F.lit("ABC-"), F.lpad((F.col("doc_id") % 9_999_991).cast("string"), 7, "0"), F.lit("-8"))
+    prints = F.when(F.col("doc_id") % 13 == 1, F.concat(F.lit("Entry ABC-"), F.lpad(((F.col("doc_id") - 1) % 9_999_991).cast("string"), 7, "0"), F.lit("-8")))
+    docs = _keyed(t).withColumns({"entry": F.when(F.col("doc_id") % 13 == 0, entry), "text": prints})
+    state = None
+    for part in (1, 0, 2):
+        state = grouping.add_arrivals(state, docs.filter(F.pmod(F.month("received_on"), F.lit(3)) == part), [customs.beside_entry])
+    return state.select("org_id", "doc_id", "shipment", "method", "score")
+
+
 _ONE_LESS = "list_transform(range(1, length({x}) + 1), lambda i: substring({x}, 1, i - 1) || substring({x}, i + 1))"
 
 

@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from quaywise.operators import intervals, rates
+from quaywise.functions import fuzzy
+from quaywise.operators import grouping, intervals, rates
+from test_operators import DOCS, brute_places
 
 QUOTES = "org_id int, quote_id int, vendor_key string, valid_from date, valid_to date, origin string, destination string, equipment string, origin_area string, destination_area string"
 CONTEXT = "org_id int, doc_id int, vendor_key string, ship_date date, origin string, destination string, equipment string, origin_area string, destination_area string"
@@ -49,3 +51,37 @@ def test_quotes_equal_brute_force(spark):
         unsaid = best and any(x is None and y is not None and len({f[3][i] for f in fits}) > 1 for i, (x, y) in enumerate(zip(dims, best[3], strict=True)))
         outcome = "none_on_file" if vendor == "x" else "no_match" if not fits else "ambiguous" if unsaid else "matched"
         assert got[doc] == (outcome, best and best[2], len(fits))
+
+
+def test_arrivals_in_batches_equal_one_fold(spark):
+    rng = random.Random(12)
+    boxes = ["CSQU3054383", "CSQU3054384", "MSKU9070323", "MSKU9070328", "OSLU1234567"]
+    bills = ["OSLN1234567", "OSLN1234568", "OSLN9999999", "HLCU5551234", "AAAA0000000", "BBBB1111111"]
+    rows = []
+    for i in range(1, 80):
+        bl, box, po = (rng.choice(v) if rng.random() < p else None for v, p in ((bills, 0.2), (boxes, 0.15), ([f"PO{k}" for k in range(40)], 0.3)))
+        original = rng.randrange(1, i) if i > 1 and rng.random() < 0.3 else None
+        beside = rng.randrange(1, i) if i > 1 and rng.random() < 0.4 else None
+        rows.append((1, i, d.date(2026, 1, 1 + rng.randrange(25)), rng.random() < 0.3, bl or "", [box] if box else [], [po] if po else [], original, beside))
+    docs = spark.createDataFrame(rows, DOCS + ", original long, tag long").cache()
+    ask = lambda new, known: new.filter("tag is not null").join(known.select(F.col("doc_id").alias("beside")), F.col("tag") == F.col("beside")).select("org_id", "doc_id", "beside", F.lit("customs_entry").alias("beside_method"))
+    whole = {r.doc_id: (r.shipment, r.method, r.score) for r in grouping.group_by_arrival(docs, [ask]).collect()}
+    want = brute_places(rows, lambda a, b: fuzzy.indel_ratio(a, b) >= 90, lambda a, b: a[:4] == b[:4] and fuzzy.indel_ratio(a, b) >= 90)
+    assert {k: v[:2] for k, v in whole.items()} == want and "customs_entry" in {m for _, m in want.values()}
+    order = sorted(rows, key=lambda r: (r[2], r[1]))
+    state = None
+    for part in (order[40:60], order[:40], order[60:]):  # the second comes late
+        state = grouping.add_arrivals(state, docs.join(spark.createDataFrame([(r[1],) for r in part], "doc_id long"), "doc_id", "left_semi"), [ask])
+    assert {r.doc_id: (r.shipment, r.method, r.score) for r in state.collect()} == whole
+    again = grouping.add_arrivals(state, docs, [ask])
+    assert sorted(map(str, again.select("doc_id", "shipment", "method", "component").collect())) == sorted(map(str, state.select("doc_id", "shipment", "method", "component").collect()))
+
+
+def test_late_arrivals_fold_again_only_what_they_meet(spark):
+    day = [d.date(2026, 1, i) for i in range(1, 9)]
+    first = spark.createDataFrame([(1, 2, day[3], False, "", [], ["PO1"]), (1, 3, day[4], False, "B2", [], []), (1, 4, day[5], False, "", [], [])], DOCS)
+    late = spark.createDataFrame([(1, 1, day[1], True, "B1", ["CSQU3054383"], ["PO1"])], DOCS)
+    state = grouping.add_arrivals(None, first)
+    after = {r.doc_id: (r.shipment, r.method) for r in grouping.add_arrivals(state, late).collect()}
+    assert after == {1: (1, "new"), 2: (1, "exact_po"), 3: (3, "new"), 4: (None, "unmatched")}
+    assert grouping.add_arrivals(state, first.limit(0)).count() == 3

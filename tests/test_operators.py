@@ -250,6 +250,8 @@ def brute_places(rows, near_bl, near_box):
             s, how = ranked[0], found[ranked[0]]
         elif d[7] in placed and placed[d[7]][0] in ships:
             s, how = placed[d[7]][0], "original_invoice"
+        elif len(d) > 8 and d[8] in placed and placed[d[8]][0] in ships:
+            s, how = placed[d[8]][0], "customs_entry"
         elif d[4] or d[5] or d[6]:
             s, how = d[1], "new"
             ships[s] = ([], 0)
