@@ -158,10 +158,13 @@ def _parts(t: Tables):
 _PARTS = f"""pt AS (SELECT i.org_id, i.shipment_id, {_VK} AS vendor_key, {_GROUP_SQL} AS grp, destination, CASE WHEN origin IS NOT NULL THEN origin || '>' || destination END AS lane, boxes, amount AS home FROM (SELECT *, {_CODE_SQL} AS code FROM lines) l JOIN invoices i USING (doc_id) WHERE doc_type = 'freight_invoice' AND status = 'posted' AND doc_id < 1000000000)"""
 
 
-@query(f"""WITH {_PARTS}, f AS (SELECT DISTINCT org_id, shipment_id, destination FROM invoices WHERE doc_type = 'freight_invoice'), b AS (SELECT DISTINCT org_id, shipment_id, destination, grp FROM pt),
-    nd AS (SELECT org_id, destination, count(DISTINCT shipment_id) AS n FROM f GROUP BY ALL), na AS (SELECT org_id, count(DISTINCT shipment_id) AS n FROM f GROUP BY ALL), fr AS (SELECT nd.org_id, destination, nd.n AS nd, na.n AS na, unnest(['freight','destination','delivery']) AS grp FROM nd JOIN na USING (org_id)),
-    x AS (SELECT fr.*, (SELECT count(DISTINCT shipment_id) FROM b WHERE b.org_id = fr.org_id AND b.destination = fr.destination AND b.grp = fr.grp) AS gd, (SELECT count(DISTINCT shipment_id) FROM b WHERE b.org_id = fr.org_id AND b.grp = fr.grp) AS ga FROM fr),
-    y AS (SELECT org_id, destination, grp, CASE WHEN nd >= 3 THEN gd / nd WHEN na >= 3 THEN ga / na END AS share FROM x) SELECT org_id, destination, grp AS "group", round(share, 6) AS share, share >= 0.5 AS expected FROM y""", ("invoices", "lines"))
+_EXPECTED = """ef AS (SELECT DISTINCT org_id, shipment_id, destination FROM invoices WHERE doc_type = 'freight_invoice'), eb AS (SELECT DISTINCT org_id, shipment_id, destination, grp FROM pt),
+    nd AS (SELECT org_id, destination, count(DISTINCT shipment_id) AS n FROM ef GROUP BY ALL), na AS (SELECT org_id, count(DISTINCT shipment_id) AS n FROM ef GROUP BY ALL), fr AS (SELECT nd.org_id, destination, nd.n AS nd, na.n AS na, unnest(['freight','destination','delivery']) AS grp FROM nd JOIN na USING (org_id)),
+    ex0 AS (SELECT fr.*, (SELECT count(DISTINCT shipment_id) FROM eb WHERE eb.org_id = fr.org_id AND eb.destination = fr.destination AND eb.grp = fr.grp) AS gd, (SELECT count(DISTINCT shipment_id) FROM eb WHERE eb.org_id = fr.org_id AND eb.grp = fr.grp) AS ga FROM fr),
+    y AS (SELECT org_id, destination, grp, CASE WHEN nd >= 3 THEN gd / nd WHEN na >= 3 THEN ga / na END AS share FROM ex0)"""
+
+
+@query(f"""WITH {_PARTS}, {_EXPECTED} SELECT org_id, destination, grp AS "group", round(share, 6) AS share, share >= 0.5 AS expected FROM y""", ("invoices", "lines"))
 def expected_groups(t: Tables):
     facts = t.invoices.filter("doc_type = 'freight_invoice'").select("org_id", "shipment_id", "destination").distinct()
     out = close.usual_groups(facts, _parts(t).select("org_id", "shipment_id", "destination", "group").distinct())
@@ -351,10 +354,9 @@ def csv_guard(t: Tables):
     return t.documents.select("doc_id", F.sha2(text.guard_cell(cell), 256).alias("cell"))
 
 
-@query(r"""SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?'), lambda x: round_even(TRY_CAST(replace(x, ',', '') AS DECIMAL(28,10)), 2)), lambda x: x IS NOT NULL AND abs(x) < 100000000)))::INT AS n FROM documents""")
+@query(r"""SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '-?\d{1,3}(?:,\d{3})+(?:\.\d+)?|-?\d+(?:\.\d+)?'), lambda x: round_even(TRY_CAST(replace(x, ',', '') AS DECIMAL(28,10)), 2)), lambda x: x IS NOT NULL)))::INT AS n FROM documents""")
 def numbers_in_text(t: Tables):
-    found = F.filter(money.numbers_in("text"), lambda x: F.abs(x) < 100_000_000)
-    return t.documents.select("doc_id", F.size(found).alias("n"))
+    return t.documents.select("doc_id", F.size(money.numbers_in("text")).alias("n"))
 
 
 @query(r"""SELECT page_id, len(html)::INT AS n, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_matches(lower(html), '\b(invoice|statement)\b') AS money_words FROM pages""")

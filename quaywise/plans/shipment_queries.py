@@ -9,9 +9,9 @@ from quaywise.operators import accruals, allocation, close, customs, disputes, e
 from quaywise.sources import adapter
 from quaywise.sources.scratch import materialise
 
-from .close_queries import _END, _PARTS, _SHIP, _parts, _statement
+from .close_queries import _END, _EXPECTED, _PARTS, _SHIP, _parts, _statement
 from .registry import Tables, query
-from .rule_queries import _CODE_SQL, _REF, _VK, _issue_sql
+from .rule_queries import _CHECK, _CODE_SQL, _REF, _VK, _issue_sql
 
 _RATE = adapter.fx_sql()
 _ISSUES = f"""ls AS (SELECT doc_id, CAST(sum(amount) AS DECIMAL(18,2)) AS line_sum FROM lines GROUP BY doc_id), off AS (SELECT i.*, total - line_sum AS over FROM invoices i JOIN ls USING (doc_id) WHERE abs(total - line_sum) > 0.02),
@@ -41,18 +41,20 @@ def _facts(t: Tables):
 _TWO = ["freight", "delivery"]
 
 
-@query(f"""WITH {_PARTS}, {_FACTS}, g AS (SELECT fc.*, unnest(['freight','delivery']) AS grp FROM fc), b AS (SELECT DISTINCT org_id, shipment_id, grp FROM pt), nb AS (SELECT org_id, shipment_id, string_agg(grp, ',' ORDER BY grp) AS billed FROM b WHERE grp <> 'other' GROUP BY org_id, shipment_id),
+@query(f"""WITH {_PARTS}, {_FACTS}, {_EXPECTED}, ex AS (SELECT DISTINCT org_id, coalesce(destination, '') AS w, grp FROM y WHERE share >= 0.5 OR grp = 'freight'), g AS (SELECT fc.*, ex.grp FROM fc JOIN ex ON ex.org_id = fc.org_id AND ex.w = coalesce(fc.destination, '')), b AS (SELECT DISTINCT org_id, shipment_id, grp FROM pt), nb AS (SELECT org_id, shipment_id, string_agg(grp, ',' ORDER BY grp) AS billed FROM b WHERE grp <> 'other' GROUP BY org_id, shipment_id),
     x AS (SELECT g.*, coalesce(nb.billed, '') AS billed_groups, CASE WHEN rejected THEN CASE WHEN ship_date BETWEEN DATE '{_END}' - 365 AND DATE '{_END}' THEN 'rejected' END WHEN ship_date IS NULL THEN 'no_ship_date' WHEN ship_date > DATE '{_END}' THEN NULL WHEN ship_date < DATE '{_END}' - 365 THEN 'too_old'
       WHEN shipment_id % 17 = 0 AND grp = 'freight' THEN 'excluded' WHEN shipment_id % 19 = 0 AND grp = 'delivery' THEN 'manual' ELSE 'estimate' END AS state FROM g LEFT JOIN nb USING (org_id, shipment_id) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.org_id = g.org_id AND b.shipment_id = g.shipment_id AND b.grp = g.grp))
     SELECT org_id, shipment_id, grp AS "group", state, billed_groups, CASE WHEN state = 'manual' THEN CAST(150 AS DECIMAL(18,2)) END AS amount FROM x WHERE state IS NOT NULL""", ("invoices", "lines"))
 def not_invoiced_groups(t: Tables):
-    facts = _facts(t)
-    groups = F.explode(F.array(*map(F.lit, _TWO))).alias("group")
-    expected = facts.select("org_id", "destination").distinct().select("org_id", "destination", groups)
+    """What shipments should carry and nobody billed: freight always, other groups where at least half of comparable shipments have them."""
+    facts, parts = _facts(t), _parts(t)
+    freight = t.invoices.filter("doc_type = 'freight_invoice'").select("org_id", "shipment_id", "destination").distinct()
+    usual = close.usual_groups(freight, parts.select("org_id", "shipment_id", "destination", "group").distinct())
+    expected = usual.filter("expected or group = 'freight'").select("org_id", "destination", "group")
     ids = facts.select("org_id", "shipment_id")
     excluded = ids.filter("shipment_id % 17 = 0").select("*", F.lit("freight").alias("group"), F.lit("exclude").alias("action"), F.lit(None).cast(money.MONEY).alias("amount"))
     manual = ids.filter("shipment_id % 19 = 0").select("*", F.lit("delivery").alias("group"), F.lit("amount").alias("action"), F.lit(150).cast(money.MONEY).alias("amount"))
-    return accruals.not_invoiced(facts, _parts(t).select("org_id", "shipment_id", "group"), expected, excluded.unionByName(manual), _END)
+    return accruals.not_invoiced(facts, parts.select("org_id", "shipment_id", "group"), expected, excluded.unionByName(manual), _END)
 
 
 _HISTORY = f"{_PARTS}, h AS (SELECT org_id, shipment_id, vendor_key, grp, min(destination) AS destination FROM pt GROUP BY org_id, shipment_id, vendor_key, grp)"
@@ -179,10 +181,10 @@ _DOC_STATUS = "CASE WHEN status = 'posted' THEN CASE WHEN doc_id % 9 = 0 THEN 'a
 
 @query(f"""WITH d AS (SELECT doc_id, vendor_name, number, received_on, doc_type, {_DOC_STATUS} AS status, shipment_id, CAST(total AS STRING) AS total, currency FROM invoices WHERE doc_type = 'freight_invoice')
     SELECT doc_id, status, CASE WHEN doc_id % 23 = 0 THEN '' ELSE vendor_name END AS value_vendor_name, total AS value_total, CASE WHEN doc_id % 31 = 5 AND doc_id % 7 <> 0 THEN 'total' ELSE '' END AS to_check, CASE WHEN doc_id % 7 = 0 THEN 'total, vendor_name' ELSE '' END AS corrected, CASE WHEN status = 'matched' THEN shipment_id END AS shipment_id
-    FROM d WHERE status = 'matched' AND contains(lower(number), '7') AND received_on BETWEEN DATE '1994-01-01' AND DATE '2000-12-31'""", ("invoices",))
+    FROM d WHERE status = 'matched' AND (contains(lower(number), '7') OR contains(lower(vendor_name), '7')) AND received_on BETWEEN DATE '1994-01-01' AND DATE '2000-12-31'""", ("invoices",))
 def documents_export(t: Tables):
     docs = t.invoices.withColumn("status", F.expr(_DOC_STATUS)).select("doc_id", "vendor_name", "number", "received_on", "doc_type", "status", "shipment_id", "total")
-    chosen = exports.filter_documents(docs.withColumn("vendor_name", F.lit("")), "matched", "freight_invoice", "7", "1994-01-01", "2000-12-31")
+    chosen = exports.filter_documents(docs, "matched", "freight_invoice", "7", "1994-01-01", "2000-12-31")
     value = F.expr("CASE WHEN doc_id % 23 = 0 THEN '' ELSE vendor_name END")
     pairs = F.explode(F.create_map(F.lit("vendor_name"), value, F.lit("total"), F.col("total").cast("string"))).alias("name", "value")
     fields = docs.select("doc_id", pairs).withColumns({"confidence": F.expr("CASE WHEN doc_id % 31 = 5 AND name = 'total' THEN 0.7 ELSE 0.95 END"), "source": F.when(F.col("doc_id") % 7 == 0, "human").otherwise("machine")})
@@ -521,9 +523,10 @@ def charge_aliases(t: Tables):
     return names.join(F.broadcast(own), "key", "left").select("description", "n", "alias")
 
 
-@query("""WITH a AS (SELECT org_id, shipment_id, doc_id, doc_type = 'bill_of_lading' AS is_bl, received_on, CASE WHEN doc_id % 4 <> 1 THEN 'BL' || doc_id ELSE '' END AS bl, 'PO' || (doc_id % 3) AS po FROM invoices)
-    SELECT org_id, shipment_id, coalesce(arg_min(bl, (NOT is_bl, received_on, doc_id)) FILTER (bl <> ''), '') AS bl, string_agg(DISTINCT po, ',' ORDER BY po) AS pos FROM a GROUP BY org_id, shipment_id""", ("invoices",))
+@query(f"""WITH a AS (SELECT org_id, shipment_id, doc_id, doc_type = 'bill_of_lading' AS is_bl, received_on, CASE WHEN doc_id % 4 <> 1 THEN 'BL' || doc_id ELSE '' END AS bl, regexp_replace(upper(container), '[^A-Z0-9]', '', 'g') AS box, 'PO' || (doc_id % 3) AS po FROM invoices),
+    c AS (SELECT org_id, shipment_id, box, is_bl, bool_or(is_bl) OVER (PARTITION BY org_id, shipment_id) AS has_bl FROM a), x AS (SELECT org_id, shipment_id, string_agg(DISTINCT box, ',' ORDER BY box) AS boxes FROM c WHERE CASE WHEN has_bl THEN is_bl ELSE regexp_full_match(box, '[A-Z]{{3}}[UJZ][0-9]{{7}}') AND {_CHECK.replace('c[', 'box[')} END GROUP BY ALL)
+    SELECT a.org_id, a.shipment_id, coalesce(arg_min(bl, (NOT is_bl, received_on, doc_id)) FILTER (bl <> ''), '') AS bl, coalesce(any_value(boxes), '') AS boxes, string_agg(DISTINCT po, ',' ORDER BY po) AS pos FROM a LEFT JOIN x ON x.org_id = a.org_id AND x.shipment_id = a.shipment_id GROUP BY a.org_id, a.shipment_id""", ("invoices",))
 def shipment_references(t: Tables):
     bl = F.when(F.col("doc_id") % 4 != 1, F.concat(F.lit("BL"), "doc_id")).otherwise("")
     docs = t.invoices.select("org_id", "shipment_id", "doc_id", "received_on", (F.col("doc_type") == "bill_of_lading").alias("is_bl"), bl.alias("bl"), F.array(keys.norm_ref("container")).alias("boxes"), F.array(F.concat(F.lit("PO"), F.col("doc_id") % 3)).alias("pos"))
-    return grouping.shipment_references(docs).select("org_id", "shipment_id", "bl", F.array_join("pos", ",").alias("pos"))
+    return grouping.shipment_references(docs).select("org_id", "shipment_id", "bl", F.array_join("boxes", ",").alias("boxes"), F.array_join("pos", ",").alias("pos"))
