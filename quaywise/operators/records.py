@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import fuzzy, keys, money
+from quaywise.sources.scratch import materialise
 
 #: Outgoing event types and the audit actions that raise them; three come from changes of state.
 EVENT_TYPES = {
@@ -93,40 +96,73 @@ def known_vendors(docs: DataFrame) -> DataFrame:
 
 
 def best_known(names: DataFrame, known: DataFrame, threshold: float = 90) -> DataFrame:
-    """For each printed name the known vendor that it most resembles, at ``threshold`` or more: org_id, printed, vendor_key, score.
+    """For each printed name the known vendor that it most resembles, at ``threshold`` (80 or more) or above: org_id, printed, vendor_key, score.
 
-    Names meet by equal keys, by an Indel ratio (fuzzy.similar_pairs), or where one's words are all among the other's: then the rarer
-    name's rarest word is among the other's words, which is what they are joined by. Ties go to the key that sorts first.
+    Equal keys score 100, others the Indel ratio, or the token set ratio less 4 if that is more. Names meet under keys that lose no such pair: the
+    rarest pairs of neighbouring characters for the two ratios of whole names, and the rarest words, by weight of letters, where one
+    name's words are all, or nearly all, among the other's. Ties go to the key that sorts first.
     """
     a = names.select("org_id", "printed", keys.vendor_key("printed").alias("_k")).filter("_k <> ''").distinct()
-    own = a.select("org_id", "_k").distinct()
-    near = fuzzy.similar_pairs(own, known.select("org_id", "vendor_key"), "_k", "vendor_key", threshold, ["org_id"]).select("org_id", "_k", "vendor_key", F.col("ratio").alias("score"))
-    words = own.select("org_id", F.col("_k").alias("n"), F.explode(F.split("_k", " ")).alias("w")).unionByName(known.select("org_id", F.col("vendor_key").alias("n"), F.explode(F.split("vendor_key", " ")).alias("w"))).distinct()
-    count = words.groupBy("org_id", "w").agg(F.count(F.lit(1)).alias("c"))
-    rare = words.join(count, ["org_id", "w"]).groupBy("org_id", "n").agg(F.min(F.struct("c", "w"))["w"].alias("w"))
-    left, right = own.withColumnRenamed("_k", "n"), known.select("org_id", F.col("vendor_key").alias("n"))
-
-    def within(small: DataFrame, large: DataFrame) -> DataFrame:
-        met = small.join(rare, ["org_id", "n"]).join(large.join(words, ["org_id", "n"]).withColumnRenamed("n", "m"), ["org_id", "w"])
-        return met.filter(F.size(F.array_except(F.split("n", " "), F.split("m", " "))) == 0)
-
-    inside = within(left, right).select("org_id", F.col("n").alias("_k"), F.col("m").alias("vendor_key")).unionByName(within(right, left).select("org_id", F.col("m").alias("_k"), F.col("n").alias("vendor_key")))
-    every = near.unionByName(inside.withColumn("score", F.lit(100.0)))
-    best = every.groupBy("org_id", "_k", "vendor_key").agg(F.max("score").alias("score")).groupBy("org_id", "_k").agg(F.min(F.struct((-F.col("score")).alias("s"), "vendor_key")).alias("b"))
-    return a.join(best, ["org_id", "_k"]).select("org_id", "printed", "b.vendor_key", (-F.col("b.s")).alias("score"))
-
-
-def letterhead_vendor(docs: DataFrame, profiles: DataFrame, lines: int = 25) -> DataFrame:
-    """The vendor whose key stands in one of a document's first lines, the longest key first: org_id, doc_id, vendor_key.
-
-    ``docs``: org_id, doc_id, text. ``profiles``: org_id, vendor_key (four characters or more count). Lines are cut into runs of up to six words
-    that are joined with the keys, so no document meets a vendor that it doesn't name.
+    # distinct names are few beside the documents that print them, and are read many times
+    a = materialise(a, "printed")
+    small = a.select("org_id", F.col("_k").alias("s")).distinct()
+    large = materialise(known.filter("vendor_key <> ''").select("org_id", F.col("vendor_key").alias("l")).distinct(), "known")
+    once = {c: F.array_join(F.array_distinct(F.split(c, " ")), " ") for c in "sl"}
+
+    def by_pieces(permille: int, texts: dict[str, Column]) -> DataFrame:
+        x, y = (df.withColumn(f"{c}_p", fuzzy.pieces(F.concat(F.lit(" "), texts[c], F.lit(" ")))) for df, c in ((small, "s"), (large, "l")))
+        return fuzzy.meet_by_pieces(x.withColumn("_lost", 2 * fuzzy.most_lost(F.length(texts["s"]), permille)), y, "_lost", ["org_id"])
+
+    permille, set_permille = round(threshold * 10), min(round(threshold * 10) + 40, 1000)
+    met = [by_pieces(permille, {c: F.col(c) for c in "sl"}), by_pieces(set_permille, once)]
+
+    def by_words(one: DataFrame, other: DataFrame, x: str, y: str) -> DataFrame:
+        """Pairs whose common words make up ``set_permille`` of one name: its words beyond them have few letters, so the rarest that have more meet."""
+        words = other.select("org_id", y, F.explode(F.array_distinct(F.split(y, " "))).alias("w"))
+        count = words.groupBy("org_id", "w").agg(F.count(F.lit(1)).alias("c"))
+        own = one.select("org_id", x, F.explode(F.array_distinct(F.split(x, " "))).alias("w")).join(count, ["org_id", "w"], "left")
+        before = F.coalesce(F.sum(F.length("w")).over(Window.partitionBy("org_id", x).orderBy(F.coalesce("c", F.lit(0)), "w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        spare = fuzzy.most_lost(F.length(x), set_permille)
+        keyed = own.withColumn("_before", before).filter(F.col("_before") <= spare).select("org_id", x, "w")
+        return keyed.join(words, ["org_id", "w"]).select("org_id", "s", "l").distinct()
+
+    met += [by_words(small, large, "s", "l"), by_words(large, small, "l", "s")]
+    pairs = materialise(reduce(DataFrame.unionByName, met).distinct(), "pairs")
+    lengths = F.length("s") + F.length("l")
+    score = F.when(F.col("s") == F.col("l"), 100.0).otherwise(F.greatest(F.lit(200.0) * fuzzy.common("s", "l") / lengths, fuzzy.token_set("s", "l") - 4))
+    best = pairs.withColumn("score", score).filter(F.col("score") >= threshold).groupBy("org_id", "s").agg(F.min(F.struct((-F.col("score")).alias("n"), F.col("l").alias("vendor_key"))).alias("b"))
+    return a.join(best.withColumnRenamed("s", "_k"), ["org_id", "_k"]).select("org_id", "printed", "b.vendor_key", (-F.col("b.n")).alias("score"))
+
+
+def letterhead_vendor(docs: DataFrame, profiles: DataFrame, lines: int = 25, threshold: float = 90) -> DataFrame:
+    """The vendor that a document's first lines resemble most, at ``threshold`` or above: org_id, doc_id, vendor_key, score.
+
+    ``docs``: org_id, doc_id, text. ``profiles``: org_id, vendor_key. Keys of four characters and lines of three or more count. A line that is shorter than a
+    key by more than two characters scores the ratio of both, any other the best ratio of the shorter with a stretch of the longer. Distinct
+    lines are scored once, met by the rarest pairs of neighbouring characters; ties go to the key that sorts first.
     """
+    permille, org = round(threshold * 10), ["org_id"]
     head = F.slice(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), 1, lines)
-    words = F.transform(head, lambda s: F.split(keys.vendor_key(s), " "))
-    runs = F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))))
-    met = docs.select("org_id", "doc_id", F.explode(F.array_distinct(runs)).alias("vendor_key")).join(profiles.filter(F.length("vendor_key") >= 4).select("org_id", "vendor_key").distinct(), ["org_id", "vendor_key"])
-    return met.groupBy("org_id", "doc_id").agg(F.min(F.struct((-F.length("vendor_key")).alias("n"), "vendor_key"))["vendor_key"].alias("vendor_key"))
+    printed = docs.select("org_id", "doc_id", F.explode(head).alias("_line")).select("org_id", "doc_id", keys.vendor_key("_line").alias("line")).filter(F.length("line") >= 3).distinct()
+    names = profiles.filter(F.length("vendor_key") >= 4).select("org_id", F.col("vendor_key").alias("name")).distinct()
+    texts, names = materialise(printed.select("org_id", "line").distinct(), "lines"), materialise(names, "names")
+
+    def side(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.select("org_id", F.col(column).alias(name)).withColumn(f"{name}_p", fuzzy.pieces(F.col(name)))
+
+    def inside(one: DataFrame, x: str, other: DataFrame, y: str) -> DataFrame:
+        """Pairs where the shorter text x may resemble a stretch of y: a lost character takes two pieces at most."""
+        lost = 2 * F.floor(F.length("s") * (2000 - 2 * permille) / 1000).cast("int")
+        met = fuzzy.meet_by_pieces(side(one, x, "s").withColumn("_lost", lost), side(other, y, "l"), "_lost", org)
+        return met.filter(F.length("s") <= F.length("l")).select("org_id", F.col("s").alias(x), F.col("l").alias(y))
+
+    near = fuzzy.similar_pairs(names, texts, "name", "line", threshold, org).select("org_id", "name", "line")
+    short = F.length("line") < F.length("name") - 2
+    pairs = inside(names, "name", texts, "line").unionByName(inside(texts, "line", names, "name")).unionByName(near).distinct()
+    ratio = F.lit(200.0) * fuzzy.common("name", "line") / (F.length("name") + F.length("line"))
+    scored = pairs.withColumn("score", F.when(short, ratio).otherwise(fuzzy.partial("name", "line"))).filter(F.col("score") >= threshold)
+    best = printed.join(scored, ["org_id", "line"]).groupBy("org_id", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("n"), "name")).alias("b"))
+    return best.select("org_id", "doc_id", F.col("b.name").alias("vendor_key"), (-F.col("b.n")).alias("score"))
 
 
 def reading_accuracy(fields: DataFrame, corrections: DataFrame, by: list[str]) -> DataFrame:

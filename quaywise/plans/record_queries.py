@@ -11,6 +11,7 @@ from quaywise.sources import adapter
 from .close_queries import _LINES, _PARTS, _parts, _report
 from .registry import Tables, query
 from .rule_queries import _CATCH, _OUTCOME, _VK
+from .workflow_queries import _COMMON
 
 _ACTIONS = ["document.received", "document.extracted", "shipment.approved", "shipment.rejected", "bill.posted", "vendor_credit.posted", "bill.failed", "vendor_credit.failed", "dispute.sent", "dispute.credit_received", "dispute.resolved", "dispute.closed", "dispute.overdue", "login", "mailbox.needs_reconnect", "qbo.needs_reconnect"]
 _PUBLISHES = ["document.received", "document.extracted", "shipment.approved", "shipment.rejected", "bill.posted", "bill.posted", "bill.failed", "bill.failed", "dispute.sent", "dispute.credit_received", "dispute.resolved", "dispute.closed", "dispute.overdue", None, None, None]
@@ -79,15 +80,30 @@ def known_vendors(t: Tables):
     return records.known_vendors(t.invoices)
 
 
-@query(f"""WITH k AS (SELECT DISTINCT org_id, {_VK} AS vk FROM invoices), p AS (SELECT DISTINCT org_id, vk, 'Port ' || vk || ' Ltd' AS printed FROM k) SELECT org_id, printed, vk AS vendor_key, CAST(100 AS DOUBLE) AS score FROM p""", ("invoices",))
+#: How a known vendor is printed: with more words, with words in another order and a letter less, with a letter more, with a word less.
+_AS_PRINTED = "CASE CAST({n} AS INT) % 4 WHEN 0 THEN 'Port Harbor ' || {n} || ' Logistics Ltd' WHEN 1 THEN 'LOGISTIC harbor ' || {n} WHEN 2 THEN 'Harbour ' || {n} || ' logistics' ELSE 'Logistics ' || {n} END"
+_BARE = "CASE CAST({n} AS INT) % 4 WHEN 0 THEN 'port harbor ' || {n} || ' logistics' WHEN 1 THEN 'logistic harbor ' || {n} WHEN 2 THEN 'harbour ' || {n} || ' logistics' ELSE 'logistics ' || {n} END"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT org_id, {_VK} AS vk, regexp_extract(vendor_name, '[0-9]+') AS n FROM invoices), p AS (SELECT org_id, {_AS_PRINTED.format(n='n')} AS printed, {_BARE.format(n='n')} AS x FROM k),
+    m AS (SELECT p.org_id, printed, x, vk, list_sort(list_distinct(string_split(x, ' '))) AS xs, list_sort(list_distinct(string_split(vk, ' '))) AS ys FROM p JOIN k USING (org_id)),
+    w AS (SELECT *, list_filter(xs, lambda i: list_contains(ys, i)) AS c, list_filter(xs, lambda i: NOT list_contains(ys, i)) AS ox, list_filter(ys, lambda i: NOT list_contains(xs, i)) AS oy FROM m),
+    s AS (SELECT org_id, printed, x, vk, len(c) > 0 AS met, len(c) > 0 AND (len(ox) = 0 OR len(oy) = 0) AS inside, array_to_string(c, ' ') AS cs, array_to_string(c || ox, ' ') AS wx, array_to_string(c || oy, ' ') AS wy FROM w),
+    t AS (SELECT *, unnest([{{'a': x, 'b': vk, 'less': 0}}, {{'a': wx, 'b': wy, 'less': 4}}, {{'a': CASE WHEN met THEN cs END, 'b': wx, 'less': 4}}, {{'a': CASE WHEN met THEN cs END, 'b': wy, 'less': 4}}], recursive := true) FROM s),
+    r AS (SELECT org_id, printed, vk, max(CASE WHEN x = vk THEN 100.0 WHEN inside AND less = 4 THEN 96.0 ELSE 200.0 * {_COMMON} / (length(a) + length(b)) - less END) AS score FROM t WHERE a IS NOT NULL GROUP BY ALL)
+    SELECT org_id, printed, arg_min(vk, (-score, vk)) AS vendor_key, CAST(max(score) AS DOUBLE) AS score FROM r WHERE score >= 90 GROUP BY org_id, printed""", ("invoices",))
 def best_known_vendors(t: Tables):
+    """Vendors as statements print them, with words more, less or in another order and letters misread, among those known by their invoices."""
     known = records.known_vendors(t.invoices)
-    return records.best_known(known.select("org_id", F.concat(F.lit("Port "), "vendor_key", F.lit(" Ltd")).alias("printed")), known)
+    printed = F.expr(_AS_PRINTED.format(n="regexp_extract(vendor_key, '[0-9]+', 0)"))
+    return records.best_known(known.select("org_id", printed.alias("printed")), known)
 
 
-@query(f"""SELECT i.org_id, doc_id, {_VK} AS vendor_key FROM invoices i WHERE doc_id % 3 <> 0""", ("invoices",))
+@query(f"""SELECT i.org_id, doc_id, {_VK} AS vendor_key, CAST(CASE WHEN doc_id % 5 = 4 THEN 200.0 * (length({_VK}) - 1) / (2 * length({_VK})) ELSE 100 END AS DOUBLE) AS score FROM invoices i WHERE doc_id % 3 <> 0""", ("invoices",))
 def letterheads(t: Tables):
-    texts = t.invoices.select("org_id", "doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("INVOICE\n"), "vendor_name", F.lit(", Long Beach\nTotal 5"))).otherwise("INVOICE\nTotal").alias("text"))
+    """Vendors found in first lines that hold more than their name, a fifth of them with a letter misread; other documents name none."""
+    name = F.when(F.col("doc_id") % 5 == 4, F.regexp_replace("vendor_name", "(?i)harbor", "Harb0r")).otherwise(F.col("vendor_name"))
+    texts = t.invoices.select("org_id", "doc_id", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("INVOICE\n"), name, F.lit(", Long Beach\nTotal 5"))).otherwise("INVOICE\nTotal").alias("text"))
     return records.letterhead_vendor(texts, records.known_vendors(t.invoices))
 
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quaywise.functions import fuzzy
-from quaywise.operators import grouping, intervals, rates
+from quaywise.operators import grouping, intervals, rates, records
 from test_operators import DOCS, brute_places
 
 QUOTES = "org_id int, quote_id int, vendor_key string, valid_from date, valid_to date, origin string, destination string, equipment string, origin_area string, destination_area string"
@@ -85,3 +85,51 @@ def test_late_arrivals_fold_again_only_what_they_meet(spark):
     after = {r.doc_id: (r.shipment, r.method) for r in grouping.add_arrivals(state, late).collect()}
     assert after == {1: (1, "new"), 2: (1, "exact_po"), 3: (3, "new"), 4: (None, "unmatched")}
     assert grouping.add_arrivals(state, first.limit(0)).count() == 3
+
+
+def near_names(rng):
+    words = ["harbor", "harbour", "logistics", "logistic", "port", "metro", "drayage", "atlantic", "cargo", "cargos", "line", "of", "a", "transpacific", "intermodal"]
+    names = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(60)}
+    for n in [*names][:40]:
+        i = rng.randrange(len(n))
+        names.add((n[:i] + rng.choice("xyz") * rng.randrange(2) + n[i + 1 :]).strip())
+    return sorted(x for x in (" ".join(n.split()) for n in names) if x)
+
+
+def test_best_known_vendors_equal_brute_force(spark):
+    rng = random.Random(3)
+    names, known = near_names(rng), near_names(rng)
+    got = {r.printed: (r.vendor_key, round(r.score, 9)) for r in records.best_known(spark.createDataFrame([(1, n) for n in names], "org_id int, printed string"), spark.createDataFrame([(1, k) for k in known], "org_id int, vendor_key string")).collect()}
+    want = {}
+    for n in names:
+        scores = [(-(100.0 if n == k else max(fuzzy.indel_ratio(n, k), fuzzy.token_set_ratio(n, k) - 4)), k) for k in known]
+        if -min(scores)[0] >= 90:
+            want[n] = (min(scores)[1], round(-min(scores)[0], 9))
+    assert got == want and len({s for _, s in want.values()}) > 3
+
+
+def test_letterheads_equal_brute_force(spark):
+    rng = random.Random(5)
+    names = near_names(rng)
+    lines = [*(f"{n[:i]}q{n[i + rng.randrange(3):]} {rng.choice(['', 'long beach', 'inc pier'])}".strip() for n in names for i in [rng.randrange(len(n))]), *near_names(rng)[:10], *(n[1:] for n in names[:10]), "", "of"]
+    names = [n for i, n in enumerate(names) if i % 3]
+    texts = [(1, i, "\r\n".join(rng.sample(lines, 1 + i % 2))) for i in range(150)] + [(1, 900, None), (2, 901, names[0])]
+    found = records.letterhead_vendor(spark.createDataFrame(texts, "org_id int, doc_id int, text string"), spark.createDataFrame([(1, n) for n in names], "org_id int, vendor_key string"))
+    got = {r.doc_id: (r.vendor_key, round(r.score, 9)) for r in found.collect()}
+    want = {}
+    for org, i, text in texts:
+        heads = [h for h in (text or "").split("\r\n") if len(h) >= 3]
+        scores = [(-(fuzzy.indel_ratio(n, h) if len(h) < len(n) - 2 else fuzzy.partial_ratio(n, h)), n) for n in names if len(n) >= 4 for h in heads if org == 1]
+        if scores and -min(scores)[0] >= 90:
+            want[i] = (min(scores)[1], round(-min(scores)[0], 9))
+    assert got == want and len({s for _, s in want.values()}) > 5
+
+
+def test_long_texts_meet_by_rare_pieces(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choices("abcde ", k=rng.choice([11, 24, 60, 150]))).strip() for _ in range(25)]
+    texts = sorted({*base, *("".join(c for c in b if rng.random() > 0.05) for b in base for _ in range(2)), *("".join(c * (1 + (rng.random() < 0.05)) for c in b) for b in base)})
+    rows = spark.createDataFrame([(t,) for t in texts], "a string")
+    for threshold in (75, 90):
+        got = {(r.a, r.b) for r in fuzzy.similar_pairs(rows, rows.withColumnRenamed("a", "b"), "a", "b", threshold).collect()}
+        assert got == {(a, b) for a in texts for b in texts if fuzzy.indel_ratio(a, b) >= threshold}
