@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaywise.functions import dates, money
+from quaywise.functions import dates, keys, money
 
 from .rates import as_of
 
@@ -226,3 +226,11 @@ def most_urgent(rows: DataFrame, tab: str, limit: int | None = None) -> DataFram
         raise ValueError(f"{tab!r} is none of {', '.join(FREE_TIME_TABS)}")
     out = rows.filter(F.col("tone").isin(FREE_TIME_TABS[tab])).orderBy(F.col("days_left").asc_nulls_last(), "container")
     return out if limit is None else out.limit(limit)
+
+
+def tariff_pairs(lines: DataFrame) -> DataFrame:
+    """Distinct org_id, hts (digits) and description (lower case, single blanks) of entry lines, which a review judges; lines without either, and additional duties (chapter 99), aren't."""
+    digits = F.regexp_replace(F.coalesce("hts", F.lit("")), "[^0-9]", "")
+    words = keys.squeeze(F.lower(F.coalesce("description", F.lit(""))))
+    rows = lines.select("org_id", digits.alias("hts"), words.alias("description"))
+    return rows.filter("hts <> '' and description <> '' and not startswith(hts, '99')").distinct()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quaywise.functions import money
 
+from .versions import merged
+
 from .allocation import split_table
 
 #: A bill of lading or container names a shipment from so many characters on.
@@ -81,3 +83,31 @@ def split_state(splits: DataFrame, totals: DataFrame, locked: DataFrame) -> Data
         "doc_id", (F.col("_n") >= 2).alias("active"), ((F.col("_sum") == F.col("total")) & one).alias("adds_up"), F.col("_locked").isNotNull().alias("frozen"),
         F.sha2(F.concat(F.col("_key"), F.lit("#"), F.col("total").cast("string"), F.col("currency")), 256).alias("digest"),
     )
+
+
+def sync_splits(stored: DataFrame, fresh: DataFrame, invoices: DataFrame, locked: DataFrame) -> DataFrame:
+    """Stored shares of invoices brought up to date with what is detected now: doc_id, party, amount, currency, action.
+
+    ``stored`` and ``fresh``: doc_id, party, amount, currency. ``invoices``: doc_id, total, currency, dismissed, manual, and what the split was made for,
+    was_total and was_currency. ``locked``: party (approved shipments). A split with a locked party stays as it is (frozen). Shares go (gone)
+    where a person said that the invoice isn't shared, it has no positive total, or fewer than two parties are left; locked parties get no
+    new share. A person's own split of two parties or more keeps its amounts, marked recheck if total or currency changed since. Any other
+    split becomes the fresh one: shares are kept, changed, added or gone.
+    """
+    held = locked.select("party").distinct().withColumn("_locked", F.lit(True))
+    own = stored.join(held, "party", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.bool_or("_locked"), F.lit(False)).alias("_frozen"))
+    able = fresh.join(held, "party", "left_anti")
+    parties = able.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_parties"))
+    same = F.col("was_total").eqNullSafe(F.col("total")) & F.col("was_currency").eqNullSafe(F.col("currency"))
+    rule = (
+        F.when(F.coalesce("_frozen", F.lit(False)), "frozen").when(F.col("total").isNull() | (F.col("total") <= 0) | F.coalesce("dismissed", F.lit(False)), "drop")
+        .when(F.coalesce("manual", F.lit(False)) & (F.coalesce("_n", F.lit(0)) >= 2), F.when(same, "own").otherwise("recheck"))
+        .when(F.coalesce("_parties", F.lit(0)) < 2, "drop").otherwise("fresh")
+    )
+    rules = invoices.join(own, "doc_id", "left").join(parties, "doc_id", "left").select("doc_id", rule.alias("_rule"))
+    columns = ["doc_id", "party", "amount", "currency"]
+    mine = stored.select(*columns).join(rules, "doc_id", "left")
+    stays = F.col("_rule").isin("frozen", "own", "recheck")
+    kept = mine.filter(stays).select(*columns, F.when(F.col("_rule") == "recheck", "recheck").otherwise("kept").alias("action"))
+    wanted = able.select(*columns).join(rules.filter("_rule = 'fresh'"), "doc_id", "left_semi")
+    return kept.unionByName(merged(mine.filter(~F.coalesce(stays, F.lit(False))).select(*columns), wanted, ["doc_id", "party"], ["amount", "currency"], []))

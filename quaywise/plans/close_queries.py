@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaywise.functions import charges, containers, dates, keys, money, places, text
-from quaywise.operators import allocation, close, customs, grouping, reports, statements
+from quaywise.operators import allocation, close, customs, grouping, reports, statements, versions
 from quaywise.sources import adapter, ratecards
+from quaywise.sources.scratch import scratch
 
 from .registry import Tables, query
 from .rule_queries import _CHECK, _CODE_SQL, _REF, _VK, even
@@ -232,6 +233,20 @@ def snapshot_checksum(t: Tables):
     return close.checksum(_report(t), ["org_id"])
 
 
+@query(f"""WITH {_LINES} SELECT org_id, vendor_key, shipment_id, doc_id, CASE WHEN doc_id % 10 = 3 THEN CAST(amount_home + 1 AS DECIMAL(18,2)) ELSE amount_home END AS amount_home, 2 AS version FROM ln""", ("invoices",))
+def locked_report(t: Tables):
+    """The report locked, refused to a second writer who saw no version either, and locked again with amounts changed: the latest version's rows."""
+    rows = _report(t).select("org_id", "vendor_key", "shipment_id", "doc_id", "amount_home")
+    store = versions.Snapshots(t.spark, scratch(t.spark, "reports"))
+    store.commit(rows, _END, expected=0)
+    try:
+        store.commit(rows, _END, expected=0)
+    except versions.VersionConflict:
+        changed = F.when(F.col("doc_id") % 10 == 3, (F.col("amount_home") + 1).cast(money.MONEY)).otherwise(F.col("amount_home"))
+        store.commit(rows.withColumn("amount_home", changed), _END, expected=1, note="amounts corrected")
+    return store.read(_END).withColumn("version", F.lit(store.versions(_END)[-1]))
+
+
 # --- statements ------------------------------------------------------------------------------------------------------
 
 _PRINTED = "CASE doc_id % 5 WHEN 0 THEN '(1,234.50)' WHEN 1 THEN '1,234.50 CR' WHEN 2 THEN '-12.00' WHEN 3 THEN 'USD 99.10' ELSE '2026-01-02' END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaywise.functions import charges, keys, money, text
-from quaywise.operators import accruals, allocation, close, customs, disputes, exports, grouping, rules, shared, statements, workflow
+from quaywise.operators import accruals, allocation, close, customs, disputes, exports, grouping, rules, shared, statements, versions, workflow
 from quaywise.sources import adapter
 from quaywise.sources.scratch import materialise
 
@@ -160,6 +160,36 @@ def split_states(t: Tables):
     return shared.split_state(splits, totals, splits.select("party").filter("party = 7").distinct())
 
 
+_SPLITS = f"""st AS (SELECT doc_id, position AS party, CAST(sum(amount) AS DECIMAL(18,2)) AS amount, 'USD' AS currency FROM lines WHERE doc_id % 4 <> 3 GROUP BY ALL), fr AS (SELECT doc_id, position AS party, CAST(sum(amount) + max(CASE WHEN doc_id % 5 = 0 AND position = 2 THEN 1 ELSE 0 END) AS DECIMAL(18,2)) AS amount, 'USD' AS currency FROM lines WHERE NOT (doc_id % 3 = 0 AND position = 3) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SPLITS}, i AS (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN NULL ELSE total END AS total, currency, doc_id % 11 = 0 AS dismissed, doc_id % 7 = 0 AS manual, CASE WHEN doc_id % 14 = 0 THEN total + 1 ELSE total END AS was FROM invoices WHERE doc_id < 1000000000),
+    o AS (SELECT doc_id, count(*) AS n, bool_or(party = 7) AS frozen FROM st GROUP BY doc_id), a AS (SELECT * FROM fr WHERE party <> 7), p AS (SELECT doc_id, count(*) AS n FROM a GROUP BY doc_id),
+    r AS (SELECT i.doc_id, CASE WHEN o.frozen THEN 'frozen' WHEN total IS NULL OR total <= 0 OR dismissed THEN 'drop' WHEN manual AND o.n >= 2 THEN CASE WHEN was = total THEN 'own' ELSE 'recheck' END WHEN coalesce(p.n, 0) < 2 THEN 'drop' ELSE 'fresh' END AS rule FROM i LEFT JOIN o USING (doc_id) LEFT JOIN p USING (doc_id)),
+    k AS (SELECT st.*, CASE WHEN rule = 'recheck' THEN 'recheck' ELSE 'kept' END AS action FROM st JOIN r USING (doc_id) WHERE rule IN ('frozen', 'own', 'recheck')),
+    s2 AS (SELECT st.* FROM st LEFT JOIN r USING (doc_id) WHERE coalesce(rule, '') NOT IN ('frozen', 'own', 'recheck')), w AS (SELECT a.* FROM a JOIN r USING (doc_id) WHERE rule = 'fresh')
+    SELECT * FROM k UNION ALL SELECT coalesce(w.doc_id, s2.doc_id), coalesce(w.party, s2.party), coalesce(w.amount, s2.amount), 'USD', CASE WHEN s2.doc_id IS NULL THEN 'added' WHEN w.doc_id IS NULL THEN 'gone' WHEN w.amount = s2.amount THEN 'kept' ELSE 'changed' END FROM s2 FULL JOIN w ON w.doc_id = s2.doc_id AND w.party = s2.party""", ("invoices", "lines"))
+def split_sync(t: Tables):
+    """Shares of invoices detected again: frozen, dismissed, a person's own and refreshed splits."""
+    shares = t.lines.groupBy("doc_id", F.col("position").alias("party")).agg(F.sum("amount").cast(money.MONEY).alias("amount")).withColumn("currency", F.lit("USD"))
+    more = F.when((F.col("doc_id") % 5 == 0) & (F.col("party") == 2), 1).otherwise(0)
+    fresh = shares.filter("not (doc_id % 3 = 0 and party = 3)").withColumn("amount", (F.col("amount") + more).cast(money.MONEY))
+    inv = t.invoices.filter("doc_id < 1000000000").select(
+        "doc_id", F.expr("CASE WHEN doc_id % 29 = 0 THEN NULL ELSE total END").alias("total"), "currency", (F.col("doc_id") % 11 == 0).alias("dismissed"), (F.col("doc_id") % 7 == 0).alias("manual"),
+        F.expr("CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 14 = 0 THEN CAST(total + 1 AS DECIMAL(18,2)) ELSE total END").alias("was_total"), F.col("currency").alias("was_currency"),
+    )
+    return shared.sync_splits(shares.filter("doc_id % 4 <> 3"), fresh, inv, shares.select("party").filter("party = 7").distinct())
+
+
+@query("""WITH p AS (SELECT i.org_id, regexp_replace(CASE WHEN l.part_id % 7 = 0 THEN '9903.88.15' ELSE '8471.30.' || lpad(CAST(l.part_id % 90 AS STRING), 4, '0') END, '[^0-9]', '', 'g') AS hts, lower(l.description) AS description FROM lines l JOIN invoices i USING (doc_id)),
+    d AS (SELECT DISTINCT * FROM p WHERE hts NOT LIKE '99%') SELECT * FROM d WHERE right(hts, 1) <> '3'""", ("invoices", "lines"))
+def tariff_unseen(t: Tables):
+    """Pairs of tariff number and description that no review has judged yet; those whose number ends in 3 were judged before."""
+    hts = F.when(F.col("part_id") % 7 == 0, "9903.88.15").otherwise(F.concat(F.lit("8471.30."), F.lpad((F.col("part_id") % 90).cast("string"), 4, "0")))
+    pairs = customs.tariff_pairs(t.lines.join(t.invoices.select("doc_id", "org_id"), "doc_id").select("org_id", hts.alias("hts"), "description"))
+    return versions.unseen(pairs, pairs.filter("endswith(hts, '3')"), ["org_id", "hts", "description"])
+
+
 # --- exports ---------------------------------------------------------------------------------------------------------
 
 _MONEY_TEXT = "string_agg(currency || ' ' || format('{{:,.2f}}', CAST({a} AS DOUBLE)), '; ' ORDER BY currency)"
