@@ -118,6 +118,21 @@ def accrual_totals(lines: DataFrame) -> DataFrame:
     return out.withColumns({"level": level, "total": (F.col("received") + F.col("estimated")).cast(money.MONEY)}).drop("_g")
 
 
+#: An estimate below this confidence asks for a look.
+SURE = 0.55
+LINE_VIEWS = ["received", "estimate", "attention", "all"]
+
+
+def line_view(lines: DataFrame, view: str = "all") -> DataFrame:
+    """Lines of a report by view: received, estimate, those that want attention (no amount in the home currency, or an unsure estimate), or all, also for an unknown view.
+
+    ``lines``: kind, amount_home, confidence (null where nothing is estimated).
+    """
+    if view in ("received", "estimate"):
+        return lines.filter(F.col("kind") == view)
+    return lines.filter(F.col("amount_home").isNull() | F.coalesce(F.col("confidence") < SURE, F.lit(False))) if view == "attention" else lines
+
+
 def journal(lines: DataFrame, credit_account: str = "Accrued liabilities") -> DataFrame:
     """Debits per account and vendor, one credit for their sum, and the same with signs swapped for the next month.
 

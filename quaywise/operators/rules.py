@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import containers, keys, money
+from quaywise.sources.scratch import materialise
+
+from .order import placed
 
 ERROR, WARNING = "error", "warning"
 COLUMNS = ["org_id", "shipment_id", "doc_id", "code", "severity", "key", "amount_at_risk", "currency", "fingerprint"]
@@ -61,12 +64,22 @@ def _earlier_copy(docs: DataFrame, by: list[str]) -> DataFrame:
     return docs.join(first, [*on, "received_on"]).filter("copy_of < doc_id")
 
 
+def vendor_keyed(docs: DataFrame) -> DataFrame:
+    """Documents with ``_vendor``, the key of their vendor; each distinct name is normalised once."""
+    names = docs.select("vendor_name").distinct().withColumn("_vendor", keys.vendor_key("vendor_name"))
+    return docs.join(names, "vendor_name", "left").withColumn("_vendor", F.coalesce("_vendor", F.lit("")))
+
+
 def duplicates(docs: DataFrame, types: list[str] | None = None, code: str = "duplicate_invoice") -> DataFrame:
-    """Same vendor, number and amount as an earlier document of its type; the amount is at risk."""
-    named = docs.filter(F.col("doc_type").isin(types or PAYABLE) & (keys.norm_ref("number") != ""))
-    by = [keys.vendor_key("vendor_name").alias("_vendor"), keys.norm_ref("number").alias("_number")]
-    found = _earlier_copy(named.select("*", *by), ["_vendor", "_number", "total"])
-    return issue(found, code, ERROR, F.col("copy_of"), F.col("total"))
+    """Same vendor, number and amount as an earlier document of its type; the amount is at risk.
+
+    Keys that more than one document has are counted first and their documents written; only those are compared by day.
+    """
+    named = vendor_keyed(docs.filter(F.col("doc_type").isin(types or PAYABLE))).withColumn("_number", keys.norm_ref("number")).filter("_number <> ''")
+    on = ["org_id", "doc_type", "_vendor", "_number", "total"]
+    often = named.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*on)
+    few = materialise(named.join(often, on, "left_semi"), "copies")
+    return issue(_earlier_copy(few, on[2:]), code, ERROR, F.col("copy_of"), F.col("total"))
 
 
 def changed_copies(entries: DataFrame) -> DataFrame:
@@ -89,18 +102,16 @@ def outliers(docs: DataFrame, high: str = "2.5", low: str = "0.4", least: int =
     """Freight invoices whose cost per container is far from the median of the vendor's other ones.
 
     Leaving a value out of a sorted history shifts those behind it by one, so the medians of all invoices of a vendor need
-    only the three values around its middle. Those come from counts of distinct values, so a hot vendor costs its values, and join
-    the invoices back.
+    only the three values around its middle. Those come from counts of distinct values, whose places are summed over ranges of
+    values (``order.placed``), so a vendor of a third of all invoices is dealt over a third of the tasks; they join the invoices back.
     """
     d10 = "decimal(38,10)"
-    rows = docs.filter("doc_type = 'freight_invoice' and total is not null").withColumn("_vendor", keys.vendor_key("vendor_name"))
+    rows = vendor_keyed(docs.filter("doc_type = 'freight_invoice' and total is not null"))
     boxes = F.greatest(F.lit(1), F.coalesce(F.col("boxes"), F.lit(1)))
     rows = rows.withColumn("per_box", (F.col("total").cast("decimal(18,2)") / boxes.cast("decimal(10,0)")).cast(d10))
     by = ["org_id", "_vendor"]
-    counts = rows.filter("total <> 0").groupBy(*by, "per_box").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by)
-    upto = F.sum("_c").over(w.orderBy("per_box").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counts = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(w)})
+    counts = placed(rows.filter("total <> 0").groupBy(*by, "per_box").agg(F.count(F.lit(1)).alias("_c")), by, [F.col("per_box")], "_c")
+    counts = counts.withColumnRenamed("upto", "_upto").join(counts.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
     half = F.floor(F.col("_n") / 2)
     holds = [(F.col("_upto") - F.col("_c") < half + i) & (half + i <= F.col("_upto")) for i in range(3)]
     middle = counts.groupBy(*by).agg(F.max("_n").alias("_n"), *[F.max(F.when(h, F.col("per_box"))).alias(f"_m{i}") for i, h in enumerate(holds)])

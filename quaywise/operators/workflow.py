@@ -176,6 +176,24 @@ def sort_rows(rows: DataFrame, preset: str, key: str, locked: str | None = None)
     return rows.orderBy(*([F.col(locked).asc()] if locked else []), *order, key)
 
 
+#: What a portfolio is sorted by; those in which more comes first.
+PORTFOLIO_SORTS = ["organization", "role", "needs_review", "ready", "assigned", "failed", "at_risk", "oldest"]
+MORE_FIRST = ["needs_review", "ready", "assigned", "failed", "at_risk", "oldest"]
+
+
+def portfolio_order(key: str | None = None, direction: str | None = None) -> list[Column]:
+    """The order of a portfolio's rows (organization, role, locked, attention and the sort's own columns, where null counts as nothing).
+
+    Without a known key by attention, most first, then by name; else by the key and name, both in the same direction. Locked rows come last.
+    """
+    name = F.lower("organization")
+    if key not in PORTFOLIO_SORTS:
+        return [F.col("locked").asc(), F.col("attention").desc(), name.asc()]
+    down = (direction or ("desc" if key in MORE_FIRST else "asc")) == "desc"
+    value = F.lower(key) if key in ("organization", "role") else F.coalesce(F.col(key).cast("decimal(38,6)"), F.lit(0))
+    return [F.col("locked").asc(), *[c.desc() if down else c.asc() for c in (value, name)]]
+
+
 def decide(rows: DataFrame) -> DataFrame:
     """The status that a decision leads to, or why it is refused. ``rows``: status, decision (approve, reject, post, reopen), n_errors, may_approve."""
     refused = (

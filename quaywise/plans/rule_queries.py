@@ -46,6 +46,15 @@ def duplicate_invoice(t: Tables):
     return rules.duplicates(t.invoices)
 
 
+@query(f"""WITH k AS (SELECT *, {_VK} AS vk, {_REF} AS nr FROM invoices WHERE doc_type = 'credit_note' OR doc_id % 100 = 57), m AS (SELECT * REPLACE ('credit_note' AS doc_type) FROM k),
+    x AS (SELECT a.*, (SELECT min(b.doc_id) FROM m b WHERE b.org_id = a.org_id AND b.vk = a.vk AND b.nr = a.nr AND b.total = a.total AND b.doc_id < a.doc_id AND b.received_on <= a.received_on) AS copy_of FROM m a)
+    SELECT {_issue_sql('duplicate_credit_note', 'error', 'CAST(copy_of AS VARCHAR)', 'total')} FROM x WHERE copy_of IS NOT NULL""", ("invoices",))
+def duplicate_credit_notes(t: Tables):
+    """Credit notes received twice; some invoices that were are read as credit notes, so that there are any."""
+    docs = t.invoices.withColumn("doc_type", F.when(F.col("doc_id") % 100 == 57, "credit_note").otherwise(F.col("doc_type")))
+    return rules.duplicates(docs, ["credit_note"], "duplicate_credit_note")
+
+
 @query(f"""WITH e AS (SELECT * REPLACE (CASE WHEN doc_id >= 1000000000 AND doc_id % 100 = 57 THEN total + 1 ELSE total END AS total), {_REF} AS nr FROM invoices WHERE doc_type = 'freight_invoice'),
     w AS (SELECT *, first_value(doc_id) OVER v AS f, first_value(total) OVER v AS ft FROM e WINDOW v AS (PARTITION BY org_id, nr ORDER BY received_on, doc_id))
     SELECT {_issue_sql("CASE WHEN total IS NOT DISTINCT FROM ft THEN 'duplicate_customs_entry' ELSE 'customs_entry_changed' END", "CASE WHEN total IS NOT DISTINCT FROM ft THEN 'error' ELSE 'warning' END", 'CAST(f AS VARCHAR)', 'CASE WHEN total IS NOT DISTINCT FROM ft THEN total END')} FROM w WHERE doc_id <> f""", ("invoices",))

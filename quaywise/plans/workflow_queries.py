@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import keys, money, places
-from quaywise.operators import rates, reports, statements, workflow
+from quaywise.operators import order, rates, reports, statements, workflow
 from quaywise.sources import adapter, files
 from quaywise.streaming import events
 
@@ -167,3 +169,27 @@ def vendor_near_names(t: Tables):
     names = t.invoices.select(keys.vendor_key("vendor_name").alias("k")).distinct()
     pairs = fuzzy.similar_pairs(names.withColumnRenamed("k", "a"), names.withColumnRenamed("k", "b"), "a", "b", 92)
     return pairs.filter("a < b")
+
+
+_ORGS = """o AS (SELECT org_id, 'Org ' || chr(CAST(65 + (org_id * 7) % 26 AS INT)) AS organization, org_id % 6 = 1 AS locked, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'open') AS ready, CAST(sum(CASE WHEN org_id % 4 <> 0 THEN total END) AS DECIMAL(18,2)) AS at_risk FROM invoices GROUP BY org_id), a AS (SELECT *, needs_review + ready AS attention FROM o)"""
+
+
+@query(f"""WITH {_ORGS} SELECT 'attention' AS sort, org_id, row_number() OVER (ORDER BY locked, attention DESC, lower(organization), org_id) AS place FROM a UNION ALL SELECT 'at_risk', org_id, row_number() OVER (ORDER BY locked, coalesce(at_risk, 0) DESC, lower(organization) DESC, org_id) FROM a
+    UNION ALL SELECT 'organization', org_id, row_number() OVER (ORDER BY locked, lower(organization), org_id) FROM a""", ("invoices",))
+def portfolio_sorts(t: Tables):
+    """The portfolio by attention, by money at risk (organisations without any last) and by name; locked organisations come last in each."""
+    rows = t.invoices.groupBy("org_id").agg(F.count_if(F.col("status") == "needs_review").alias("needs_review"), F.count_if(F.col("status") == "open").alias("ready"), F.sum(F.when(F.col("org_id") % 4 != 0, F.col("total"))).cast("decimal(18,2)").alias("at_risk"))
+    letter = F.char((F.lit(65) + (F.col("org_id") * 7) % 26).cast("int"))
+    rows = rows.withColumns({"organization": F.concat(F.lit("Org "), letter), "locked": F.col("org_id") % 6 == 1, "attention": F.col("needs_review") + F.col("ready")})
+    sorts = [order.placed(rows, [], [*workflow.portfolio_order(k), F.col("org_id").asc()]).select(F.lit(k or "attention").alias("sort"), "org_id", "place") for k in (None, "at_risk", "organization")]
+    return reduce(DataFrame.unionByName, sorts)
+
+
+@query("""WITH r AS (SELECT DISTINCT org_id, shipment_id FROM invoices WHERE status = 'needs_review'), u AS (SELECT DISTINCT org_id, shipment_id FROM invoices WHERE priority = '1-URGENT'), a AS (SELECT DISTINCT org_id, shipment_id FROM invoices WHERE doc_id % 5 = 0)
+    SELECT 'either' AS queue, * FROM (SELECT * FROM r UNION SELECT * FROM u) UNION ALL SELECT 'both', * FROM (SELECT * FROM r INTERSECT SELECT * FROM u) UNION ALL SELECT 'unassigned', * FROM (SELECT * FROM r EXCEPT SELECT * FROM a)""", ("invoices",))
+def queue_sets(t: Tables):
+    """Shipments in the review or the urgent queue, in both, and in review without anybody assigned."""
+    on = ["org_id", "shipment_id"]
+    review, urgent, assigned = (t.invoices.filter(c).select(*on) for c in ("status = 'needs_review'", "priority = '1-URGENT'", "doc_id % 5 = 0"))
+    sets = {"either": review.union(urgent).distinct(), "both": review.intersect(urgent), "unassigned": review.subtract(assigned)}
+    return reduce(DataFrame.unionByName, [s.select(F.lit(k).alias("queue"), *on) for k, s in sets.items()])
