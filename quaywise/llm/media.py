@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, scratch
+from .common import bound_batches, materialise, scratch
 
 #: Payload bytes in a row of pixels; payloads are padded with zeros to a multiple of it.
 WIDTH = 64
@@ -80,67 +80,106 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: Begins the names of shards that are still written; what failed attempts leave of them is deleted once the index is complete.
+_OPEN = "_open-"
+
+
+class _Writer:
+    """Tar shards of a task, a member a digest. A shard is named by its members when it is full, and its rows are given out then."""
+
+    def __init__(self, root: str, key_name: str):
+        self.system, self.base = _filesystem(root)
+        self.names = [key_name, "n_bytes", "payload_bytes", "digest", "shard", "offset", "length"]
+        self.sink = None
+
+    def _begin(self) -> None:
+        self.open_name = f"{self.base}/{_OPEN}{uuid.uuid4().hex}"
+        self.sink = self.system.open_output_stream(self.open_name)
+        self.at, self.known, self.held = 0, {}, []
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.sink is None:
+            return
+        self.sink.write(b"\0" * 1024)
+        self.sink.close()
+        self.sink = None
+        shard = hashlib.sha256("".join(self.known).encode()).hexdigest()[:32] + ".tar"
+        from pyarrow import fs
+
+        # another attempt, or another task with the same members, may have put it there: the bytes are the same
+        if self.system.get_file_info(f"{self.base}/{shard}").type == fs.FileType.NotFound:
+            self.system.move(self.open_name, f"{self.base}/{shard}")
+        else:
+            self.system.delete_file(self.open_name)
+        for keys, rows in self.held:
+            n, size, digest, at, length = zip(*rows, strict=True)
+            columns = [pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(digest), pa.array([shard] * len(rows)), pa.array(at, pa.int64()), pa.array(length, pa.int64())]
+            yield pa.RecordBatch.from_arrays([keys, *columns], self.names)
+
+    def add(self, keys: pa.Array, bodies: list[str | None]) -> Iterator[pa.RecordBatch]:
+        rows, first = [], 0
+        for i, body in enumerate(bodies):
+            n, payload = payload_of(body)
+            digest = hashlib.sha256(payload).hexdigest()
+            if self.sink is not None and digest not in self.known and self.at >= SHARD_BYTES:
+                if rows:
+                    self.held.append((keys.slice(first, i - first), rows))
+                rows, first = [], i
+                yield from self.close()
+            if self.sink is None:
+                self._begin()
+            if digest not in self.known:
+                stored = encode_png(payload)
+                info = tarfile.TarInfo(f"{digest}.png")
+                info.size = len(stored)
+                head = info.tobuf(tarfile.USTAR_FORMAT)
+                self.known[digest] = self.at + len(head), len(stored)
+                for part in (head, stored, b"\0" * (-len(stored) % 512)):
+                    self.sink.write(part)
+                    self.at += len(part)
+            rows.append((n, len(payload), digest, *self.known[digest]))
+        if rows:
+            self.held.append((keys.slice(first), rows))
+
+
 def write_shards(docs: DataFrame, root: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every whole text under ``root`` and return the index: key, n_bytes, digest, shard, offset, length.
+    """Store every whole text under ``root`` and return the index: key, n_bytes, payload_bytes, digest, shard, offset, length.
 
-    Each task writes its own tar shards, a member a digest, so a shard holds a payload once however many rows have it.
-    Shard names are new for each attempt, so a task that is run again overwrites nothing and rows point to the shards of
-    the attempt that they came from. The index is itself written under ``root``: reading it never writes shards again.
+    Each task writes its own tar shards, a member a digest, so a shard holds a payload once however many rows have it. A shard is
+    written under a name of its own and renamed by what it holds, so attempts can't mix, and equal inputs dealt alike give equal shards. The
+    index is itself written under ``root``: reading it never writes shards again. Every row of a digest has one address (``one_address``).
     """
     kind = docs.schema[key].dataType.simpleString()
-    names = [key, "n_bytes", "payload_bytes", "digest", "shard", "offset", "length"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _filesystem(root)
-        sink = shard = None
-        known: dict[str, tuple[int, int]] = {}
-        at = 0
-        try:
-            for b in it:
-                rows = []
-                for body in b.column(1).to_pylist():
-                    n, payload = payload_of(body)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    if sink is not None and digest not in known and at >= SHARD_BYTES:
-                        sink.write(b"\0" * 1024)
-                        sink.close()
-                        sink = None
-                    if sink is None:
-                        shard, at, known = f"{uuid.uuid4().hex}.tar", 0, {}
-                        sink = system.open_output_stream(f"{base}/{shard}")
-                    if digest not in known:
-                        stored = encode_png(payload)
-                        info = tarfile.TarInfo(f"{digest}.png")
-                        info.size = len(stored)
-                        head = info.tobuf(tarfile.USTAR_FORMAT)
-                        known[digest] = at + len(head), len(stored)
-                        for part in (head, stored, b"\0" * (-len(stored) % 512)):
-                            sink.write(part)
-                            at += len(part)
-                    rows.append((n, len(payload), digest, shard, *known[digest]))
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
-        finally:
-            if sink is not None:
-                sink.write(b"\0" * 1024)
-                sink.close()
+        writer = _Writer(root, key)
+        for b in it:
+            yield from writer.add(b.column(0), b.column(1).to_pylist())
+        yield from writer.close()
 
     system, base = _filesystem(root)
     system.create_dir(base)
     schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, digest string, shard string, offset long, length long"
     made = bound_batches(docs).select(key, text).mapInArrow(batches, schema)
     made.write.parquet(f"{root}/index")
-    return docs.sparkSession.read.schema(made.schema).parquet(f"{root}/index")
+    from pyarrow import fs
+
+    for left in system.get_file_info(fs.FileSelector(base)):
+        if left.base_name.startswith(_OPEN):
+            system.delete_file(left.path)
+    return one_address(docs.sparkSession.read.schema(made.schema).parquet(f"{root}/index"), key)
 
 
-def one_address(index: DataFrame) -> DataFrame:
-    """Give every row of a digest the same address, the least (shard, offset); other copies may then be deleted.
+def one_address(index: DataFrame, key: str) -> DataFrame:
+    """Every row with the address of its digest, the least (shard, offset), in order of addresses, so that each is read once a task.
 
-    The minimum is combined before it is shuffled, and only addresses move, not payloads.
+    The minimum is combined before it is shuffled, and only addresses move, not payloads; a digest that many rows have is dealt over tasks by
+    the rows' places. Copies that other tasks have stored are nobody's address.
     """
-    least = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_a"))
-    return index.drop("shard", "offset", "length").join(least, "digest").select("*", "_a.*").drop("_a")
+    least = materialise(index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_a")), "addresses")
+    rows = index.drop("shard", "offset", "length").withColumn("_row", F.monotonically_increasing_id()).join(least, "digest")
+    rows = rows.select(*[c for c in index.columns if c not in ("shard", "offset", "length")], "_a.*", "_row")
+    return rows.repartitionByRange("shard", "offset", "_row").sortWithinPartitions("shard", "offset", "_row").drop("_row")
 
 
 class _Ranges:
@@ -210,7 +249,7 @@ def op8_media(docs: DataFrame, root: str | None = None) -> DataFrame:
 
     Rows carry the payload's digest and its shard, offset and length; width and height come from range reads of the headers alone,
     the contract's digests and feature from the stored bytes. A null text is empty (one padded row of zeros); equal texts have
-    equal values and, within a shard, one copy (``one_address`` makes it one over all shards); a very long text is one payload,
+    equal values and one address over the whole table, and two runs over equally dealt rows give equal results; a very long text is one payload,
     held in memory with its image; repeated keys each get a row; an empty table writes no shard; other columns are ignored.
     """
     root = root or scratch(docs.sparkSession, "media")

@@ -618,17 +618,45 @@ def test_media_round_trip(spark, docs, rows, empty, tmp_path):
     for r in out:
         by[r.payload_sha256].add((r.media_sha256, r.media_bytes, r.feature))
     assert all(len(v) == 1 for v in by.values())
-    heads = media.with_header(media.one_address(index), root).collect()
+    heads = media.with_header(index, root).collect()
     assert all(r.width == 64 and r.height * 64 == r.payload_bytes for r in heads)
     assert all((r.width, r.height * 64) == (64, r.payload_bytes) for r in media.op8_media(docs, f"file://{tmp_path}/q").collect())
-    names = set()
+    stored = {}
     for shard in {r.shard for r in index.collect()}:
         with tarfile.open(fileobj=io.BytesIO((tmp_path / "m" / shard).read_bytes())) as t:
-            names |= {m.name for m in t.getmembers()}
-    assert names == {f"{r.digest}.png" for r in index.collect()}
+            stored |= {m.name: t.extractfile(m).read() for m in t.getmembers()}
+    assert {f"{r.digest}.png" for r in index.collect()} <= set(stored)
+    assert not [p for p in (tmp_path / "m").iterdir() if p.name.startswith("_open")]
+    for r in out:  # the stored form and the feature, from the tar member alone
+        png = stored[f"{r.digest}.png"]
+        assert hashlib.sha256(png).hexdigest() == r.media_sha256 and len(png) == r.media_bytes
+        at, data = 8, b""
+        while at < len(png):
+            size = int.from_bytes(png[at : at + 4], "big")
+            data += png[at + 8 : at + 8 + size] if png[at + 4 : at + 8] == b"IDAT" else b""
+            at += size + 12
+        lines = zlib.decompress(data)
+        samples = b"".join(lines[i + 1 : i + 65] for i in range(0, len(lines), 65))
+        assert set(lines[::65]) == {0} and hashlib.sha256(samples).hexdigest() == r.payload_sha256
+        bands = [sum(lo <= x < lo + 64 for x in samples) for lo in (0, 64, 128, 192)] if len(samples) < 3000 else None
+        if bands:
+            counts = [samples.count(x) for x in (b"\0", b"\n", b" ")]
+            assert r.feature == f"rows={len(samples) // 64};adler={zlib.adler32(samples)};zero,line,space={counts};bands={bands}".replace(" ", "")
     assert media.op8_media(empty, f"file://{tmp_path}/e").count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_a_payload_has_one_address_at_any_split(spark, rows, tmp_path, monkeypatch, parts):
+    monkeypatch.setattr(media, "SHARD_BYTES", 40_000)  # several shards a task
+    table = spark.createDataFrame(rows, SCHEMA).repartition(parts, "doc_id", "source")
+    runs = [sorted(map(tuple, media.op8_media(table, f"file://{tmp_path}/{n}").collect()), key=str) for n in "ab"]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    place = defaultdict(set)
+    for r in media.write_shards(table, f"file://{tmp_path}/c").collect():
+        place[r.digest].add((r.shard, r.offset, r.length))
+    assert all(len(v) == 1 for v in place.values())
+
+
 # --- sharding --------------------------------------------------------------------------------------------------------
 
 
