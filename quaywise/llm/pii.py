@@ -25,7 +25,9 @@ ROUNDS = 10
 #: Steps of a walk through a permutation until it is back among dates of one kind; each misses with at most six in ten.
 WALK = 160
 #: Where the key of pseudonyms is looked up.
-KEY_SETTING = "quaywise.pseudonyms.key"
+KEY_SETTING = "quaywise.pseudonyms.secret"  # Spark redacts settings of such names in its logs and pages
+#: The column that holds the key while texts are read: a subquery's value, so that plans and logs don't show it.
+KEY = "_q_k"
 #: Days of 1900-01-01 to 2099-12-31, a product of the radices of the two halves.
 DATE_RADICES = (17, 4297)
 
@@ -38,7 +40,7 @@ def _sql(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def feistel(value: str, left: str, right: str, key: str, tweak: str, inverse: bool = False) -> str:
+def feistel(value: str, left: str, right: str, tweak: str, inverse: bool = False) -> str:
     """SQL: a keyed permutation of the integers 0 to left * right - 1, applied to the SQL ``value``.
 
     The value is split into two digits of radix ``left`` and ``right``; each round adds to one, modulo its radix, a
@@ -48,7 +50,7 @@ def feistel(value: str, left: str, right: str, key: str, tweak: str, inverse: bo
     rounds = f"sequence({ROUNDS - 1}, 0, -1)" if inverse else f"sequence(0, {ROUNDS - 1})"
 
     def f(half: str) -> str:
-        digest = f"sha2(concat_ws('|', {_sql(key)}, {tweak}, i, {half}), 256)"
+        digest = f"sha2(concat_ws('|', {KEY}, {tweak}, i, {half}), 256)"
         return f"cast(conv(substring({digest}, 1, 15), 16, 10) as bigint)"
 
     return f"""aggregate({rounds}, named_struct('l', cast(({value}) div ({right}) as bigint), 'r', cast(({value}) % ({right}) as bigint)),
@@ -80,29 +82,29 @@ def _luhn(digits: str) -> str:
     return f"aggregate(sequence(0, length({digits}) - 1), 0, (t, k) -> t + CASE WHEN k % 2 = 1 THEN {twice} ELSE {d} END)"
 
 
-def _numeric(digits: str, key: str, tweak: str, inverse: bool) -> str:
+def _numeric(digits: str, tweak: str, inverse: bool) -> str:
     """SQL: a permutation of the digit strings of one length (2 to 18)."""
     right = f"cast(power(10, length({digits}) - length({digits}) div 2) as bigint)"
     left = f"cast(power(10, length({digits}) div 2) as bigint)"
-    return f"lpad(cast({feistel(f'cast({digits} as bigint)', left, right, key, f'concat({_sql(tweak)}, length({digits}))', inverse)} as string), length({digits}), '0')"
+    return f"lpad(cast({feistel(f'cast({digits} as bigint)', left, right, f'concat({_sql(tweak)}, length({digits}))', inverse)} as string), length({digits}), '0')"
 
 
-def _card(m: str, key: str, inverse: bool) -> str:
+def _card(m: str, inverse: bool) -> str:
     """The first digit (the network) stays, the middle is permuted and the check digit computed anew."""
-    new = f"concat(substring(d, 1, 1), {_numeric('substring(d, 2, length(d) - 2)', key, 'card', inverse)})"
+    new = f"concat(substring(d, 1, 1), {_numeric('substring(d, 2, length(d) - 2)', 'card', inverse)})"
     check = f"concat(n, cast(pmod(-({_luhn('concat(n, 0)')}), 10) as string))"
     valid = f"CASE WHEN {_luhn('d')} % 10 = 0 THEN {_let('n', new, _let('c', check, _fill(m, 'c')))} ELSE {m} END"
     return _let("d", _digits(m), valid)
 
 
-def _ipv4(m: str, key: str, inverse: bool) -> str:
+def _ipv4(m: str, inverse: bool) -> str:
     octets = f"transform(split({m}, r'\\.'), o -> cast(o as bigint))"
     value = "aggregate(p, 0L, (t, o) -> t * 256 + o)"
     out = "concat_ws('.', n div 16777216, n div 65536 % 256, n div 256 % 256, n % 256)"
-    return _let("p", octets, f"CASE WHEN exists(p, o -> o > 255) THEN {m} ELSE {_let('n', feistel(value, '65536', '65536', key, _sql('ipv4'), inverse), out)} END")
+    return _let("p", octets, f"CASE WHEN exists(p, o -> o > 255) THEN {m} ELSE {_let('n', feistel(value, '65536', '65536', _sql('ipv4'), inverse), out)} END")
 
 
-def _ssn(m: str, key: str, inverse: bool) -> str:
+def _ssn(m: str, inverse: bool) -> str:
     """Valid areas are 001 to 899 but 666; groups 01 to 99; serials 0001 to 9999."""
     part = [f"cast(split({m}, '-')[{i}] as bigint)" for i in range(3)]
     valid = f"{part[0]} BETWEEN 1 AND 899 AND {part[0]} <> 666 AND {part[1]} > 0 AND {part[2]} > 0"
@@ -111,10 +113,10 @@ def _ssn(m: str, key: str, inverse: bool) -> str:
     a, g, s = "n div 989901", "n div 9999 % 99 + 1", "n % 9999 + 1"
     back = f"({a} + CASE WHEN {a} >= 665 THEN 2 ELSE 1 END)"
     out = f"concat_ws('-', lpad(cast({back} as string), 3, '0'), lpad(cast({g} as string), 2, '0'), lpad(cast({s} as string), 4, '0'))"
-    return f"CASE WHEN {valid} THEN {_let('n', feistel(value, '88902', '9999', key, _sql('ssn'), inverse), out)} ELSE {m} END"
+    return f"CASE WHEN {valid} THEN {_let('n', feistel(value, '88902', '9999', _sql('ssn'), inverse), out)} ELSE {m} END"
 
 
-def _date(m: str, key: str, inverse: bool) -> str:
+def _date(m: str, inverse: bool) -> str:
     """Dates of 1900 to 2099 in five formats; equal dates stay equal over formats. 01/02/2020 is read month first, and day first
     where only that is a date (25/12/1980).
 
@@ -129,8 +131,8 @@ def _date(m: str, key: str, inverse: bool) -> str:
     def late(x: str) -> str:
         return f"(day(date_add(date'1900-01-01', cast({x} as int))) > 12)"
 
-    once = feistel("w", *map(str, DATE_RADICES), key, _sql("date"), inverse)
-    first = feistel("datediff(v, date'1900-01-01')", *map(str, DATE_RADICES), key, _sql("date"), inverse)
+    once = feistel("w", *map(str, DATE_RADICES), _sql("date"), inverse)
+    first = feistel("datediff(v, date'1900-01-01')", *map(str, DATE_RADICES), _sql("date"), inverse)
     walked = f"aggregate(sequence(1, {WALK}), cast({first} as bigint), (w, _s) -> CASE WHEN {late('w')} = (day(v) > 12) THEN w ELSE cast({once} as bigint) END)"
     new = f"date_add(date'1900-01-01', cast({walked} as int))"
     back = " ".join(f"WHEN {t} THEN date_format(n, '{s}')" for t, s in zip(tests, styles, strict=True))
@@ -138,17 +140,17 @@ def _date(m: str, key: str, inverse: bool) -> str:
     return _let("v", f"CASE {day} END", out)
 
 
-def _phone(m: str, key: str, inverse: bool) -> str:
+def _phone(m: str, inverse: bool) -> str:
     """An international number keeps its calling code, which must be one; others are permuted as a whole."""
     code = f"CASE WHEN {m} LIKE '+%' THEN length(regexp_extract(d, {_q(CALLING_CODES)}, 0)) ELSE 0 END"
     valid = f"({m} NOT LIKE '+%' OR k > 0) AND length(d) <= 15"
-    new = f"concat(substring(d, 1, k), {_numeric('substring(d, k + 1)', key, 'phone', inverse)})"
+    new = f"concat(substring(d, 1, k), {_numeric('substring(d, k + 1)', 'phone', inverse)})"
     return _let("d", _digits(m), _let("k", code, f"CASE WHEN {valid} THEN {_let('n', new, _fill(m, 'n'))} ELSE {m} END"))
 
 
 def _chunks(text: str, size: int, one: str) -> str:
-    """SQL: ``text`` in chunks ``c`` of up to ``size`` characters, chunk number ``i``, each replaced by ``one`` and joined again."""
-    return f"array_join(transform(sequence(1, greatest(1, length({text})), {size}), (p, i) -> {_let('c', f'substring({text}, p, {size})', one)}), '')"
+    """SQL: ``text`` in chunks ``c`` of up to ``size`` characters, chunk number ``part``, each replaced by ``one`` and joined again."""
+    return f"array_join(transform(sequence(1, greatest(1, length({text})), {size}), (p, part) -> {_let('c', f'substring({text}, p, {size})', one)}), '')"
 
 
 def _mod97(text: str) -> str:
@@ -157,11 +159,11 @@ def _mod97(text: str) -> str:
     return f"aggregate(split({text}, ''), 0, (t, x) -> CASE WHEN x = '' THEN t WHEN x RLIKE '[0-9]' THEN (t * 10 + {value}) % 97 ELSE (t * 100 + {value}) % 97 END)"
 
 
-def _iban(m: str, key: str, inverse: bool) -> str:
+def _iban(m: str, inverse: bool) -> str:
     """Country and letters stay, the account's digits are permuted, up to fifteen at a time, and the check digits computed anew."""
     account = "substring(b, 5)"
     digit = _digits(account)
-    permuted = _chunks("g", 15, f"CASE WHEN length(c) < 2 THEN c ELSE {_numeric('c', key, 'iban', inverse)} END")
+    permuted = _chunks("g", 15, f"CASE WHEN length(c) < 2 THEN c ELSE {_numeric('c', 'iban', inverse)} END")
     filled = _let("g", digit, _let("q", permuted, _fill(account, "q")))
     check = f"lpad(cast(98 - {_mod97('concat(a, substring(b, 1, 2), 0, 0)')} as string), 2, '0')"
     built = _let("a", filled, f"concat(substring(b, 1, 2), {check}, a)")
@@ -170,29 +172,34 @@ def _iban(m: str, key: str, inverse: bool) -> str:
     return _let("b", f"replace({m}, ' ', '')", f"CASE WHEN {valid} THEN {spaced} ELSE {m} END")
 
 
-def _ipv6(m: str, key: str, inverse: bool) -> str:
-    """The hexadecimal digits as they are written are permuted, up to twelve at a time, in lower case; colons stay. Equal addresses
-    are linked where they are written with the same colons and digits."""
+def _ipv6(m: str, inverse: bool) -> str:
+    """The 128 bits are permuted, twelve hexadecimal digits at a time, and printed as eight groups: one address has one pseudonym, however it is written.
+
+    With '::' it must say more than two words with colons between: two groups or more and a digit before them, or a first group that
+    addresses are given out under (2000 to 3fff, fc00 to fdff, fe80 to febf), or ::ffff, for those of version 4.
+    """
     left, right = ("cast(power(16, {}) as bigint)".format(x) for x in ("length(c) div 2", "length(c) - length(c) div 2"))
     value = "cast(conv(c, 16, 10) as bigint)"
-    new = f"lpad(lower(conv(cast({feistel(value, left, right, key, f'concat({_sql('ipv6')}, i, length(c))', inverse)} as string), 10, 16)), length(c), '0')"
-    permuted = _chunks("g", 12, f"CASE WHEN length(c) < 2 THEN c ELSE {new} END")
-    nth = "regexp_replace(substring(h, 1, j), '[^0-9a-f]', '')"
-    fill = f"array_join(transform(sequence(1, length(h)), j -> CASE WHEN substring(h, j, 1) <> ':' THEN substring(q, length({nth}), 1) ELSE ':' END), '')"
-    few = "size(filter(split(h, ':'), y -> y <> '')) <= 7"
-    valid = f"(h NOT LIKE '%::%' OR {few})"
-    return _let("h", f"lower({m})", f"CASE WHEN {valid} THEN {_let('g', "regexp_replace(h, ':', '')", _let('q', permuted, fill))} ELSE {m} END")
-
-
-def _email(m: str, key: str) -> str:
+    new = f"lpad(lower(conv(cast({feistel(value, left, right, f'concat({_sql('ipv6')}, part, length(c))', inverse)} as string), 10, 16)), length(c), '0')"
+    groups = "filter(split({}, ':'), y -> y <> '')"
+    ahead, behind = groups.format("split(h, '::')[0]"), groups.format("split(h, '::')[1]")
+    whole = f"CASE WHEN h LIKE '%::%' THEN concat({ahead}, array_repeat('0', 8 - size({ahead}) - size({behind})), {behind}) ELSE split(h, ':') END"
+    given = "regexp_like(h, '^(?:[23][0-9a-f]{3}|f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]|::ffff):')"
+    valid = f"(h NOT LIKE '%::%' OR (size({ahead}) + size({behind}) <= 7 AND ({given} OR (size({ahead}) >= 2 AND h RLIKE '[0-9]'))))"
+    digits = f"array_join(transform({whole}, y -> lpad(y, 4, '0')), '')"
+    printed = "array_join(transform(sequence(1, 29, 4), x -> regexp_replace(substring(q, x, 4), '^0{1,3}', '')), ':')"
+    return _let("h", f"lower({m})", f"CASE WHEN {valid} THEN {_let('g', digits, _let('q', _chunks('g', 12, new), printed))} ELSE {m} END")
+
+
+def _email(m: str) -> str:
     """Addresses have no number format: a keyed alias, equal for equal addresses, in a domain that can't exist."""
-    return f"concat('u', substring(sha2(concat_ws('|', {_sql(key)}, 'email', lower({m})), 256), 1, 16), '@redacted.invalid')"
+    return f"concat('u', substring(sha2(concat_ws('|', {KEY}, 'email', lower({m})), 256), 1, 16), '@redacted.invalid')"
 
 
-def pseudonym(match: str, key: str, inverse: bool = False) -> str:
+def pseudonym(match: str, inverse: bool = False) -> str:
     """SQL: what replaces one match; a match that no validation accepts stays."""
-    email = match if inverse else _email(match, key)
-    by = {"email": email, "iban": _iban(match, key, inverse), "ipv6": _ipv6(match, key, inverse), "ipv4": _ipv4(match, key, inverse), "date": _date(match, key, inverse), "ssn": _ssn(match, key, inverse), "card": _card(match, key, inverse), "phone": _phone(match, key, inverse)}
+    email = match if inverse else _email(match)
+    by = {"email": email, "iban": _iban(match, inverse), "ipv6": _ipv6(match, inverse), "ipv4": _ipv4(match, inverse), "date": _date(match, inverse), "ssn": _ssn(match, inverse), "card": _card(match, inverse), "phone": _phone(match, inverse)}
     return "CASE " + " ".join(f"WHEN {match} RLIKE {_q('^(?:' + PATTERNS[k] + ')$')} THEN {v}" for k, v in by.items()) + f" ELSE {match} END"
 
 
@@ -203,12 +210,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool =
     within their format by a key, so equal values stay equal over all documents, valid values stay valid and ``inverse``
     undoes it; e-mail addresses become keyed aliases. Values that fail validation stay as they are. Null and empty texts stay; a very
     long text is cut at its values once; repeated rows each get a row, with equal values; an empty table gives an empty
-    result; all columns are kept, ``n_private`` being replaced; ``_q_m`` and ``_q_r`` are reserved names. Texts without a digit, an at
+    result; all columns are kept, ``n_private`` being replaced; ``_q_k``, ``_q_m`` and ``_q_r`` are reserved names. IPv6 addresses come back
+    from ``inverse`` as eight groups. Lower-case IBANs, phone numbers without any separator, and dates with names of months aren't read. Texts without a digit, an at
     sign or two colons are passed by. Where two values could begin at one place the kind named first in PATTERNS is taken.
     """
     import re
 
-    if clash := {"_q_m", "_q_r"} & set(docs.columns):
+    if clash := {KEY, "_q_m", "_q_r"} & set(docs.columns):
         raise ValueError(f"{sorted(clash)} are reserved names")
 
     parts, shift = [], 0
@@ -217,11 +225,13 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", inverse: bool =
         shift += re.compile(p.replace("++", "+")).groups
     any_of = "|".join(parts)
     t = f"`{text}`"
-    out = docs.withColumn("_q_m", F.expr(f"CASE WHEN {t} RLIKE '[0-9@]|::' THEN regexp_extract_all({t}, {_q(any_of)}, 0) ELSE array() END"))
-    out = out.withColumn("_q_r", F.expr(f"transform(_q_m, m -> {pseudonym('m', key, inverse)})"))
+    held = docs.sparkSession.createDataFrame([(key,)], f"{KEY} string")
+    out = docs.withColumn(KEY, held.scalar())
+    out = out.withColumn("_q_m", F.expr(f"CASE WHEN {t} RLIKE '[0-9@]|::' THEN regexp_extract_all({t}, {_q(any_of)}, 0) ELSE array() END"))
+    out = out.withColumn("_q_r", F.expr(f"transform(_q_m, m -> {pseudonym('m', inverse)})"))
     rebuilt = f"array_join(zip_with(split({t}, {_q(any_of)}, -1), _q_r, (g, r) -> concat(g, coalesce(r, ''))), '')"
     out = out.withColumn("n_private", F.expr("cast(size(filter(zip_with(_q_m, _q_r, (m, r) -> m <> r), x -> x)) as long)"))
-    return out.withColumn(text, F.expr(f"CASE WHEN n_private > 0 THEN {rebuilt} ELSE {t} END")).drop("_q_m", "_q_r")
+    return out.withColumn(text, F.expr(f"CASE WHEN n_private > 0 THEN {rebuilt} ELSE {t} END")).drop(KEY, "_q_m", "_q_r")
 
 
 def key_of(spark: SparkSession) -> str:

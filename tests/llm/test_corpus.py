@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import ipaddress
 import random
 import re
 import tarfile
@@ -309,7 +310,7 @@ PRIVATE = {  # text, and whether it must change
     "on 25/12/1980": True, "on 12/25/1980": True, "on 01/02/2020": True, "on 31.12.1999": True, "on 2020/02/29": True, "on 30/02/2020": False, "on 99/99/2020": False,
     "call 555-123-4567": True, "call 555.123.4567": True, "call (212) 555-0100": True, "call +44 20 7946 0958": True, "call +999999999": False, "part 12-555-123-4567": False,
     "iban GB82 WEST 1234 5698 7654 32": True, "iban DE89370400440532013000": True, "iban DE88370400440532013000": False, "iban NO9386011117947": True,
-    "ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334": True, "ip 2001:db8::1": True, "ip ::ffff:c000:0280": True, "at 12:30:45 h": False, "std::vector": False,
+    "ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334": True, "ip 2001:db8::1": True, "ip ::ffff:c000:0280": True, "ip fe80::1": True, "at 12:30:45 h": False, "std::vector": False, "see abc::def": False, "add::bad:cafe": False, "loop ::1": False,
     "card 4111111111111111": True, "card 4111111111111112": False, "ssn 123-45-6789": True, "ssn 000-12-3456": False, "ip 10.0.0.7": True, "ip 10.0.0.256": False,
 }
 
@@ -325,6 +326,9 @@ def test_pseudonyms_of_every_format_against_their_rules(spark):
     new = {texts[r.doc_id]: r.text for r in pii.pseudonymise(docs, "k").collect()}
     for old, changes in PRIVATE.items():
         assert (new[old] != old) == changes, (old, new[old])
+        if old.startswith("ip") and ":" in old:
+            assert re.fullmatch(r"ip (?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", new[old])
+            continue
         form = r"\d+" if "ip 10" in old else "[0-9a-f]"  # octets have one to three digits
         assert re.sub(form, "0", new[old]) == re.sub(form, "0", old)
     assert all(iban_ok(new[t].split(" ", 1)[1]) for t in texts if "iban" in t and PRIVATE[t])
@@ -332,11 +336,61 @@ def test_pseudonyms_of_every_format_against_their_rules(spark):
     assert new["call +44 20 7946 0958"].startswith("call +44 ")
     again = spark.createDataFrame([(i, new[t]) for i, t in enumerate(texts)], "doc_id long, text string")
     back = {texts[r.doc_id]: r.text for r in pii.pseudonymise(again, "k", inverse=True).collect()}
-    assert back == {t: t for t in texts}
+    v6 = [t for t in texts if t.startswith("ip") and ":" in t]
+    assert all(ipaddress.ip_address(back.pop(t)[3:]) == ipaddress.ip_address(t[3:]) for t in v6)
+    assert back == {t: t for t in texts if t not in v6}
     other = {texts[r.doc_id]: r.text for r in pii.pseudonymise(docs, "another").collect()}
     assert sum(other[t] != new[t] for t in texts if PRIVATE[t]) >= sum(PRIVATE.values()) - 1
 
 
+def brute_feistel(value, left, right, key, tweak):
+    a, b = divmod(value, right)
+    for i in range(10):
+        f = lambda half, n: int(hashlib.sha256(f"{key}|{tweak}|{i}|{half}".encode()).hexdigest()[:15], 16) % n  # noqa: B023, E731
+        a, b = ((a + f(b, left)) % left, b) if i % 2 == 0 else (a, (b + f(a, right)) % right)
+    return a * right + b
+
+
+def brute_digits(digits, key, tweak):
+    n = len(digits)
+    return f"{brute_feistel(int(digits), 10 ** (n // 2), 10 ** (n - n // 2), key, f'{tweak}{n}'):0{n}d}"
+
+
+def test_pseudonyms_equal_a_recomputation(spark):
+    rng, texts, want = random.Random(6), [], []
+    for _ in range(25):
+        v4 = rng.randrange(1 << 32)
+        texts.append(str(ipaddress.IPv4Address(v4)))
+        want.append(str(ipaddress.IPv4Address(brute_feistel(v4, 65536, 65536, "k", "ipv4"))))
+        v6 = ipaddress.IPv6Address((0x2001 << 112) | rng.randrange(1 << rng.choice([16, 60, 112])))
+        h = f"{int(v6):032x}"
+        new = "".join(f"{brute_feistel(int(c, 16), 16 ** (len(c) // 2), 16 ** (len(c) - len(c) // 2), 'k', f'ipv6{i}{len(c)}'):0{len(c)}x}" for i, c in enumerate((h[:12], h[12:24], h[24:])))
+        for form in (str(v6), v6.exploded, v6.exploded.upper()):  # one address, however it is written
+            texts.append(form)
+            want.append(":".join(f"{int(new[j : j + 4], 16):x}" for j in range(0, 32, 4)))
+        body = "4" + "".join(rng.choices("0123456789", k=14))
+        luhn = lambda d: -sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(d))) % 10
+        texts.append(f"{body}{luhn(body)}")
+        moved = body[0] + brute_digits(body[1:], "k", "card")
+        want.append(f"{moved}{luhn(moved)}")
+        phone = "".join(rng.choices("0123456789", k=10))
+        texts.append(f"{phone[:3]}-{phone[3:6]}-{phone[6:]}")
+        q = brute_digits(phone, "k", "phone")
+        want.append(f"{q[:3]}-{q[3:6]}-{q[6:]}")
+        a, g, n = rng.choice([x for x in range(1, 900) if x != 666]), rng.randrange(1, 100), rng.randrange(1, 10_000)
+        texts.append(f"{a:03d}-{g:02d}-{n:04d}")
+        x, n = divmod(brute_feistel(((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + n - 1, 88902, 9999, "k", "ssn"), 9999)
+        a, g = divmod(x, 99)
+        want.append(f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{n + 1:04d}")
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymise(table, "k")
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    secret = pii.pseudonymise(table, "never-shown-key")
+    for mode in (True, False):
+        assert "never-shown-key" not in secret._sc._jvm.PythonSQLUtils.explainString(secret._jdf.queryExecution(), "extended" if mode else "formatted")
+
+
 def test_dates_are_permuted_one_to_one(spark):
     days = spark.sql("select id as doc_id, date_format(date_add(date'1900-01-01', cast(id as int)), 'yyyy-MM-dd') as text from range(0, 73049, 37)")
     got = [(r.text, r.doc_id) for r in pii.pseudonymise(days, "k").collect()]
@@ -356,8 +410,8 @@ def test_pseudonyms_of_odd_rows(spark, docs, rows, empty):
 
 def test_feistel_is_a_permutation(spark):
     n = 7 * 11
-    q = spark.range(n).selectExpr("id", f"{pii.feistel('id', '7', '11', 'key', repr('t'))} AS e")
-    rows = q.selectExpr("id", "e", f"{pii.feistel('e', '7', '11', 'key', repr('t'), inverse=True)} AS back").collect()
+    q = spark.range(n).selectExpr("id", f"'key' AS {pii.KEY}").selectExpr("*", f"{pii.feistel('id', '7', '11', repr('t'))} AS e")
+    rows = q.selectExpr("id", "e", f"{pii.feistel('e', '7', '11', repr('t'), inverse=True)} AS back").collect()
     assert sorted(r.e for r in rows) == list(range(n)) and all(r.back == r.id for r in rows) and any(r.e != r.id for r in rows)
 
 
