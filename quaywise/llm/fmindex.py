@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE = np.uint64(1)
+#: Ones below each place of a word of 64 bits.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class WaveletTree:
@@ -39,7 +40,7 @@ class WaveletTree:
             packed = np.packbits(bits.astype(bool), bitorder="little")
             word = np.concatenate((packed, np.zeros(16 - len(packed) % 8, np.uint8))).view(np.uint64)
             self.words.append(word)
-            self.ones.append(np.concatenate(([0], np.cumsum(np.bitwise_count(word), dtype=np.int64))))
+            self.ones.append(np.concatenate(([0], np.cumsum(np.bitwise_count(word), dtype=np.int64))).astype(np.int32))
             total = np.concatenate(([0], np.cumsum(bits)))
             self.before[level] = total[np.minimum(self.start[level], len(seq))]
             if level + 1 < self.levels:
@@ -51,16 +52,24 @@ class WaveletTree:
                 out = np.empty(len(go), seq.dtype)
                 out[self.start[level + 1, own] + nth] = own
                 seq = out
+        self._packed()
+
+    def _packed(self) -> None:
+        """Positions of a shard fit 32 bits; lengths of codes, longest first, fit a byte."""
+        self.start, self.before = self.start.astype(np.int32), self.before.astype(np.int32)
+        self.shorter = (self.levels - self.length).astype(np.int8)
+        self.shorter_than = (self.levels - np.arange(1, self.levels + 1)).astype(np.int8)
 
     def ranks(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each query the number of ``symbol`` among the first ``lo`` and the first ``hi`` symbols; symbols must occur.
 
         Queries are put in order of code length, so those that go on at a level are always the first ones.
         """
-        length = self.length[symbol]
-        order = np.argsort(-length, kind="stable")
-        c, i, j = symbol[order], lo[order], hi[order]
-        going = np.searchsorted(-length[order], -np.arange(1, self.levels + 1), "right")
+        less = self.shorter[symbol]
+        order = np.argsort(less, kind="stable")  # of bytes: a counting sort
+        n, c = len(symbol), symbol[order]
+        at = np.concatenate((lo[order], hi[order])).astype(np.int32)
+        going = np.searchsorted(less[order], self.shorter_than, "right")
         code = self.code[c]
         for level in range(self.levels):
             m = going[level]
@@ -69,15 +78,14 @@ class WaveletTree:
             start, before = self.start[level][c[:m]], self.before[level][c[:m]]
             bit = ((code[:m] >> (self.levels - 1 - level)) & 1).astype(bool)
             words, total = self.words[level], self.ones[level]
-            for x in (i, j):
-                p = start + x[:m]
+            for x in (at[:m], at[n : n + m]):
+                p = start + x
                 w = p >> 6
-                low = words[w] & ((_ONE << (p & 63).astype(np.uint64)) - _ONE)
-                ones = total[w] + np.bitwise_count(low) - before
-                x[:m] = np.where(bit, ones, x[:m] - ones)
-        a, b = np.empty_like(i), np.empty_like(j)
-        a[order], b[order] = i, j
-        return a, b
+                ones = total[w] + np.bitwise_count(words[w] & _BELOW[p & 63]) - before
+                x[:] = np.where(bit, ones, x - ones)
+        out = np.empty((2, n), np.int64)
+        out[0, order], out[1, order] = at[:n], at[n:]
+        return out[0], out[1]
 
 
 class FMIndex:

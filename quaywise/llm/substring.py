@@ -25,7 +25,7 @@ from .fmindex import FMIndex
 #: Words of a window, and of the grams that name its shard.
 WINDOW, GRAM = 20, 8
 #: Words that one index holds: a bound on a task's memory, which grows with no input.
-SHARD_WORDS = 1 << 18
+SHARD_WORDS = 1 << 19
 #: An anchor with more distinct runs than this is dealt window by window instead, under each window's own hash, once for equal windows.
 SPLIT = 512
 #: Stands for a null key, before all others.
@@ -265,17 +265,24 @@ def _remove(keep_words: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in it:
-            rows = []
-            for packed, cuts in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                words = z.decompress(packed).split()
-                gone = np.zeros(len(words) + 1, np.int32)
-                if cuts:
-                    lo = np.array([c["at"] for c in cuts])
-                    np.add.at(gone, lo, 1)
-                    np.add.at(gone, lo + np.array([c["n"] for c in cuts]) + WINDOW - 1, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if cuts else words)
-                rows.append((len(words), int(gone.sum()), kept if keep_words else hashlib.sha256(kept).hexdigest()))
+            rows, first = [], 0
+            ends = np.cumsum(b.column(4).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            starts, windows = (b.column(4).flatten().field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("at", "n"))
+            for packed, last in zip(b.column(3), ends.tolist(), strict=True):
+                words = z.decompress(packed.as_buffer()).split()
+                removed = 0
+                if last > first:
+                    # stretches in order, those that touch joined
+                    order = first + np.argsort(starts[first:last], kind="stable")
+                    lo, hi = starts[order], np.maximum.accumulate(starts[order] + windows[order] + WINDOW - 1)
+                    new = np.flatnonzero(np.concatenate(([True], lo[1:] > hi[:-1])))
+                    lo, hi = lo[new].tolist(), hi[np.append(new[1:], len(hi)) - 1].tolist()
+                    removed, n_words = sum(hi) - sum(lo), len(words)
+                    kept = b" ".join([w for x, y in zip([0, *hi], [*lo, n_words], strict=True) for w in words[x:y]])
+                else:
+                    n_words, kept = len(words), b" ".join(words)
+                first = last
+                rows.append((n_words, removed, kept if keep_words else hashlib.sha256(kept).hexdigest()))
             n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
             if keep_words:
                 kept = [x.decode("utf-8", "surrogatepass") for x in kept]
