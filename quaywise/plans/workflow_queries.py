@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import keys, money, places
-from quaywise.operators import order, rates, reports, statements, workflow
+from quaywise.operators import order, rates, reports, search, statements, workflow
 from quaywise.sources import adapter, files
+from quaywise.sources.scratch import scratch
 from quaywise.streaming import events
 
 from .registry import Tables, query
@@ -193,3 +194,11 @@ def queue_sets(t: Tables):
     review, urgent, assigned = (t.invoices.filter(c).select(*on) for c in ("status = 'needs_review'", "priority = '1-URGENT'", "doc_id % 5 = 0"))
     sets = {"either": review.union(urgent).distinct(), "both": review.intersect(urgent), "unassigned": review.subtract(assigned)}
     return reduce(DataFrame.unionByName, [s.select(F.lit(k).alias("queue"), *on) for k, s in sets.items()])
+
+
+@query("""SELECT doc_id, number, vendor_name FROM invoices WHERE contains(lower(number), 'v-17') OR contains(lower(vendor_name), 'v-17') UNION ALL SELECT doc_id, number, vendor_name FROM invoices WHERE contains(lower(number), 'oR 3 lOG') OR contains(lower(vendor_name), 'or 3 log')""", ("invoices",))
+def indexed_search(t: Tables):
+    """Documents whose number or vendor has a text, through the index: one text of numbers, one of names."""
+    rows = t.invoices.select("doc_id", "number", "vendor_name")
+    postings = search.write_postings(rows, ["doc_id"], ["number", "vendor_name"], scratch(t.spark, "postings"))
+    return search.find(rows, postings, ["doc_id"], ["number", "vendor_name"], "V-17").unionByName(search.find(rows, postings, ["doc_id"], ["number", "vendor_name"], "oR 3 lOG"))

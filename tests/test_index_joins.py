@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from quaywise.functions import fuzzy
-from quaywise.operators import grouping, intervals, rates, records
+from quaywise.operators import grouping, intervals, rates, records, search
 from test_operators import DOCS, brute_places
 
 QUOTES = "org_id int, quote_id int, vendor_key string, valid_from date, valid_to date, origin string, destination string, equipment string, origin_area string, destination_area string"
@@ -133,3 +133,16 @@ def test_long_texts_meet_by_rare_pieces(spark):
     for threshold in (75, 90):
         got = {(r.a, r.b) for r in fuzzy.similar_pairs(rows, rows.withColumnRenamed("a", "b"), "a", "b", threshold).collect()}
         assert got == {(a, b) for a in texts for b in texts if fuzzy.indel_ratio(a, b) >= threshold}
+
+
+def test_search_by_index_equals_contains(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices("abAB 1%_", k=rng.randrange(12))) if i % 9 else None, rng.choice(["Harbor 12", "HARBOUR", "", None])) for i in range(400)] + [(900, "x" * 500, "É ÉÀ")]
+    table = spark.createDataFrame(rows, "id int, number string, vendor string").repartition(3)
+    postings = search.write_postings(table, ["id"], ["number", "vendor"], f"{tmp_path}/p")
+    for text in ("", "a", "ab", "aba", "AB a", "r 12", "harbo", "%_1", "éà", "xxxx", "none of these"):
+        want = {i for i, n, v in rows if text.lower() in (n or "").lower() or text.lower() in (v or "").lower()}
+        assert {r.id for r in search.find(table, postings, ["id"], ["number", "vendor"], text).collect()} == want
+    plan = search.candidates(postings, ["id"], "harbo")._sc._jvm.PythonSQLUtils.explainString(search.candidates(postings, ["id"], "harbo")._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [In(gram" in plan
+    assert search.write_postings(table.limit(0), ["id"], ["number"], f"{tmp_path}/e").count() == 0
