@@ -159,7 +159,11 @@ def letterhead_vendor(docs: DataFrame, profiles: DataFrame, lines: int = 25, thr
     near = fuzzy.similar_pairs(names, texts, "name", "line", threshold, org).select("org_id", "name", "line")
     short = F.length("line") < F.length("name") - 2
     pairs = inside(names, "name", texts, "line").unionByName(inside(texts, "line", names, "name")).unionByName(near).distinct()
-    ratio = F.lit(200.0) * fuzzy.common("name", "line") / (F.length("name") + F.length("line"))
+    n, m, shared = F.length("name"), F.length("line"), F.col("_shared")
+    pairs = pairs.withColumn("_shared", fuzzy.common("name", "line"))
+    ratio = F.lit(200.0) * shared / (n + m)
+    # no stretch shares more than the whole does, and the best one has that many characters at least
+    pairs = pairs.filter(F.when(short, ratio).otherwise(F.lit(200.0) * shared / (F.least(n, m) + shared)) >= threshold)
     scored = pairs.withColumn("score", F.when(short, ratio).otherwise(fuzzy.partial("name", "line"))).filter(F.col("score") >= threshold)
     best = printed.join(scored, ["org_id", "line"]).groupBy("org_id", "doc_id").agg(F.min(F.struct((-F.col("score")).alias("n"), "name")).alias("b"))
     return best.select("org_id", "doc_id", F.col("b.name").alias("vendor_key"), (-F.col("b.n")).alias("score"))
