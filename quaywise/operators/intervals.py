@@ -23,8 +23,11 @@ def _key(level: int, bucket: Column) -> Column:
 
 def keys_of(day: Column) -> Column:
     """The buckets that hold a day, one a level; NO_DAY alone for null."""
-    number = _number(day)
-    return F.when(day.isNull(), F.array(F.lit(NO_DAY))).otherwise(F.array(*[_key(k, F.shiftright(number, SHIFT + STEP * k)) for k in range(LEVELS)]))
+    return _keys_of(_number(day))
+
+
+def _keys_of(number: Column) -> Column:
+    return F.when(number.isNull(), F.array(F.lit(NO_DAY))).otherwise(F.array(*[_key(k, F.shiftright(number, SHIFT + STEP * k)) for k in range(LEVELS)]))
 
 
 def cover(start: Column, end: Column, undated: bool = False) -> Column:
@@ -32,8 +35,15 @@ def cover(start: Column, end: Column, undated: bool = False) -> Column:
 
     Only the two at the ends, of the lowest level, hold days that the period doesn't. ``undated`` adds NO_DAY.
     """
-    first = F.shiftright(F.coalesce(_number(start), F.lit(0)), SHIFT)
-    last = F.shiftright(F.coalesce(_number(end), F.lit(_LAST)), SHIFT)
+    return _cover(*_ends(start, end), undated)
+
+
+def _ends(start: Column, end: Column) -> tuple[Column, Column]:
+    """First and last bucket of the lowest level."""
+    return F.shiftright(F.coalesce(_number(start), F.lit(0)), SHIFT), F.shiftright(F.coalesce(_number(end), F.lit(_LAST)), SHIFT)
+
+
+def _cover(first: Column, last: Column, undated: bool) -> Column:
     none = F.array().cast("array<int>")
 
     def bounds(level: int) -> tuple[Column, Column]:
@@ -62,8 +72,10 @@ def meet(rows: DataFrame, periods: DataFrame, on: list[str], day: str, start: st
     Rows meet periods under equal keys and buckets, so a key with many periods is met period by period and a hot key is dealt over its
     buckets; pairs beyond the result are those of the buckets at the ends of a period. Other columns must have different names.
     """
-    a = rows.withColumn("_bucket", F.explode(keys_of(F.col(day))))
-    b = periods.withColumn("_bucket", F.explode(cover(F.col(start), F.col(end), True)))
+    # days are numbered in columns of their own, which the many places that read them share
+    a = rows.withColumn("_number", _number(F.col(day))).withColumn("_bucket", F.explode(_keys_of(F.col("_number")))).drop("_number")
+    first, last = _ends(F.col(start), F.col(end))
+    b = periods.withColumns({"_first": first, "_last": last}).withColumn("_bucket", F.explode(_cover(F.col("_first"), F.col("_last"), True))).drop("_first", "_last")
     return a.join(b, [*on, "_bucket"]).filter(holds(F.col(day), start, end)).drop("_bucket")
 
 

@@ -53,17 +53,17 @@ def choose_quote(invoices: DataFrame, quotes: DataFrame) -> DataFrame:
 
     gear = F.when(F.col("q_equipment").isNull(), 5).when(F.col("equipment").isNull(), 6).when(F.col("q_equipment") == F.col("equipment"), 10)
     lanes = lanes.withColumn("_score", place("origin") + place("destination") + gear).filter("_score is not null")
-    # a lane is named by its fields, so that joins need no written numbers; null is a name of its own
-    lane, q_lane = F.xxhash64(*dims, *areas), F.xxhash64(*[f"q_{c}" for c in (*dims, *areas)])
-    lanes = lanes.select(*vendor, *dims, *areas, "_score", lane.alias("_lane"), q_lane.alias("_q_lane"), *[F.col(f"q_{c}").alias(f"_q_{c}") for c in (*dims, *areas)])
-    offered = quotes.select(*vendor, "quote_id", "valid_from", "valid_to", *[F.col(c).alias(f"q_{c}") for c in (*dims, *areas)]).withColumn("_q_lane", q_lane)
-    same = [F.col(f"q_{c}").eqNullSafe(F.col(f"_q_{c}")) for c in (*dims, *areas)]
-    offered = offered.join(lanes, [*vendor, "_q_lane"]).filter(reduce(Column.__and__, same))
-    offered = offered.select(*vendor, "_lane", *[F.col(c).alias(f"_i_{c}") for c in (*dims, *areas)], "_score", "valid_from", "valid_to", "quote_id", *[f"q_{d}" for d in dims])
+    def named(columns: list[str]) -> Column:
+        """A lane's name: its fields, each after its length, '-' for null."""
+        return F.concat_ws("", *[F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("-")) for c in columns])
+
+    q_fields = [f"q_{c}" for c in (*dims, *areas)]
+    lanes = lanes.select(*vendor, "_score", named([*dims, *areas]).alias("_lane"), named(q_fields).alias("_q_lane"))
+    offered = quotes.select(*vendor, "quote_id", "valid_from", "valid_to", *[F.col(c).alias(f"q_{c}") for c in (*dims, *areas)]).withColumn("_q_lane", named(q_fields))
+    offered = offered.join(lanes, [*vendor, "_q_lane"]).select(*vendor, "_lane", "_score", "valid_from", "valid_to", "quote_id", *[f"q_{d}" for d in dims])
     keys = ["org_id", "doc_id", *dims]
-    rows = invoices.select(*keys, *areas, "vendor_key", "ship_date").withColumn("_lane", lane)
+    rows = invoices.select("org_id", "doc_id", "vendor_key", "ship_date", named([*dims, *areas]).alias("_lane"))
     pairs = intervals.meet(rows, offered, [*vendor, "_lane"], "ship_date")
-    pairs = pairs.filter(reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_i_{c}")) for c in (*dims, *areas)]))
     best = F.max(F.struct("_score", "valid_from", "quote_id", *[f"q_{d}" for d in dims]))
     spread = [(F.min(F.coalesce(F.col(f"q_{d}"), F.lit(""))) < F.max(F.coalesce(F.col(f"q_{d}"), F.lit("")))).alias(f"n_{d}") for d in dims]
     fits = pairs.groupBy("org_id", "doc_id").agg(best.alias("b"), F.count(F.lit(1)).alias("n_fit"), *spread)
