@@ -1,6 +1,6 @@
 """Numbers of any length and quotients near a half, against whole-number arithmetic."""
 
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import Decimal
 from fractions import Fraction
 
 from pyspark.sql import functions as F
@@ -14,3 +14,23 @@ def test_numbers_longer_than_money_are_counted_and_never_an_error(spark):
     got = [r.n for r in rows.select(money.numbers_in("t").alias("n")).collect()]
     assert got == [[Decimal("12345678901234567.00"), Decimal("123456789012345678.12")], [Decimal("7.00")], [], [Decimal("1234.00")], [Decimal("1.00")]]
     assert [r.n for r in rows.select(money.parse_money("t").alias("n")).collect()] == [None, None, None, None, Decimal("11.00")]
+
+
+def test_quotients_just_below_a_half_stay_below(spark):
+    pairs = [("15040.29", "31966.61", 100, 1), ("-15040.29", "31966.61", 100, 1), ("0.05", "1.00", 100, 1), ("-1.00", "8.00", 1, 2), ("123456789012.34", "0.03", 1, 4), ("1.00", "0.00", 1, 1)]
+    for num, den, times, places in pairs:
+        got = spark.createDataFrame([(Decimal(num), Decimal(den))], "n decimal(18,2), d decimal(18,2)").select(money.ratio(F.col("n") * times, "d", places).alias("r")).first().r
+        exact = None if not Decimal(den) else Fraction(num) * times / Fraction(den)
+        if exact is None:
+            assert got is None
+            continue
+        whole = int(abs(exact) * 10**places + Fraction(1, 2))
+        assert got == Decimal(whole if exact >= 0 else -whole).scaleb(-places)
+
+
+def test_landed_cost_uplift_is_rounded_once(spark):
+    from quaywise.operators import allocation
+
+    goods = spark.createDataFrame([("s", "a", Decimal("31966.61"), Decimal("10"))], "s string, product string, value decimal(18,2), quantity decimal(18,2)").selectExpr("*", "cast(1 as decimal(18,3)) weight", "cast(1 as decimal(18,3)) volume")
+    cost = spark.createDataFrame([("s", "c", "other", "value", Decimal("15040.29"))], "s string, charge string, category string, basis string, home decimal(18,2)")
+    assert allocation.landed_cost(goods, cost, ["s"]).first().uplift == Decimal("47.0")
