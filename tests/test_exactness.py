@@ -34,3 +34,10 @@ def test_landed_cost_uplift_is_rounded_once(spark):
     goods = spark.createDataFrame([("s", "a", Decimal("31966.61"), Decimal("10"))], "s string, product string, value decimal(18,2), quantity decimal(18,2)").selectExpr("*", "cast(1 as decimal(18,3)) weight", "cast(1 as decimal(18,3)) volume")
     cost = spark.createDataFrame([("s", "c", "other", "value", Decimal("15040.29"))], "s string, charge string, category string, basis string, home decimal(18,2)")
     assert allocation.landed_cost(goods, cost, ["s"]).first().uplift == Decimal("47.0")
+
+
+def test_references_are_never_broadcast(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["shipment_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
