@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from quaywise.sources.scratch import discard, materialise
 
 
+def totals(e: DataFrame):
+    """Number of edges (u, v) and a sum of their hashes, of any size: 64 bits would pass their end at some 17 million edges."""
+    return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)).cast("decimal(20,0)"))).first()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (the least node reachable) for every node of ``edges`` (a, b).
 
@@ -16,9 +21,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
-    def totals(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-
     def star(e: DataFrame) -> DataFrame:
         """One large star and one small star."""
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

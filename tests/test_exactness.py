@@ -41,3 +41,11 @@ def test_references_are_never_broadcast(spark):
 
     plan = __spark_entry__.queries()["shipment_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_totals_of_twenty_million_edges(spark):
+    from quaywise.operators import graph
+
+    edges = spark.range(20_000_000).select((F.col("id") + 1).alias("u"), F.lit(0).alias("v"))
+    n, hashes = graph.totals(edges)
+    assert n == 20_000_000 and hashes > 1 << 63
