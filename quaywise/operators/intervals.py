@@ -12,13 +12,17 @@ _LAST = (1 << SHIFT + STEP * (LEVELS - 1)) - 1
 NO_DAY = -1
 
 
-def _number(day: Column) -> Column:
-    """Days since FIRST, null for null; those outside of the index count as its first or last day, so order holds."""
-    return F.when(day.isNotNull(), F.least(F.greatest(F.datediff(day, F.lit(FIRST).cast("date")), F.lit(0)), F.lit(_LAST)))
+#: An index of single days, in buckets of 1, 4, 16, ... of them, spans the calendar from the year 1 to 9999.
+DAY_LEVELS, DAY_FIRST, _DAY_LAST, _DAY_ROOM = 11, "0001-01-01", (1 << STEP * 11) - 1, 22
 
 
-def _key(level: int, bucket: Column) -> Column:
-    return bucket + F.lit(level << 16)
+def _number(day: Column, origin: str = FIRST, most: int = _LAST) -> Column:
+    """Days since ``origin``, null for null; those outside of the index count as its first or last day, so order holds."""
+    return F.when(day.isNotNull(), F.least(F.greatest(F.datediff(day, F.lit(origin).cast("date")), F.lit(0)), F.lit(most)))
+
+
+def _key(level: int, bucket: Column, room: int = 16) -> Column:
+    return bucket + F.lit(level << room)
 
 
 def keys_of(day: Column) -> Column:
@@ -43,7 +47,25 @@ def _ends(start: Column, end: Column) -> tuple[Column, Column]:
     return F.shiftright(F.coalesce(_number(start), F.lit(0)), SHIFT), F.shiftright(F.coalesce(_number(end), F.lit(_LAST)), SHIFT)
 
 
-def _cover(first: Column, last: Column, undated: bool) -> Column:
+def day_number(day: Column) -> Column:
+    """A day as a number of its own, NO_DAY for null."""
+    return F.coalesce(_number(day, DAY_FIRST, _DAY_LAST), F.lit(NO_DAY))
+
+
+def buckets_at(number: Column) -> Column:
+    """The buckets of single days that hold a day, given by its number; NO_DAY alone for that."""
+    return F.when(number == NO_DAY, F.array(F.lit(NO_DAY))).otherwise(F.array(*[_key(k, F.shiftright(number, STEP * k), _DAY_ROOM) for k in range(DAY_LEVELS)]))
+
+
+def buckets_within(first: Column, last: Column) -> Column:
+    """The buckets, and NO_DAY, that together hold just the days of a period, each day once, given by numbers; NO_DAY is an open end.
+
+    What periods say can be added up a bucket, and a day's buckets together then have what the periods that hold it say.
+    """
+    return _cover(F.greatest(first, F.lit(0)), F.when(last == NO_DAY, F.lit(_DAY_LAST)).otherwise(last), True, DAY_LEVELS, _DAY_ROOM)
+
+
+def _cover(first: Column, last: Column, undated: bool, levels: int = LEVELS, room: int = 16) -> Column:
     none = F.array().cast("array<int>")
 
     def bounds(level: int) -> tuple[Column, Column]:
@@ -52,12 +74,12 @@ def _cover(first: Column, last: Column, undated: bool) -> Column:
         return F.floor((first + (width - 1)) / width).cast("int"), F.floor((last + 1) / width).cast("int") - 1
 
     def run(level: int, a: Column, b: Column) -> Column:
-        return F.when(a <= b, F.transform(F.sequence(a, b), lambda x: _key(level, x))).otherwise(none)
+        return F.when(a <= b, F.transform(F.sequence(a, b), lambda x: _key(level, x, room))).otherwise(none)
 
     parts = []
-    for level in range(LEVELS):
+    for level in range(levels):
         a, b = bounds(level)
-        if level == LEVELS - 1:
+        if level == levels - 1:
             parts.append(run(level, a, b))
             continue
         up_a, up_b = bounds(level + 1)

@@ -26,7 +26,8 @@ def choose_quote(invoices: DataFrame, quotes: DataFrame) -> DataFrame:
 
     Lanes meet first, each distinct one of a vendor's invoices with each of its quotes: by equal keys on every dimension, which are what
     a quote says (an area stands for its ports), or that it takes any; an invoice's lane that doesn't say meets all by a key of
-    its own. Then days meet periods of validity of the lanes that fit, by the buckets of ``intervals``.
+    its own. Invoices and quotes never meet one by one: quotes are summed up for each lane and bucket of days, and a vendor's lane and day asks
+    its buckets, so the work grows with quotes plus days asked.
     """
     dims = {"origin": "origin_area", "destination": "destination_area", "equipment": None}
     vendor, areas = ["org_id", "vendor_key"], list(filter(None, dims.values()))
@@ -58,20 +59,28 @@ def choose_quote(invoices: DataFrame, quotes: DataFrame) -> DataFrame:
         return F.concat_ws("", *[F.coalesce(F.concat(F.length(c), F.lit(":"), F.col(c)), F.lit("-")) for c in columns])
 
     q_fields = [f"q_{c}" for c in (*dims, *areas)]
-    lanes = lanes.select(*vendor, "_score", named([*dims, *areas]).alias("_lane"), named(q_fields).alias("_q_lane"))
+    lanes = lanes.select(*vendor, "_score", named([*dims, *areas]).alias("_lane"), named(q_fields).alias("_q_lane"), *[f"q_{d}" for d in dims])
     offered = quotes.select(*vendor, "quote_id", "valid_from", "valid_to", *[F.col(c).alias(f"q_{c}") for c in (*dims, *areas)]).withColumn("_q_lane", named(q_fields))
-    offered = offered.join(lanes, [*vendor, "_q_lane"]).select(*vendor, "_lane", "_score", "valid_from", "valid_to", "quote_id", *[f"q_{d}" for d in dims])
+    ends = {f"_{c}": intervals.day_number(F.col(c)) for c in ("valid_from", "valid_to")}
+    dated = offered.withColumns(ends).withColumn("_bucket", F.explode(intervals.buckets_within(F.col("_valid_from"), F.col("_valid_to"))))
+    parts = dated.groupBy(*vendor, "_q_lane", "_bucket").agg(F.count(F.lit(1)).alias("n_fit"), F.max(F.struct("valid_from", "quote_id")).alias("_last"))
+
+    def summed(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.groupBy(*by).agg(F.sum("n_fit").alias("n_fit"), F.max("b").alias("b"), *[f(c).alias(c) for d in dims for f, c in ((F.min, f"lo_{d}"), (F.max, f"hi_{d}"))])
+
+    ends = {f"{k}_{d}": F.coalesce(F.col(f"q_{d}"), F.lit("")) for d in dims for k in ("lo", "hi")}
+    best = F.struct("_score", "_last.valid_from", "_last.quote_id", *[f"q_{d}" for d in dims])
+    parts = summed(parts.join(lanes, [*vendor, "_q_lane"]).withColumns({"b": best, **ends}), [*vendor, "_lane", "_bucket"])
     keys = ["org_id", "doc_id", *dims]
-    rows = invoices.select("org_id", "doc_id", "vendor_key", "ship_date", named([*dims, *areas]).alias("_lane"))
-    pairs = intervals.meet(rows, offered, [*vendor, "_lane"], "ship_date")
-    best = F.max(F.struct("_score", "valid_from", "quote_id", *[f"q_{d}" for d in dims]))
-    spread = [(F.min(F.coalesce(F.col(f"q_{d}"), F.lit(""))) < F.max(F.coalesce(F.col(f"q_{d}"), F.lit("")))).alias(f"n_{d}") for d in dims]
-    fits = pairs.groupBy("org_id", "doc_id").agg(best.alias("b"), F.count(F.lit(1)).alias("n_fit"), *spread)
+    met = [*vendor, "_lane", "_day"]
+    rows = invoices.select(*keys, "vendor_key", named([*dims, *areas]).alias("_lane"), intervals.day_number(F.col("ship_date")).alias("_day"))
+    days = rows.select(*met).distinct().withColumn("_bucket", F.explode(intervals.buckets_at(F.col("_day"))))
+    fits = summed(days.join(parts, [*vendor, "_lane", "_bucket"]), met)
     on_file = quotes.select("org_id", "vendor_key").distinct().withColumn("_file", F.lit(True))
-    rows = invoices.select(*keys, "vendor_key").join(on_file, ["org_id", "vendor_key"], "left").join(fits, ["org_id", "doc_id"], "left")
+    rows = rows.join(on_file, vendor, "left").join(fits, met, "left")
     unsaid = F.lit(False)
     for d in dims:
-        unsaid = unsaid | (F.col(d).isNull() & F.col(f"b.q_{d}").isNotNull() & F.col(f"n_{d}"))
+        unsaid = unsaid | (F.col(d).isNull() & F.col(f"b.q_{d}").isNotNull() & (F.col(f"lo_{d}") < F.col(f"hi_{d}")))
     outcome = F.when(F.col("_file").isNull(), "none_on_file").when(F.col("b").isNull(), "no_match").when(unsaid, "ambiguous").otherwise("matched")
     return rows.select("org_id", "doc_id", outcome.alias("outcome"), F.col("b.quote_id").alias("quote_id"), F.coalesce("n_fit", F.lit(0)).alias("n_fit"))
 

@@ -49,3 +49,21 @@ def test_totals_of_twenty_million_edges(spark):
     edges = spark.range(20_000_000).select((F.col("id") + 1).alias("u"), F.lit(0).alias("v"))
     n, hashes = graph.totals(edges)
     assert n == 20_000_000 and hashes > 1 << 63
+
+
+def test_quotes_and_invoices_never_meet_one_by_one(spark, monkeypatch):
+    import datetime as d
+
+    from quaywise.operators import intervals, rates
+    from test_index_joins import CONTEXT, QUOTES
+
+    monkeypatch.setattr(intervals, "meet", None)  # pairs of days and periods grow with the square of a vendor's rows
+    first = d.date(1, 1, 1)
+    spans = [(first, d.date(9999, 12, 31)), (None, d.date(1850, 1, 1)), (d.date(2200, 1, 1), None), (d.date(2020, 1, 2), d.date(2020, 1, 1)), (d.date(2020, 1, 1), d.date(2021, 2, 3))]
+    quotes = [(1, i, "v", a, b, None, None, None, None, None) for i, (a, b) in enumerate(spans)]
+    days = [first, d.date(1850, 1, 1), d.date(2020, 1, 1), d.date(2021, 2, 3), d.date(2021, 2, 4), d.date(9999, 12, 31), None]
+    invoices = [(1, i, "v", x, "A", "B", "C", None, None) for i, x in enumerate(days)]
+    got = {r.doc_id: (r.quote_id, r.n_fit) for r in rates.choose_quote(spark.createDataFrame(invoices, CONTEXT), spark.createDataFrame(quotes, QUOTES)).collect()}
+    for i, x in enumerate(days):
+        fits = [(a is not None, a or d.date.min, q) for q, (a, b) in enumerate(spans) if x is None or ((a is None or a <= x) and (b is None or x <= b))]
+        assert got[i] == (max(fits)[2], len(fits))
