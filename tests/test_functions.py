@@ -134,3 +134,25 @@ def test_similar_pairs_on_the_threshold_and_of_long_texts(spark):
         want = {(x, y): fuzzy.indel_ratio(x, y) for x in texts for y in texts if 1000 * 2 * fuzzy.lcs_length(x, y) >= 10 * threshold * (len(x) + len(y))}
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert any(v == 90 for v in [fuzzy.indel_ratio(w, s) for w in words for s in swapped])
+
+
+def test_similar_links_count_every_pair_without_making_it(spark):
+    from collections import Counter
+
+    rng = random.Random(7)
+    alike = {"".join(rng.choice(letters) for _ in range(10)) for letters in ("AB", "ABC") for _ in range(120)} | {"ABABABABAB", "BABABABABA", "AAAAAAAAAA", "CCCCCCCCCC"}
+    mixed = {"".join(rng.choice("AB1") for _ in range(rng.randrange(8, 13))) for _ in range(60)} | {""}
+    for texts in (sorted(alike), sorted(mixed)):
+        left, right = [x for x in texts if rng.random() < 0.6], [x for x in texts if rng.random() < 0.6]
+        a, b = spark.createDataFrame([(x,) for x in [*left, *left[:5], None]], "a string"), spark.createDataFrame([(x,) for x in right], "b string")
+        got = {r.text: r for r in fuzzy.similar_links(a, b, "a", "b", 90).collect()}
+        links = [(x, y) for x in left for y in right if fuzzy.indel_ratio(x, y) >= 90]
+        of_left, of_right, root = Counter(x for x, _ in links), Counter(y for _, y in links), {x: x for x in texts}
+        for _ in texts:
+            for x, y in links:
+                root[x] = root[y] = min(root[x], root[y])
+        assert set(got) == {*left, *right} and len(links) > len({*left} & {*right})
+        for x, r in got.items():
+            assert (r.in_left, r.in_right) == (x in left, x in right)
+            assert (r.n_right, r.n_left, r.class_id) == (of_left[x] if x in left else None, of_right[x] if x in right else None, root[x])
+    assert all((len(set(fuzzy.shorter(x)) & set(fuzzy.shorter(y))) == 2) == (y in fuzzy.twins(x)) for x in sorted(alike)[:80] for y in alike if x != y)
