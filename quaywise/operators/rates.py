@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import charges, money
+from quaywise.sources.scratch import materialise
 
 from . import intervals
 
@@ -95,7 +96,8 @@ def latest_rule(rows: DataFrame, rules: DataFrame, on: list[str], day: str, row_
     met = intervals.meet(rows.select(*on, day).filter(F.col(day).isNotNull()).distinct(), r, on, day, "r_valid_from", "r_valid_to")
     cols = [f"r_{c}" for c in rules.columns if c not in [*on, "valid_from", rule_id]]
     pick = F.max(F.struct(F.col("r_valid_from").isNotNull().alias("_has"), "r_valid_from", f"r_{rule_id}", *cols))
-    found = met.groupBy(*on, day).agg(pick.alias("rule"))
+    # keys and days are few beside the rows; written, their size is known, and rows aren't shuffled by them
+    found = materialise(met.groupBy(*on, day).agg(pick.alias("rule")), "rules")
     return rows.select(*dict.fromkeys([*row_key, *on, day])).distinct().join(found, [*on, day], "left").select(*row_key, "rule")
 
 
@@ -141,9 +143,12 @@ def allowed_by_approval(lines: DataFrame) -> DataFrame:
     r_max_per_unit, r_max_amount; null if none). Units are read from the line; free units come off unless the line says that
     they have. Returns doc_id, code, actual, verdict (unapproved, no_cap, capped, unreadable), allowed and excess.
     """
-    units = {u: charges.units_on_line("description", F.col("quantity").cast("string"), u) for u in ("day", "hour", "each")}
-    read = F.when(F.col("rule.r_unit") == "day", units["day"]).when(F.col("rule.r_unit") == "hour", units["hour"]).otherwise(units["each"])
-    rows = lines.withColumn("_u", read)
+    printed = {"_d": F.col("description"), "_q": F.col("quantity").cast("string"), "_unit": F.col("rule.r_unit")}
+    units = {u: charges.units_on_line("_d", F.col("_q"), u) for u in ("day", "hour", "each")}
+    read = F.when(F.col("_unit") == "day", units["day"]).when(F.col("_unit") == "hour", units["hour"]).otherwise(units["each"])
+    # what lines print is read once a distinct print, and written, so that it isn't read again a line
+    once = materialise(lines.select(*[c.alias(n) for n, c in printed.items()]).distinct().withColumn("_u", read), "units")
+    rows = lines.join(once, reduce(Column.__and__, [c.eqNullSafe(F.col(n)) for n, c in printed.items()]), "left")
     n = F.col("_u.units").cast("decimal(18,4)")
     free = F.coalesce(F.col("rule.r_free_units").cast("decimal(18,4)"), F.lit(0))
     billable = F.when(F.col("_u.chargeable"), n).otherwise(F.greatest(F.lit(0).cast("decimal(18,4)"), n - free))
