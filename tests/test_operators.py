@@ -361,3 +361,32 @@ def test_files(spark, tmp_path):
     rows = files.read_folder(spark, str(tmp_path)).withColumn("org_id", F.lit(1))
     assert {r.name: r.type for r in rows.collect()} == {"a.pdf": "pdf", "b.bin": "pdf", "c.xlsx": "xlsx", "d.csv": "csv", "e.png": "png"}
     assert files.first_by_content(rows, ["org_id"]).count() == 4
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_classified_once_and_not_a_line(spark):
+    from quaywise.functions import charges
+
+    lines = spark.createDataFrame([(1, "Demurrage 6 days"), (2, None), (3, "Demurrage 6 days"), (4, "Ocean freight")], "doc_id int, description string")
+    coded = charges.with_codes(lines)
+    assert {r.doc_id: r.code for r in coded.collect()} == {1: "demurrage", 2: "other", 3: "demurrage", 4: "ocean_freight"}
+    assert "RLIKE" not in _optimized(coded.filter(charges.is_accessorial("code"))).upper()
+
+
+def test_prints_and_rules_are_read_once_and_not_a_line(spark):
+    rule = "struct(1 AS r_rule_id, 'day' AS r_unit, 2 AS r_free_units, CAST(10 AS DECIMAL(18,2)) AS r_max_per_unit, CAST(NULL AS DECIMAL(18,2)) AS r_max_amount)"
+    lines = spark.sql(f"SELECT doc_id, 'storage' AS code, d AS description, q AS quantity, CAST(100 AS DECIMAL(18,2)) AS amount, {rule} AS rule FROM VALUES (1, 'Storage 5 days', NULL), (1, 'Storage', '3'), (2, NULL, NULL), (3, 'Storage 5 days', NULL) AS v(doc_id, d, q)")
+    out = rates.allowed_by_approval(lines)
+    assert {r.doc_id: (r.verdict, r.allowed) for r in out.collect()} == {1: ("capped", D(40)), 2: ("capped", D(0)), 3: ("capped", D(30))}
+    assert "REGEXP_EXTRACT" not in _optimized(out).upper()
+
+
+def test_charge_parts_are_classified_once_and_not_an_invoice(spark):
+    from quaywise.plans import close_queries
+    from quaywise.plans.registry import Tables
+
+    for made in (close_queries._parts, close_queries._charges):
+        assert "ADMIN(ISTRATION" not in _optimized(made(Tables(spark, "/root/testdata/sf0.001"))).upper()
