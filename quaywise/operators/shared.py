@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import money
+from quaywise.sources.scratch import materialise
 
 from .versions import merged
 
@@ -18,9 +19,15 @@ LEAST = 6
 def words_of(text: Column | str) -> Column:
     """Distinct references that a text may print: its words and pairs of neighbouring words, letters and digits only, in capitals."""
     t = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.transform(F.split(F.upper(F.coalesce(t, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, "[^A-Z0-9]", "")), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.filter(F.array_distinct(F.concat(words, pairs)), lambda w: F.length(w) >= LEAST)
+    words = F.filter(F.split(F.regexp_replace(F.upper(F.coalesce(t, F.lit(""))), r"[^A-Z0-9\s]", ""), r"\s+"), lambda w: w != "")
+
+    def with_pairs(w: Column) -> Column:
+        most = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, 1, most), F.slice(w, 2, most), lambda a, b: F.concat(a, b)))
+
+    # a lambda's argument is worked out once, an expression wherever it is named
+    both = F.element_at(F.transform(F.array(words), with_pairs), 1)
+    return F.array_distinct(F.filter(both, lambda w: F.length(w) >= LEAST))
 
 
 def named_parties(texts: DataFrame, refs: DataFrame) -> DataFrame:
@@ -56,7 +63,7 @@ def split_shared(lines: DataFrame, parties: DataFrame) -> DataFrame:
     total = rest.groupBy("doc_id").agg(F.sum("line_cents").alias("t"))
     shares = money.split_exactly(parties.join(total, "doc_id"), ["doc_id"], "t", "w", ["party"], "party_cents").select("doc_id", "party", "party_cents")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("party")).cast("int")
-    numbered = shares.withColumn("_nth", place)
+    numbered = materialise(shares.withColumn("_nth", place), "shares")
     table = split_table(rest, numbered.select("doc_id", F.col("_nth").alias("party"), "party_cents"), "doc_id")
     named = table.withColumnRenamed("party", "_nth").join(numbered.select("doc_id", "_nth", "party"), ["doc_id", "_nth"])
     return owned.unionByName(named.select("doc_id", F.col("line").cast(owned.schema["line"].dataType).alias("line"), "party", "part"))

@@ -123,7 +123,7 @@ def _owned(t: Tables):
     w = Window.partitionBy("doc_id").orderBy("position", "part_id", "supplier_id", "amount")
     lines = t.lines.select("doc_id", F.row_number().over(w).cast("long").alias("line"), F.expr(_LINE_NAMES).alias("description"), (F.col("amount") * 100).cast("long").alias("cents"))
     refs = t.lines.select("doc_id").distinct().select("doc_id", F.explode(F.expr("array(struct(CAST(1 AS INT) AS party, 'BOXA' || CAST(doc_id AS STRING) AS ref), struct(CAST(2 AS INT) AS party, 'BOXB' || CAST(doc_id AS STRING) AS ref))")).alias("p")).select("doc_id", "p.*")
-    return shared.line_owners(lines, refs.filter(F.length("ref") >= shared.LEAST)), refs
+    return materialise(shared.line_owners(lines, refs.filter(F.length("ref") >= shared.LEAST)), "owned"), refs
 
 
 @query(f"WITH {_OWNED} SELECT doc_id, line, CAST(CASE WHEN length(CAST(doc_id AS STRING)) >= 2 THEN owner END AS INT) AS owner FROM lo", ("lines",))

@@ -390,3 +390,23 @@ def test_charge_parts_are_classified_once_and_not_an_invoice(spark):
 
     for made in (close_queries._parts, close_queries._charges):
         assert "ADMIN(ISTRATION" not in _optimized(made(Tables(spark, "/root/testdata/sf0.001"))).upper()
+
+
+def test_words_are_found_once_a_text(spark):
+    from quaywise.operators import shared
+
+    rows = spark.createDataFrame([("Freight for OSLN-0000012 and osln 0000013.",), ("- truck\tBOX a123 / box. b",), ("",), (None,)], "t string")
+    out = rows.select(shared.words_of("t").alias("w"))
+    assert [r.w for r in out.collect()] == [["FREIGHT", "OSLN0000012", "0000013", "FREIGHTFOR", "FOROSLN0000012", "OSLN0000012AND", "ANDOSLN", "OSLN0000013"], ["TRUCKBOX", "BOXA123", "A123BOX"], [], []]
+    assert _optimized(out).lower().count("regexp_replace") == 1
+
+
+def test_shares_of_a_split_are_worked_out_once(spark):
+    from quaywise.operators import shared
+
+    lines = spark.createDataFrame([(1, 1, 100, None), (1, 2, 7, 2), (1, 3, -1, None), (2, 1, 5, 1)], "doc_id int, line long, cents long, owner int")
+    parties = spark.createDataFrame([(d, p, p + 1) for d in (1, 2) for p in (1, 2)], "doc_id int, party int, w long")
+    out = shared.split_shared(lines, parties)
+    sums = {(r.doc_id, r.party): r.s for r in out.groupBy("doc_id", "party").agg(F.sum("part").alias("s")).collect()}
+    assert sums == {(1, 1): 40, (1, 2): 66, (2, 1): 5}
+    assert "Window" not in _optimized(out)
