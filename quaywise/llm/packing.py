@@ -23,7 +23,7 @@ POOL_TOKENS = 1 << 20
 #: Tokens that tasks leave unpacked (each less than a window) go to one packer for so many.
 PACKER_TOKENS = 1 << 22
 #: Words whose ids a worker remembers since it last forgot; as many again from before are remembered until then.
-CACHE_WORDS = 1 << 16
+CACHE_WORDS = 1 << 18
 END_ID = 2
 
 
@@ -82,11 +82,15 @@ class WordEncoder:
         return ids
 
     def learn(self, missing: set[bytes]) -> None:
-        odd = []
+        odd, known, plain, cut = [], self.known, _PLAIN.fullmatch, _PIECES.findall
         for w in missing:
             s = w.decode()
-            if self.plain and _PLAIN.fullmatch(s) and not ("<" in s and any(t in s for t in self.special)):
-                self.known[w] = b"".join([self.piece(p) for p in _PIECES.findall(s.lower())])
+            if self.plain and plain(s) and not ("<" in s and any(t in s for t in self.special)):
+                found, pieces = cut(s.lower()), self.pieces
+                try:
+                    known[w] = b"".join([pieces[p] for p in found])
+                except KeyError:
+                    known[w] = b"".join([self.piece(p) for p in found])
             else:
                 odd.append(w)
         if odd:
@@ -96,17 +100,16 @@ class WordEncoder:
     def encode(self, text: str) -> np.ndarray:
         words = text.encode().split()
         known = self.known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
-        except KeyError:
-            missing = {w for w in words if w not in known}
+        missing = set(words).difference(known)
+        if not missing:
+            return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
         if len(known) + len(missing) > CACHE_WORDS:
             self.known, self.before = {}, known
             known, missing = self.known, set(words)
         held = {w: ids for w in missing if (ids := self.before.get(w)) is not None}
         known.update(held)
         self.learn(missing - held.keys())
-        return np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -151,10 +154,12 @@ class Packer:
         for pieces in self.pool.values():
             pieces.sort(key=lambda p: len(p[2]))  # longest at the end; the sort is stable, so equal lengths keep their order of coming
         for tier in TIERS:
+            below = [t for t in TIERS if t <= tier]
+            tokens = sum(len(p[2]) for t in below for p in self.pool[t])
             while own := self.pool[tier]:
-                below = [t for t in TIERS if t <= tier]
-                if sum(len(p[2]) for t in below for p in self.pool[t]) < tier and not last:
+                if tokens < tier and not last:
                     break
+                tokens -= tier  # what the next window takes; only a last one may take less
                 pieces = [own.pop()]
                 gap = tier - len(pieces[0][2])
                 while gap and (best := self.longest(below, gap)):

@@ -803,3 +803,18 @@ def test_near_duplicates_of_odd_rows(docs, rows):
     assert len(out) == len(rows)
     null_text = [r for r in out if r.doc_id in (1, 2, 3)]
     assert {r.component_id for r in null_text} == {1}
+
+
+def test_packing_remembers_the_words_of_a_large_vocabulary(monkeypatch):
+    """Words that come again after 150,000 others are not encoded anew."""
+    from quaywise.llm import packing
+
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    words = ["".join("bcdfghjklm"[int(d)] + "a" for d in str(i)) for i in range(150_000)]
+    for at in range(0, len(words), 1000):
+        encoder.encode(" ".join(words[at : at + 1000]))
+    learned = []
+    monkeypatch.setattr(encoder, "learn", learned.extend)
+    got = encoder.encode(" ".join(words[:500]))
+    assert not learned
+    assert got.tolist() == encoder.tokenizer.encode(" ".join(words[:500]), add_special_tokens=False).ids
