@@ -30,8 +30,8 @@ BANDS, DEPTH = 16, 6
 LIKELY = 64
 #: Ids of texts to be read that are broadcast, at most: 8 MB of them.
 FEW_NODES = 1 << 20
-#: Rows of a band that meet in one tile.
-TILE_ROWS = 1024
+#: Rows of a band, and shingles of their texts, of one share of it; two shares meet in a tile.
+TILE_ROWS, TILE_SHINGLES = 1024, 1 << 20
 _SEED = np.random.RandomState(20240301)
 _XOR, _TIMES = (_SEED.randint(1, 1 << 62, BANDS * DEPTH, dtype=np.int64).astype(np.uint64)[:, None] for _ in range(2))
 _TIMES = _TIMES * np.uint64(2) + np.uint64(1)
@@ -93,30 +93,84 @@ def _sketches(rows: DataFrame, key: str, text: str) -> DataFrame:
     return bound_batches(rows).select(key, text).mapInArrow(batches, "node long, digest binary, size long, keys array<long>, fp long, sig binary")
 
 
-def _likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile's texts (sorted by tile) whose signatures agree in LIKELY bytes or more, of different parts and sizes that allow it."""
+def _whole_tiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile, of batches that are sorted by their first column, the tile."""
     rest = None
     for b in itertools.chain(it, (None,)):
         if b is not None and not b.num_rows:
             continue
         if b is not None:
-            now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)]
-            rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-        if rest is None or not len(rest[0]):
+            now = pa.Table.from_batches([b])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+        if rest is None or not rest.num_rows:
             continue
-        cut = len(rest[0]) if b is None else int(np.searchsorted(rest[0], rest[0][-1], "left"))  # the last tile may go on in the next batch
-        done, rest = [x[:cut] for x in rest], [x[cut:] for x in rest]
-        edge = np.append(np.flatnonzero(np.concatenate(([True], done[0][1:] != done[0][:-1]))) if cut else [], cut).astype(int)
+        tile = rest.column(0).to_numpy()
+        cut = len(tile) if b is None else int(np.searchsorted(tile, tile[-1], "left"))  # the last tile may go on in the next batch
+        edge = np.append(np.flatnonzero(np.concatenate(([True], tile[1:cut] != tile[: cut - 1]))) if cut else [], cut).astype(int)
+        done, rest = rest, rest.slice(cut)
         for lo, hi in zip(edge, edge[1:], strict=False):
-            _, node, size, part, sig = (x[lo:hi] for x in done)
-            for at in range(0, hi - lo, 64):
-                own = slice(at, at + 64)
-                near = (sig[own, None, :] == sig[None, :, :]).sum(2, dtype=np.int16) >= LIKELY
-                near &= (node[own, None] < node[None, :]) & (part[own, None] != part[None, :])
-                near &= DENOMINATOR * np.minimum(size[own, None], size[None, :]) >= NUMERATOR * np.maximum(size[own, None], size[None, :])
-                i, j = np.nonzero(near)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[own][i]), pa.array(node[j])], ["a", "b"])
+            yield done.slice(lo, hi - lo)
+
+
+def _near(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) in a tile of pairs to be decided: signatures agree in LIKELY bytes or more, parts differ and sizes allow it.
+
+    A pair that shares several bands is met in the first of them only, and in one tile of it. Bands that hold two parts all have tiles.
+    """
+    node, size, part, side, band = (t.column(c).to_numpy() for c in ("node", "size", "part", "side", "band"))
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+    for at in range(0, len(node), 64):
+        own = slice(at, at + 64)
+        near = (node[own, None] < node[None, :]) & (part[own, None] != part[None, :]) & ((side[own, None] != side[None, :]) | (side[own, None] == 0))
+        near &= DENOMINATOR * np.minimum(size[own, None], size[None, :]) >= NUMERATOR * np.maximum(size[own, None], size[None, :])
+        near &= (sig[own, None, :] == sig[None, :, :]).sum(2, dtype=np.int16) >= LIKELY
+        i, j = np.nonzero(near)
+        i += at
+        shared = keys[i] == keys[j]
+        first = keys[i, shared.argmax(1)] == band[i]
+        yield i[first], j[first]
+
+
+def _likely(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile that are in a pair to be decided, once each."""
+    for t in _whole_tiles(it):
+        found = [np.unique(np.concatenate(p)) for p in _near(t)]
+        if len(some := np.unique(np.concatenate(found))):
+            yield from t.take(pa.array(some)).combine_chunks().to_batches()
+
+
+def _joins(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the alike texts of each tile by their exact sets: as few as connect the parts that all of them connect."""
+    for t in _whole_tiles(it):
+        sets = [np.frombuffer(r, "<u8") for r in t.column("runs").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        edge = np.concatenate(([0], np.cumsum(size)))
+        every, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        label = np.unique(t.column("part").to_numpy(), return_inverse=True)[1]
+        node, mark, a, b = t.column("node").to_numpy(), np.zeros(len(every), bool), [], []
+        for i, j in _near(t):
+            for one in np.unique(i):
+                others = j[i == one]
+                others = others[label[others] != label[one]]
+                if not len(others):
+                    continue
+                own = ids[edge[one] : edge[one + 1]]
+                mark[own] = True
+                shared = np.array([np.count_nonzero(mark[ids[edge[x] : edge[x + 1]]]) for x in others])
+                mark[own] = False
+                for x in others[DENOMINATOR * shared >= NUMERATOR * (size[one] + size[others] - shared)]:
+                    if label[x] != label[one]:
+                        label[label == label[x]] = label[one]
+                        a.append(node[one])
+                        b.append(node[x])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x).astype("<u8").tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["node", "runs"])
 
 
 def _decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,13 +200,16 @@ def _plausible(pairs: DataFrame, lone: DataFrame) -> DataFrame:
     return both.select("a", "b", "a_sig", "b_sig").mapInArrow(_agree, "a long, b long")
 
 
+def _texts_of(nodes: DataFrame, few: bool, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """``node`` and ``text`` of the distinct ``nodes``, which are broadcast if they are few; else Spark shuffles the texts to meet them."""
+    return rows.select(F.col(key).alias("node"), F.col(text).alias("text")).join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+
+
 def _decided(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
     """``pairs`` (a, b) with ``same``: whether their whole texts are similar enough. Only texts of pairs are moved."""
     pairs = materialise(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    if 2 * pairs.count() <= FEW_NODES:  # else Spark shuffles the texts to meet them
-        nodes = F.broadcast(nodes)
-    texts = materialise(rows.select(F.col(key).alias("node"), F.col(text).alias("text")).join(nodes, "node", "left_semi"), "pair-texts")
+    texts = materialise(_texts_of(nodes, 2 * pairs.count() <= FEW_NODES, rows, key, text), "pair-texts")
     release(rows.sparkSession)
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
@@ -162,14 +219,40 @@ def _decided(pairs: DataFrame, rows: DataFrame, key: str, text: str) -> DataFram
     return out
 
 
+def _joined_in_tiles(named: DataFrame, lone: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Links (a, b) that connect what all pairs of alike texts of a band and of different parts connect. ``named``: band, node, part.
+
+    A band of many texts, or of long ones, is dealt over tiles of pairs of its shares. In a tile all signatures are compared; the sets of the texts whose
+    signatures agree enough with another's then meet in the tile, which decides all its pairs exactly. A pair costs time but no row: a tile gives
+    at most one row a text.
+    """
+    share = F.ceil(F.greatest(F.col("n") / F.lit(TILE_ROWS), F.col("words") / F.lit(TILE_SHINGLES))).cast("long")
+    sized = materialise(named.join(lone.select("node", "size", "sig", "keys"), "node"), "sized")
+    counts = materialise(sized.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).select("band", share.alias("shares")), "band-sizes")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+    tiles = sized.join(counts, "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares"))).withColumn("other", other)
+    side = F.when(F.col("mine") < F.col("other"), 1).when(F.col("mine") > F.col("other"), 2).otherwise(0).alias("side")
+    tiles = tiles.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "node", "size", "part", side, "band", "sig", "keys")
+    schema = "tile long, node long, size long, part long, side int, band long, sig binary, keys array<long>"
+    likely = materialise(tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_likely, schema), "likely")
+    nodes = likely.select("node").distinct()
+    runs = materialise(_texts_of(nodes, likely.count() <= FEW_NODES, rows, key, text).mapInArrow(_runs, "node long, runs binary"), "runs")
+    release(rows.sparkSession)
+    met = likely.join(runs, "node").select(*likely.columns, "runs")
+    out = materialise(met.repartition("tile").sortWithinPartitions("tile").mapInArrow(_joins, "a long, b long").distinct(), "late")
+    discard(sized, counts, likely, runs)
+    release(rows.sparkSession)
+    return out
+
+
 def near_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` (unique, a long) and ``component_id``, the least key reachable over links of similar texts.
 
     Texts of equal shingles are met first by one grouped minimum; texts without words are such a group, and so are null ones. The
     others meet by SimHash links (simhash.links, four bits) and in bands. First each text is held against those it is linked
     with and the least and the greatest of its bands (texts are read where signatures agree enough), which joins a large group of near copies in linear work. In the bands that
-    are still apart all signatures are then compared in tiles, and the pairs that agree enough are held against their texts, so
-    texts that share a band without being alike cost no row. A very long text is one set of shingles in memory.
+    are still apart all signatures are then compared in tiles, and the pairs that agree enough are decided there by their exact sets, so
+    pairs of texts that share a band cost no row, whether they are alike or not. A very long text is one set of shingles in memory.
     Repeated rows are one group; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     sketches = materialise(_sketches(rows, key, text), "sketches")
@@ -194,18 +277,9 @@ def near_duplicates(rows: DataFrame, key: str, text: str) -> DataFrame:
     split = materialise(split, "split")
     last, named = named, materialise(named.join(split, "band", "left_semi"), "split-bands")
     discard(label, met, linked, ends, split, last)
-    # all pairs of a band that are still apart, by their signatures and without a row for each: a large band is dealt over tiles
-    parts = F.ceil(F.col("n") / F.lit(TILE_ROWS)).cast("long")
-    counts = materialise(named.groupBy("band").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts).drop("n"), "band-sizes")
-    rows_of = named.select("band", "node", "part").join(counts, "band").join(lone.select("node", "size", "sig"), "node")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    tiles = rows_of.withColumn("mine", mine).select("band", "node", "size", "part", "sig", "mine", other.alias("other"))
-    tiles = tiles.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"), "node", "size", "part", "sig")
-    apart = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_likely, "a long, b long").distinct()
-    late = _decided(apart.join(tried.select("a", "b"), ["a", "b"], "left_anti"), rows, key, text)
-    discard(named, counts)
-
-    owner = components(joined.unionByName(late.filter("same").select("a", "b")))
+    late = _joined_in_tiles(named, lone, rows, key, text)
+    discard(named)
+
+    owner = components(joined.unionByName(late))
     whole = firsts.join(owner, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("component_id"))
     return sketches.join(whole, "digest").select(F.col("node").alias(key), "component_id")

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quaywise.llm import neardup, queries, quality, simhash
@@ -134,3 +135,52 @@ def test_dedup_bands_recall():
         signs = [np.frombuffer(neardup.signature(x), np.uint8) for x in least]
         likely += bool((signs[0] == signs[1]).sum() >= neardup.LIKELY)
     assert met / tries > 0.98 and likely / tries > 0.995
+
+
+def test_dedup_makes_no_row_for_each_pair_of_a_band(spark, monkeypatch):
+    """Texts of similarity near 0.75 meet in bands and agree in their signatures, but don't link: their pairs cost no rows."""
+    rng, n, made = random.Random(11), 150, []
+    common = [f"c{i}" for i in range(400)]
+    texts = []
+    for k in range(n):
+        at = rng.randrange(350)
+        texts.append(" ".join(common[:at] + [f"t{k}w{i}" for i in range(56)] + common[at:]))
+        if k % 10 == 0:  # some that do link, late or not
+            texts.append(texts[-1].replace(f"t{k}w5 ", f"x{k} "))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    decided = neardup._decided
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return decided(pairs, *args)
+
+    monkeypatch.setattr(neardup, "_decided", counted)
+    monkeypatch.setattr(neardup, "TILE_ROWS", 64)
+    got = dict(map(tuple, neardup.near_duplicates(rows, "doc_id", "text").collect()))
+    assert set(got.values()) == least_of_groups(dict(enumerate(texts)))
+    assert sum(made) <= 2 * neardup.BANDS * len(texts) < len(texts) * (len(texts) - 1) // 2
+
+
+def test_dedup_tiles_give_a_row_a_text_at_most():
+    """All pairs of a tile link, in many bands; batches end within the tile."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:i] + [f"own{i}"] + base[i + 1 :]) for i in range(0, 120, 2)]
+    runs = [neardup.shingles(x) for x in texts]
+    least = [neardup.minima(r) for r in runs]
+    keys = np.array([neardup.band_keys(m) for m in least])
+    found = set()
+    for k in range(neardup.BANDS):
+        for band in np.unique(keys[:, k]):
+            at = np.flatnonzero(keys[:, k] == band)
+            rows = [(5, int(i), len(runs[i]), int(i), 0, int(band), neardup.signature(least[i]), keys[i].tolist(), runs[i].tobytes()) for i in at]
+            names = ["tile", "node", "size", "part", "side", "band", "sig", "keys", "runs"]
+            types = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            out = [tuple(r.values()) for b in neardup._joins(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+            assert len(out) < len(at)
+            found |= set(out)
+    label = list(range(len(texts)))
+    for a, b in found:
+        assert neardup.alike(runs[a], runs[b])
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert set(label) == least_of_groups(dict(enumerate(texts)))
