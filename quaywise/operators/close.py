@@ -133,6 +133,14 @@ def line_view(lines: DataFrame, view: str = "all") -> DataFrame:
     return lines.filter(F.col("amount_home").isNull() | F.coalesce(F.col("confidence") < SURE, F.lit(False))) if view == "attention" else lines
 
 
+def line_views(lines: DataFrame) -> DataFrame:
+    """All lines in each of LINE_VIEWS that shows them, named by ``view``; the lines are read once."""
+    unsure = F.col("amount_home").isNull() | F.coalesce(F.col("confidence") < SURE, F.lit(False))
+    shown = {"received": F.col("kind") == "received", "estimate": F.col("kind") == "estimate", "attention": unsure, "all": F.lit(True)}
+    views = F.filter(F.array(*[F.when(shown[v], F.lit(v)) for v in LINE_VIEWS]), lambda v: v.isNotNull())
+    return lines.withColumn("view", F.explode(views))
+
+
 def journal(lines: DataFrame, credit_account: str = "Accrued liabilities") -> DataFrame:
     """Debits per account and vendor, one credit for their sum, and the same with signs swapped for the next month.
 

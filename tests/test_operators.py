@@ -410,3 +410,16 @@ def test_shares_of_a_split_are_worked_out_once(spark):
     sums = {(r.doc_id, r.party): r.s for r in out.groupBy("doc_id", "party").agg(F.sum("part").alias("s")).collect()}
     assert sums == {(1, 1): 40, (1, 2): 66, (2, 1): 5}
     assert "Window" not in _optimized(out)
+
+
+def test_line_views_read_the_lines_once_and_show_what_each_view_shows(spark):
+    from quaywise.operators import close
+
+    rows = [("received", 1.0, None), ("received", None, None), ("estimate", 2.0, 0.2), ("estimate", 3.0, 0.9), ("estimate", None, 0.9), (None, 4.0, None)]
+    lines = spark.createDataFrame(rows, "kind string, amount_home double, confidence double")
+    found = close.line_views(lines)
+    for view in close.LINE_VIEWS:
+        want = close.line_view(lines, view).collect()
+        got = found.filter(F.col("view") == view).drop("view").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
