@@ -199,6 +199,6 @@ def queue_sets(t: Tables):
 @query("""SELECT doc_id, number, vendor_name FROM invoices WHERE contains(lower(number), 'v-17') OR contains(lower(vendor_name), 'v-17') UNION ALL SELECT doc_id, number, vendor_name FROM invoices WHERE contains(lower(number), 'oR 3 lOG') OR contains(lower(vendor_name), 'or 3 log')""", ("invoices",))
 def indexed_search(t: Tables):
     """Documents whose number or vendor has a text, through the index: one text of numbers, one of names."""
-    rows = t.invoices.select("doc_id", "number", "vendor_name")
-    postings = search.write_postings(rows, ["doc_id"], ["number", "vendor_name"], scratch(t.spark, "postings"))
-    return search.find(rows, postings, ["doc_id"], ["number", "vendor_name"], "V-17").unionByName(search.find(rows, postings, ["doc_id"], ["number", "vendor_name"], "oR 3 lOG"))
+    rows, columns = t.invoices.select("doc_id", "number", "vendor_name"), ["number", "vendor_name"]
+    postings = search.write_text_postings(rows, columns, scratch(t.spark, "postings"))
+    return search.find_by_text(rows, postings, columns, "V-17").unionByName(search.find_by_text(rows, postings, columns, "oR 3 lOG"))

@@ -2,11 +2,15 @@
 
 import datetime as d
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from quaywise.functions import fuzzy
 from quaywise.operators import grouping, intervals, rates, records, search
+from quaywise.sources import adapter
+from quaywise.sources.scratch import shared_dir
 from test_operators import DOCS, brute_places
 
 QUOTES = "org_id int, quote_id int, vendor_key string, valid_from date, valid_to date, origin string, destination string, equipment string, origin_area string, destination_area string"
@@ -146,3 +150,26 @@ def test_search_by_index_equals_contains(spark, tmp_path):
     plan = search.candidates(postings, ["id"], "harbo")._sc._jvm.PythonSQLUtils.explainString(search.candidates(postings, ["id"], "harbo")._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [In(gram" in plan
     assert search.write_postings(table.limit(0), ["id"], ["number"], f"{tmp_path}/e").count() == 0
+
+
+def test_search_by_text_posts_shared_texts_once(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"INV-{rng.randrange(60)}" if i % 7 else None, rng.choice(["Harbor 12 LLC", "HARBOR 12 llc", "inv-1 %_", "É ÉÀ", "aaaa", "ab", "", None])) for i in range(900)] + [(5, "INV-12", "Inv-12"), (5, "INV-12", "Inv-12")]
+    table, columns = spark.createDataFrame(rows, "id int, number string, vendor string").repartition(3), ["number", "vendor"]
+    postings = search.write_text_postings(table, columns, f"{tmp_path}/p")
+    texts = {(t or "").lower() for _, *both in rows for t in both}
+    assert postings.count() == sum(max(len(t) - 2, 0) for t in texts)
+    assert postings.distinct().count() == len({(t, t[i : i + 3]) for t in texts for i in range(len(t) - 2)})
+    for text in ("", "a", "b ", "INV", "nv-1", "v-12", "or 12 l", "r 1 %", "aaa", "éà", "none of these"):
+        want = sorted(str(r) for r in rows if any(text.lower() in (t or "").lower() for t in r[1:]))
+        assert sorted(str(tuple(r)) for r in search.find_by_text(table, postings, columns, text).collect()) == want
+    assert search.write_text_postings(table.limit(0), columns, f"{tmp_path}/e").count() == 0
+
+
+def test_indexed_search_posts_no_shared_vendor_again(spark):
+    sf, before = "/root/testdata/sf0.001", set(Path(shared_dir(spark).removeprefix("file://")).glob("postings-*"))
+    __spark_entry__.queries()["indexed_search"](spark, sf)
+    (path,) = set(Path(shared_dir(spark).removeprefix("file://")).glob("postings-*")) - before
+    invoices = adapter.view(spark, sf, "invoices")
+    texts = invoices.selectExpr("lower(number) AS t").union(invoices.selectExpr("lower(vendor_name)")).distinct()
+    assert spark.read.parquet(str(path)).count() == texts.selectExpr("sum(greatest(length(t) - 2, 0)) AS n").head().n
