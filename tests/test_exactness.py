@@ -1,11 +1,15 @@
 """Numbers of any length and quotients near a half, against whole-number arithmetic."""
 
+import random
 from decimal import Decimal
 from fractions import Fraction
 
 from pyspark.sql import functions as F
 
 from quaywise.functions import money
+from quaywise.operators import allocation
+from quaywise.plans import close_queries
+from quaywise.plans.registry import Tables
 
 
 def test_numbers_longer_than_money_are_counted_and_never_an_error(spark):
@@ -67,3 +71,42 @@ def test_quotes_and_invoices_never_meet_one_by_one(spark, monkeypatch):
     for i, x in enumerate(days):
         fits = [(a is not None, a or d.date.min, q) for q, (a, b) in enumerate(spans) if x is None or ((a is None or a <= x) and (b is None or x <= b))]
         assert got[i] == (max(fits)[2], len(fits))
+
+
+def test_charges_are_spread_as_by_hand_and_their_pairs_sorted_once(spark):
+    rng = random.Random(11)
+    some = lambda top, scale: None if rng.random() < 0.08 else Decimal(rng.randrange(top)).scaleb(-scale)
+    products = [(g, p, some(9000, 2), some(500, 2), some(700, 3), some(3, 3)) for g in range(60) for p in range(rng.randrange(1, 6))]
+    charges = [(g, c, "x", basis, some(3000, 2) if g % 7 else Decimal(-777).scaleb(-2)) for g in range(60) for c, basis in enumerate([*allocation.FALLBACKS, "unknown"])]
+    p = spark.createDataFrame(products, "g int, product int, value decimal(18,2), quantity decimal(18,2), weight decimal(18,3), volume decimal(18,3)").repartition(3)
+    c = spark.createDataFrame(charges, "g int, charge int, category string, basis string, home decimal(18,2)").repartition(3)
+    out = allocation.spread_charges(p, c, ["g"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.g, r.charge, r.product): (r.used, r.cents, r.part) for r in out.collect()}
+    want = {}
+    for g, charge, _, basis, home in charges:
+        goods = [x for x in products if x[0] == g]
+        weights = {"value": [int(max(x[2] or 0, 0) * 100) for x in goods], "equal": [1] * len(goods)}
+        weights |= {k: [int(x[i] * 10000) for x in goods] for i, k in ((3, "quantity"), (4, "weight"), (5, "volume")) if all(x[i] is not None for x in goods)}
+        used = next((b for b in allocation.FALLBACKS.get(basis, []) if sum(weights.get(b, [0]))), None)
+        if home is None:
+            continue
+        w, cents = weights.get(used), int(home * 100)
+        parts = [None] * len(goods)
+        if w:
+            base, rest = zip(*(divmod(abs(cents) * x, sum(w)) for x in w), strict=True)
+            order = sorted(range(len(w)), key=lambda i: (-rest[i], -w[i], goods[i][1]))
+            parts = [(b + (order.index(i) < abs(cents) - sum(base))) * (1 if cents > 0 else -1) for i, b in enumerate(base)] if cents else [0] * len(w)
+        want |= {(g, charge, x[1]): (used, cents, part) for x, part in zip(goods, parts, strict=True)}
+    assert got == want
+    assert len([line for line in plan.splitlines() if "Sort [" in line and "charge#" in line]) == 1
+
+
+def test_lines_are_dealt_to_tasks_by_how_many_there_are(spark, monkeypatch):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    want = sorted(map(tuple, close_queries.spread_charges(t).collect()))
+    monkeypatch.setattr(close_queries, "_LINES_A_TASK", 200)
+    tasks = -(-t.lines.count() // 200)
+    assert close_queries._products(t).rdd.getNumPartitions() == tasks > spark.sparkContext.defaultParallelism
+    dealt = close_queries.spread_charges(t)
+    assert sorted(map(tuple, dealt.collect())) == want
