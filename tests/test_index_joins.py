@@ -173,3 +173,55 @@ def test_indexed_search_posts_no_shared_vendor_again(spark):
     invoices = adapter.view(spark, sf, "invoices")
     texts = invoices.selectExpr("lower(number) AS t").union(invoices.selectExpr("lower(vendor_name)")).distinct()
     assert spark.read.parquet(str(path)).count() == texts.selectExpr("sum(greatest(length(t) - 2, 0)) AS n").head().n
+
+
+def test_crowded_references_are_grouped_without_pairs(spark, monkeypatch):
+    rng = random.Random(23)
+    for dense in (True, False):
+        digits = "123" if dense else "0123456789"
+        code = lambda n, ab=digits: "".join(rng.choice(ab) for _ in range(n))  # noqa: E731, B023
+        rows = []
+        for i in range(1, 160):
+            original = rng.randrange(1, i) if i > 1 and rng.random() < 0.2 else None
+            bl = "" if rng.random() < 0.2 else "OSLN00" + code(5) + ("7" if rng.random() < 0.1 else "")
+            box = ["OSLU00" + code(5)] if rng.random() < 0.4 else []
+            rows.append((1 + i % 2, i, d.date(2026, 1, 1 + rng.randrange(25)), rng.random() < 0.2, bl, box, [f"PO{rng.randrange(90)}"] if rng.random() < 0.2 else [], original))
+        docs = spark.createDataFrame(rows, DOCS + ", original long")
+        crowded = grouping.near_keys(grouping.references(docs))[1].count()
+        assert (crowded > 0) == dense
+        with monkeypatch.context() as m:
+            m.setattr(fuzzy, "similar_pairs", None)  # near bills of a crowded organisation grow with the square of its documents
+            got = {r.doc_id: (r.shipment, r.method) for r in grouping.group_by_arrival(docs).collect()}
+            state = None
+            for part in (1, 0, 2):
+                state = grouping.add_arrivals(state, docs.filter(F.col("doc_id") % 3 == part))
+            batched = {r.doc_id: (r.shipment, r.method) for r in state.collect()}
+        near = lambda a, b: fuzzy.indel_ratio(a, b) >= 90
+        want = {}
+        for org in (1, 2):
+            want |= brute_places([r for r in rows if r[0] == org], near, lambda a, b: a[:4] == b[:4] and near(a, b))
+        assert got == want and batched == want and sum(m == "fuzzy" for _, m in want.values()) > (20 if dense else 0)
+
+
+def test_near_texts_share_a_key_that_one_asks_by_and_the_other_holds(spark):
+    rng = random.Random(29)
+    texts = {"".join(rng.choice("AB") for _ in range(rng.choice([9, 10, 11, 12]))) for _ in range(160)}
+    texts |= {x[:i] + "Z" + x[i + rng.randrange(2) :] for x in ["".join(rng.choice("ABCDEFGH") for _ in range(40)) for _ in range(8)] for i in (3, 17, 30)}
+    rows = [(i % 2, x, i % 3 > 0, i % 5 > 0) for i, x in enumerate(sorted(texts))]
+    keys = fuzzy.shared_keys(spark.createDataFrame(rows, "g int, text string, asks boolean, holds boolean").cache(), 90, ["g"]).collect()
+    asked, held = ({(r.g, r.key, r.text) for r in keys if r.role & bit} for bit in (1, 2))
+    by: dict = {}
+    for g, k, x in held:
+        by.setdefault((g, k), set()).add(x)
+    got = {(g, x, y) for g, k, x in asked for y in by[g, k] if x != y and fuzzy.near(x, y, 900)}
+    want = {(g, x, y) for g, x, asks, _ in rows if asks for h, y, _, holds in rows if holds and g == h and x != y and fuzzy.indel_ratio(x, y) >= 90}
+    assert got == want and len({len(x) for _, x, _ in want}) > 4
+
+
+def test_an_original_that_comes_after_the_first_batch_is_met(spark):
+    day = [d.date(2026, 1, i) for i in range(1, 6)]
+    named = DOCS + ", original long"
+    first = spark.createDataFrame([(1, 5, day[4], False, "", [], [], 3)], named)
+    late = spark.createDataFrame([(1, 3, day[0], True, "B1", [], [], None)], named)
+    after = {r.doc_id: (r.shipment, r.method) for r in grouping.add_arrivals(grouping.add_arrivals(None, first), late).collect()}
+    assert after == {3: (3, "new"), 5: (3, "original_invoice")}
