@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaywise.functions import dates, money
+from quaywise.sources.scratch import materialise
 
 #: Payable ages in days past due, and dispute ages in days open.
 AP_BUCKETS = [("current", 0, 0), ("1-30", 1, 30), ("31-60", 31, 60), ("61-90", 61, 90), ("90+", 91, None)]
@@ -69,9 +70,11 @@ def dense_months(rows: DataFrame, day: str, first: str, last: str, measures: lis
 def pair_quality(groups: DataFrame, truth: str, found: str) -> DataFrame:
     """Precision and recall of a grouping over pairs of documents, from group sizes alone (no pairs are made)."""
 
+    sizes = materialise(groups.groupBy(truth, found).agg(F.count(F.lit(1)).alias("n")), "sizes")  # groups may be costly to find
+
     def pairs(*by: str) -> DataFrame:
         n = F.col("n").cast("decimal(20,0)")
-        return groups.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum((n * (n - 1) / 2).cast("decimal(38,0)")), F.lit(0)).cast("long").alias("pairs"))
+        return sizes.groupBy(*by).agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum((n * (n - 1) / 2).cast("decimal(38,0)")), F.lit(0)).cast("long").alias("pairs"))
 
     t, f, b = pairs(truth), pairs(found), pairs(truth, found)
     one = t.select(F.col("pairs").alias("true_pairs")).crossJoin(f.select(F.col("pairs").alias("found_pairs"))).crossJoin(b.select(F.col("pairs").alias("shared_pairs")))

@@ -313,6 +313,19 @@ def test_pair_quality_equals_counting_pairs(spark):
     assert (got.true_pairs, got.found_pairs, got.shared_pairs) == (sum(x[0] == y[0] for x, y in pairs), sum(x[1] == y[1] for x, y in pairs), sum(x == y for x, y in pairs))
 
 
+def test_groups_are_found_once_for_all_three_counts_of_pairs(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    groups = spark.range(0, 300, 1, 2).selectExpr("cast(id % 30 as int) a", "cast(id % 20 as int) b").mapInArrow(watched, "a int, b int")
+    got = reports.pair_quality(groups, "a", "b").first()
+    assert (got.true_pairs, got.found_pairs, got.shared_pairs) == (30 * 45, 20 * 105, 60 * 10) and seen.value == 300
+
+
 def test_rules_skip_what_people_resolved_and_take_empty_tables(spark):
     kinds = "org_id int, shipment_id int, doc_id long, doc_type string, vendor_name string, number string, currency string, total decimal(18,2), invoice_date date, received_on date, boxes int, container string"
     day = d.date(2026, 1, 1)
