@@ -11,7 +11,7 @@ from quaywise.functions import fuzzy
 from quaywise.operators import grouping, intervals, rates, records, search
 from quaywise.sources import adapter
 from quaywise.sources.scratch import shared_dir
-from test_operators import DOCS, brute_places
+from test_operators import DOCS, brute_places, valid_box
 
 QUOTES = "org_id int, quote_id int, vendor_key string, valid_from date, valid_to date, origin string, destination string, equipment string, origin_area string, destination_area string"
 CONTEXT = "org_id int, doc_id int, vendor_key string, ship_date date, origin string, destination string, equipment string, origin_area string, destination_area string"
@@ -225,3 +225,43 @@ def test_an_original_that_comes_after_the_first_batch_is_met(spark):
     late = spark.createDataFrame([(1, 3, day[0], True, "B1", [], [], None)], named)
     after = {r.doc_id: (r.shipment, r.method) for r in grouping.add_arrivals(grouping.add_arrivals(None, first), late).collect()}
     assert after == {3: (3, "new"), 5: (3, "original_invoice")}
+
+
+def test_candidates_equal_brute_force_and_near_ones_are_no_rows_until_the_end(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "similar_pairs", None)  # its pairs went through five shuffles
+    rng = random.Random(31)
+    code = lambda n: "".join(rng.choice("123") for _ in range(n))
+    long = ["".join(rng.choice("ABCDEFGH") for _ in range(40)) for _ in range(4)]
+
+    def bill():
+        x = rng.choice(long)
+        i = rng.randrange(30)
+        return rng.choice(["", "OSLN00" + code(5), "OSLN00" + code(5) + "7", x[:i] + "Z" + x[i + rng.randrange(3) :]])
+
+    boxes = lambda: ["OSLU00" + code(5) for _ in range(rng.randrange(3))] + (["CSQU3054383"] if rng.random() < 0.2 else [])
+    docs = [(1 + i % 2, i, bill(), boxes(), [f"PO{rng.randrange(30)}"]) for i in range(90)]
+    ships = [(1 + i % 2, 1000 + i, bill(), boxes(), [f"PO{rng.randrange(30)}"], d.date(2026, 1, 1 + rng.randrange(5))) for i in range(90)]
+    kinds = "bl string, boxes array<string>, pos array<string>"
+    frames = spark.createDataFrame(docs, f"org_id int, doc_id long, {kinds}"), spark.createDataFrame(ships, f"org_id int, shipment_id long, {kinds}, updated_on date")
+    got = [(r.doc_id, r.shipment_id, r.method, r.score, r["rank"]) for r in grouping.candidates(*frames).collect()]
+    near = lambda a, b: fuzzy.indel_ratio(a, b) >= 90
+    want = []
+    for org, doc, bl, box, po in docs:
+        met = []
+        for o, s, ship_bl, ship_box, ship_po, on in ships:
+            if o != org:
+                continue
+            if bl and bl == ship_bl:
+                how = "exact_bl"
+            elif set(box) & set(ship_box):
+                how = "exact_container"
+            elif set(po) & set(ship_po):
+                how = "exact_po"
+            elif (bl and ship_bl and near(bl, ship_bl)) or any(a[:4] == b[:4] and near(a, b) for a in box if not valid_box(a) for b in ship_box):
+                how = "fuzzy"
+            else:
+                continue
+            met.append((-grouping.SCORES[how], -on.toordinal(), s, how))
+        want += [(doc, s, how, -score, i) for i, (score, _, s, how) in enumerate(sorted(met), 1)]
+    assert sorted(got) == sorted(want) and {x[2] for x in want} == {"exact_bl", "exact_container", "exact_po", "fuzzy"}
+    assert {40, 41, 42, 39} & {len(x[2]) for x in docs}
